@@ -72,8 +72,7 @@ def embedder_separability(spark, sf):
     count = per_label.agg(F.count("*").alias("labels"))
     other = per_label.select(F.col("label").alias("other"), F.col("query_vec").alias("unrelated_vec"))
     cases = (
-        per_label.crossJoin(F.broadcast(count))  # a one-row total
-        .withColumn("other", (F.col("label") + 1) % F.col("labels"))
+        per_label.withColumn("other", (F.col("label") + 1) % count.scalar())
         .join(other, "other")
         .withColumn("case_id", F.col("label"))
     )

@@ -56,3 +56,159 @@ catalog AS (
          p_partkey AS advisor_id
   FROM part JOIN nation ON p_partkey % 25 = n_nationkey
 )"""
+
+
+# --- roster dump: customers of nations, every fifth row twice ----------------------------------
+def roster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "customer")
+    n = F.broadcast(load(spark, sf_dir, "nation"))  # 25 nations
+    key = F.col("c_custkey")
+    copies = F.when(key % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    base = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("k", F.explode(copies))
+    return base.select(
+        (key * 2 + F.col("k")).alias("seq"),
+        F.col("n_regionkey").cast("string").alias("school_cate"),
+        F.col("n_name").alias("university"),
+        F.col("c_mktsegment").alias("department"),
+        F.concat(
+            F.when(key % 11 == 0, F.lit("Re: ")).otherwise(F.lit("")),
+            F.col("c_name"),
+            F.when(key % 7 == 0, F.concat(F.lit("("), F.col("c_mktsegment"), F.lit(")"))).otherwise(F.lit("")),
+        ).alias("supervisor"),
+        F.when(key % 13 != 0, F.col("c_acctbal")).alias("rate"),
+        F.when(key % 3 == 0, F.concat(F.lit("said "), F.col("k").cast("string"))).otherwise(F.lit("")).alias("desc"),
+        F.when(key % 4 == 0, F.concat(F.lit(" detail "), key.cast("string"))).otherwise(F.lit("")).alias("description"),
+    )
+
+
+def roster_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as landed JSON texts, each in one of three wrappings."""
+    r = roster_rows(spark, sf_dir)
+    body = F.to_json(F.struct("school_cate", "university", "department", "supervisor", "rate", "desc", "description"))
+    wrap = F.col("seq") % 3
+    return r.select(
+        "seq",
+        F.when(wrap == 0, body)
+        .when(wrap == 1, F.concat(F.lit("["), body, F.lit(', "stray"]')))
+        .otherwise(F.concat(F.lit('{"comments": ['), body, F.lit("]}")))
+        .alias("payload"),
+    )
+
+
+ROSTER = """
+roster_raw AS (
+  SELECT c_custkey AS key, c_custkey * 2 + k AS seq, n_regionkey::VARCHAR AS school_cate, n_name AS university,
+         c_mktsegment AS department, c_name AS supervisor,
+         CASE WHEN c_custkey % 7 = 0 THEN c_mktsegment ELSE '' END AS note,
+         CASE WHEN c_custkey % 13 <> 0 THEN c_acctbal END AS rate,
+         CASE WHEN c_custkey % 3 = 0 THEN 'said ' || k ELSE '' END AS summary,
+         CASE WHEN c_custkey % 4 = 0 THEN 'detail ' || c_custkey ELSE '' END AS detail
+  FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES (0), (1)) AS copies(k)
+  WHERE k = 0 OR c_custkey % 5 = 0
+),
+entries AS (
+  SELECT university, department, supervisor, arg_min(note, seq) AS note, arg_min(school_cate, seq) AS school_cate
+  FROM roster_raw GROUP BY ALL
+),
+revs AS (
+  SELECT university, department, supervisor, rate, summary, detail FROM roster_raw
+  WHERE rate IS NOT NULL OR summary <> '' OR detail <> ''
+)"""
+
+
+# --- three arrivals per customer for the catalog -----------------------------------------------
+def catalog_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "customer")
+    n = F.broadcast(load(spark, sf_dir, "nation"))  # 25 nations
+    key, k = F.col("c_custkey"), F.col("k")
+    s = key.cast("string")
+    blank = F.lit("")
+    none = F.array().cast("array<string>")
+    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).withColumn(
+        "k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    )
+    half = F.floor(key / 2).cast("string")
+    return rows.select(
+        (key * 3 + k).alias("seq"),
+        key.alias("custkey"),
+        F.element_at(F.array(F.lit("manual"), F.lit("official"), F.lit("community")), k + 1).alias("source"),
+        F.col("n_name").alias("university"),
+        F.col("c_mktsegment").alias("department"),
+        F.concat(
+            F.lit("Name"), half, F.when((k == 1) & (key % 4 == 0), F.lit(" Professor")).otherwise(blank)
+        ).alias("name"),
+        F.when((key + k) % 3 == 0, blank).otherwise(F.concat(F.lit("T"), k.cast("string"))).alias("title"),
+        F.when((key + k) % 2 == 0, blank)
+        .otherwise(F.concat(F.lit("e"), s, F.when(key % 3 == 0, F.lit("@x.edu.cn")).otherwise("@mail.com")))
+        .alias("email"),
+        F.when((key + k) % 4 == 0, none)
+        .otherwise(F.array(F.lower("c_mktsegment"), F.concat(F.lit("k"), k.cast("string"))))
+        .alias("research_directions"),
+        F.when(k == 0, none).otherwise(F.array(F.concat(F.lit("area"), (key % 7).cast("string")))).alias("research_areas"),
+        F.when((key * k) % 5 == 1, F.array(F.concat(F.lit("pub"), s))).otherwise(none).alias("publications"),
+        F.when((key + 2 * k) % 5 == 0, F.concat(F.lit("https://www.uni.example/~"), s)).otherwise(blank).alias("homepage_url"),
+        F.when(k == 2, F.lit("  ")).otherwise(F.concat(F.lit("profile "), s)).alias("profile_text"),
+        F.when((k == 1) & (key % 6 == 0), F.concat(F.lit("0000-"), s)).otherwise(blank).alias("orcid"),
+        F.when((k == 2) & (key % 7 == 0), F.concat(F.lit("A"), s)).otherwise(blank).alias("openalex_id"),
+        F.when(k == 2, F.col("n_regionkey").cast("string")).otherwise(blank).alias("school_cate"),
+        F.when((k == 0) & (key % 9 == 0), F.lit("note")).otherwise(blank).alias("note"),
+        F.when(k == 0, F.lit("manual"))
+        .when((k == 1) & (key % 2 == 0), F.concat(F.lit("https://site.example/"), s))
+        .when(k == 1, blank)
+        .otherwise(F.concat(F.lit("http://c.example/"), s))
+        .alias("source_url"),
+        F.when(k == 0, blank).otherwise(F.concat(F.lit("2024-01-0"), (k + 1).cast("string"))).alias("retrieved_at"),
+        F.when(k == 0, blank).otherwise(F.md5(F.concat(s, k.cast("string")))).alias("content_hash"),
+    )
+
+
+BATCHES = """
+batches AS (
+  SELECT c_custkey * 3 + k AS seq, c_custkey AS custkey, ['manual', 'official', 'community'][k + 1] AS source,
+         n_name AS university, c_mktsegment AS department,
+         'Name' || (c_custkey // 2) || CASE WHEN k = 1 AND c_custkey % 4 = 0 THEN ' Professor' ELSE '' END AS name,
+         CASE WHEN (c_custkey + k) % 3 = 0 THEN '' ELSE 'T' || k END AS title,
+         CASE WHEN (c_custkey + k) % 2 = 0 THEN '' ELSE 'e' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN '@x.edu.cn' ELSE '@mail.com' END END AS email,
+         CASE WHEN (c_custkey + k) % 4 = 0 THEN '' ELSE lower(c_mktsegment) || '|k' || k END AS research_directions,
+         CASE WHEN k = 0 THEN '' ELSE 'area' || (c_custkey % 7) END AS research_areas,
+         CASE WHEN (c_custkey * k) % 5 = 1 THEN 'pub' || c_custkey ELSE '' END AS publications,
+         CASE WHEN (c_custkey + 2 * k) % 5 = 0 THEN 'https://www.uni.example/~' || c_custkey ELSE '' END AS homepage_url,
+         CASE WHEN k = 2 THEN '  ' ELSE 'profile ' || c_custkey END AS profile_text,
+         CASE WHEN k = 1 AND c_custkey % 6 = 0 THEN '0000-' || c_custkey ELSE '' END AS orcid,
+         CASE WHEN k = 2 AND c_custkey % 7 = 0 THEN 'A' || c_custkey ELSE '' END AS openalex_id,
+         CASE WHEN k = 2 THEN n_regionkey::VARCHAR ELSE '' END AS school_cate,
+         CASE WHEN k = 0 AND c_custkey % 9 = 0 THEN 'note' ELSE '' END AS note,
+         CASE WHEN k = 0 THEN 'manual' WHEN k = 1 AND c_custkey % 2 = 0 THEN 'https://site.example/' || c_custkey
+              WHEN k = 1 THEN '' ELSE 'http://c.example/' || c_custkey END AS source_url,
+         CASE WHEN k = 0 THEN '' ELSE '2024-01-0' || (k + 1) END AS retrieved_at,
+         CASE WHEN k = 0 THEN '' ELSE md5(c_custkey::VARCHAR || k::VARCHAR) END AS content_hash
+  FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES (0), (1), (2)) AS arrivals(k)
+)"""
+
+
+def _first_by_seq(field: str) -> str:
+    return f"coalesce(arg_min({field}, seq) FILTER (trim({field}) <> ''), '') AS {field}"
+
+
+_FIELDS = (
+    "title", "email", "research_directions", "research_areas", "publications", "homepage_url",
+    "profile_text", "orcid", "openalex_id", "school_cate", "note",
+)
+_ORIGIN = " || ".join(
+    f"coalesce('{f}=' || (arg_min(source, seq) FILTER (trim({f}) <> '')) || ';', '')" for f in sorted(_FIELDS)
+)
+MERGED = f"""
+merged AS (
+  SELECT university, department, name, {', '.join(_first_by_seq(f) for f in _FIELDS)},
+         coalesce(arg_min(source_url, seq) FILTER (source_url LIKE 'http%'), arg_min(source_url, seq) FILTER (source_url <> ''), '') AS source_url,
+         {_first_by_seq('retrieved_at')}, {_first_by_seq('content_hash')},
+         {_ORIGIN} AS field_sources, min(seq) AS first_seq
+  FROM batches GROUP BY university, department, name
+),
+source_rows AS (
+  SELECT university, department, name, source, min(seq) AS s FROM batches GROUP BY ALL
+),
+source_lists AS (
+  SELECT university, department, name, string_agg(source, ',' ORDER BY s) AS sources, list(source ORDER BY s) AS source_list FROM source_rows GROUP BY ALL
+),
+cat AS (SELECT * FROM merged JOIN source_lists USING (university, department, name))"""
