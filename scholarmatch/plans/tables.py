@@ -212,3 +212,70 @@ source_lists AS (
   SELECT university, department, name, string_agg(source, ',' ORDER BY s) AS sources, list(source ORDER BY s) AS source_list FROM source_rows GROUP BY ALL
 ),
 cat AS (SELECT * FROM merged JOIN source_lists USING (university, department, name))"""
+
+
+# --- paper records: one per document -----------------------------------------------------------
+def works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "documents")
+    key = F.col("doc_id")
+    s = key.cast("string")
+    digest = F.md5(F.col("text"))
+    doi = F.concat(F.lit("10.1/"), F.substring(digest, 1, 12))
+    spelled = (
+        F.when(key % 5 == 0, doi)
+        .when(key % 5 == 1, F.concat(F.lit("https://doi.org/"), doi))
+        .when(key % 5 == 2, F.concat(F.lit("DOI:"), F.upper(doi)))
+        .when(key % 5 == 3, F.concat(F.lit("http://dx.doi.org/"), doi))
+        .otherwise(F.concat(F.lit(" http://doi.org/"), doi))
+    )
+    blank = F.lit("")
+    return d.select(
+        key.alias("seq"),
+        F.concat(F.lit("w"), s).alias("id"),
+        F.split("text", "\n", 2)[0].alias("title"),
+        F.when(key % 17 != 0, (2015 + key % 10).cast("int")).alias("year"),
+        F.when(digest < "8", spelled).alias("doi"),
+        F.when(key % 2 == 0, blank).otherwise(F.concat(F.lit("venue "), (key % 9).cast("string"))).alias("venue"),
+        F.array(F.col("lang"), F.col("source")).alias("topics"),
+        F.when(key % 7 != 0, F.col("n_chars") % 100).alias("citation_count"),
+        F.col("text").alias("abstract"),
+        F.when(key % 4 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("https://x.example/"), s)).alias("source_url"),
+        F.col("source").alias("source_platform"),
+        F.when(key % 3 == 0, F.array(F.concat(F.lit("Ann "), s)))
+        .otherwise(F.array(F.concat(F.lit("Bo "), s), F.lit("Cy Same")))
+        .alias("authors"),
+        F.when(key % 3 == 0, blank).otherwise(F.concat(F.lit("Inst "), (key % 5).cast("string"))).alias("institution"),
+        F.when(key % 4 == 0, F.array(F.lit("mirror"), F.col("source"))).otherwise(F.array().cast("array<string>")).alias("sources"),
+        F.when(F.col("lang") == "en", F.array(F.lit("cs")))
+        .when(F.col("lang") == "de", F.array(F.lit("medicine"), F.lit("cs")))
+        .when(F.col("lang") == "fr", F.array(F.lit("physics")))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("disciplines"),
+        F.concat(F.lit("T"), F.floor(key / 20).cast("string")).alias("target_id"),
+        F.col("lang"),
+    )
+
+
+_NOISE = r"[\s\-–—_.,;:!?，。；：！？、·''\"“”‘’()（）\[\]【】<>《》/\\|+&]+"
+WORKS = rf"""
+works AS (
+  SELECT doc_id AS seq, 'w' || doc_id AS id, string_split(text, chr(10))[1] AS title,
+         CASE WHEN doc_id % 17 <> 0 THEN 2015 + doc_id % 10 END AS year,
+         CASE WHEN md5(text) < '8' THEN '10.1/' || left(md5(text), 12) ELSE '' END AS doi_key,
+         CASE WHEN md5(text) < '8' THEN CASE doc_id % 5 WHEN 0 THEN '10.1/' || left(md5(text), 12) WHEN 1 THEN 'https://doi.org/10.1/' || left(md5(text), 12)
+              WHEN 2 THEN 'DOI:' || upper('10.1/' || left(md5(text), 12)) WHEN 3 THEN 'http://dx.doi.org/10.1/' || left(md5(text), 12)
+              ELSE ' http://doi.org/10.1/' || left(md5(text), 12) END END AS doi,
+         CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'venue ' || (doc_id % 9) END AS venue, [lang, source] AS topics,
+         CASE WHEN doc_id % 7 <> 0 THEN n_chars % 100 END AS citation_count, text AS abstract,
+         CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'https://x.example/' || doc_id END AS source_url, source AS source_platform,
+         CASE WHEN doc_id % 3 = 0 THEN ['Ann ' || doc_id] ELSE ['Bo ' || doc_id, 'Cy Same'] END AS authors,
+         CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Inst ' || (doc_id % 5) END AS institution,
+         CASE WHEN doc_id % 4 = 0 THEN ['mirror', source] ELSE []::VARCHAR[] END AS sources,
+         CASE lang WHEN 'en' THEN ['cs'] WHEN 'de' THEN ['medicine', 'cs'] WHEN 'fr' THEN ['physics'] ELSE []::VARCHAR[] END AS disciplines,
+         'T' || (doc_id // 20) AS target_id, lang
+  FROM documents
+),
+keyed AS (
+  SELECT *, regexp_replace(lower(regexp_replace(title, '<[^>]+>', '', 'g')), '{_NOISE}', '', 'g') AS title_key
+  FROM works WHERE trim(title) <> ''
+)"""
