@@ -128,7 +128,7 @@ def merge_links(works: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def _token_order(slot: int, pos) -> Column:
-    return F.struct(F.col("seq").alias("a"), F.lit(slot).alias("b"), pos.alias("c"))
+    return F.struct(F.col("seq").cast("long").alias("a"), F.lit(slot).alias("b"), pos.alias("c"))
 
 
 def fold_records(records: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -173,7 +173,6 @@ def fold_records(records: DataFrame, keys: Sequence[str]) -> DataFrame:
         *keys,
         F.col("leader").alias("_lead"),
         "second",
-        F.col("seq").cast("long").alias("seq"),
         F.explode(F.concat(*lists, platform)).alias("x"),
     ).select(*keys, "_lead", "second", "x.*")
     once = tokens.groupBy(*keys, "kind", "v").agg(
