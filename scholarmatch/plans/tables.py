@@ -279,3 +279,173 @@ keyed AS (
   SELECT *, regexp_replace(lower(regexp_replace(title, '<[^>]+>', '', 'g')), '{_NOISE}', '', 'g') AS title_key
   FROM works WHERE trim(title) <> ''
 )"""
+
+
+# --- authored papers: one per order line, the supplier among its authors -----------------------
+GIVEN = ("Wei", "Wang", "Bo", "Bai", "Lin", "Lan", "Jun", "Jia")
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search targets: two suppliers share a family name, given names may share an initial."""
+    s = load(spark, sf_dir, "supplier")
+    n = F.broadcast(load(spark, sf_dir, "nation"))  # 25 nations
+    key = F.col("s_suppkey")
+    given = F.element_at(F.array(*[F.lit(g) for g in GIVEN]), (key % 8 + 1).cast("int"))
+    return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        key.alias("target_id"),
+        given.alias("given"),
+        F.concat(F.lit("Zhang"), F.lpad(F.floor(key / 2).cast("string"), 9, "0")).alias("family"),
+        F.concat(given, F.lit(" Zhang"), F.lpad(F.floor(key / 2).cast("string"), 9, "0")).alias("name"),
+        F.lit(None).cast("string").alias("english_name"),
+        F.when(key % 10 == 9, F.lit("")).otherwise(F.col("n_name")).alias("institution"),
+        F.col("s_nationkey").alias("nation"),
+    )
+
+
+def line_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(work_id, seq, title, authors in several spellings, institution) per order line."""
+    line = load(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"
+    )
+    who = suppliers(spark, sf_dir).select(F.col("target_id").alias("l_suppkey"), "given", "family", "name", "nation")
+    j = line.join(who, "l_suppkey")
+    k, mate = F.col("l_linenumber"), F.concat(F.lit("Li P"), F.col("l_partkey").cast("string"))
+    spelled = (
+        F.when(k == 2, F.concat("family", F.lit(", "), "given"))
+        .when(k == 3, F.concat(F.substring("given", 1, 1), F.lit(". "), "family"))
+        .when(k == 4, F.concat(F.lit("Ｚhang"), F.substring("family", 6, 12), F.lit(" "), "given"))
+        .otherwise(F.col("name"))
+    )
+    return j.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("work_id"),
+        ((F.col("l_orderkey") * 8 + k) * 1000000 + (F.col("l_partkey") * 31 + F.col("l_suppkey")) % 1000000).alias("seq"),
+        F.col("l_suppkey").alias("target_id"),
+        F.concat(F.lit("Paper "), F.floor(F.col("l_orderkey") / 2).cast("string"), F.lit("-"), F.col("l_suppkey").cast("string")).alias("title"),
+        F.when(k == 7, F.array(F.concat(spelled, F.lit(", "), mate, F.lit(", Mo Q1"))))
+        .otherwise(F.array(spelled, mate, F.concat(F.lit("Mo Q"), (F.col("l_orderkey") % 1000).cast("string"))))
+        .alias("authors"),
+        F.array(F.col("name"), mate, F.concat(F.lit("Mo Q"), (F.col("l_orderkey") % 1000).cast("string"))).alias("plain_authors"),
+        F.when(k == 6, F.lit(""))
+        .when(k == 5, F.concat(F.lit("NATION_"), ((F.col("nation") + 1) % 25).cast("string")))
+        .when(k == 4, F.concat(F.lit("Institute of NATION_"), F.col("nation").cast("string")))
+        .otherwise(F.concat(F.lit("NATION_"), F.col("nation").cast("string")))
+        .alias("institution"),
+        "l_returnflag",
+        "l_linestatus",
+        "l_linenumber",
+        "l_partkey",
+    )
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same papers as search hits of their own supplier, not yet judged."""
+    return line_papers(spark, sf_dir).select(
+        "target_id", "work_id", "seq", "title", F.col("plain_authors").alias("authors"), "institution",
+        F.lit(True).alias("belongs"), F.lit(False).alias("needs_review"), F.lit("").alias("disambig_reason"),
+        "l_returnflag", "l_linestatus", "l_linenumber", "l_partkey",
+    )
+
+
+PEOPLE = """
+sup AS (
+  SELECT s_suppkey AS target_id, ['Wei','Wang','Bo','Bai','Lin','Lan','Jun','Jia'][s_suppkey % 8 + 1] AS given, s_suppkey // 2 AS fam,
+         ['Wei','Wang','Bo','Bai','Lin','Lan','Jun','Jia'][s_suppkey % 8 + 1] || ' Zhang' || lpad((s_suppkey // 2)::VARCHAR, 9, '0') AS name,
+         CASE WHEN s_suppkey % 10 = 9 THEN '' ELSE n_name END AS school, s_nationkey AS nation
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey
+),
+cand AS (
+  SELECT sup.*, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS work_id,
+         (l_orderkey * 8 + l_linenumber) * 1000000 + (l_partkey * 31 + l_suppkey) % 1000000 AS seq,
+         'Paper ' || (l_orderkey // 2) || '-' || l_suppkey AS title, l_linenumber AS k, l_partkey, l_orderkey, l_returnflag, l_linestatus,
+         CASE l_linenumber WHEN 6 THEN '' WHEN 5 THEN 'NATION_' || ((nation + 1) % 25) WHEN 4 THEN 'Institute of NATION_' || nation ELSE 'NATION_' || nation END AS inst
+  FROM lineitem JOIN sup ON l_suppkey = target_id
+),
+judged AS (
+  SELECT *, school <> '' AND inst <> '' AND NOT contains(inst, school) AND NOT contains(school, inst) AS conflict,
+         CASE WHEN school <> '' AND inst <> '' THEN contains(inst, school) OR contains(school, inst) END AS agree FROM cand
+)"""
+
+
+# --- contact records: customers with their orders as papers -------------------------------------
+def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "customer")
+    n = F.broadcast(load(spark, sf_dir, "nation"))  # 25 nations
+    key = F.col("c_custkey")
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        key.alias("person"),
+        F.col("c_name").alias("name"),
+        F.concat(F.lit(" "), F.col("n_name")).alias("institution"),
+        F.when(key % 12 == 0, F.lit(""))
+        .otherwise(F.concat(F.col("c_mktsegment"), F.lit("学院 "), (key % 3).cast("string"), F.lit("系")))
+        .alias("department"),
+    )
+
+
+def contact_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+
+    def customer(who):
+        return F.concat(F.lit("Customer#"), F.lpad(who.cast("string"), 9, "0"))
+
+    mate = F.when(k % 2 == 0, F.concat(F.lit("Agent "), F.floor(c / 10).cast("string"))).otherwise(
+        F.concat(F.lit("Solo "), k.cast("string"))
+    )
+    direct = F.when(k % 11 == 0, F.array(customer(c + 1))).otherwise(F.array().cast("array<string>"))
+    return o.select(
+        c.alias("person"),
+        k.alias("seq"),
+        F.when(k % 3 == 0, F.concat(F.lit("Shared, "), F.floor(k / 30).cast("string")))
+        .otherwise(F.concat(F.lit("Own "), k.cast("string")))
+        .alias("title"),
+        F.when(k % 5 == 0, F.concat(F.lit("10.5/"), F.floor(k / 40).cast("string"))).alias("doi"),
+        F.lit("").alias("source_url"),
+        F.when(c % 15 == 0, F.array().cast("array<string>"))
+        .otherwise(F.concat(F.array(customer(c), mate), direct))
+        .alias("authors"),
+    )
+
+
+def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short lists of supervisors somebody means to write to, one per order."""
+    o = load(spark, sf_dir, "orders")
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    return o.select(
+        k.alias("group_id"),
+        F.array_distinct(F.array(c, c + 1, c + k % 40)).alias("members"),
+    )
+
+
+CONTACTS = """
+con AS (
+  SELECT c_custkey AS person, lower(c_name) AS own, regexp_replace(lower(n_name), '\\s+', '', 'g') AS inst,
+         CASE WHEN c_custkey % 12 = 0 THEN '' ELSE c_mktsegment || '学院' END AS college
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+),
+pap AS (
+  SELECT o_custkey AS person, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'Shared, ' || (o_orderkey // 30) ELSE 'Own ' || o_orderkey END AS title,
+         CASE WHEN o_orderkey % 3 = 0 THEN 'shared' || (o_orderkey // 30) ELSE 'own' || o_orderkey END AS tkey,
+         CASE WHEN o_orderkey % 5 = 0 THEN '10.5/' || (o_orderkey // 40) END AS dkey,
+         CASE WHEN o_custkey % 15 = 0 THEN [] ELSE list_concat([CASE WHEN o_orderkey % 2 = 0 THEN 'agent' || (o_custkey // 10) ELSE 'solo' || o_orderkey END],
+              CASE WHEN o_orderkey % 11 = 0 THEN ['customer#' || lpad((o_custkey + 1)::VARCHAR, 9, '0')] ELSE [] END) END AS mates
+  FROM orders
+),
+keys AS (SELECT person, seq, title, tkey AS key FROM pap UNION ALL SELECT person, seq, title, dkey FROM pap WHERE dkey IS NOT NULL),
+counts AS (SELECT person, m AS coauthor, count(*) AS n FROM (SELECT person, unnest(mates) AS m FROM pap) GROUP BY ALL),
+sel AS (
+  SELECT o_orderkey AS group_id, m.person, min(m.pos) AS pos FROM orders,
+    LATERAL (VALUES (o_custkey, 1), (o_custkey + 1, 2), (o_custkey + o_orderkey % 40, 3)) AS m(person, pos)
+  WHERE m.person IN (SELECT person FROM con) GROUP BY ALL
+),
+gp AS (SELECT a.group_id, a.person AS left_id, b.person AS right_id FROM sel a JOIN sel b ON a.group_id = b.group_id AND a.pos < b.pos),
+pairs AS (SELECT DISTINCT left_id, right_id FROM gp),
+shared AS (
+  SELECT DISTINCT left_id, right_id, l.seq, l.title FROM pairs JOIN keys l ON l.person = left_id JOIN keys r ON r.person = right_id AND r.key = l.key
+),
+direct AS (
+  SELECT left_id, right_id FROM pairs JOIN con l ON l.person = left_id JOIN con r ON r.person = right_id
+  WHERE EXISTS (SELECT 1 FROM counts c WHERE c.person = left_id AND c.coauthor = r.own) OR EXISTS (SELECT 1 FROM counts c WHERE c.person = right_id AND c.coauthor = l.own)
+),
+steady AS (
+  SELECT left_id, right_id, a.coauthor FROM pairs JOIN counts a ON a.person = left_id AND a.n >= 2 JOIN counts b ON b.person = right_id AND b.n >= 2 AND b.coauthor = a.coauthor
+)"""
