@@ -40,6 +40,14 @@ def literal_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[Se
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")
 
 
+def struct_array(names: Sequence[str], rows: Sequence[Sequence]) -> Column:
+    """Array of structs with the given field names; values are columns or literals."""
+    def field(value, name: str) -> Column:
+        return (value if isinstance(value, Column) else F.lit(value)).alias(name)
+
+    return F.array(*[F.struct(*[field(v, n) for v, n in zip(row, names)]) for row in rows])
+
+
 def keep_first(df: DataFrame, keys: Sequence[str | Column], order: str | Column) -> DataFrame:
     """One row per key: the one with the lowest ``order``.
 
