@@ -92,12 +92,12 @@ def previous_value(
     inner = Window.partitionBy(*keys, "_part").orderBy(order)
     lagged = cut.withColumn("_in", F.lag(F.struct(F.col(value).alias("v"))).over(inner))
     tails = cut.groupBy(*keys, "_part").agg(
-        F.max_by(F.struct(F.col(value).alias("v")), F.col(order)).alias("_tail")
+        F.max_by(F.struct(F.col(value).alias("v")), F.col(order)).alias("_last_v")
     )
     outer = Window.partitionBy(*keys).orderBy("_part")
-    before = tails.select(*keys, "_part", F.lag("_tail").over(outer).alias("_before"))
+    before = tails.select(*keys, "_part", F.lag("_last_v").over(outer).alias("_carried"))
     joined = lagged.join(before, [*keys, "_part"], "left")
-    return joined.withColumn(out, F.coalesce("_in", "_before")["v"]).drop("_part", "_in", "_before")
+    return joined.withColumn(out, F.coalesce("_in", "_carried")["v"]).drop("_part", "_in", "_carried")
 
 
 def running_total(

@@ -296,13 +296,21 @@ def card_link_fields(
     from scholarmatch.operators.catalog import foreign_name
 
     raw = F.regexp_replace("text", r"\s+", "")
-    mail = F.regexp_extract(raw, f"({text.EMAIL})", 1)
-    shaped = links.select("link_id", raw.alias("_all"), mail.alias("email")).where(F.length("_all") >= 2)
-    shaped = shaped.withColumn("_t", F.when(F.col("email") != "", F.replace("_all", F.col("email"), F.lit(""))).otherwise(F.col("_all")))
-    title = F.coalesce(*[F.when(F.col("_t").contains(w), F.lit(w)) for w in titles], F.lit(""))
-    shaped = shaped.withColumn("title", title).withColumn(
-        "_t", F.when(F.col("title") != "", F.replace("_t", F.col("title"), F.lit(""))).otherwise(F.col("_t"))
-    )
+
+    def without(value: Column, part: Column) -> Column:
+        return F.when(part != "", F.replace(value, part, F.lit(""))).otherwise(value)
+
+    def one(df: DataFrame, **columns: Column) -> DataFrame:
+        # a generator of one row: what it yields is computed once, not copied into every later use
+        made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("x")
+        return df.select("link_id", made).select("link_id", "x.*")
+
+    shaped = one(links, _all=raw, email=F.regexp_extract(raw, f"({text.EMAIL})", 1)).where(F.length("_all") >= 2)
+    shaped = one(shaped, email=F.col("email"), _t=without(F.col("_all"), F.col("email")))
+    listed = F.array(*[F.lit(w) for w in titles])
+    title = F.coalesce(F.try_element_at(F.filter(listed, lambda w: F.col("_t").contains(w)), F.lit(1)), F.lit(""))
+    shaped = one(shaped, email=F.col("email"), title=title, _t=F.col("_t"))
+    shaped = one(shaped, email=F.col("email"), title=F.col("title"), _t=without(F.col("_t"), F.col("title")))
     root_pattern = "|".join(roots) if roots else None
 
     def named(c: Column) -> Column:
