@@ -33,19 +33,15 @@ def _named(v):
 
 def conform_openalex(spark, sf):
     d, k = _docs(spark, sf), F.col("seq")
-    words = F.split("text", " ")
-    spots = F.aggregate(  # word -> positions, as the feed ships abstracts
-        F.slice(words, 1, 40),
-        F.struct(F.lit(0).alias("i"), F.create_map().cast("map<string,array<int>>").alias("m")),
-        lambda a, w: F.struct(
-            (a["i"] + 1).alias("i"),
-            F.map_concat(
-                F.map_filter(a["m"], lambda x, _: x != w),
-                F.create_map(w, F.concat(F.coalesce(F.try_element_at(a["m"], w), F.array().cast("array<int>")), F.array(a["i"]))),
-            ).alias("m"),
-        ),
-        lambda a: a["m"],
+    # word -> positions, as the feed ships abstracts
+    spots = (
+        d.select("seq", F.posexplode(F.split("text", " ")).alias("i", "w"))
+        .groupBy("seq", "w")
+        .agg(F.array_sort(F.collect_list("i")).alias("at"))
+        .groupBy("seq")
+        .agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("spots"))
     )
+    d = d.join(spots, "seq")
     field = F.element_at(F.array(F.lit("Computer Science"), F.lit(" Medicine "), F.lit("Unknown"), F.lit("Energy")), (k % 4 + 1).cast("int"))
     inst = F.when(k % 5 == 0, F.array().cast("array<struct<display_name:string>>")).otherwise(
         F.array(_named(F.lit("U1")), _named(F.concat(F.lit("U"), (k % 3).cast("string"))), _named(F.lit("U4")), _named(F.lit("U5")))
@@ -56,7 +52,7 @@ def conform_openalex(spark, sf):
         title=F.when(k % 50 != 0, F.col("title")),
         publication_year=F.when(k % 4 != 0, (2000 + k % 20)),
         cited_by_count=F.col("n_chars"),
-        abstract_inverted_index=F.when(k % 6 != 0, spots),
+        abstract_inverted_index=F.when(k % 6 != 0, F.col("spots")),
         authorships=F.array(
             _st(author=_named(F.concat(F.lit("Ann "), "s")), institutions=inst),
             _st(author=_named(F.lit("")), institutions=inst),
@@ -266,7 +262,7 @@ ORACLES = {
     "conform_openalex": _sel(
         "'W' || k", "t0", "CASE WHEN k % 4 <> 0 THEN 2000 + k % 20 END", "CASE WHEN k % 3 = 0 THEN doi0 END", "source",
         "lang || CASE WHEN k % 2 = 0 THEN '|sub' ELSE '' END || '|' || ['Computer Science', ' Medicine ', 'Unknown', 'Energy'][k % 4 + 1]", "n_chars",
-        "CASE WHEN k % 6 <> 0 THEN array_to_string(string_split(text, ' ')[1:40], ' ') ELSE '' END", _doi_case(3, "'https://openalex.org/W' || k"), "OpenAlex", "'Ann ' || k",
+        "CASE WHEN k % 6 <> 0 THEN text ELSE '' END", _doi_case(3, "'https://openalex.org/W' || k"), "OpenAlex", "'Ann ' || k",
         "CASE WHEN k % 5 = 0 THEN '' WHEN k % 3 = 1 THEN 'U1 / U4 / U5' ELSE 'U1 / U' || (k % 3) || ' / U4' END", "['cs', 'medicine', '', 'engineering'][k % 4 + 1]", "k % 50 <> 0 AND t0 <> ''",
     ),
     "conform_crossref": _sel(

@@ -151,8 +151,8 @@ def retention_totals(spark, sf):
     return ops.retention_totals(retention_audit(spark, sf))
 
 
-def _steps(spark, sf):
-    e = load(spark, sf, "events")
+def steps_of(e):
+    """Trace steps from the events table, at rest or as a stream."""
     k = _k()
     kind = (
         F.when(F.col("event_type") == "view", "llm_decision").when(F.col("event_type").isin("click", "purchase"), "tool_call")
@@ -175,6 +175,10 @@ def _steps(spark, sf):
     )
 
 
+def _steps(spark, sf):
+    return steps_of(load(spark, sf, "events"))
+
+
 def trace_rollup(spark, sf):
     return ops.trace_rollup(_steps(spark, sf))
 

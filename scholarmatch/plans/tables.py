@@ -117,8 +117,8 @@ revs AS (
 
 
 # --- three arrivals per customer for the catalog -----------------------------------------------
-def catalog_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = load(spark, sf_dir, "customer")
+def catalog_batches(spark: SparkSession, sf_dir: str, customers: DataFrame | None = None) -> DataFrame:
+    c = customers if customers is not None else load(spark, sf_dir, "customer")
     n = F.broadcast(load(spark, sf_dir, "nation"))  # 25 nations
     key, k = F.col("c_custkey"), F.col("k")
     s = key.cast("string")
