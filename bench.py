@@ -23,7 +23,7 @@ HEADLINE = (
     "validate_claims", "validate_draft",
     "page_text", "page_links", "cv_facts", "pii_redact",
     "latest_artifact", "run_comparison", "budget_breach", "call_caps", "stage_chain",
-    "conform_openalex", "conform_wanfang", "stream_budget_gate", "stream_trace_windows",
+    "conform_crossref", "conform_dblp", "conform_wanfang", "stream_budget_gate", "stream_trace_windows",
 )
 
 

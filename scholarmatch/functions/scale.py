@@ -62,24 +62,6 @@ def keep_first(df: DataFrame, keys: Sequence[str | Column], order: str | Column)
     return packed.groupBy(*names).agg(F.min_by("_row", "_o").alias("_row")).select("_row.*")
 
 
-def ordered_values(
-    df: DataFrame, keys: Sequence[str], value: str, order: Column, out: str, sep: str | None = None
-) -> DataFrame:
-    """Per key the distinct non-empty values in order of first appearance.
-
-    Repeats collapse before the shuffle, so a hot key sends each value once per task.
-    """
-    firsts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.min(order).alias("_first"))
-    )
-    packed = F.transform(
-        F.array_sort(F.collect_list(F.struct("_first", value))), lambda x: x[value]
-    )
-    return firsts.groupBy(*keys).agg((F.array_join(packed, sep) if sep is not None else packed).alias(out))
-
-
 def previous_value(
     df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, span: int = 1_000_000
 ) -> DataFrame:

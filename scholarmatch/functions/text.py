@@ -12,6 +12,11 @@ from pyspark.sql import types as T
 from scholarmatch.functions import vocab
 
 BLANKS = r"[\s\u00a0\u3000]"
+#: every character that counts as a blank at the ends of a text
+_SPACES = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 CJK_RUN = r"[一-鿿]{2,}"
 
@@ -22,7 +27,7 @@ def _col(value) -> Column:
 
 def strip(value) -> Column:
     """Trim every kind of blank, also the ideographic and the no-break space."""
-    return F.regexp_replace(_col(value), rf"^{BLANKS}+|{BLANKS}+$", "")
+    return F.btrim(_col(value), F.lit(_SPACES))
 
 
 def squeeze(value) -> Column:

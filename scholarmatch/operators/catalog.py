@@ -258,7 +258,7 @@ def browse(catalog: DataFrame, university: str, department: str | None = None) -
 def reviews_for(reviews: DataFrame, advisors: DataFrame) -> DataFrame:
     """Reviews of the given advisors (university, name)."""
     wanted = advisors.select("university", F.col("name").alias("supervisor")).distinct()
-    return reviews.join(small_or_plain(wanted), ["university", "supervisor"])
+    return reviews.join(wanted, ["university", "supervisor"])
 
 
 def roster_names(roster: DataFrame, university: str, department: str | None = None) -> DataFrame:

@@ -27,8 +27,8 @@ def pii_redact(docs: DataFrame, surnames: str = "", name_col: str | None = None)
 
     def mask(df: DataFrame, kind: str, pattern: str) -> DataFrame:
         masked = F.regexp_replace("_t", pattern, vocab.REDACTED[kind].replace("[", r"\[").replace("]", r"\]"))
-        df = df.withColumn(f"_{kind}", F.col("_t").rlike(pattern))
-        return df.withColumn("_t", F.when(F.col(f"_{kind}"), masked).otherwise(F.col("_t")))
+        df = df.withColumn("_m", masked)
+        return df.withColumn(f"_{kind}", F.col("_m") != F.col("_t")).drop("_t").withColumnRenamed("_m", "_t")
 
     for kind, pattern in steps:
         out, _ = mask(out, kind, pattern), found.append(kind)
@@ -65,14 +65,18 @@ def _lines(c: str = "text") -> Column:
     return F.split(F.col(c), _LINE_END)
 
 
+def _cleaned_lines() -> Column:
+    """Non-empty lines without list marks."""
+    return F.filter(
+        F.transform(_lines(), lambda x: text.strip(F.regexp_replace(text.strip(x), r"^[#•·\-— ]+", ""))), lambda x: x != ""
+    )
+
+
 def _section(headings: Sequence[str], boundaries: Sequence[str], at_most: int) -> Column:
-    """First distinct lines under the headings, up to the next known heading."""
+    """First distinct lines of ``_clean`` under the headings, up to the next known heading."""
     def holds(line: Column, words: Sequence[str]) -> Column:
         return F.greatest(*[line.contains(w) for w in words], F.lit(False))
 
-    cleaned = F.filter(
-        F.transform(_lines(), lambda x: text.strip(F.regexp_replace(text.strip(x), r"^[#•·\-— ]+", ""))), lambda x: x != ""
-    )
     start = F.struct(F.lit(False).alias("on"), F.array().cast("array<string>").alias("got"))
 
     def step(acc: Column, line: Column) -> Column:
@@ -87,7 +91,7 @@ def _section(headings: Sequence[str], boundaries: Sequence[str], at_most: int) -
             F.when(takes, F.concat(acc["got"], F.array(line))).otherwise(acc["got"]).alias("got"),
         )
 
-    return F.aggregate(cleaned, start, step, lambda acc: acc["got"])
+    return F.aggregate("_clean", start, step, lambda acc: acc["got"])
 
 
 def section_facts(
@@ -99,7 +103,7 @@ def section_facts(
     """(doc_id, section, pos, line): lines listed under project and publication headings."""
     stops = [*boundaries, *[w for ws in headings.values() for w in ws]]
     listed = struct_array(("section", "lines"), [(k, _section(ws, stops, at_most)) for k, ws in headings.items()])
-    rows = docs.select("doc_id", F.explode(listed).alias("s"))
+    rows = docs.select("doc_id", _cleaned_lines().alias("_clean")).select("doc_id", F.explode(listed).alias("s"))
     return rows.select("doc_id", "s.section", F.posexplode("s.lines").alias("pos", "line"))
 
 
@@ -134,7 +138,8 @@ def cv_facts(
         as_facts("interest", interests),
         *[as_facts(k, _section(ws, stops, 5)) for k, ws in headings.items()],
     ]
-    rows = docs.select("doc_id", F.posexplode(F.concat(*parts)).alias("pos", "x"))
+    read = docs.select("doc_id", "text", _cleaned_lines().alias("_clean"))
+    rows = read.select("doc_id", F.posexplode(F.concat(*parts)).alias("pos", "x"))
     return rows.select(
         "doc_id",
         F.concat(F.lit("fact_"), F.col("pos").cast("string")).alias("fact_id"),

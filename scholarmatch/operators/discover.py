@@ -295,7 +295,6 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = vocab.LE
     freq = (
         parts["left"].select("feature").unionByName(parts["right"].select("feature")).groupBy("feature").count()
     )
-    freq = small_or_plain(freq)
 
     vectors, prefixes = {}, {}
     for side, feats in parts.items():

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from scholarmatch.functions import text, vocab
 from scholarmatch.functions.scale import literal_table
 from scholarmatch.operators import discover, topics
+from scholarmatch.sources.tables import settle
 
 PAIR = ["student_id", "professor_id"]
 SCALARS = ("name", "institution", "department", "title", "email")
@@ -90,8 +91,9 @@ def draftable(facts: DataFrame) -> DataFrame:
 
 def _vocabulary_matches(values: DataFrame, materials: DataFrame, synonyms: Mapping[str, Sequence[str]]) -> DataFrame:
     """(value_key, topic_key) of distinct texts where one holds the other or both are synonyms."""
-    v = values.select("value_key").where(F.col("value_key") != "").distinct()
-    t = materials.select("topic_key").where(F.col("topic_key") != "").distinct()
+    # the distinct texts are looked at several times, once for their number
+    v = settle(values.select("value_key").where(F.col("value_key") != "").distinct(), "student-terms")
+    t = settle(materials.select("topic_key").where(F.col("topic_key") != "").distinct(), "supervisor-topics")
     inside = discover.contains_join(t, v, "topic_key", "value_key").select("value_key", "topic_key")
     around = discover.contains_join(v, t, "value_key", "topic_key").select("value_key", "topic_key")
     out = inside.unionByName(around)

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarmatch.functions import text, vocab
-from scholarmatch.functions.scale import small_or_plain
 
 
 def validate_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """(claim_id, code, evidence_id): unknown evidence, affirmed blocked fields, trends on unconfirmed authors."""
-    known = small_or_plain(evidence.select(F.col("id").alias("evidence_id"), "author_resolution_status").dropDuplicates(["evidence_id"]))
+    known = evidence.select(F.col("id").alias("evidence_id"), "author_resolution_status").dropDuplicates(["evidence_id"])
     refs = claims.select("claim_id", "claim_type", "status", F.explode("evidence_ids").alias("evidence_id"))
     looked = refs.join(known.withColumn("_known", F.lit(True)), "evidence_id", "left")
     unknown = F.col("_known").isNull()
@@ -39,7 +38,7 @@ def surviving_claims(claims: DataFrame, errors: DataFrame) -> DataFrame:
 def _kept_refs(points: DataFrame, column: str, valid: DataFrame, out: str) -> DataFrame:
     """Per point its references that are valid, in order."""
     refs = points.select("point_id", F.posexplode(column).alias("pos", "ref"))
-    good = refs.join(small_or_plain(valid.select(F.col(valid.columns[0]).alias("ref")).distinct()), "ref", "left_semi")
+    good = refs.join(valid.select(F.col(valid.columns[0]).alias("ref")).distinct(), "ref", "left_semi")
     return good.groupBy("point_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "ref"))), lambda x: x["ref"]).alias(out)
     )
@@ -84,7 +83,7 @@ def _judged(sentences: DataFrame, facts: DataFrame, evidence: DataFrame) -> Data
     """Sentences with the number of references they have and the number that are valid."""
     def valid_count(column: str, valid: DataFrame, out: str) -> DataFrame:
         refs = sentences.select("draft_id", "idx", F.explode(column).alias("ref"))
-        good = refs.join(small_or_plain(valid.select(F.col(valid.columns[0]).alias("ref")).distinct()), "ref", "left_semi")
+        good = refs.join(valid.select(F.col(valid.columns[0]).alias("ref")).distinct(), "ref", "left_semi")
         return good.groupBy("draft_id", "idx").agg(F.count("*").alias(out))
 
     return (

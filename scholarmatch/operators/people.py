@@ -25,7 +25,7 @@ def _latin_keys_of_target(tokens: Column, joined: Column) -> Column:
     """Every block key under which a matching author must be found.
 
     Two designated tokens (the two longest) each occur in full or as an initial; a joined name is
-    found whole, and from eight characters on also by its first eight inside a longer one.
+    found whole. A long joined name inside a longer one is found by its rarest stretch instead.
     """
     by_length = F.array_sort(
         F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))
@@ -41,10 +41,24 @@ def _latin_keys_of_target(tokens: Column, joined: Column) -> Column:
     pairs = F.flatten(F.transform(forms(a), lambda x: F.transform(forms(b), lambda y: pair_key(x, y))))
     single = F.transform(forms(a), lambda x: F.concat(F.lit("1:"), x))
     whole = F.array(F.concat(F.lit("n:"), joined))
-    inside = F.when(
-        F.length(joined) >= 8, F.array(F.concat(F.lit("g:"), F.substring(joined, 1, 8)))
+    return F.array_distinct(F.concat(F.when(F.size(tokens) >= 2, pairs).otherwise(single), whole))
+
+
+def _grams(joined: Column) -> Column:
+    """The eight-character stretches of a joined name that is at least that long."""
+    return F.when(
+        F.length(joined) >= 8,
+        F.transform(F.sequence(F.lit(1), F.length(joined) - 7), lambda i: F.concat(F.lit("g:"), F.substring(joined, i, 8))),
     ).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.when(F.size(tokens) >= 2, pairs).otherwise(single), whole, inside))
+
+
+def _rarest_gram(targets: DataFrame) -> DataFrame:
+    """(target_name, key): of a name's stretches the one fewest targets share, so that a usual given name is no block."""
+    grams = targets.select("target_name", F.explode(F.array_distinct(_grams(F.col("t_joined")))).alias("key"))
+    shared = grams.groupBy("key").agg(F.count("*").alias("n"))
+    return grams.join(shared, "key").groupBy("target_name").agg(F.min(F.struct("n", "key")).alias("g")).select(
+        "target_name", F.col("g.key").alias("key")
+    )
 
 
 def _latin_keys_of_author(tokens: Column, joined: Column) -> Column:
@@ -60,13 +74,7 @@ def _latin_keys_of_author(tokens: Column, joined: Column) -> Column:
     )
     single = F.transform(tokens, lambda t: F.concat(F.lit("1:"), t))
     whole = F.array(F.concat(F.lit("n:"), joined))
-    grams = F.when(
-        F.length(joined) >= 8,
-        F.transform(
-            F.sequence(F.lit(1), F.length(joined) - 7), lambda i: F.concat(F.lit("g:"), F.substring(joined, i, 8))
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(pairs, single, whole, grams))
+    return F.array_distinct(F.concat(pairs, single, whole, _grams(joined)))
 
 
 def _tokens_fit(wanted: Column, given: Column) -> Column:
@@ -120,11 +128,13 @@ def name_matches(entries: DataFrame, names: DataFrame) -> DataFrame:
         distinct.select("entry", F.explode(_people(F.col("entry"))).alias("person")), "person", "a"
     ).drop("person")
     left = single.withColumn("key", F.explode(_latin_keys_of_author(F.col("a_tokens"), F.col("a_joined"))))
-    right = latin_targets.withColumn("key", F.explode(_latin_keys_of_target(F.col("t_tokens"), F.col("t_joined"))))
+    keyed = latin_targets.withColumn("key", F.explode(_latin_keys_of_target(F.col("t_tokens"), F.col("t_joined"))))
+    inside = latin_targets.join(_rarest_gram(latin_targets), "target_name")
+    right = keyed.unionByName(inside)
     fits = (
-        (F.col("a_joined") == F.col("t_joined"))
-        | ((F.length("t_joined") >= 8) & F.col("a_joined").contains(F.col("t_joined")))
-        | _tokens_fit(F.col("t_tokens"), F.col("a_tokens"))
+        F.when(F.col("key").startswith("n:"), F.lit(True))
+        .when(F.col("key").startswith("g:"), F.col("a_joined").contains(F.col("t_joined")))
+        .otherwise(_tokens_fit(F.col("t_tokens"), F.col("a_tokens")))
     )
     latin = left.join(right, "key").where(fits).select("entry", "target_name")
     return han.unionByName(latin).distinct()

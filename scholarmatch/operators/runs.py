@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarmatch.functions import text, vocab
-from scholarmatch.functions.scale import previous_value, running_total, small_or_plain
+from scholarmatch.functions.scale import previous_value, running_total
 
 LIMITS = {
     "MAX_STEPS": 5,
@@ -287,7 +287,7 @@ def budget_breach(
     end = F.col("first_ts") + F.make_dt_interval(secs=F.lit(float(limits["MAX_WALL_TIME"])))
     wall = (
         steps.select("run_id", "idx", "ts")
-        .join(small_or_plain(started), "run_id")
+        .join(started, "run_id")
         .where(F.col("ts") >= end)
         .groupBy("run_id")
         .agg(F.min("idx").alias("MAX_WALL_TIME"))

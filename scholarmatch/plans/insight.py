@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from scholarmatch.functions.scale import struct_array
 from scholarmatch.operators import fit, grounding, topics
 from scholarmatch.plans.tables import load
+from scholarmatch.sources.tables import settle
 
 REF_YEAR = 2001
 KEYWORDS = {
@@ -176,8 +177,8 @@ def semantic_fallback(spark, sf):
 
 def _report(spark, sf, words=WORDS):
     r, f, p, m = _inputs(spark, sf, words)
-    hits = fit.term_matches(r, f, m, SYNONYMS)
-    near = fit.semantic_fallback(r, f, m, hits)
+    hits = settle(fit.term_matches(r, f, m, SYNONYMS), "term-matches")
+    near = settle(fit.semantic_fallback(r, f, m, hits), "near-terms")
     return fit.match_report(r, f, p, m, hits, near), m, hits, near
 
 

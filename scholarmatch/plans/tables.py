@@ -6,8 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_KEYS = {
+    "customer": ("c_custkey",),
+    "part": ("p_partkey",),
+    "orders": ("o_orderkey",),
+    "lineitem": ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+    "events": ("event_id",),
+    "documents": ("doc_id",),
+    "embeddings": ("vec_id",),
+    "pages": ("page_id",),
+    "conversations": ("conv_id", "turn"),
+}
+_TASK_BYTES = 16 << 20
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. A file with one row group scans as one task whatever the cores: while the whole
+    table is smaller than a few megabytes per core it is dealt out by its key; a large table is not touched.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in _KEYS:
+        cores = spark.sparkContext.defaultParallelism
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size < cores * _TASK_BYTES:
+            return df.repartition(cores, *_KEYS[name])
+    return df
 
 
 # --- catalog of advisors: one per part ---------------------------------------------------------

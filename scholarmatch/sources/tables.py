@@ -64,3 +64,10 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder in the checkpoint location all executors share."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the shared folder and read back, for results several steps go on from."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
