@@ -366,7 +366,7 @@ def vector_recall(
     else:
         blocks = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
         dealt = asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        visiting = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        visiting = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         scored = (
             visiting.join(dealt, "_b")
             .select("query_id", "vec_id", dense_cosine("query_vec", "embedding").alias("cosine"))
