@@ -151,10 +151,10 @@ def _materials(spark, sf):
 
 
 def _requests(spark, sf):
-    """Who asks about whom: every customer about the parts they ordered."""
+    """Who asks about whom: the customer of every order about one part of it."""
     o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("student_id"))
-    line = load(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("professor_id"))
-    return line.join(o, "l_orderkey").select("student_id", "professor_id").distinct()
+    asked = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("professor_id"))
+    return asked.join(o, "l_orderkey").select("student_id", "professor_id").distinct()
 
 
 SYNONYMS = {"jade": ("hot", "stone"), "onyx": ("stone",), "zinc": ("metal",)}
@@ -216,7 +216,7 @@ def template_draft(spark, sf):
 def fit_end_to_end(spark, sf):
     """Requests through matching, drafting, checking and pruning; one row per request."""
     r, f, p, m = _inputs(spark, sf)
-    report, _, _, _ = _report(spark, sf)
+    report, *_ = _report(spark, sf)
     draft = _draft(spark, sf, paper_read=True).select(
         F.concat_ws("-", "student_id", "professor_id").alias("draft_id"),
         "idx",
@@ -228,7 +228,9 @@ def fit_end_to_end(spark, sf):
         F.when(F.col("sentence_type") == "PROFESSOR_FACT", F.col("refs")).otherwise(F.array().cast("array<string>")).alias("evidence_ids"),
     )
     confirmed = fit.draftable(f).select(F.concat_ws(":", "student_id", "fact_id").alias("fact_id"))
-    evidence = m.select(F.col("evidence_id").alias("id")).distinct()
+    # the papers of every third supervisor are not in the ledger
+    kept_out = F.col("evidence_id").startswith("ev_w") & (F.col("professor_id") % 3 == 0)
+    evidence = m.where(~kept_out).select(F.col("evidence_id").alias("id")).distinct()
     errors = grounding.validate_draft(draft, confirmed, evidence, paper_read=False)
     kept = grounding.prune_draft(draft, errors)
     sizes = kept.groupBy("draft_id").agg(F.count("*").alias("sentences"))
@@ -313,7 +315,7 @@ mats AS (
            unnest(['ev_p' || p_partkey, 'ev_p' || p_partkey, 'ev_p' || p_partkey, 'ev_w' || p_partkey, 'ev_w' || p_partkey]) AS evidence_id
     FROM part WHERE p_size % 13 <> 0) WHERE topic IS NOT NULL
 ),
-req AS (SELECT DISTINCT o_custkey AS student_id, l_partkey AS professor_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+req AS (SELECT DISTINCT o_custkey AS student_id, p AS professor_id FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS p FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
 syn(a, b) AS (VALUES ('jade','hot'),('hot','jade'),('jade','stone'),('stone','jade'),('onyx','stone'),('stone','onyx'),('jade','onyx'),('onyx','jade'),('zinc','metal'),('metal','zinc')),
 terms AS (SELECT student_id, fact_id, field, value FROM facts WHERE ok AND field IN ('skill', 'interest')),
 vm AS (
@@ -359,6 +361,28 @@ rep AS (
 
 
 _FIT = _fit_cte()
+_DRAFT = """
+own AS (SELECT student_id, field, string_agg(value, '、' ORDER BY fact_id) AS vs, string_agg(fact_id, ',' ORDER BY fact_id) AS ids FROM terms GROUP BY ALL),
+t3 AS (SELECT professor_id, string_agg(topic, '、' ORDER BY pos) AS ts, string_agg(evidence_id, ',' ORDER BY pos) AS ids FROM mats WHERE kind IN ('declared', 'observed') GROUP BY 1),
+p3 AS (SELECT professor_id, topic AS title, evidence_id AS ids FROM mats WHERE kind = 'text'),
+sl AS (
+  SELECT student_id, professor_id, 0 AS slot, '尊敬的Prof ' || professor_id || '老师，您好！' AS text, 'GENERIC' AS sentence_type, '' AS refs FROM req
+  UNION ALL SELECT student_id, professor_id, 1, '我是' || student_id || '，想了解您的研究方向与招生安排。', 'GENERIC', '' FROM req
+  UNION ALL SELECT student_id, professor_id, 2, '我掌握的技能包括' || vs || '。', 'STUDENT_FACT', ids FROM req JOIN own USING (student_id) WHERE field = 'skill'
+  UNION ALL SELECT student_id, professor_id, 3, '我的研究兴趣包括' || vs || '。', 'STUDENT_FACT', ids FROM req JOIN own USING (student_id) WHERE field = 'interest'
+  UNION ALL SELECT student_id, professor_id, 4, '如果有机会进一步参与课题，我愿意从论文复现、实验整理和工程实现等具体工作做起。', 'GENERIC', '' FROM req WHERE student_id IN (SELECT student_id FROM own)
+  UNION ALL SELECT student_id, professor_id, 5, '了解到您的公开研究涉及' || ts || '。', 'PROFESSOR_FACT', ids FROM req JOIN t3 USING (professor_id)
+  UNION ALL SELECT student_id, professor_id, 6, '您近年发表了《' || title || '》等成果。', 'PROFESSOR_FACT', ids FROM req JOIN p3 USING (professor_id)
+  UNION ALL SELECT student_id, professor_id, 8, '想请教您近期是否有相关研究或招生安排，感谢您的时间。', 'GENERIC', '' FROM req
+  UNION ALL SELECT student_id, professor_id, 9, student_id::VARCHAR, 'GENERIC', '' FROM req
+),
+dr AS (SELECT student_id, professor_id, row_number() OVER (PARTITION BY student_id, professor_id ORDER BY slot) - 1 AS idx, text, sentence_type, refs FROM sl),
+gp AS (
+  SELECT DISTINCT r.student_id, r.professor_id, m.topic FROM rep r JOIN mats m USING (professor_id) WHERE recommendation <> 'INSUFFICIENT_EVIDENCE' AND kind IN ('declared', 'observed')
+  AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.student_id = r.student_id AND h.professor_id = r.professor_id AND h.topic = m.topic)
+  AND NOT EXISTS (SELECT 1 FROM near h WHERE h.student_id = r.student_id AND h.professor_id = r.professor_id AND h.topic = m.topic)
+)"""
+_LABELS = "{'STRONG': '强交集', 'PARTIAL': '部分交集', 'WEAK': '交集较少', 'UNKNOWN': '证据不足', 'WORTH_CONTACTING': '值得进一步联系', 'LEARN_MORE': '先补充了解', 'LOW_PRIORITY': '当前优先级较低', 'INSUFFICIENT_EVIDENCE': '暂无法建议'}"
 _GUESS = ", ".join(
     f"""({i}, '{d}', {' + '.join(f"contains(text, '{w}')::INT" for w in ws)})"""
     for i, (d, ws) in enumerate([("cs", KEYWORDS["cs"]), ("medicine", KEYWORDS["medicine"]), ("physics", KEYWORDS["physics"]), ("economics", KEYWORDS["economics"])])
@@ -388,6 +412,22 @@ unnest([name, institution, department, title, email]) AS value, 'ev_' || person
 WHERE recommendation <> 'INSUFFICIENT_EVIDENCE' AND kind IN ('declared', 'observed')
 AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.student_id = r.student_id AND h.professor_id = r.professor_id AND h.topic = m.topic)
 AND NOT EXISTS (SELECT 1 FROM near h WHERE h.student_id = r.student_id AND h.professor_id = r.professor_id AND h.topic = m.topic)""",
+    "template_draft": f"WITH {_FIT}, {_DRAFT} SELECT * FROM dr",
+    "fit_end_to_end": f"""WITH {_FIT}, {_DRAFT},
+n AS (SELECT student_id, professor_id, count(*) AS n FROM dr GROUP BY ALL)
+SELECT r.student_id, r.professor_id, research_fit, recommendation,
+       n + CASE WHEN p3.professor_id IS NULL THEN 0 WHEN r.professor_id % 3 = 0 THEN -1 ELSE 1 END AS sentences,
+       CASE WHEN p3.professor_id IS NOT NULL AND r.professor_id % 3 = 0 THEN 2 ELSE 0 END AS removed
+FROM rep r JOIN n ON n.student_id = r.student_id AND n.professor_id = r.professor_id LEFT JOIN p3 ON p3.professor_id = r.professor_id""",
+    "run_report_export": f"""WITH {_FIT}, {_DRAFT}, lb AS (SELECT MAP {_LABELS} AS m),
+ru AS (SELECT *, student_id || '-' || professor_id AS run_id FROM rep),
+st AS (
+  SELECT run_id, unnest(['1', '2', '3', '4']) AS p, unnest(['研究匹配', '建议', '交集', '待询问']) AS k, unnest([m[research_fit], m[recommendation], topic_summary, question]) AS v FROM ru, lb
+)
+SELECT run_id, unnest([0, 1, 2, 3, 4]) AS section, '' AS pos, unnest(['# 导师研究报告', '## 匹配分析', '## 缺口', '## 证据来源', '## 邮件草稿']) AS markdown, NULL AS json FROM ru
+UNION ALL SELECT run_id, 1, p, '- ' || k || '：' || v, to_json({{'run_id': run_id, 'kind': 'match', 'value': {{'k': k, 'v': v}}}})::VARCHAR FROM st
+UNION ALL SELECT student_id || '-' || professor_id, 2, topic, '- ' || topic, to_json({{'run_id': student_id || '-' || professor_id, 'kind': 'gap', 'value': topic}})::VARCHAR FROM gp
+UNION ALL SELECT student_id || '-' || professor_id, 4, lpad(idx::VARCHAR, 4, '0'), '- ' || text, to_json({{'run_id': student_id || '-' || professor_id, 'kind': 'sentence', 'value': {{'idx': idx, 'text': text}}}})::VARCHAR FROM dr""",
     "match_invariants": """SELECT 'match.determinism' AS key, 1.0::DOUBLE AS value, true AS higher_is_better, 1.0::DOUBLE AS gate
 UNION ALL SELECT 'match.monotonic', 1.0, true, 1.0""",
 }

@@ -82,12 +82,15 @@ if __name__ == "__main__":
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
+    from scholarmatch.plans import all_oracles
+
     module = import_module(f"scholarmatch.plans.{sys.argv[1]}")
     names = sys.argv[2:] or list(module.QUERIES)
+    oracles = all_oracles()
     bad = 0
     for name in names:
         try:
-            ok, note, secs = run_pair(spark, sf_dir, module.QUERIES[name], module.ORACLES.get(name), con)
+            ok, note, secs = run_pair(spark, sf_dir, module.QUERIES[name], oracles.get(name), con)
         except Exception as exc:  # noqa: BLE001
             ok, note, secs = False, f"{type(exc).__name__}: {str(exc)[:1500]}", 0
         bad += not ok
