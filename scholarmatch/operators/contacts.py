@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholarmatch.functions import text
+from scholarmatch.sources.tables import settle
 
 
 def selected_pairs(selections: DataFrame, contacts: DataFrame) -> DataFrame:
@@ -50,6 +51,7 @@ def coauthor_counts(papers: DataFrame, contacts: DataFrame) -> DataFrame:
 
 def _meet(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
     """(left_id, right_id, value) for values both people of a pair have, from the shorter list."""
+    values = settle(values, "contact-values")  # counted, listed and looked up
     sizes = values.groupBy("person").agg(F.count("*").alias("n"))
     sized = pairs.join(sizes.select(F.col("person").alias("left_id"), F.col("n").alias("nl")), "left_id").join(
         sizes.select(F.col("person").alias("right_id"), F.col("n").alias("nr")), "right_id"
@@ -111,8 +113,8 @@ def _first_few(rows: DataFrame, value: str, order: str, n: int, out: str) -> Dat
 
 def collision_level(pairs: DataFrame, contacts: DataFrame, papers: DataFrame) -> DataFrame:
     """(left_id, right_id, level, evidence) for every distinct selected pair."""
-    counts = coauthor_counts(papers, contacts)
-    p = _distinct_pairs(pairs)
+    counts = settle(coauthor_counts(papers, contacts), "coauthors")
+    p = settle(_distinct_pairs(pairs), "selected-pairs")
     shared = _first_few(shared_papers(p, papers), "title", "seq", 3, "shared")
     direct = direct_coauthors(p, counts, contacts).withColumn("direct", F.lit(True))
     steady = _first_few(stable_overlap(p, counts), "coauthor", "coauthor", 5, "steady")
@@ -164,7 +166,7 @@ def collision_level(pairs: DataFrame, contacts: DataFrame, papers: DataFrame) ->
 
 def group_assessment(selections: DataFrame, contacts: DataFrame, papers: DataFrame) -> DataFrame:
     """(group_id, n_members, level, n_high, repeated_colleges) of each selection."""
-    pairs = selected_pairs(selections, contacts)
+    pairs = settle(selected_pairs(selections, contacts), "group-pairs")
     judged = collision_level(pairs, contacts, papers)
     per_pair = pairs.join(judged, ["left_id", "right_id"], "left")
     sums = per_pair.groupBy("group_id").agg(

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from scholarmatch.functions import text
 from scholarmatch.functions.scale import keep_first
+from scholarmatch.sources.tables import settle
 
 _LISTS = ("topics", "disciplines")
 
@@ -67,12 +68,16 @@ def paper_groups(keyed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.min(F.when(F.col("year").isNotNull(), F.struct("seq", "year"))).alias("dated"),
     )
     two = _first_two(narrow, [*by, "class_key"]).select(*by, "class_key", F.col("second").alias("second_seq"))
-    classes = classes.join(two, [*by, "class_key"]).withColumns(
-        {
-            "t": F.col("first.title_key"),
-            "y": F.coalesce(F.col("first.year").cast("string"), F.lit("?")),
-        }
+    classes = classes.join(two, [*by, "class_key"]).select(
+        *by,
+        "class_key",
+        "first_seq",
+        "second_seq",
+        "dated",
+        F.col("first.title_key").alias("t"),
+        F.coalesce(F.col("first.year").cast("string"), F.lit("?")).alias("y"),
     )
+    classes = settle(classes, "paper-classes")  # one narrow row per class; read for the titles and for the placing
 
     years = (
         classes.where("t <> ''")

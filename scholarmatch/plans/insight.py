@@ -193,6 +193,7 @@ def topic_gaps(spark, sf):
 def match_invariants(spark, sf):
     """Run twice on the same students, then with words no supervisor uses."""
     first, m, hits, near = _report(spark, sf)
+    first = settle(first, "reports")
     second, *_ = _report(spark, sf)
     other = tuple(f"unrelated{i}" for i in range(len(WORDS)))
     return fit.match_invariants(
@@ -227,11 +228,12 @@ def fit_end_to_end(spark, sf):
         .alias("fact_ids"),
         F.when(F.col("sentence_type") == "PROFESSOR_FACT", F.col("refs")).otherwise(F.array().cast("array<string>")).alias("evidence_ids"),
     )
+    draft = settle(draft, "drafts")
     confirmed = fit.draftable(f).select(F.concat_ws(":", "student_id", "fact_id").alias("fact_id"))
     # the papers of every third supervisor are not in the ledger
     kept_out = F.col("evidence_id").startswith("ev_w") & (F.col("professor_id") % 3 == 0)
     evidence = m.where(~kept_out).select(F.col("evidence_id").alias("id")).distinct()
-    errors = grounding.validate_draft(draft, confirmed, evidence, paper_read=False)
+    errors = settle(grounding.validate_draft(draft, confirmed, evidence, paper_read=False), "draft-errors")
     kept = grounding.prune_draft(draft, errors)
     sizes = kept.groupBy("draft_id").agg(F.count("*").alias("sentences"))
     removed = errors.select("draft_id", "idx").distinct().groupBy("draft_id").agg(F.count("*").alias("removed"))
@@ -251,7 +253,7 @@ def run_report_export(spark, sf):
     from scholarmatch.sources import export
 
     report, m, hits, near = _report(spark, sf)
-    draft = _draft(spark, sf)
+    report, draft = settle(report, "reports"), _draft(spark, sf)
     return export.report_lines(
         report.withColumn("run_id", F.concat_ws("-", "student_id", "professor_id")),
         fit.topic_gaps(report, m, hits, near).withColumn("run_id", F.concat_ws("-", "student_id", "professor_id")),
