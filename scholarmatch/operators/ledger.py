@@ -105,7 +105,8 @@ def source_coverage(
 ) -> DataFrame:
     """(target_id, source, discipline, status, n, rank): which feeds a target's search covers, and what came of it.
 
-    A target without a stated discipline takes the dominant one of its works, if enough of them agree.
+    A target's discipline is the stated one, else ``guessed_discipline`` if that column is given, else the
+    dominant one of its works if enough of them agree.
     """
     from scholarmatch.operators.topics import dominant_discipline
 
@@ -115,12 +116,13 @@ def source_coverage(
     counts = works.groupBy("target_id", F.col("source_platform").alias("source")).agg(F.count("*").alias("n"))
     enough = works.groupBy("target_id").agg((F.count("*") >= min_works).alias("_enough"))
     stated = F.when(F.col("stated_discipline").isin(list(vocab.DISCIPLINES)), F.col("stated_discipline"))
+    guessed = F.col("guessed_discipline") if "guessed_discipline" in targets.columns else F.lit(None).cast("string")
     asked = (
         targets.join(learned, "target_id", "left")
         .join(enough, "target_id", "left")
         .select(
             "target_id",
-            F.coalesce(stated, F.when(F.col("_enough"), F.col("discipline")), F.lit("general")).alias("discipline"),
+            F.coalesce(stated, guessed, F.when(F.col("_enough"), F.col("discipline")), F.lit("general")).alias("discipline"),
         )
     )
 

@@ -124,9 +124,9 @@ def name_matches(entries: DataFrame, names: DataFrame) -> DataFrame:
     latin_targets = folded(shaped.where(F.size("t_runs") == 0).drop("t_runs"), "target_name", "t").where(
         F.size("t_tokens") > 0
     )
-    single = folded(
-        distinct.select("entry", F.explode(_people(F.col("entry"))).alias("person")), "person", "a"
-    ).drop("person")
+    # the same person stands in many entries: people are matched once, then found in their entries
+    listed = distinct.select("entry", F.explode(F.array_distinct(_people(F.col("entry")))).alias("person"))
+    single = folded(listed.select("person").distinct(), "person", "a")
     left = single.withColumn("key", F.explode(_latin_keys_of_author(F.col("a_tokens"), F.col("a_joined"))))
     keyed = latin_targets.withColumn("key", F.explode(_latin_keys_of_target(F.col("t_tokens"), F.col("t_joined"))))
     inside = latin_targets.join(_rarest_gram(latin_targets), "target_name")
@@ -136,7 +136,8 @@ def name_matches(entries: DataFrame, names: DataFrame) -> DataFrame:
         .when(F.col("key").startswith("g:"), F.col("a_joined").contains(F.col("t_joined")))
         .otherwise(_tokens_fit(F.col("t_tokens"), F.col("a_tokens")))
     )
-    latin = left.join(right, "key").where(fits).select("entry", "target_name")
+    found = left.join(right, "key").where(fits).select("person", "target_name").distinct()
+    latin = listed.join(found, "person").select("entry", "target_name")
     return han.unionByName(latin).distinct()
 
 
@@ -271,6 +272,15 @@ def pick_author(entities: DataFrame, targets: DataFrame) -> DataFrame:
     return best.select("target_id", F.col("b.id").alias("author_id"), (-F.col("b.t")).alias("tier"))
 
 
+def pick_first_author(entities: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target_id, author_id): the first search hit whose institution holds, or is held by, the target's; any hit without a school."""
+    rows = _with_target(entities, targets, "institution")
+    school = F.lower(F.coalesce("target_institution", F.lit("")))
+    own = F.lower(F.coalesce(F.try_element_at("institutions", F.lit(1)), F.lit("")))
+    fits = (school == "") | text.contains_either(own, school)
+    return rows.where(fits).groupBy("target_id").agg(F.min_by("id", "seq").alias("author_id"))
+
+
 # --- homonyms ----------------------------------------------------------------------------------
 _OTHER_SCHOOL = "机构与填写学校不同（"
 _FORMER = "），可能为曾任职单位"

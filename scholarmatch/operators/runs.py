@@ -35,6 +35,17 @@ def latest_artifact(artifacts: DataFrame) -> DataFrame:
     return rows.groupBy("run_id", "kind").agg(F.max_by("payload", F.struct("created_at", "seq")).alias("payload"))
 
 
+def run_views(artifacts: DataFrame, required: Sequence[str], optional: Sequence[str] = ()) -> DataFrame:
+    """(run_id, one payload column per kind) of runs that have every required kind, newest payloads."""
+    def newest(kind: str) -> Column:
+        return F.max_by("payload", F.when(F.col("kind") == kind, F.struct("created_at", "seq"))).alias(kind)
+
+    rows = current_artifacts(artifacts).groupBy("run_id").agg(*[newest(k) for k in (*required, *optional)])
+    for kind in required:
+        rows = rows.where(F.col(kind).isNotNull())
+    return rows
+
+
 def runs_by_json_field(artifacts: DataFrame, kind: str, field: str, value) -> DataFrame:
     """(run_id) of runs with an artifact of the kind whose field equals the value, type included; bad JSON is skipped."""
     node = F.try_variant_get(F.try_parse_json("payload"), f"$.{field}", "variant")
@@ -72,16 +83,10 @@ _ANALYSIS = f"research_intersection {_POINTS}, method_match {_POINTS}, backgroun
 
 def run_comparison(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Completed runs with a profile and a match, as display rows with labels and fallbacks."""
-    def newest(kind: str, out: str) -> Column:
-        when = F.when(F.col("kind") == kind, F.struct("created_at", "seq"))
-        return F.max_by("payload", when).alias(out)
-
-    latest = current_artifacts(artifacts).groupBy("run_id").agg(
-        newest("professor_profile", "p"), newest("match", "m"), newest("deep_analysis", "d")
-    )
+    latest = run_views(artifacts, ("professor_profile", "match"), ("deep_analysis",)).toDF("run_id", "p", "m", "d")
     rows = (
         runs.where("status = 'COMPLETED'")
-        .join(latest.where("p IS NOT NULL AND m IS NOT NULL"), "run_id")
+        .join(latest, "run_id")
         .withColumns({"p": F.from_json("p", _PROFILE), "m": F.from_json("m", _MATCH), "d": F.from_json("d", _ANALYSIS)})
     )
 

@@ -130,6 +130,13 @@ def delete_by_rule_samples(spark, sf):
     return ops.delete_by_rule(_catalog(spark, sf), _reject)[2]
 
 
+def delete_keys(spark, sf):
+    """Rows of customers with a finished urgent order are taken out by key."""
+    o = load(spark, sf, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
+    gone = tables.catalog_batches(spark, sf).join(o.select(F.col("o_custkey").alias("custkey")), "custkey", "left_semi")
+    return ops.delete_keys(_catalog(spark, sf), gone).select(*ops.KEY)
+
+
 def lookup_advisor(spark, sf):
     o = load(spark, sf, "orders")
     requests = o.select(
@@ -257,7 +264,7 @@ def field_report_summary(spark, sf):
 _NAMES = (
     "load_roster load_reviews catalog_upsert roster_upsert roster_reload clear_source clear_source_count "
     "clear_roster_official normalize_names normalize_names_counts delete_by_rule delete_by_rule_count "
-    "delete_by_rule_samples lookup_advisor lookup_identity_key browse browse_reviews browse_roster_names "
+    "delete_by_rule_samples delete_keys lookup_advisor lookup_identity_key browse browse_reviews browse_roster_names "
     "facet_counts facet_departments field_fill_rates source_breakdown completeness roster_stats roster_summary "
     "top_universities library_quality name_quality field_report field_report_summary"
 ).split()
@@ -347,6 +354,8 @@ SELECT sum((NOT has)::INT) AS renamed, sum(n - 1) AS merged FROM g""",
     "delete_by_rule_count": f"WITH {_CAT}, {_VERDICT} SELECT count(*) AS removed FROM named WHERE verdict = 'delete'",
     "delete_by_rule_samples": f"""WITH {_CAT}, {_VERDICT} SELECT university, department, name, sources FROM named JOIN cat USING (university, department, name)
 WHERE verdict = 'delete' ORDER BY university, department, name LIMIT 20""",
+    "delete_keys": f"""WITH {_CAT} SELECT university, department, name FROM cat WHERE (university, department, name) NOT IN (
+SELECT (university, department, name) FROM batches WHERE custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'))""",
     "lookup_advisor": f"""WITH {_CAT},
 fac AS (SELECT n_name AS university, 'FACULTY' AS department, 'Supplier' || s_suppkey AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 req AS (SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 10 = 0 THEN 'Supplier' || (o_custkey % 100) ELSE 'Name' || (o_custkey // 2) END AS asked,

@@ -162,6 +162,11 @@ def metric_gates(spark, sf):
     return evaluate.metric_gates(metrics).withColumn("value", F.round("value", 6))
 
 
+def gates_passed(spark, sf):
+    metrics = evaluate.disambiguation_metrics(_scores(spark, sf)).unionByName(_claim_metrics(spark, sf))
+    return evaluate.gates_passed(evaluate.metric_gates(metrics))
+
+
 def baseline_compare(spark, sf):
     """The claim and paper metrics against those of one source only, as the earlier snapshot."""
     now = evaluate.disambiguation_metrics(_scores(spark, sf)).unionByName(_claim_metrics(spark, sf))
@@ -172,7 +177,7 @@ def baseline_compare(spark, sf):
 
 _NAMES = (
     "validate_claims surviving_claims sanitize_points sanitize_summaries validate_draft draft_coverage prune_draft "
-    "disambig_eval disambig_eval_cases claim_eval metric_gates baseline_compare"
+    "disambig_eval disambig_eval_cases claim_eval metric_gates gates_passed baseline_compare"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -255,6 +260,7 @@ round(coalesce(avg((len(f) > 0 AND NOT badf)::INT) FILTER (kind = 'STUDENT_FACT'
     "disambig_eval_cases": f"WITH {_SC} {_prf('sc', 'case_id,')}",
     "claim_eval": f"""WITH {_CL}, {_SC}, {_MET} SELECT key, round(value, 6) AS value, higher_is_better, gate FROM met WHERE key LIKE 'claims%'""",
     "metric_gates": f"""WITH {_CL}, {_SC}, {_MET} SELECT key, round(value, 6) AS value, higher_is_better, gate, gate IS NULL OR value >= gate AS passed FROM met""",
+    "gates_passed": f"WITH {_CL}, {_SC}, {_MET} SELECT bool_and(gate IS NULL OR value >= gate) AS gates_passed FROM met",
     "baseline_compare": f"""WITH {_CL}, {_SC}, {_MET},
 b AS (SELECT 'disambig.precision' AS key, precision AS before FROM prf1 UNION ALL SELECT 'disambig.recall', recall FROM prf1 UNION ALL SELECT 'disambig.f1', f1 FROM prf1)
 SELECT key, round(before, 6) AS before, round(value, 6) AS after, round(value - before, 6) AS delta, coalesce(value - before < 0 AND abs(value - before) >= 1e-9, false) AS regressed, before IS NULL AS "new"

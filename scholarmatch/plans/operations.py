@@ -51,6 +51,10 @@ def latest_artifact(spark, sf):
     return ops.latest_artifact(_artifacts(spark, sf))
 
 
+def run_views(spark, sf):
+    return ops.run_views(_artifacts(spark, sf), ("view", "click", "signup"), ("purchase",))
+
+
 def runs_by_json_field(spark, sf):
     return ops.runs_by_json_field(_artifacts(spark, sf), "view", "k", 7)
 
@@ -226,7 +230,7 @@ def delete_run(spark, sf):
 
 
 _NAMES = (
-    "latest_artifact runs_by_json_field visible_runs run_comparison archive_page archive_facets duplicate_archive retention_audit "
+    "latest_artifact run_views runs_by_json_field visible_runs run_comparison archive_page archive_facets duplicate_archive retention_audit "
     "retention_totals trace_rollup trace_user_steps budget_breach call_caps source_health stage_chain delete_run"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -270,6 +274,9 @@ st AS (
 )"""
 ORACLES = {
     "latest_artifact": f"WITH {_EV}, {_ART} SELECT run_id, kind, arg_max(payload, (ts, event_id)) AS payload FROM cur GROUP BY ALL",
+    "run_views": f"""WITH {_EV}, {_ART}, l AS (SELECT run_id, kind, arg_max(payload, (ts, event_id)) AS p FROM cur GROUP BY ALL),
+w AS (SELECT run_id, max(p) FILTER (kind = 'view') AS view, max(p) FILTER (kind = 'click') AS click, max(p) FILTER (kind = 'signup') AS signup, max(p) FILTER (kind = 'purchase') AS purchase FROM l GROUP BY 1)
+SELECT * FROM w WHERE view IS NOT NULL AND click IS NOT NULL AND signup IS NOT NULL""",
     "runs_by_json_field": f"WITH {_EV}, {_ART} SELECT DISTINCT run_id FROM cur WHERE kind = 'view' AND k = 7 AND payload <> '{{bad'",
     "visible_runs": f"""WITH {_EV}, {_ART}, {_RUNS}, ok AS (SELECT run_id FROM cur WHERE kind = 'view' AND k = 7 AND payload <> '{{bad' UNION SELECT user_id::VARCHAR FROM events WHERE event_type = 'signup' AND value > 100)
 SELECT run_id, status, name, created_at FROM rn WHERE run_id IN (SELECT run_id FROM ok)""",

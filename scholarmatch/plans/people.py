@@ -34,8 +34,8 @@ def merge_institution_counts(spark, sf):
     return ops.institution_counts(tables.candidates(spark, sf))
 
 
-def pick_author(spark, sf):
-    """Search hits: customers who ordered from a supplier stand for author records found for it."""
+def _search_hits(spark, sf):
+    """Author records found for a supplier: the customers who ordered from it."""
     line = load(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
     order = load(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     cust = load(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
@@ -53,7 +53,15 @@ def pick_author(spark, sf):
     )
     # a delimiter after the number keeps NATION_1 from being found in NATION_12
     school = F.when(F.col("institution") == "", F.lit("")).otherwise(F.concat("institution", F.lit(";")))
-    return ops.pick_author(entities, targets.withColumn("institution", school))
+    return entities, targets.withColumn("institution", school)
+
+
+def pick_author(spark, sf):
+    return ops.pick_author(*_search_hits(spark, sf))
+
+
+def pick_first_author(spark, sf):
+    return ops.pick_first_author(*_search_hits(spark, sf))
 
 
 def rule_disambiguate(spark, sf):
@@ -126,7 +134,7 @@ def assess_identity(spark, sf):
 
 _NAMES = (
     "author_match institution_match institution_conflict institution_agree institution_filter merge_institution_counts "
-    "pick_author rule_disambiguate fingerprint_prefilter apply_verdicts affiliation_expansion affiliation_check assess_identity"
+    "pick_author pick_first_author rule_disambiguate fingerprint_prefilter apply_verdicts affiliation_expansion affiliation_check assess_identity"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -174,6 +182,9 @@ tiers AS (
   FROM hits h JOIN sup USING (target_id)
 )
 SELECT target_id, 'A' || arg_min(o_custkey, (tier, -wc, o_custkey)) AS author_id, min(tier) AS tier FROM tiers WHERE tier IS NOT NULL GROUP BY target_id""",
+    "pick_first_author": f"""WITH {PEOPLE},
+hits AS (SELECT DISTINCT l_suppkey AS target_id, o_custkey, c_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey)
+SELECT target_id, 'A' || min(o_custkey) AS author_id FROM hits JOIN sup USING (target_id) WHERE school = '' OR school = 'NATION_' || c_nationkey GROUP BY target_id""",
     "rule_disambiguate": f"WITH {PEOPLE}, {_RULED} SELECT target_id, work_id, belongs0 AS belongs, review0 AS needs_review, reason0 AS disambig_reason FROM ruled",
     "fingerprint_prefilter": f"WITH {PEOPLE}, {_RULED}, {_prefilter('ruled', 'belongs0', 'review0', 'reason0')}",
     "apply_verdicts": f"WITH {PEOPLE}, {_RULED}, {_VERD}, {_prefilter('verd', 'belongs1', 'review1', 'reason1')}",

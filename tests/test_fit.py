@@ -1,5 +1,7 @@
 """Trends, profiles, fit, drafts and provenance on hand rows."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,7 +73,7 @@ def world(spark):
     return req, facts, profs, mats
 
 
-def test_match_report_levels(world):
+def test_match_report_levels(world, tmp_path):
     req, facts, profs, mats = world
     hits = fit.term_matches(req, facts, mats)
     near = fit.semantic_fallback(req, facts, mats, hits)
@@ -89,6 +91,9 @@ def test_match_report_levels(world):
     assert not [g for g in gaps if g[0] == "unsure"]
     lines = export.report_lines(*[d.withColumn("run_id", F.concat_ws("-", "student_id", "professor_id")) for d in (out, fit.topic_gaps(out, mats, hits, near))], fit.template_draft(req, facts, profs, mats, mats.select("professor_id", F.col("pos").alias("seq"), F.col("topic").alias("title"), F.lit(1).alias("year"), "evidence_id")).withColumn("run_id", F.concat_ws("-", "student_id", "professor_id")))
     said = [r["markdown"] for r in lines.where("run_id = 'none-full'").orderBy("section", "pos").collect()]
+    export.write_reports(lines, str(tmp_path / "r"), 3)
+    assert lines.sparkSession.read.parquet(str(tmp_path / "r")).count() == lines.count()
+    assert json.loads(lines.where("json IS NOT NULL").first()["json"])["run_id"]
     assert said[0] == "# 导师研究报告" and "- 研究匹配：交集较少" in said and "- 信息检索" in said
 
 
@@ -204,3 +209,25 @@ def test_profile_facts_and_ledger(spark):
     assert facts == {("p1", "name"), ("p1", "institution"), ("p2", "name"), ("p2", "institution")}
     assert fit.unbacked_fields(fit.asserted_fields(prof), evidence).select("person").distinct().collect()[0][0] == "p2"
     assert prof.where("person = 'p1'").first()["latest_publication"] == "2021"
+
+
+def test_coverage_prefers_stated_then_guessed_then_learned(spark):
+    from scholarmatch.operators import ledger
+
+    t = spark.createDataFrame([("a", "physics", "cs"), ("b", None, "medicine"), ("c", None, None), ("d", "nonsense", None)], "target_id string, stated_discipline string, guessed_discipline string")
+    w = spark.createDataFrame([(x, i, "openalex", ["cs"]) for x in "ac" for i in range(3)] + [("d", 9, "arxiv", ["cs"])], "target_id string, seq long, source_platform string, disciplines array<string>")
+    out = ledger.source_coverage(t, w)
+    assert {r["target_id"]: r["discipline"] for r in out.collect()} == {"a": "physics", "b": "medicine", "c": "cs", "d": "general"}
+    got = {(r["target_id"], r["source"]): (r["status"], r["n"], r["rank"]) for r in out.collect()}
+    assert got[("b", "europepmc")] == ("empty", 0, 1) and got[("a", "openalex")] == ("ok", 3, 1) and got[("a", "arxiv")] == ("empty", 0, 2)
+    assert got[("c", "dblp")][0] == "disabled" and got[("c", "wanfang")][0] == "no_key" and got[("c", "europepmc")][0] == "not_covering"
+    zh = ledger.source_coverage(t, w, keys=("wanfang_app_key",), language="zh")
+    assert {r["source"] for r in zh.where("rank > 0").collect()} == {"wanfang"}
+
+
+def test_first_fitting_author_record(spark):
+    from scholarmatch.operators import people
+
+    e = spark.createDataFrame([("t", 2, "b", ["Wuhan University"]), ("t", 1, "a", ["MIT"]), ("t", 3, "c", ["wuhan university lab"]), ("u", 1, "z", ["MIT"])], "target_id string, seq int, id string, institutions array<string>")
+    t = spark.createDataFrame([("t", "WUHAN University"), ("u", "Fudan")], "target_id string, institution string")
+    assert [tuple(r) for r in people.pick_first_author(e, t).collect()] == [("t", "b")]
