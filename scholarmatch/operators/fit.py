@@ -119,9 +119,20 @@ def _keyed(materials: DataFrame) -> DataFrame:
 
 
 def _attach(requests: DataFrame, terms: DataFrame, materials: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Vocabulary pairs back on requests: facts first, then only the matching materials of the supervisor."""
-    asked = requests.select(*PAIR).distinct().join(terms, "student_id").join(pairs, "value_key")
-    return asked.join(materials, ["professor_id", "topic_key"])
+    """Vocabulary pairs back on requests.
+
+    Per requested term the shorter list is gone through: the topics the term fits, or the materials
+    of the supervisor. So neither a term that fits very many topics nor a supervisor with very many
+    materials is multiplied out.
+    """
+    fitting = pairs.groupBy("value_key").agg(F.count("*").alias("_nv"))
+    held = materials.groupBy("professor_id").agg(F.count("*").alias("_nm"))
+    asked = (
+        requests.select(*PAIR).distinct().join(terms, "student_id").join(fitting, "value_key").join(held, "professor_id")
+    )
+    by_topic = asked.where(F.col("_nv") <= F.col("_nm")).join(pairs, "value_key").join(materials, ["professor_id", "topic_key"])
+    by_person = asked.where(F.col("_nv") > F.col("_nm")).join(materials, "professor_id").join(pairs, ["value_key", "topic_key"])
+    return by_topic.unionByName(by_person)
 
 
 def term_matches(

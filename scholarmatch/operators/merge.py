@@ -266,7 +266,8 @@ def title_fallback(
     cols = [c for c in candidates.columns if c != "target_id"]
 
     def find(index: DataFrame, wanted: DataFrame, via: str, slot: int) -> DataFrame:
-        keyed = index.withColumn("title_key", text.title_key("title"))
+        # only the first work of a title can stay, so a title many works share joins as one row
+        keyed = keep_first(index.withColumn("title_key", text.title_key("title")), ["title_key", "title"], "seq")
         return keyed.join(wanted, "title_key").select(
             "target_id", *cols, F.lit(via).alias("via"), F.struct(F.lit(slot).alias("a"), F.col("rank").cast("long").alias("b"), "seq").alias("_o"),
         )
