@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholarmatch.functions import text
+from scholarmatch.functions import text, vocab
 from scholarmatch.sources.tables import settle
 
 
@@ -154,9 +154,9 @@ def collision_level(pairs: DataFrame, contacts: DataFrame, papers: DataFrame) ->
     )
     said = F.concat_ws(
         "；",
-        F.concat(F.lit("共同论文："), "shared"),
-        F.when(together, F.lit("论文作者列表显示两位导师直接合著")),
-        F.concat(F.lit("双方都多次合作的共同作者："), "steady"),
+        F.concat(F.lit(vocab.SHARED_EVIDENCE), "shared"),
+        F.when(together, F.lit(vocab.DIRECT_EVIDENCE)),
+        F.concat(F.lit(vocab.STEADY_EVIDENCE), "steady"),
     )
     quiet = ~high & (same | ~has_steady)
     return rows.select(

@@ -255,7 +255,7 @@ def compare_table(catalog: DataFrame, queries: DataFrame, k: int = 20, min_score
     def label_block(i: int, field: str) -> Column:
         mine = F.filter("_r", lambda r: r["field_pos"] == i)
         said = F.array_join(F.array_distinct(F.transform(mine, lambda r: r["term"])), "、")
-        return F.when(F.size(mine) > 0, F.concat(F.lit(vocab.FIELD_LABELS[field] + "命中 "), said))
+        return F.when(F.size(mine) > 0, F.concat(F.lit(vocab.FIELD_LABELS[field] + vocab.REASON_VERB), said))
 
     reason = F.array_join(
         F.array_compact(F.array(*[label_block(i, f) for i, f in enumerate(vocab.FIELD_WEIGHTS)])), "；"
@@ -264,17 +264,18 @@ def compare_table(catalog: DataFrame, queries: DataFrame, k: int = 20, min_score
     def or_else(c: Column, fallback: str) -> Column:
         return F.when(F.coalesce(c, F.lit("")) == "", F.lit(fallback)).otherwise(c)
 
+    none = vocab.NOT_STATED
     return rows.select(
         "query_id",
         "rank",
         *KEY,
-        or_else(F.col("title"), "未知").alias("title"),
-        or_else(F.array_join("research_directions", "、"), "未采集").alias("directions"),
-        or_else(reason, "无匹配理由").alias("reason"),
+        or_else(F.col("title"), none["title"]).alias("title"),
+        or_else(F.array_join("research_directions", "、"), none["collected"]).alias("directions"),
+        or_else(reason, none["reason"]).alias("reason"),
         F.concat(F.round(F.col("completeness") * 100).cast("int"), F.lit("%")).alias("completeness_text"),
-        or_else(F.col("homepage_url"), "未采集").alias("homepage"),
-        or_else(F.col("email"), "未采集").alias("email"),
-        or_else(F.array_join("sources", "、"), "未标注").alias("sources"),
+        or_else(F.col("homepage_url"), none["collected"]).alias("homepage"),
+        or_else(F.col("email"), none["collected"]).alias("email"),
+        or_else(F.array_join("sources", "、"), none["sources"]).alias("sources"),
     )
 
 

@@ -227,9 +227,10 @@ def match_report(
         .when(F.col("research_fit") == "PARTIAL", "LEARN_MORE")
         .otherwise("LOW_PRIORITY")
     )
+    a, b, c = vocab.OVERLAP_PHRASE
     said = F.array_join(
         F.transform(
-            "_n", lambda x: F.concat(F.lit("学生「"), x["term"], F.lit("」与导师研究「"), x["topic"], F.lit("」形成交集"))
+            "_n", lambda x: F.concat(F.lit(a), x["term"], F.lit(b), x["topic"], F.lit(c))
         ),
         "；",
     )
@@ -239,10 +240,10 @@ def match_report(
         enough.alias("evidence_sufficiency"),
         advice.alias("recommendation"),
         F.when(gated, "").when(F.coalesce("n_skills", F.lit(0)) > 0, "STRONG").otherwise("WEAK").alias("skill_level"),
-        F.when(gated, F.lit("")).otherwise(F.coalesce(said, F.lit("现有事实中尚未找到直接研究交集"))).alias("topic_summary"),
-        F.when(no_person, "学生事实未确认或导师身份未确认")
-        .when(no_evidence, "导师证据不足")
-        .otherwise("导师招生状态未找到公开声明，建议在邮件中礼貌询问。")
+        F.when(gated, F.lit("")).otherwise(F.coalesce(said, F.lit(vocab.NO_OVERLAP))).alias("topic_summary"),
+        F.when(no_person, vocab.ASK_IDENTITY)
+        .when(no_evidence, vocab.ASK_EVIDENCE)
+        .otherwise(vocab.ASK_RECRUITING)
         .alias("question"),
     )
 
@@ -340,19 +341,23 @@ def template_draft(
     with_topics, with_papers = base.join(top_topics, "professor_id"), base.join(top_papers, "professor_id")
     quoted = F.array_join(F.transform("x", lambda v: F.concat(F.lit("《"), v["title"], F.lit("》"))), "、")
     student = F.col("student_id").cast("string")
+    wording = vocab.DRAFT
+
+    def around(key: str, inner: Column) -> Column:
+        before, after = wording[key]
+        return F.concat(F.lit(before), inner, F.lit(after))
+
     parts = [
-        sentence(people, 0, F.concat(F.lit("尊敬的"), "name", F.lit("老师，您好！")), "GENERIC"),
-        sentence(base, 1, F.concat(F.lit("我是"), student, F.lit("，想了解您的研究方向与招生安排。")), "GENERIC"),
-        sentence(skills, 2, F.concat(F.lit("我掌握的技能包括"), joined("value"), F.lit("。")), "STUDENT_FACT", ids("fact_id")),
-        sentence(interests, 3, F.concat(F.lit("我的研究兴趣包括"), joined("value"), F.lit("。")), "STUDENT_FACT", ids("fact_id")),
-        sentence(
-            either, 4, F.lit("如果有机会进一步参与课题，我愿意从论文复现、实验整理和工程实现等具体工作做起。"), "GENERIC"
-        ),
+        sentence(people, 0, around("greeting", F.col("name")), "GENERIC"),
+        sentence(base, 1, around("intro", student), "GENERIC"),
+        sentence(skills, 2, F.concat(F.lit(wording["skills"]), joined("value"), F.lit("。")), "STUDENT_FACT", ids("fact_id")),
+        sentence(interests, 3, F.concat(F.lit(wording["interests"]), joined("value"), F.lit("。")), "STUDENT_FACT", ids("fact_id")),
+        sentence(either, 4, F.lit(wording["offer"]), "GENERIC"),
         sentence(
-            with_topics, 5, F.concat(F.lit("了解到您的公开研究涉及"), joined("topic"), F.lit("。")), "PROFESSOR_FACT", ids("evidence_id")
+            with_topics, 5, F.concat(F.lit(wording["topics"]), joined("topic"), F.lit("。")), "PROFESSOR_FACT", ids("evidence_id")
         ),
-        sentence(with_papers, 6, F.concat(F.lit("您近年发表了"), quoted, F.lit("等成果。")), "PROFESSOR_FACT", ids("evidence_id")),
-        sentence(base, 8, F.lit("想请教您近期是否有相关研究或招生安排，感谢您的时间。"), "GENERIC"),
+        sentence(with_papers, 6, around("papers", quoted), "PROFESSOR_FACT", ids("evidence_id")),
+        sentence(base, 8, F.lit(wording["closing"]), "GENERIC"),
         sentence(base, 9, student, "GENERIC"),
     ]
     if paper_read:
@@ -361,7 +366,7 @@ def template_draft(
             sentence(
                 with_papers,
                 7,
-                F.concat(F.lit("我已阅读您发表的《"), best["title"], F.lit("》。")),
+                around("read", best["title"]),
                 "PROFESSOR_FACT",
                 F.array(best["evidence_id"]),
             )

@@ -25,7 +25,7 @@ def confirmed_papers(targets: DataFrame, works: DataFrame) -> DataFrame:
 
 def platform_label(platform) -> Column:
     known = F.create_map(*[F.lit(x) for pair in vocab.PLATFORM_LABELS.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, F.coalesce(platform, F.lit(""))), F.lit("人工录入"))
+    return F.coalesce(F.try_element_at(known, F.coalesce(platform, F.lit(""))), F.lit(vocab.MANUAL_ENTRY))
 
 
 def evidence_ledger(targets: DataFrame, works: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -39,7 +39,7 @@ def evidence_ledger(targets: DataFrame, works: DataFrame) -> tuple[DataFrame, Da
         "target_id", F.col("paper_id").alias("id"), "seq", "title", "year", "topics", "abstract", "source_url",
         "source_platform", "authors",
     )
-    about = F.concat("name", F.lit("的导师资料"))
+    about = F.concat("name", F.lit(vocab.PROFILE_EVIDENCE))
     described = F.array_join(
         F.filter(
             F.array("name", "institution", "department", "title", F.array_join("declared_interests", "、")),
@@ -88,8 +88,7 @@ def evidence_ledger(targets: DataFrame, works: DataFrame) -> tuple[DataFrame, Da
             F.col("abstract").alias("text"),
         )
     )
-    labels = {"title": "标题", "abstract": "摘要", "source_url": "来源链接"}
-    gaps = F.array_compact(F.array(*[F.when(text.blank(f), F.lit(v)) for f, v in labels.items()]))
+    gaps = F.array_compact(F.array(*[F.when(text.blank(f), F.lit(v)) for f, v in vocab.PAPER_GAPS.items()]))
     missing = papers.select("target_id", "seq", F.explode(gaps).alias("missing"))
     return out_works, evidence, sources, missing
 

@@ -71,28 +71,31 @@ _PERSON = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
 @F.pandas_udf(_PERSON)
 def _people_in(blocks: pd.Series) -> pd.Series:
     """Person nodes at any depth of a page's JSON-LD blocks (nesting depth is open, SQL's is not)."""
+    def leaves(value, keys):
+        """Nodes in document order; ``keys`` are the object members to go into."""
+        todo = [value]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, list):
+                todo += reversed(node)
+                continue
+            yield node
+            if isinstance(node, dict):
+                todo += [node[k] for k in reversed(keys) if k in node]
+
     def words(v) -> str:
-        if isinstance(v, list):
-            return "、".join(str(x).strip() for x in v if str(x).strip())
-        return "" if v is None else str(v).strip()
+        parts = v if isinstance(v, list) else [v]
+        return "、".join(filter(None, (str(x).strip() for x in parts if x is not None)))
 
     def first(v) -> str:
-        if isinstance(v, dict):
-            v = [v[k] for k in ("name", "@value", "value") if k in v]
-        if isinstance(v, list):
-            return next((t for t in map(first, v) if t), "")
-        return words(v)
-
-    def walk(node):
-        if isinstance(node, list):
-            for item in node:
-                yield from walk(item)
-        elif isinstance(node, dict):
-            kinds = node.get("@type")
-            if "Person" in (kinds if isinstance(kinds, list) else [kinds]):
+        texts = (str(x).strip() for x in leaves(v, ("name", "@value", "value")) if x is not None and not isinstance(x, dict))
+        return next(filter(None, texts), "")
+
+    def persons(data):
+        for node in leaves(data, ("@graph", "author", "mainEntity")):
+            kinds = node.get("@type") if isinstance(node, dict) else None
+            if kinds == "Person" or (isinstance(kinds, list) and "Person" in kinds):
                 yield node
-            for key in ("@graph", "author", "mainEntity"):
-                yield from walk(node.get(key))
 
     def fields(person: dict) -> dict[str, str]:
         home = person.get("affiliation") or person.get("worksFor")
@@ -112,7 +115,7 @@ def _people_in(blocks: pd.Series) -> pd.Series:
                 data = json.loads(raw.strip())
             except ValueError:
                 continue
-            out.extend(fields(p) for p in walk(data))
+            out.extend(map(fields, persons(data)))
         return out
 
     return blocks.map(page)

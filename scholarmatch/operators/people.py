@@ -282,20 +282,16 @@ def pick_first_author(entities: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 # --- homonyms ----------------------------------------------------------------------------------
-_OTHER_SCHOOL = "机构与填写学校不同（"
-_FORMER = "），可能为曾任职单位"
-_HOMONYM = "机构不符且合作者无交集，疑似同名"
-
-
 def rule_disambiguate(candidates: DataFrame, targets: DataFrame) -> DataFrame:
     """Papers from another institution are marked for review, never excluded."""
     pairs = _with_target(candidates, targets, "institution")
     clash = institution_conflict(F.col("institution"), F.col("target_institution"))
+    before, after = vocab.OTHER_SCHOOL_REASON
     return pairs.withColumns(
         {
             "belongs": F.col("belongs") | clash,
             "needs_review": F.col("needs_review") | clash,
-            "disambig_reason": F.when(clash, F.concat(F.lit(_OTHER_SCHOOL), "institution", F.lit(_FORMER))).otherwise(
+            "disambig_reason": F.when(clash, F.concat(F.lit(before), "institution", F.lit(after))).otherwise(
                 F.col("disambig_reason")
             ),
         }
@@ -335,7 +331,7 @@ def fingerprint_prefilter(candidates: DataFrame, targets: DataFrame) -> DataFram
         *[
             F.when(out, F.lit(False)).otherwise(F.col(c)).alias(c)
             if c in ("belongs", "needs_review")
-            else F.when(out, F.lit(_HOMONYM)).otherwise(F.col(c)).alias(c)
+            else F.when(out, F.lit(vocab.HOMONYM_REASON)).otherwise(F.col(c)).alias(c)
             if c == "disambig_reason"
             else F.col(c)
             for c in candidates.columns
@@ -380,7 +376,7 @@ def affiliation_expansion(candidates: DataFrame, targets: DataFrame, index: Data
     ).select(
         "target_id",
         "title",
-        F.concat(F.lit("曾任职单位："), "institution").alias("affiliation_note"),
+        F.concat(F.lit(vocab.FORMER_UNIT_NOTE), "institution").alias("affiliation_note"),
         F.struct(F.col("rank").cast("long").alias("a"), F.col("seq").cast("long").alias("b")).alias("_o"),
     )
     own = candidates.select(
@@ -414,11 +410,9 @@ def affiliation_check(candidates: DataFrame, targets: DataFrame, shown: int = 5)
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "title"))), lambda x: x["title"]), "|").alias("conflicting_titles"))
     )
     many = (F.col("conflict") > 0) & (F.col("conflict") >= F.greatest(F.lit(1), F.floor(F.col("total") / 3)))
+    said = vocab.AFFILIATION_VERDICTS
     verdict = (
-        F.when(many, "冲突较多，很可能混进了同名作者，建议请求人工确认")
-        .when(F.col("conflict") > 0, "有少量机构冲突，建议人工核对这几篇")
-        .when(F.col("match") > 0, "机构基本一致")
-        .otherwise("机构信息缺失，无法判断，建议人工核对")
+        F.when(many, said[0]).when(F.col("conflict") > 0, said[1]).when(F.col("match") > 0, said[2]).otherwise(said[3])
     )
     return sums.join(clashing, "target_id", "left").withColumns(
         {"conflicting_titles": F.coalesce("conflicting_titles", F.lit("")), "verdict": verdict}

@@ -105,26 +105,26 @@ def run_comparison(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
 
     specific = F.filter(
         F.coalesce("m.dimensions", F.array().cast("array<struct<key:string,summary:string>>")),
-        lambda x: (x["key"] == "research_topic") & x["summary"].contains("学生「") & x["summary"].contains("导师研究「"),
+        lambda x: (x["key"] == "research_topic") & x["summary"].contains(vocab.OVERLAP_PHRASE[0]) & x["summary"].contains(vocab.OVERLAP_PHRASE[1][2:]),
     )
     fallback = F.array_join(F.slice(F.transform(specific, lambda x: x["summary"]), 1, 2), "；")
     gaps = F.array_join(F.slice(F.coalesce("m.gaps", F.array().cast("array<string>")), 1, 2), "；")
     professor = or_else(F.col("p.name.value"), F.col("p.professor_id"))
-    school = or_else(F.col("p.institution.value"), "学校未核实")
-    college = or_else(F.col("p.department.value"), "学院未核实")
+    school = or_else(F.col("p.institution.value"), vocab.UNVERIFIED_SCHOOL)
+    college = or_else(F.col("p.department.value"), vocab.UNVERIFIED_COLLEGE)
     return rows.select(
         "run_id",
         or_else(F.col("name"), F.concat_ws(" · ", professor, school, college)).alias("record"),
         professor.alias("professor"),
         school.alias("school"),
         college.alias("college"),
-        label(vocab.FIT_LABELS, "m.research_fit", "证据不足").alias("fit"),
-        label(vocab.ADVICE_LABELS, "m.recommendation", "暂无法建议").alias("advice"),
-        label(vocab.SUFFICIENCY_LABELS, "m.evidence_sufficiency", "不足").alias("sufficiency"),
+        label(vocab.FIT_LABELS, "m.research_fit", vocab.UNKNOWN_LABELS["fit"]).alias("fit"),
+        label(vocab.ADVICE_LABELS, "m.recommendation", vocab.UNKNOWN_LABELS["advice"]).alias("advice"),
+        label(vocab.SUFFICIENCY_LABELS, "m.evidence_sufficiency", vocab.UNKNOWN_LABELS["sufficiency"]).alias("sufficiency"),
         or_else(
-            texts("d.research_intersection", "d.method_match"), or_else(fallback, "旧记录暂无个性化分析；重新研究后可补齐")
+            texts("d.research_intersection", "d.method_match"), or_else(fallback, vocab.NO_ANALYSIS)
         ).alias("overlap"),
-        or_else(texts("d.background_gaps"), or_else(gaps, "暂无已核实的缺口结论")).alias("to_add"),
+        or_else(texts("d.background_gaps"), or_else(gaps, vocab.NO_GAPS)).alias("to_add"),
         "created_at",
     )
 
@@ -144,9 +144,9 @@ def archive_page(rows: DataFrame, page: int = 1, size: int = 9) -> DataFrame:
 
 def archive_facets(rows: DataFrame, school: str = "") -> DataFrame:
     """(facet, value): verified schools, and verified colleges of the chosen school."""
-    schools = rows.select(F.lit("school").alias("facet"), F.col("school").alias("value")).where("value <> '学校未核实'")
+    schools = rows.select(F.lit("school").alias("facet"), F.col("school").alias("value")).where(F.col("value") != vocab.UNVERIFIED_SCHOOL)
     here = rows.where(F.col("school") == school) if school else rows
-    colleges = here.select(F.lit("college").alias("facet"), F.col("college").alias("value")).where("value <> '学院未核实'")
+    colleges = here.select(F.lit("college").alias("facet"), F.col("college").alias("value")).where(F.col("value") != vocab.UNVERIFIED_COLLEGE)
     return schools.unionByName(colleges).distinct()
 
 
@@ -157,7 +157,7 @@ def duplicate_archive(rows: DataFrame) -> DataFrame:
     """
     def part(c: str) -> Column:
         folded = F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"\s+", "")
-        return F.when(folded == "学院未核实", F.lit("")).otherwise(folded)
+        return F.when(folded == vocab.UNVERIFIED_COLLEGE, F.lit("")).otherwise(folded)
 
     keyed = rows.select("run_id", "created_at", part("professor").alias("a"), part("school").alias("b"), part("college").alias("c"))
     order = Window.partitionBy("a", "b", "c").orderBy(F.desc("created_at"), "run_id")
@@ -337,7 +337,7 @@ def source_health(outcomes: DataFrame, shown: int = 3) -> DataFrame:
     used = searched & (F.col("n") > 0)
     said = F.when(
         used,
-        F.concat("label", F.lit(" "), F.col("n").cast("string"), F.lit(" 篇"), F.when(F.col("reason") != "", F.concat(F.lit("（"), "reason", F.lit("）"))).otherwise("")),
+        F.concat("label", F.lit(" "), F.col("n").cast("string"), F.lit(vocab.HEALTH["papers"]), F.when(F.col("reason") != "", F.concat(F.lit("（"), "reason", F.lit("）"))).otherwise("")),
     )
     quiet = F.when(failed, F.concat("label", F.lit("（"), "reason", F.lit("）")))
 
@@ -355,8 +355,8 @@ def source_health(outcomes: DataFrame, shown: int = 3) -> DataFrame:
         listed(quiet).alias("_q"),
     )
     line = F.concat(
-        F.when(F.size("_u") > 0, F.array_join("_u", "、")).otherwise("本次没有检索到论文"),
-        F.when(F.size("_q") > 0, F.concat(F.lit("；未返回："), F.array_join("_q", "、"))).otherwise(""),
+        F.when(F.size("_u") > 0, F.array_join("_u", "、")).otherwise(vocab.HEALTH["nothing"]),
+        F.when(F.size("_q") > 0, F.concat(F.lit(vocab.HEALTH["silent"]), F.array_join("_q", "、"))).otherwise(""),
     )
     return rows.select(
         "run_id",

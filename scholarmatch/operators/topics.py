@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 
 from scholarmatch.functions import text, vocab
 
-UNCLASSIFIED = "未分类"
-
 
 def works_by_topic(works: DataFrame) -> DataFrame:
     """(person, topic, work_id, year, seq); works without a topic come under one label."""
-    some = F.when(F.coalesce(F.size("topics"), F.lit(0)) > 0, F.col("topics")).otherwise(F.array(F.lit(UNCLASSIFIED)))
+    some = F.when(F.coalesce(F.size("topics"), F.lit(0)) > 0, F.col("topics")).otherwise(F.array(F.lit(vocab.UNCLASSIFIED)))
     return works.select("person", F.explode(some).alias("topic"), "work_id", "year", "seq")
 
 

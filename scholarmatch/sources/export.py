@@ -23,7 +23,7 @@ def report_lines(
 
     heads = struct_array(
         ("section", "t"),
-        ((0, "# 导师研究报告"), (1, "## 匹配分析"), (2, "## 缺口"), (3, "## 证据来源"), (4, "## 邮件草稿")),
+        list(enumerate(vocab.REPORT_HEADINGS)),
     )
     titles = reports.select("run_id", F.explode(heads).alias("h")).select(
         "run_id", "h.section", F.lit("").alias("pos"), F.col("h.t").alias("markdown"), F.lit(None).cast("string").alias("json")
@@ -32,10 +32,10 @@ def report_lines(
     items = struct_array(
         ("p", "k", "v"),
         (
-            ("1", "研究匹配", labels[F.col("research_fit")]),
-            ("2", "建议", labels[F.col("recommendation")]),
-            ("3", "交集", F.col("topic_summary")),
-            ("4", "待询问", F.col("question")),
+            ("1", vocab.REPORT_LINES[0], labels[F.col("research_fit")]),
+            ("2", vocab.REPORT_LINES[1], labels[F.col("recommendation")]),
+            ("3", vocab.REPORT_LINES[2], F.col("topic_summary")),
+            ("4", vocab.REPORT_LINES[3], F.col("question")),
         ),
     )
     stated = reports.select("run_id", F.explode(items).alias("x"))

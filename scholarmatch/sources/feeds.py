@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholarmatch.functions import text
+from scholarmatch.functions import text, vocab
 from scholarmatch.functions.scale import keep_first
 from scholarmatch.operators.topics import arxiv_discipline, openalex_discipline
 
@@ -233,7 +233,7 @@ def conform_arxiv(raw: DataFrame) -> DataFrame:
         title=title,
         year=_digits(F.substring(text.squeeze("published"), 1, 4)),
         doi=doi,
-        venue=_or(text.squeeze("journal_ref"), F.lit("arXiv 预印本")),
+        venue=_or(text.squeeze("journal_ref"), F.lit(vocab.ARXIV_VENUE)),
         topics=F.array_compact(F.array(category)),
         abstract=text.squeeze("summary"),
         source_url=F.coalesce(_doi_url(doi), url),
