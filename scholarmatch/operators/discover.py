@@ -23,6 +23,11 @@ def _values(field: str) -> Column:
     )
 
 
+def _folded(catalog: DataFrame) -> DataFrame:
+    """The catalog with its searched texts folded once per row, not once per query and term."""
+    return catalog.withColumns({f"_v_{f}": _values(f) for f in vocab.FIELD_WEIGHTS})
+
+
 def prepare_queries(queries: DataFrame) -> DataFrame:
     """(query_id, query) free text -> (query_id, terms): safe terms, one per lower-case form."""
     terms = queries.select("query_id", F.posexplode(text.safe_terms(text.split_terms("query"))).alias("pos", "term"))
@@ -57,8 +62,8 @@ def contains_join(values: DataFrame, terms: DataFrame, value: str, term: str) ->
 
 def _matched(catalog: DataFrame, queries: DataFrame) -> DataFrame:
     """Catalog rows next to each query with at least one term somewhere in their texts."""
-    fields = list(vocab.FIELD_WEIGHTS)
-    shaped = catalog.withColumn("_hay", F.array_join(F.flatten(F.array(*[_values(f) for f in fields])), "\n"))
+    texts = F.flatten(F.array(*[F.col(f"_v_{f}") for f in vocab.FIELD_WEIGHTS]))
+    shaped = _folded(catalog).withColumn("_hay", F.array_join(texts, "\n"))
     if is_small(queries, BROADCAST_ROWS):
         return shaped.join(
             F.broadcast(queries), F.exists("terms", lambda t: F.col("_hay").contains(t["needle"]))
@@ -77,7 +82,7 @@ def term_filter(catalog: DataFrame, queries: DataFrame, universities: Sequence[s
 
 
 def _hit(field: str, needle: Column) -> Column:
-    return F.exists(_values(field), lambda v: v.contains(needle))
+    return F.exists(f"_v_{field}", lambda v: v.contains(needle))
 
 
 def _score() -> Column:
@@ -102,7 +107,7 @@ def _reason_array() -> Column:
                     F.struct(
                         F.lit(i).alias("field_pos"),
                         F.array_position(
-                            F.transform(_values(f), lambda v: v.contains(t["needle"])), F.lit(True)
+                            F.transform(f"_v_{f}", lambda v: v.contains(t["needle"])), F.lit(True)
                         ).alias("value_pos"),
                         t["pos"].alias("term_pos"),
                         t["term"].alias("term"),
@@ -249,7 +254,8 @@ def hybrid_rank(
 def compare_table(catalog: DataFrame, queries: DataFrame, k: int = 20, min_score: int = 2) -> DataFrame:
     """The ranked advisors as flat display rows with the reasons spelled out."""
     ranked = rank_candidates(catalog, queries, k, min_score)
-    top = catalog.join(F.broadcast(ranked), list(KEY)) if is_small(queries, 1000) else catalog.join(ranked, list(KEY))
+    texts = _folded(catalog)
+    top = texts.join(F.broadcast(ranked), list(KEY)) if is_small(queries, 1000) else texts.join(ranked, list(KEY))
     rows = top.join(small_or_plain(queries), "query_id").withColumn("_r", _reason_array())
 
     def label_block(i: int, field: str) -> Column:
