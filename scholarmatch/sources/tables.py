@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,8 +67,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Folders written by ``settle`` in this process, removed when it ends.
+_SETTLED: list[tuple[SparkSession, str]] = []
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once to the shared folder and read back, for results several steps go on from."""
+    """The rows written once to the shared folder and read back, for results several steps go on from.
+
+    The folder goes when the process ends (``forget_settled`` removes all of them earlier).
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _SETTLED.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget_settled() -> None:
+    """Delete every folder ``settle`` has written, as long as its session still runs."""
+    while _SETTLED:
+        spark, path = _SETTLED.pop()
+        context = spark.sparkContext
+        if context._jsc is None or context._jsc.sc().isStopped():
+            continue
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+atexit.register(forget_settled)
