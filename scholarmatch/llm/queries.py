@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scholarmatch.llm import exact_dedup, mixing
+from scholarmatch.llm import bpe, exact_dedup, mixing, pii, secret_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +20,22 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_schedule(_read(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(_read(spark, sf_dir, "documents"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_rows(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan_pii(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
+    "op4_bpe": op4_bpe,
+    "op7_pii": op7_pii,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
@@ -49,12 +65,12 @@ WITH RECURSIVE counts AS (
          (row_number() OVER (ORDER BY source NULLS FIRST) - 1)::INT AS idx FROM b
 ), ks AS (SELECT list(k ORDER BY idx) AS k FROM sh
 ), edf AS (
-  SELECT -1 AS t, list_transform(k, x -> 0) AS a, NULL::STRUCT(d INT, i INT, j INT) AS p, k FROM ks
+  SELECT -1 AS t, list_transform(k, lambda x: 0) AS a, NULL::STRUCT(d INT, i INT, j INT) AS p, k FROM ks
   UNION ALL
-  SELECT t + 1, list_transform(range(len(k)), n -> (CASE WHEN n = p2.i THEN a[n + 1] + 1 ELSE a[n + 1] END)::INT), p2, k
+  SELECT t + 1, list_transform(range(len(k)), lambda n: (CASE WHEN n = p2.i THEN a[n + 1] + 1 ELSE a[n + 1] END)::INT), p2, k
   FROM (
-    SELECT *, list_min(list_transform(list_filter(range(len(k)), n -> (a[n + 1] * 1024) // k[n + 1] <= t + 1),
-             n -> {'d': (((a[n + 1] + 1) * 1024 + k[n + 1] - 1) // k[n + 1])::INT, 'i': n::INT, 'j': a[n + 1]::INT})) AS p2
+    SELECT *, list_min(list_transform(list_filter(range(len(k)), lambda n: (a[n + 1] * 1024) // k[n + 1] <= t + 1),
+             lambda n: {'d': (((a[n + 1] + 1) * 1024 + k[n + 1] - 1) // k[n + 1])::INT, 'i': n::INT, 'j': a[n + 1]::INT})) AS p2
     FROM edf WHERE t < 1023
   )
 ), per AS (SELECT p.i AS idx, p.j AS j, t AS slot FROM edf WHERE t >= 0
