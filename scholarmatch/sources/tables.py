@@ -63,29 +63,30 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the checkpoint location all executors share."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder in the checkpoint location all executors share; it goes when the process ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append((spark, path))
+    return path
 
 
-#: Folders written by ``settle`` in this process, removed when it ends.
-_SETTLED: list[tuple[SparkSession, str]] = []
+#: Scratch folders of this process, removed when it ends.
+_SCRATCH: list[tuple[SparkSession, str]] = []
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """The rows written once to the shared folder and read back, for results several steps go on from.
 
-    The folder goes when the process ends (``forget_settled`` removes all of them earlier).
+    The folder goes when the process ends (``forget_scratch`` removes all of them earlier).
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    _SETTLED.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget_settled() -> None:
-    """Delete every folder ``settle`` has written, as long as its session still runs."""
-    while _SETTLED:
-        spark, path = _SETTLED.pop()
+def forget_scratch() -> None:
+    """Delete every scratch folder, as long as its session still runs."""
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
         context = spark.sparkContext
         if context._jsc is None or context._jsc.sc().isStopped():
             continue
@@ -93,4 +94,4 @@ def forget_settled() -> None:
         folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-atexit.register(forget_settled)
+atexit.register(forget_scratch)
