@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scholarmatch.llm import bpe, exact_dedup, mixing, pii, secret_scan
+from scholarmatch.llm import bpe, exact_dedup, langid, mixing, pii, secret_scan, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(_read(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.capture_index(_read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_rows(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -34,8 +43,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_language_id": op3_language_id,
     "op4_bpe": op4_bpe,
     "op7_pii": op7_pii,
+    "op9_warc": op9_warc,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
@@ -84,7 +95,18 @@ SELECT doc_id, source, k AS shares, block::BIGINT AS block, (block * 1024 // k):
 FROM blk JOIN per ON blk.idx = per.idx AND per.j = blk.block % blk.k
 """
 
+_OP9 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS payload FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
+FROM f
+"""
+
 ORACLES = {
+    "op9_warc": _OP9,
     "op8_exact_dedup": _OP8,
     "op10_mix_sources": _OP10,
 }
