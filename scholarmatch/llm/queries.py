@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scholarmatch.llm import bpe, exact_dedup, langid, mixing, pii, secret_scan, warc
+from scholarmatch.llm import ann, bpe, exact_dedup, langid, mixing, pii, secret_scan, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_rows(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_pii(_read(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_language_id": op3_language_id,
     "op4_bpe": op4_bpe,
+    "op6_ann_search": op6_ann_search,
     "op7_pii": op7_pii,
     "op9_warc": op9_warc,
     "op8_exact_dedup": op8_exact_dedup,
