@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarmatch.llm import ann, bpe, exact_dedup, langid, mixing, pii, secret_scan, warc
+from scholarmatch.llm import ann, bpe, exact_dedup, langid, lm_score, mixing, pii, secret_scan, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_rows(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_language_id": op3_language_id,
     "op4_bpe": op4_bpe,
+    "op5_lm_score": op5_lm_score,
     "op6_ann_search": op6_ann_search,
     "op7_pii": op7_pii,
     "op9_warc": op9_warc,
