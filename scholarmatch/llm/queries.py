@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarmatch.llm import ann, bpe, exact_dedup, langid, lm_score, mixing, pii, secret_scan, warc
+from scholarmatch.llm import ann, bpe, exact_dedup, langid, lm_score, minhash, mixing, pii, secret_scan, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_schedule(_read(spark, sf_dir, "documents"))
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents")).drop("t")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(_read(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_language_id": op3_language_id,
     "op4_bpe": op4_bpe,
