@@ -31,6 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Words whose tokens a worker remembers; the memory is emptied when full.
 REMEMBERED = 1 << 19
@@ -251,22 +252,26 @@ def encode_rows(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
 
 
 def token_rows(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``token_ids`` (array<int>) and ``token_text``, the ids decoded again."""
+    """``docs`` with ``token_ids`` (array<int>), ``n_tokens`` and ``decoded_sha256``, the digest of the ids decoded again."""
     with open(tokenizer, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
     at = docs.columns.index(text_col)
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema) + ", token_ids array<int>, token_text string"
+    schema = StructType([
+        *docs.schema.fields, StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("decoded_sha256", StringType())
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(shared.value)
         for batch in batches:
-            ids = [[i for g in model.encode(t.as_py() or "") for i in g] for t in batch.column(at)]
-            texts = []
+            ids = [np.fromiter((i for g in model.encode(t.as_py() or "") for i in g), np.int32) for t in batch.column(at)]
+            sums = []
             for row in ids:
-                decoder = Decoder(model)
-                texts.append("".join([*(decoder.feed(row[k : k + STEP]) for k in range(0, len(row), STEP)), decoder.finish()]))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], [*batch.schema.names, "token_ids", "token_text"]
-            )
+                decoder, text_sum = Decoder(model), hashlib.sha256()
+                for k in range(0, len(row), STEP):
+                    text_sum.update(decoder.feed(row[k : k + STEP].tolist()).encode())
+                text_sum.update(decoder.finish().encode())
+                sums.append(text_sum.hexdigest())
+            added = [pa.array(ids, pa.list_(pa.int32())), pa.array([len(r) for r in ids], pa.int64()), pa.array(sums, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "token_ids", "n_tokens", "decoded_sha256"])
 
     return docs.mapInArrow(run, schema)
