@@ -109,12 +109,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entry = index.select(
         F.col("key").alias("_key"), F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep"), F.col("keep_chars").alias("_chars"), F.col("twins").alias("_twins")
     )
-    norm = normalised(F.col(text_col))
-    rows = docs.select("*", F.xxhash64(norm).alias("_key"), F.sha2(norm, 256).alias("_sha"))
-    stay = rows.join(entry, ["_key", "_sha"]).where(
-        F.col(id_col).eqNullSafe(F.col("_keep")) & (F.length(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_chars"))
-    )
-    single = stay.where(F.col("_twins") == 1)
+    norm, chars = normalised(F.col(text_col)), F.length(F.coalesce(F.col(text_col), F.lit("")))
+    # The input row travels as one struct, so none of its names can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), chars.alias("chars"), F.xxhash64(norm).alias("_key"), F.sha2(norm, 256).alias("_sha"))
+    stay = rows.join(entry, ["_key", "_sha"]).where(F.col("id").eqNullSafe(F.col("_keep")) & (F.col("chars") == F.col("_chars")))
+    kept = stay.where(F.col("_twins") == 1)
     if not index.where("twins > 1").isEmpty():
-        single = single.unionByName(stay.where(F.col("_twins") > 1).dropDuplicates(["_key", "_sha"]))
-    return single.select(*docs.columns)
+        kept = kept.unionByName(stay.where(F.col("_twins") > 1).dropDuplicates(["_key", "_sha"]))
+    return kept.select("row.*")

@@ -438,5 +438,5 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` of which no near-copy is kept before them, with all their columns."""
     gone = near_duplicates(docs, threshold, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
-    text = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (text == F.col("_t")), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")), "left_anti").select("row.*")

@@ -64,8 +64,9 @@ def period(share: DataFrame, quantum: int) -> DataFrame:
 
 
 def placed(docs: DataFrame, targets: dict | None, block_rows: int, quantum: int, temperature: float, id_col: str, source_col: str) -> DataFrame:
-    """``docs`` with _slot, _offset, _block, _release, _deadline, _k."""
-    counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
+    """The rows of ``docs`` as the struct ``row``, with id, source, _slot, _offset, _block, _release, _deadline, _k."""
+    docs = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"))
+    counts = docs.groupBy("source").agg(F.count("*").alias("n"))
     seen = counts.agg(F.count("*").alias("sources"), F.max("n").alias("most")).first()
     if seen["sources"] * 2 > quantum:
         raise ValueError(f"{seen['sources']} sources need a quantum of at least twice as many shares, not {quantum}")
@@ -74,25 +75,24 @@ def placed(docs: DataFrame, targets: dict | None, block_rows: int, quantum: int,
     digits = max(0, round(math.log(most / max(1024, math.sqrt(most)), 16)))
     share = shares(counts, targets, quantum, temperature)
     table = period(share, quantum)
-    hashed = docs.withColumn("_h", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))).withColumn("_chunk", F.substring("_h", 1, digits))
-    key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(source_col)))
+    hashed = docs.withColumn("_h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))).withColumn("_chunk", F.substring("_h", 1, digits))
+    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col("source")))
     hashed = hashed.withColumn("_s", key)
-    inner = Window.partitionBy("_s", "_chunk").orderBy("_h", F.col(id_col).asc_nulls_first())
+    inner = Window.partitionBy("_s", "_chunk").orderBy("_h", F.col("id").asc_nulls_first())
     sizes = hashed.groupBy("_s", "_chunk").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_s").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_s", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     numbered = hashed.withColumn("_in", F.row_number().over(inner)).join(offsets, ["_s", "_chunk"])
     at = F.col("_before") + F.col("_in") - 1
-    skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col("source")))
     blocks = (
         numbered.withColumn("_block", F.floor(at / block_rows)).withColumn("_offset", F.pmod(at, F.lit(block_rows)))
-        .join(F.broadcast(share.select(skey.alias("_s"), F.col("k").alias("_k"), F.col("idx").alias("_idx"))), "_s")  # at most quantum/2 rows
+        .join(F.broadcast(share.select(key.alias("_s"), F.col("k").alias("_k"), F.col("idx").alias("_idx"))), "_s")  # at most quantum/2 rows
         .withColumn("_cycle", F.floor(F.col("_block") / F.col("_k"))).withColumn("_j", F.pmod("_block", "_k"))
     )
     slots = table.select(F.col("idx").alias("_idx"), F.col("j").cast("long").alias("_j"), F.col("slot").alias("_t"))
     done = blocks.join(F.broadcast(slots), ["_idx", "_j"])  # quantum rows
     return done.select(
-        *docs.columns,
+        "row", "id", "source",
         (F.col("_cycle") * quantum + F.col("_t")).alias("_slot"), "_offset", "_block", "_k",
         F.expr(f"_block * {quantum} div _k").alias("_release"), F.expr(f"((_block + 1) * {quantum} + _k - 1) div _k").alias("_deadline"),
     )
@@ -107,9 +107,8 @@ def mix_schedule(
     The mix is the order by (slot, offset). ``targets`` maps sources to weights (one not named gets a single
     share); without it weights are row counts to the power ``temperature``.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"))
-    return placed(rows, targets, block_rows, quantum, temperature, "doc_id", "source").select(
-        "doc_id", "source", F.col("_k").alias("shares"), F.col("_block").alias("block"), F.col("_release").alias("release"),
+    return placed(docs.select(id_col, source_col), targets, block_rows, quantum, temperature, id_col, source_col).select(
+        F.col("id").alias("doc_id"), "source", F.col("_k").alias("shares"), F.col("_block").alias("block"), F.col("_release").alias("release"),
         F.col("_deadline").alias("deadline"), F.col("_slot").alias("slot"), F.col("_offset").alias("offset"),
     )
 
@@ -120,4 +119,4 @@ def mix_rows(
 ) -> DataFrame:
     """All rows of ``docs`` in the order of the mix: sorted shards, each a stretch of slots, one after the other."""
     mixed = placed(docs, targets, block_rows, quantum, temperature, id_col, source_col)
-    return mixed.repartitionByRange("_slot", "_offset").sortWithinPartitions("_slot", "_offset").select(*docs.columns)
+    return mixed.repartitionByRange("_slot", "_offset").sortWithinPartitions("_slot", "_offset").select("row.*")
