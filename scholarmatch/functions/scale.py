@@ -7,20 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it has at most this many rows.
-BROADCAST_ROWS = 20_000
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than that many plus one."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def small_or_plain(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast for a side whose size was checked, leave the join to Spark otherwise."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
 def _literal(value) -> str:
     if value is None:
         return "NULL"

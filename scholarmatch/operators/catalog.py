@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholarmatch.functions import text, vocab
-from scholarmatch.functions.scale import keep_first, literal_table, small_or_plain
+from scholarmatch.functions.scale import keep_first, literal_table
 
 KEY = ["university", "department", "name"]
 ROSTER_KEY = ["university", "department", "supervisor"]
@@ -380,7 +380,7 @@ def name_quality(
     judged = catalog.select(*KEY, name_verdict(F.col("name"), roots, suffixes, allowed).alias("j")).select(*KEY, "j.*")
     if keep_list is None:
         return judged
-    kept = small_or_plain(keep_list.select("name").distinct().withColumn("_ok", F.lit(True)))
+    kept = keep_list.select("name").distinct().withColumn("_ok", F.lit(True))
     return judged.join(kept, "name", "left").select(
         *KEY, "clean_name", F.when(F.col("_ok"), F.lit("keep")).otherwise(F.col("verdict")).alias("verdict"), "matched_root"
     )

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarmatch.functions import text, vocab
-from scholarmatch.functions.scale import BROADCAST_ROWS, is_small, small_or_plain
 
 KEY = ("university", "department", "name")
 
@@ -38,40 +37,47 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
     return once.groupBy("query_id").agg(packed.alias("terms"))
 
 
-def contains_join(values: DataFrame, terms: DataFrame, value: str, term: str) -> DataFrame:
-    """Rows of ``values`` and ``terms`` where the value contains the term (both already folded).
+#: Longest stretch of a term that texts are looked up by.
+BLOCK = 3
 
-    A term list of checked size is broadcast. A larger one meets the values on a three-character
-    block of the term first, so only values holding that block are looked at.
-    """
-    if is_small(terms):
-        return values.join(F.broadcast(terms), F.col(value).contains(F.col(term)))
-    blocked = terms.where(F.col(term) != "").withColumn("_block", F.substring(term, 1, 3))
-    length = F.length(value)
-    grams = F.array_distinct(
+
+def _blocks(values: DataFrame, value: str, id_col: str) -> DataFrame:
+    """(id, block): every stretch of one to ``BLOCK`` characters of a text once; the text itself is not carried."""
+    stretches = F.array_distinct(
         F.flatten(
             F.transform(
-                F.sequence(F.lit(1), length),
-                lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col(value), i, n)),
+                F.sequence(F.lit(1), F.length(value)),
+                lambda i: F.transform(F.sequence(F.lit(1), F.lit(BLOCK)), lambda n: F.substring(F.col(value), i, n)),
             )
         )
     )
-    spread = values.where(length > 0).withColumn("_block", F.explode(grams))
-    return spread.join(blocked, "_block").where(F.col(value).contains(F.col(term))).drop("_block")
+    return values.where(F.length(value) > 0).select(id_col, F.explode(stretches).alias("_block"))
+
+
+def contains_join(values: DataFrame, terms: DataFrame, value: str, term: str) -> DataFrame:
+    """Rows of ``values`` and ``terms`` where the value contains the term (both already folded).
+
+    Values are found by the first characters of the term: (hash of the value, block) meets (block, term), then the
+    value is fetched by its hash and looked at. An empty or null term is contained nowhere.
+    """
+    asked = terms.select(term).where(F.col(term) != "").distinct()
+    keyed = values.withColumn("_vid", F.xxhash64(value))
+    found = _blocks(keyed.select("_vid", value), value, "_vid").join(
+        asked.withColumn("_block", F.substring(term, 1, BLOCK)), "_block"
+    )
+    held = keyed.join(found.select("_vid", term).distinct(), "_vid").where(F.col(value).contains(F.col(term))).drop("_vid")
+    return held.join(terms, term)
 
 
 def _matched(catalog: DataFrame, queries: DataFrame) -> DataFrame:
-    """Catalog rows next to each query with at least one term somewhere in their texts."""
+    """Catalog rows next to each query with at least one term somewhere in their texts, each pair once."""
     texts = F.flatten(F.array(*[F.col(f"_v_{f}") for f in vocab.FIELD_WEIGHTS]))
-    shaped = _folded(catalog).withColumn("_hay", F.array_join(texts, "\n"))
-    if is_small(queries, BROADCAST_ROWS):
-        return shaped.join(
-            F.broadcast(queries), F.exists("terms", lambda t: F.col("_hay").contains(t["needle"]))
-        )
-    flat = queries.select("query_id", F.explode("terms.needle").alias("_needle"))
-    pairs = contains_join(shaped.select(*KEY, "_hay"), flat, "_hay", "_needle")
-    hits = pairs.select("query_id", *KEY).distinct()
-    return shaped.join(hits, list(KEY)).join(queries, "query_id")
+    shaped = _folded(catalog).withColumn("_hay", F.array_join(texts, "\n")).withColumn("_vid", F.xxhash64("_hay"))
+    flat = queries.select("query_id", F.explode("terms.needle").alias("_needle")).where("_needle <> ''")
+    asked = flat.select("query_id", F.substring("_needle", 1, BLOCK).alias("_block")).distinct()
+    pairs = _blocks(shaped.select("_vid", "_hay"), "_hay", "_vid").join(asked, "_block").select("_vid", "query_id").distinct()
+    held = F.exists("terms", lambda t: (t["needle"] != "") & F.col("_hay").contains(t["needle"]))
+    return shaped.join(pairs, "_vid").join(queries, "query_id").where(held).drop("_vid")
 
 
 def term_filter(catalog: DataFrame, queries: DataFrame, universities: Sequence[str] | None = None) -> DataFrame:
@@ -176,13 +182,14 @@ def rank_candidates(
     return _top(scored, k).select("query_id", "rank", *KEY, "match_score", "completeness")
 
 
-def advisor_text() -> Column:
-    """The text an advisor is compared by: directions, areas, department, first eight papers."""
+def advisor_text(papers: int | None = None) -> Column:
+    """The text an advisor is compared by: directions, areas, department, papers (all, or the first ``papers``)."""
+    published = F.coalesce("publications", F.array().cast("array<string>"))
     parts = F.concat(
         F.coalesce("research_directions", F.array().cast("array<string>")),
         F.coalesce("research_areas", F.array().cast("array<string>")),
         F.array(F.coalesce("department", F.lit(""))),
-        F.slice(F.coalesce("publications", F.array().cast("array<string>")), 1, 8),
+        published if papers is None else F.slice(published, 1, papers),
     )
     return F.array_join(F.filter(parts, lambda p: p != ""), "；")
 
@@ -213,7 +220,7 @@ def lexical_similarity(catalog: DataFrame, queries: DataFrame) -> DataFrame:
         queries.select("query_id", F.array_join("terms.term", " ").alias("_q")), ["query_id"], "_q"
     ).withColumnRenamed("weight", "_wq")
     told = lexical_features(catalog.select(*KEY, advisor_text().alias("_d")), list(KEY), "_d")
-    shared = told.join(small_or_plain(asked), "feature")
+    shared = told.join(asked, "feature")
     return shared.groupBy("query_id", *KEY).agg(
         F.sum(F.col("weight") * F.col("_wq")).alias("similarity")
     )
@@ -255,8 +262,9 @@ def compare_table(catalog: DataFrame, queries: DataFrame, k: int = 20, min_score
     """The ranked advisors as flat display rows with the reasons spelled out."""
     ranked = rank_candidates(catalog, queries, k, min_score)
     texts = _folded(catalog)
-    top = texts.join(F.broadcast(ranked), list(KEY)) if is_small(queries, 1000) else texts.join(ranked, list(KEY))
-    rows = top.join(small_or_plain(queries), "query_id").withColumn("_r", _reason_array())
+    same = [texts[c].eqNullSafe(ranked[c]) for c in KEY]
+    top = texts.join(ranked, same).drop(*[ranked[c] for c in KEY])
+    rows = top.join(queries, "query_id").withColumn("_r", _reason_array())
 
     def label_block(i: int, field: str) -> Column:
         mine = F.filter("_r", lambda r: r["field_pos"] == i)
@@ -359,26 +367,61 @@ def dense_cosine(a, b) -> Column:
     return F.when(usable, dot(ca, cb) / whole).otherwise(0.0)
 
 
+#: Query vectors that visit a part of the vectors together, and vectors in such a part.
+QUERY_BLOCK = 1024
+VECTOR_PART = 65_536
+
+
 def vector_recall(
     queries: DataFrame, vectors: DataFrame, threshold: float = vocab.MODEL_RECALL, k: int = 20
 ) -> DataFrame:
     """(query_id, vec_id, cosine, rank): per query vector the ``k`` nearest at or above the threshold.
 
-    A checked number of query vectors becomes a matrix every task multiplies its Arrow batches with.
-    Beyond that the queries are dealt into blocks and the vectors visit one block at a time.
+    Blocks of queries visit parts of the vectors, a matrix product each, of which every query keeps its ``k`` best.
+    A vector that is null, zero or of another length than the query has cosine 0 with it.
     """
+    import numpy as np
+    import pandas as pd
+
     asked = queries.select("query_id", "query_vec")
-    if is_small(asked, 2_000):
-        scored = _matrix_scores(asked, vectors, threshold)
-    else:
-        blocks = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
-        dealt = asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        visiting = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        scored = (
-            visiting.join(dealt, "_b")
-            .select("query_id", "vec_id", dense_cosine("query_vec", "embedding").alias("cosine"))
-            .where(F.col("cosine") >= threshold)
-        )
+    told = vectors.select("vec_id", "embedding")
+    n_blocks = -(-max(1, asked.count()) // QUERY_BLOCK)
+    n_parts = -(-max(1, told.count()) // VECTOR_PART)
+    dealt = asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")).withColumn(
+        "_p", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))
+    )
+    visited = told.withColumn("_p", F.pmod(F.xxhash64("vec_id"), F.lit(n_parts)).cast("int")).withColumn(
+        "_b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    )
+    kinds = {c: f.dataType.simpleString() for df in (asked, told) for c, f in zip(df.columns, df.schema.fields)}
+    cap = k
+
+    def unit(column, length: int):
+        """Rows scaled to length one; zeros for what cannot be compared."""
+        out = np.zeros((len(column), length))
+        for i, v in enumerate(column):
+            if v is not None and len(v) == length:
+                out[i] = np.array(v, dtype="float64")
+        out = np.nan_to_num(out)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(norm > 0, norm, 1.0)
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        left, right = left.sort_values("query_id"), right.sort_values("vec_id")
+        for length, group in left.groupby(left["query_vec"].map(lambda v: 0 if v is None else len(v))):
+            cos = np.round(unit(group["query_vec"], length) @ unit(right["embedding"], length).T, 12)
+            for qid, row in zip(group["query_id"], cos):
+                near = np.flatnonzero(row >= threshold)
+                best = near[np.argsort(-np.round(row[near], 4), kind="stable")[:cap]]
+                found.append(pd.DataFrame({"query_id": qid, "vec_id": right["vec_id"].to_numpy()[best], "cosine": row[best]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "cosine": []})
+
+    scored = (
+        dealt.groupBy("_b", "_p")
+        .cogroup(visited.groupBy("_b", "_p"))
+        .applyInPandas(score, f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, cosine double")
+    )
     best = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     return (
         scored.withColumn("cosine", F.round("cosine", 4))
@@ -387,35 +430,6 @@ def vector_recall(
     )
 
 
-def _matrix_scores(asked: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
-    rows = asked.collect()  # bounded: size checked by the caller
-    ids = np.array([r["query_id"] for r in rows], dtype="int64")
-    matrix = np.array([r["query_vec"] for r in rows], dtype="float64")
-    if len(rows):
-        length = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = matrix / np.where(length > 0, length, 1.0)
-
-    def score(batches):
-        for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            same = batch[batch["embedding"].map(len) == matrix.shape[1]]
-            if not len(same):
-                continue
-            dense = np.stack(same["embedding"].to_numpy()).astype("float64")
-            length = np.linalg.norm(dense, axis=1, keepdims=True)
-            cos = (dense / np.where(length > 0, length, 1.0)) @ matrix.T
-            i, j = np.nonzero(cos >= threshold)
-            yield pd.DataFrame(
-                {"query_id": ids[j], "vec_id": same["vec_id"].to_numpy()[i], "cosine": cos[i, j]}
-            )
-
-    return vectors.select("vec_id", "embedding").mapInPandas(score, "query_id long, vec_id long, cosine double")
-
-
 def embedder_separability(cases: DataFrame, margin: float = 0.05) -> DataFrame:
     """(case_id, near, far, margin, ok) for rows holding a query, a related and an unrelated vector."""
     near, far = dense_cosine("query_vec", "related_vec"), dense_cosine("query_vec", "unrelated_vec")
@@ -428,9 +442,11 @@ def embedder_separability(cases: DataFrame, margin: float = 0.05) -> DataFrame:
     )
 
 
-def embed_texts(df: DataFrame, id_col: str, text_col: str, embed, batch: int = 32, max_chars: int = 2000) -> DataFrame:
+def embed_texts(df: DataFrame, id_col: str, text_col: str, embed, batch: int = 32, max_chars: int | None = None) -> DataFrame:
     """Vectors from a caller's ``embed(list[str]) -> list[list[float]]``, in fixed-size requests.
 
+    Whole texts are sent unless the caller's model takes ``max_chars`` at most.
+
     A request that returns another number of vectors than texts fails the task.
     """
     import pandas as pd

@@ -1,7 +1,6 @@
 """Direction search over the whole catalog."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from scholarmatch.functions.scale import literal_table
 from scholarmatch.operators import discover
@@ -58,23 +57,22 @@ def similar_pairs(spark, sf):
 
 def vector_recall(spark, sf):
     vectors = load(spark, sf, "embeddings")
-    return discover.vector_recall(discover.exemplar_vectors(vectors), vectors, threshold=0.30)
+    asked = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return discover.vector_recall(asked, vectors, threshold=0.30)
 
 
 def embedder_separability(spark, sf):
+    """Every vector is a case: near its own label's exemplar, far from the next label's."""
     vectors = load(spark, sf, "embeddings")
-    first_two = Window.partitionBy("label").orderBy("vec_id")
-    two = vectors.withColumn("n", F.row_number().over(first_two)).where("n <= 2")
-    per_label = two.groupBy("label").agg(
-        F.max(F.when(F.col("n") == 1, F.col("embedding"))).alias("query_vec"),
-        F.max(F.when(F.col("n") == 2, F.col("embedding"))).alias("related_vec"),
-    )
-    count = per_label.agg(F.count("*").alias("labels"))
-    other = per_label.select(F.col("label").alias("other"), F.col("query_vec").alias("unrelated_vec"))
+    exemplars = discover.exemplar_vectors(vectors).select("label", "query_vec")
+    count = exemplars.agg(F.count("*").alias("labels"))
+    related = exemplars.select("label", F.col("query_vec").alias("related_vec"))
+    other = exemplars.select(F.col("label").alias("other"), F.col("query_vec").alias("unrelated_vec"))
     cases = (
-        per_label.withColumn("other", (F.col("label") + 1) % count.scalar())
+        vectors.select(F.col("vec_id").alias("case_id"), F.col("embedding").alias("query_vec"), "label")
+        .join(related, "label")
+        .withColumn("other", (F.col("label") + 1) % count.scalar())
         .join(other, "other")
-        .withColumn("case_id", F.col("label"))
     )
     return discover.embedder_separability(cases)
 
@@ -180,13 +178,12 @@ ln AS (SELECT p, sqrt(sum(tf * tf)) AS n FROM lf GROUP BY ALL), rn AS (SELECT p,
 SELECT lf.p AS left_phrase, rf.p AS right_phrase, round(sum(lf.tf / ln.n * rf.tf / rn.n), 4) AS cosine
 FROM lf JOIN rf USING (f) JOIN ln ON ln.p = lf.p JOIN rn ON rn.p = rf.p GROUP BY lf.p, rf.p
 HAVING sum(lf.tf / ln.n * rf.tf / rn.n) >= 0.36""",
-    "vector_recall": """WITH q AS (SELECT label, min(vec_id) AS query_id, arg_min(embedding, vec_id) AS qv FROM embeddings GROUP BY label),
-s AS (SELECT query_id, vec_id, list_cosine_similarity(qv::DOUBLE[], embedding::DOUBLE[]) AS c FROM q, embeddings)
+    "vector_recall": """WITH s AS (
+  SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) AS c FROM embeddings q, embeddings e)
 SELECT query_id, vec_id, round(c, 4) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 4) DESC, vec_id) AS rank
 FROM s WHERE c >= 0.30 QUALIFY rank <= 20""",
-    "embedder_separability": """WITH two AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings QUALIFY n <= 2),
-p AS (SELECT a.label, a.embedding::DOUBLE[] AS qv, b.embedding::DOUBLE[] AS rv FROM two a JOIN two b ON a.label = b.label AND a.n = 1 AND b.n = 2),
-c AS (SELECT p.label AS case_id, list_cosine_similarity(p.qv, p.rv) AS near, list_cosine_similarity(p.qv, o.qv) AS far
-      FROM p JOIN p o ON o.label = (p.label + 1) % (SELECT count(*) FROM p))
+    "embedder_separability": """WITH p AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS v FROM embeddings GROUP BY label),
+c AS (SELECT e.vec_id AS case_id, list_cosine_similarity(e.embedding::DOUBLE[], p.v) AS near, list_cosine_similarity(e.embedding::DOUBLE[], o.v) AS far
+      FROM embeddings e JOIN p ON p.label = e.label JOIN p o ON o.label = (e.label + 1) % (SELECT count(*) FROM p))
 SELECT case_id, round(near, 4) AS near, round(far, 4) AS far, round(near - far, 4) AS margin, near - far > 0.05 AS ok FROM c""",
 }

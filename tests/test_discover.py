@@ -6,9 +6,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scholarmatch.functions import scale, text
+from scholarmatch.functions import text
 from scholarmatch.functions.scale import literal_table
 from scholarmatch.operators import discover
 
@@ -99,30 +100,50 @@ def test_hashed_vectors_are_unit_length_and_agree_without_collisions(spark):
     assert abs(sum(a * b for a, b in zip(v[0], v[1])) - cos("graph nets", "graph theory")) < 1e-9
 
 
-def test_blocked_contains_join_equals_broadcast(spark, monkeypatch):
+def test_contains_join_equals_all_pairs(spark):
     rng = random.Random(5)
-    values = spark.createDataFrame([("".join(rng.choices("abc", k=rng.randint(0, 9))),) for _ in range(60)], "v string")
-    terms = spark.createDataFrame([(t,) for t in ("a", "bc", "abc", "cabb", "zz", "")], "t string")
-    plain = sorted(map(tuple, discover.contains_join(values, terms.where("t <> ''"), "v", "t").collect()))
-    monkeypatch.setattr(discover, "is_small", lambda *_: False)
-    assert sorted(map(tuple, discover.contains_join(values, terms, "v", "t").select("v", "t").collect())) == plain
+    texts = ["".join(rng.choices("abc", k=rng.randint(0, 9))) for _ in range(60)] + [None, None, "abc", "abc"]
+    needles = ["a", "bc", "abc", "cabb", "zz", "", None, "a"]
+    values = spark.createDataFrame(list(enumerate(texts)), "i int, v string")
+    terms = spark.createDataFrame(list(enumerate(needles)), "j int, t string")
+    want = sorted((i, j) for i, v in enumerate(texts) for j, t in enumerate(needles) if v is not None and t and t in v)
+    got = discover.contains_join(values, terms, "v", "t")
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == want
 
 
-def test_many_queries_take_the_blocked_path(spark, catalog, monkeypatch):
-    q = ask(spark, "知识图谱", "graph", "history")
-    small = sorted(map(tuple, discover.term_filter(catalog, q).collect()))
-    monkeypatch.setattr(discover, "is_small", lambda *_: False)
-    assert sorted(map(tuple, discover.term_filter(catalog, q).select("query_id", *discover.KEY).collect())) == small
+def test_blocks_carry_no_text_and_grow_with_the_length(spark):
+    values = spark.createDataFrame([("abcdefgh" * 50,), ("x" * 1000,)], "v string").withColumn("id", F.xxhash64("v"))
+    rows = discover._blocks(values, "v", "id").collect()
+    assert set(rows[0].asDict()) == {"id", "_block"} and max(len(r["_block"]) for r in rows) == 3
+    assert len(rows) <= 3 * (400 + 3)
 
 
-def test_vector_recall_paths_agree(spark, monkeypatch):
+def test_no_nested_loop_join(spark, catalog):
+    plan = discover.rank_candidates(catalog, ask(spark, "graph"))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_term_filter_keeps_rows_with_null_keys_and_ignores_empty_terms(spark, catalog):
+    odd = catalog.withColumn("department", F.lit(None).cast("string"))
+    q = ask(spark, "graph")
+    assert discover.term_filter(odd, q).count() == discover.match_reasons(odd, q).select("name").distinct().count() > 0
+    blank = q.withColumn("terms", F.transform("terms", lambda t: F.struct(t["pos"], F.lit("").alias("needle"), t["term"])))
+    assert discover.term_filter(catalog, blank).count() == 0
+
+
+def test_vector_recall_equals_all_pairs(spark, monkeypatch):
     rng = random.Random(2)
-    vec = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)], i % 3) for i in range(60)], "vec_id long, embedding array<float>, label int")
-    q = discover.exemplar_vectors(vec)
-    fast = sorted(map(tuple, discover.vector_recall(q, vec, 0.3, 5).collect()))
-    monkeypatch.setattr(discover, "is_small", lambda *_: False)
-    slow = sorted(map(tuple, discover.vector_recall(q, vec, 0.3, 5).select("query_id", "vec_id", "cosine", "rank").collect()))
-    assert fast == slow and fast
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)] + [(60, None), (61, [1.0, 2.0]), (62, [0.0] * 8)]
+    vec = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = vec.where("vec_id < 20 OR vec_id >= 60").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    pairs = q.crossJoin(vec).select("query_id", "vec_id", discover.dense_cosine("query_vec", "embedding").alias("c")).where("c >= 0.3")
+    best = Window.partitionBy("query_id").orderBy(F.round("c", 4).desc(), "vec_id")
+    want = pairs.withColumn("rank", F.row_number().over(best)).where("rank <= 5").select("query_id", "vec_id", F.round("c", 4).alias("cosine"), "rank")
+    for block, part in ((1024, 65_536), (4, 16)):
+        monkeypatch.setattr(discover, "QUERY_BLOCK", block)
+        monkeypatch.setattr(discover, "VECTOR_PART", part)
+        got = discover.vector_recall(q, vec, 0.3, 5).select("query_id", "vec_id", "cosine", "rank")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_hybrid_adds_reasons_and_rescues_near_advisors(spark, catalog):
@@ -136,11 +157,7 @@ def test_hybrid_adds_reasons_and_rescues_near_advisors(spark, catalog):
 
 def test_embed_hook_batches_and_refuses_short_answers(spark):
     df = spark.createDataFrame([(i, "x" * 3000) for i in range(5)], "i int, t string")
-    out = discover.embed_texts(df, "i", "t", lambda texts: [[float(len(t)), float(len(texts) <= 2)] for t in texts], batch=2)
+    out = discover.embed_texts(df, "i", "t", lambda texts: [[float(len(t)), float(len(texts) <= 2)] for t in texts], batch=2, max_chars=2000)
     assert {tuple(r["embedding"]) for r in out.collect()} == {(2000.0, 1.0)}
     with pytest.raises(Exception, match="asked for"):
         discover.embed_texts(df, "i", "t", lambda texts: [], batch=2).collect()
-
-
-def test_size_check_bound(spark):
-    assert scale.BROADCAST_ROWS <= 100_000
