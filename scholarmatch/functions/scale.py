@@ -1,4 +1,4 @@
-"""Skew-safe building blocks: bounded broadcasts, running values over hot keys, literal tables."""
+"""Skew-safe building blocks: running values over hot keys, first rows, literal tables."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scholarmatch.sources.tables import settle
+
 def _literal(value) -> str:
     if value is None:
         return "NULL"
@@ -48,51 +50,56 @@ def keep_first(df: DataFrame, keys: Sequence[str | Column], order: str | Column)
     return packed.groupBy(*names).agg(F.min_by("_row", "_o").alias("_row")).select("_row.*")
 
 
+def _stretches(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None) -> DataFrame:
+    """``df`` cut by ranges of (keys, order) into stretches of about equally many rows, numbered in ``_part``.
+
+    The ranges are of row ranks, whatever the values of the order are, so a key that holds a third of all rows is a
+    third of all stretches. They are written once, as both levels below go over them.
+    """
+    by = [*keys, *order]
+    ranged = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    return settle(ranged.withColumn("_part", F.spark_partition_id()), "stretches")
+
+
+def _null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on keys that may be null; the left side's columns and the right side's new ones."""
+    renamed = other.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return df.join(renamed, same, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def previous_value(
-    df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, span: int = 1_000_000
+    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], value: str, out: str, parts: int | None = None
 ) -> DataFrame:
-    """``lag(value)`` per key, with a hot key cut into stretches of ``span`` order units.
+    """``lag(value)`` per key over a total ``order``, two-level so that no task sorts a whole hot key.
 
-    Inside a stretch it is a window; the value that precedes a stretch comes from one
-    summary row per (key, stretch), so no task ever sorts a whole hot key.
+    Inside a stretch it is a window; the value that precedes a stretch comes from one summary row per (key, stretch).
     """
-    cut = df.withColumn("_part", F.floor(F.col(order) / F.lit(span)))
-    inner = Window.partitionBy(*keys, "_part").orderBy(order)
+    order = [order] if isinstance(order, str) else list(order)
+    cut = _stretches(df, keys, order, parts)
+    inner = Window.partitionBy(*keys, "_part").orderBy(*order)
     lagged = cut.withColumn("_in", F.lag(F.struct(F.col(value).alias("v"))).over(inner))
-    tails = cut.groupBy(*keys, "_part").agg(
-        F.max_by(F.struct(F.col(value).alias("v")), F.col(order)).alias("_last_v")
-    )
+    tails = cut.groupBy(*keys, "_part").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last_v"))
     outer = Window.partitionBy(*keys).orderBy("_part")
     before = tails.select(*keys, "_part", F.lag("_last_v").over(outer).alias("_carried"))
-    joined = lagged.join(before, [*keys, "_part"], "left")
+    joined = _null_safe(lagged, before, [*keys, "_part"], "left")
     return joined.withColumn(out, F.coalesce("_in", "_carried")["v"]).drop("_part", "_in", "_carried")
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: str, amounts: dict[str, Column], span: int = 1_000_000
+    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], amounts: dict[str, Column], parts: int | None = None
 ) -> DataFrame:
-    """Inclusive running sums per key, two-level so that a hot key is spread over many tasks."""
-    cut = df.withColumn("_part", F.floor(F.col(order) / F.lit(span)))
-    for name, amount in amounts.items():
-        cut = cut.withColumn(f"_a_{name}", amount)
-    inner = (
-        Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    local = cut.select(
-        "*", *[F.sum(f"_a_{n}").over(inner).alias(f"_i_{n}") for n in amounts]
-    )
+    """Inclusive running sums per key over a total ``order``, two-level so that a hot key is spread over many tasks."""
+    order = [order] if isinstance(order, str) else list(order)
+    cut = _stretches(df.withColumns({f"_a_{n}": amount for n, amount in amounts.items()}), keys, order, parts)
+    inner = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.select("*", *[F.sum(f"_a_{n}").over(inner).alias(f"_i_{n}") for n in amounts])
     sums = cut.groupBy(*keys, "_part").agg(*[F.sum(f"_a_{n}").alias(f"_s_{n}") for n in amounts])
-    outer = (
-        Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    outer = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(
-        *keys,
-        "_part",
-        *[F.coalesce(F.sum(f"_s_{n}").over(outer), F.lit(0)).alias(f"_c_{n}") for n in amounts],
+        *keys, "_part", *[F.coalesce(F.sum(f"_s_{n}").over(outer), F.lit(0)).alias(f"_c_{n}") for n in amounts]
     )
-    joined = local.join(carried, [*keys, "_part"])
+    joined = _null_safe(local, carried, [*keys, "_part"], "inner")
     for name in amounts:
         joined = joined.withColumn(name, F.col(f"_i_{name}") + F.col(f"_c_{name}"))
-    return joined.drop(
-        "_part", *[f"_{p}_{n}" for n in amounts for p in ("a", "i", "c")]
-    )
+    return joined.drop("_part", *[f"_{p}_{n}" for n in amounts for p in ("a", "i", "c")])

@@ -84,11 +84,15 @@ def catalog_upsert(catalog: DataFrame | None, incoming: DataFrame) -> DataFrame:
 def roster_upsert(
     roster: DataFrame, incoming: DataFrame, kind: str, source_url: str = "", retrieved_at: str = ""
 ) -> DataFrame:
-    """Official rows set their flag and stamp and fill a blank note; a community reload replaces community rows."""
+    """Official rows set their flag and stamp and fill a blank note; a community reload replaces community rows.
+
+    Of several official notes for one person the first that is not blank counts, by ``seq``, the arrival order
+    (rows without that column: by the note itself).
+    """
     if kind == "official":
-        new = keep_first(
-            incoming.select(*ROSTER_KEY, F.col("note").alias("_note")), ROSTER_KEY, F.when(text.blank("_note"), 1).otherwise(0)
-        )
+        arrival = F.col("seq") if "seq" in incoming.columns else F.lit(0)
+        ordered = incoming.select(*ROSTER_KEY, F.col("note").alias("_note"), arrival.alias("_seq"))
+        new = keep_first(ordered, ROSTER_KEY, F.struct(text.blank("_note").alias("blank"), F.col("_seq"), F.col("_note"))).drop("_seq")
         both = roster.join(new.withColumn("_new", F.lit(True)), ROSTER_KEY, "full_outer")
         hit = F.col("_new").isNotNull()
         return both.select(

@@ -14,13 +14,16 @@ from scholarmatch.operators.pages import _LINE_END
 _MAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 
 
-def pii_redact(docs: DataFrame, surnames: str = "", name_col: str | None = None) -> DataFrame:
+def pii_redact(docs: DataFrame, surnames: str | None = None, name_col: str | None = None) -> DataFrame:
     """(doc_id, text, kinds): mails, mobile numbers, names and addresses masked, in this order.
 
-    A known name is masked as it stands; otherwise a character of ``surnames`` and one or two more.
+    A known name is masked as it stands; otherwise a character of ``surnames`` and one or two more. One of the two
+    is needed: without any no name could be masked.
     """
+    if name_col is None and not surnames:
+        raise ValueError("names are masked by a list of surnames or by a column of known names; give one")
     steps: list[tuple[str, str]] = [("email", _MAIL), ("phone", vocab.PHONE_PATTERN)]
-    if name_col is None and surnames:
+    if name_col is None:
         steps.append(("name", rf"(?<![一-龥])[{surnames}][一-龥]{{1,2}}"))
     out = docs.select("doc_id", F.col("text").alias("_t"), *([F.col(name_col).alias("_n")] if name_col else []))
     found = []

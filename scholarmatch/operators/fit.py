@@ -109,9 +109,18 @@ def _vocabulary_matches(values: DataFrame, materials: DataFrame, synonyms: Mappi
     return out.distinct()
 
 
+def _place(facts: DataFrame) -> Column:
+    """Order of a student's facts: the column ``pos`` if there is one, else the number at the end of the id."""
+    if "pos" in facts.columns:
+        return F.col("pos").cast("long")
+    return F.coalesce(F.regexp_extract("fact_id", r"([0-9]+)$", 1).try_cast("long"), F.lit(2**62))
+
+
 def _terms(facts: DataFrame) -> DataFrame:
     usable = draftable(facts).where(F.col("field").isin("skill", "interest"))
-    return usable.select("student_id", "fact_id", "field", F.col("value").alias("term"), F.lower(text.strip("value")).alias("value_key"))
+    return usable.select(
+        "student_id", "fact_id", _place(facts).alias("fact_pos"), "field", F.col("value").alias("term"), F.lower(text.strip("value")).alias("value_key")
+    )
 
 
 def _keyed(materials: DataFrame) -> DataFrame:
@@ -146,7 +155,7 @@ def term_matches(
     terms, mats = _terms(facts), _keyed(materials)
     pairs = _vocabulary_matches(terms, mats, synonyms)
     return _attach(requests, terms, mats, pairs).select(
-        *PAIR, "fact_id", "field", "term", "topic", "pos", "kind", "evidence_id"
+        *PAIR, "fact_id", "fact_pos", "field", "term", "topic", "pos", "kind", "evidence_id"
     )
 
 
@@ -155,20 +164,25 @@ def semantic_fallback(
 ) -> DataFrame:
     """Near pairs of terms and topics, only for requests without any term match."""
     open_requests = requests.select(*PAIR).distinct().join(matches.select(*PAIR).distinct(), PAIR, "left_anti")
-    terms, mats = _terms(facts), _keyed(materials)
+    # Only the terms and topics of open requests are compared.
+    terms = _terms(facts).join(open_requests.select("student_id").distinct(), "student_id", "left_semi")
+    mats = _keyed(materials).join(open_requests.select("professor_id").distinct(), "professor_id", "left_semi")
     near = discover.similar_pairs(
         terms.select(F.col("value_key").alias("phrase")), mats.select(F.col("topic_key").alias("phrase")), threshold
     ).select(F.col("left_phrase").alias("value_key"), F.col("right_phrase").alias("topic_key"), "cosine")
     return _attach(open_requests, terms, mats, near).select(
-        *PAIR, "fact_id", "field", "term", "topic", "pos", "kind", "evidence_id", "cosine"
+        *PAIR, "fact_id", "fact_pos", "field", "term", "topic", "pos", "kind", "evidence_id", "cosine"
     )
 
 
 def match_report(
-    requests: DataFrame, facts: DataFrame, professors: DataFrame, materials: DataFrame, matches: DataFrame, near: DataFrame | None = None
+    requests: DataFrame, facts: DataFrame, professors: DataFrame, materials: DataFrame, matches: DataFrame, near: DataFrame | None = None,
+    named_overlaps: int | None = None,
 ) -> DataFrame:
     """One row per request: gates, research fit, evidence sufficiency, recommendation and the reasons named.
 
+    All overlaps are named, or the first ``named_overlaps``.
+
     ``professors``: professor_id, identity_confirmed.
     """
     has_facts = draftable(facts).groupBy("student_id").agg(
@@ -184,12 +198,12 @@ def match_report(
         F.bool_or(F.col("field") == "interest").alias("_interest"),
     )
     named = matches.groupBy(*PAIR, "term", "topic").agg(
-        F.min(F.struct(F.when(F.col("field") == "skill", 0).otherwise(1).alias("a"), "fact_id", "pos")).alias("_o")
+        F.min(F.struct(F.when(F.col("field") == "skill", 0).otherwise(1).alias("a"), "fact_pos", "fact_id", "pos")).alias("_o")
     )
     order = Window.partitionBy(*PAIR).orderBy("_o", "term", "topic")
     first = (
         named.withColumn("_r", F.row_number().over(order))
-        .where("_r <= 3")
+        .where(F.lit(True) if named_overlaps is None else F.col("_r") <= named_overlaps)
         .groupBy(*PAIR)
         .agg(F.array_sort(F.collect_list(F.struct("_r", "term", "topic"))).alias("_n"))
     )
@@ -287,11 +301,14 @@ def template_draft(
     profile_topics: DataFrame,
     publications: DataFrame,
     paper_read: bool = False,
+    named_topics: int | None = None,
+    named_papers: int | None = None,
 ) -> DataFrame:
     """(student, professor, idx, text, sentence_type, refs): a letter whose every factual sentence names its sources.
 
     ``profile_topics``: professor_id, pos, topic, evidence_id; ``publications``: professor_id, seq,
-    title, year, evidence_id. At most three topics and the three newest papers are named.
+    title, year, evidence_id. Observed topics are named before declared ones where ``kind`` says which they are. All
+    topics and papers are named, or the first ``named_topics`` and the newest ``named_papers``.
     """
     base = requests.select(*PAIR).distinct()
     people = base.join(professors.select("professor_id", "name"), "professor_id")
@@ -307,7 +324,7 @@ def template_draft(
         )
 
     used = draftable(facts)
-    order = F.array_sort(F.collect_list(F.struct("fact_id", "value")))
+    order = F.array_sort(F.collect_list(F.struct(_place(facts).alias("at"), "fact_id", "value")))
 
     def listed(field: str) -> DataFrame:
         own = used.where(F.col("field") == field).groupBy("student_id").agg(order.alias("x"))
@@ -322,11 +339,15 @@ def template_draft(
     skills, interests = listed("skill"), listed("interest")
     either = skills.select(*PAIR).unionByName(interests.select(*PAIR)).distinct()
 
-    by_topic = Window.partitionBy("professor_id").orderBy("pos", "topic")
+    def first(r: str, most: int | None) -> Column:
+        return F.lit(True) if most is None else F.col(r) <= most
+
+    declared = (F.col("kind") != "observed") if "kind" in profile_topics.columns else F.lit(False)
+    by_topic = Window.partitionBy("professor_id").orderBy(declared, "pos", "topic")
     top_topics = (
         profile_topics.where(F.col("evidence_id").isNotNull())
         .withColumn("r", F.row_number().over(by_topic))
-        .where("r <= 3")
+        .where(first("r", named_topics))
         .groupBy("professor_id")
         .agg(F.array_sort(F.collect_list(F.struct("r", "topic", "evidence_id"))).alias("x"))
     )
@@ -334,7 +355,7 @@ def template_draft(
     top_papers = (
         publications.where(F.col("evidence_id").isNotNull())
         .withColumn("r", F.row_number().over(newest))
-        .where("r <= 3")
+        .where(first("r", named_papers))
         .groupBy("professor_id")
         .agg(F.array_sort(F.collect_list(F.struct("r", "title", "evidence_id"))).alias("x"))
     )

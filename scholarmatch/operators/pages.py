@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 from collections.abc import Sequence
 
@@ -13,35 +14,22 @@ from pyspark.sql import types as T
 from scholarmatch.functions import text, vocab
 from scholarmatch.functions.scale import previous_value, struct_array
 
-# The named character references that occur in pages; '&amp;' must be resolved last.
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®",
-    "&middot;": "·", "&times;": "×", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&lsquo;": "‘",
-    "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»", "&bull;": "•",
-}
 _LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
+@F.pandas_udf("string")
+def _resolved(values: pd.Series) -> pd.Series:
+    return values.map(html.unescape, na_action="ignore")
+
+
 def unescape(c: Column) -> Column:
-    """Character references as characters, inside the JVM."""
-    def by_number(acc: Column, ref: Column) -> Column:
-        hexed = F.lower(F.substring(ref, 3, 1)) == "x"
-        digits = F.regexp_extract(ref, r"&#[xX]?([0-9a-fA-F]+);", 1)
-        code = F.when(hexed, F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        usable = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(usable, F.replace(acc, ref, char)).otherwise(acc)
-
-    refs = F.array_distinct(F.regexp_extract_all(c, F.lit(r"(&#[xX]?[0-9a-fA-F]{1,7};)"), 1))
-    out = F.when(F.size(refs) > 0, F.aggregate(refs, c, by_number)).otherwise(c)
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
-
-
-def html_text(html) -> Column:
+    """All character references of the HTML standard, resolved in one pass from the left; texts without any stay in the JVM."""
+    return F.when(c.contains("&"), _resolved(F.when(c.contains("&"), c))).otherwise(c)
+
+
+def html_text(source) -> Column:
     """Readable text: scripts, styles and comments dropped, a line per block element, blanks squeezed."""
-    c = F.col(html) if isinstance(html, str) else html
+    c = F.col(source) if isinstance(source, str) else source
     blocks = "|".join(vocab.BLOCK_TAGS)
     bare = F.regexp_replace(c, r"(?s)<!--.*?-->|<![^>]*>", "")
     bare = F.regexp_replace(bare, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>", "")
@@ -350,9 +338,10 @@ def faculty_records(people: DataFrame, pages_text: DataFrame, profile_chars: int
 def page_freshness(fetches: DataFrame, now: str) -> DataFrame:
     """(url, fetched_at, expires_at, fresh, changed, hits) of the latest fetch of each url.
 
-    ``fetches``: url, fetched_at, content_hash, ttl_days, hits. Fresh means it expires after ``now``.
+    ``fetches``: url, fetched_at, content_hash, ttl_days, hits. Fresh means it expires after ``now``. Of fetches at
+    one instant the one with the highest content hash, then the longest ttl, is the latest.
     """
-    latest = Window.partitionBy("url").orderBy(F.desc("fetched_at"))
+    latest = Window.partitionBy("url").orderBy(F.desc("fetched_at"), F.desc("content_hash"), F.desc("ttl_days"))
     two = fetches.withColumn("_r", F.row_number().over(latest)).where("_r <= 2")
     sums = fetches.groupBy("url").agg(F.sum("hits").alias("hits"))
 
@@ -377,10 +366,11 @@ def page_freshness(fetches: DataFrame, now: str) -> DataFrame:
 
 
 def page_changes(fetches: DataFrame) -> DataFrame:
-    """Every fetch with whether its content differs from the fetch before it; null for the first one."""
-    timed = fetches.withColumn("_t", F.unix_micros(F.col("fetched_at").cast("timestamp")))
-    day = 86_400_000_000
-    before = previous_value(timed, ["url"], "_t", "content_hash", "previous_hash", span=30 * day)
+    """Every fetch with whether its content differs from the fetch before it; null for the first one.
+
+    Fetches of one instant follow one another by content hash.
+    """
+    before = previous_value(fetches, ["url"], ["fetched_at", "content_hash"], "content_hash", "previous_hash")
     return before.select(
         "url", "fetched_at", "content_hash", (F.col("content_hash") != F.col("previous_hash")).alias("changed")
     )

@@ -316,7 +316,7 @@ def call_caps(steps: DataFrame, caps: Mapping[str, int], intervals: Mapping[str,
     cap = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])
     gap = F.create_map(*[F.lit(x) for pair in intervals.items() for x in (pair[0], float(pair[1]))])
     timed = numbered.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    before = previous_value(timed, ["source"], "_us", "_us", "_before", span=3_600_000_000)
+    before = previous_value(timed, ["source"], ["_us", "run_id", "idx"], "_us", "_before")
     waited = F.try_element_at(gap, F.col("source")) - (F.col("_us") - F.col("_before")) / 1_000_000.0
     return before.select(
         "run_id",
@@ -370,8 +370,8 @@ def source_health(outcomes: DataFrame, shown: int = 3) -> DataFrame:
     )
 
 
-def stage_chain(steps: DataFrame, span: int = 1_000_000) -> DataFrame:
+def stage_chain(steps: DataFrame) -> DataFrame:
     """(run_id, idx, stage): the stages a run went through, repeats in a row once."""
     marked = steps.where("stage IS NOT NULL").select("run_id", "idx", "stage")
-    before = previous_value(marked, ["run_id"], "idx", "stage", "_before", span)
+    before = previous_value(marked, ["run_id"], "idx", "stage", "_before")
     return before.where(F.col("_before").isNull() | (F.col("_before") != F.col("stage"))).select("run_id", "idx", "stage")

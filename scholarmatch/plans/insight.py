@@ -15,6 +15,7 @@ KEYWORDS = {
     "economics": ("ment", "zxq"),
 }
 WORDS = ("red", "blue", "hot", "cold", "ring", "bolt", "gear", "rod", "zinc", "opal", "silk", "wool", "jade", "onyx", "ruby", "iron")
+UNRELATED = tuple(f"unrelated{i}" for i in range(len(WORDS)))
 
 
 def _topic_works(spark, sf):
@@ -113,6 +114,8 @@ def _facts(spark, sf, words=WORDS):
                 F.when(key % 6 == 0, F.lit("INFERRED")).otherwise(F.lit("FACT")),
             ),
             ("f4", "degree", "PhD", "FACT"),
+            ("f10", "skill", word(3), "FACT"),
+            ("f11", "interest", F.concat(F.lit("Brand#"), ((key + 7) % 40).cast("string")), "FACT"),
         ),
     )
     return c.select(key.alias("student_id"), F.explode(rows).alias("r")).select(
@@ -130,7 +133,8 @@ def _professors(spark, sf):
 
 
 def _materials(spark, sf):
-    p = load(spark, sf, "part").where("p_size % 13 <> 0")
+    """Topics and papers of the supervisors; one in thirteen has none."""
+    p = load(spark, sf, "part")
     key = F.col("p_partkey").cast("string")
     words = F.split("p_name", " ")
     ev, pub = F.concat(F.lit("ev_p"), key), F.concat(F.lit("ev_w"), key)
@@ -145,15 +149,16 @@ def _materials(spark, sf):
         item(3, "keyword", F.when(F.col("p_size") % 3 != 0, F.col("p_type")), pub),
         item(4, "text", F.concat_ws(" ", "p_name", "p_type"), pub),
     )
-    return p.select(F.col("p_partkey").alias("professor_id"), F.explode(listed).alias("m")).select("professor_id", "m.*").where(
+    held = F.when(F.col("p_size") % 13 == 0, F.slice(listed, 1, 0)).otherwise(listed)
+    return p.select(F.col("p_partkey").alias("professor_id"), F.explode(held).alias("m")).select("professor_id", "m.*").where(
         F.col("topic").isNotNull()
     )
 
 
 def _requests(spark, sf):
-    """Who asks about whom: the customer of every order about one part of it."""
+    """Who asks about whom: the customer of every order about every part in it."""
     o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("student_id"))
-    asked = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("professor_id"))
+    asked = load(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("professor_id"))
     return asked.join(o, "l_orderkey").select("student_id", "professor_id").distinct()
 
 
@@ -195,17 +200,17 @@ def match_invariants(spark, sf):
     first, m, hits, near = _report(spark, sf)
     first = settle(first, "reports")
     second, *_ = _report(spark, sf)
-    other = tuple(f"unrelated{i}" for i in range(len(WORDS)))
     return fit.match_invariants(
-        first, second, fit.topic_gaps(first, m, hits, near), fit.topic_gaps(*_report(spark, sf, other))
+        first, second, fit.topic_gaps(first, m, hits, near), fit.topic_gaps(*_report(spark, sf, UNRELATED))
     )
 
 
 def _draft(spark, sf, paper_read=False):
     r, f, p, m = _inputs(spark, sf)
-    tops = m.where("kind IN ('declared', 'observed')").select("professor_id", "pos", "topic", "evidence_id")
-    pubs = m.where("kind = 'text'").select(
-        "professor_id", F.col("pos").alias("seq"), F.col("topic").alias("title"), F.lit(2020).alias("year"), "evidence_id"
+    tops = m.where("kind IN ('declared', 'observed')").select("professor_id", "pos", "topic", "evidence_id", "kind")
+    pubs = m.where("kind IN ('keyword', 'text')").select(
+        "professor_id", F.col("pos").alias("seq"), F.col("topic").alias("title"),
+        (F.lit(2000) + (F.col("professor_id") * F.col("pos")) % 20).cast("int").alias("year"), "evidence_id",
     )
     return fit.template_draft(r, f, p, tops, pubs, paper_read)
 
@@ -305,9 +310,11 @@ def _fit_cte(words=WORDS) -> str:
     listed = "[" + ", ".join(f"'{w}'" for w in words) + "]"
     return f"""
 facts AS (
-  SELECT c_custkey AS student_id, unnest(['f1', 'f2', 'f3', 'f4']) AS fact_id, unnest(['skill', 'interest', 'interest', 'degree']) AS field,
-         unnest([{listed}[c_custkey % {len(words)} + 1], 'Brand#' || (c_custkey % 40), {listed}[(c_custkey + 5) % {len(words)} + 1] || ' ECONOMY', 'PhD']) AS value,
-         unnest([c_custkey % 7 <> 0, c_custkey % 7 <> 0, c_custkey % 7 <> 0 AND c_custkey % 6 <> 0, c_custkey % 7 <> 0]) AS ok
+  SELECT c_custkey AS student_id, unnest(['f1', 'f2', 'f3', 'f4', 'f10', 'f11']) AS fact_id, unnest([1, 2, 3, 4, 10, 11]) AS fact_pos,
+         unnest(['skill', 'interest', 'interest', 'degree', 'skill', 'interest']) AS field,
+         unnest([{listed}[c_custkey % {len(words)} + 1], 'Brand#' || (c_custkey % 40), {listed}[(c_custkey + 5) % {len(words)} + 1] || ' ECONOMY', 'PhD',
+                 {listed}[(c_custkey + 3) % {len(words)} + 1], 'Brand#' || ((c_custkey + 7) % 40)]) AS value,
+         c_custkey % 7 <> 0 AND (unnest([1, 2, 3, 4, 10, 11]) <> 3 OR c_custkey % 6 <> 0) AS ok
   FROM customer
 ),
 mats AS (
@@ -317,15 +324,15 @@ mats AS (
            unnest(['ev_p' || p_partkey, 'ev_p' || p_partkey, 'ev_p' || p_partkey, 'ev_w' || p_partkey, 'ev_w' || p_partkey]) AS evidence_id
     FROM part WHERE p_size % 13 <> 0) WHERE topic IS NOT NULL
 ),
-req AS (SELECT DISTINCT o_custkey AS student_id, p AS professor_id FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS p FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+req AS (SELECT DISTINCT o_custkey AS student_id, p AS professor_id FROM orders JOIN (SELECT l_orderkey, l_partkey AS p FROM lineitem) ON l_orderkey = o_orderkey),
 syn(a, b) AS (VALUES ('jade','hot'),('hot','jade'),('jade','stone'),('stone','jade'),('onyx','stone'),('stone','onyx'),('jade','onyx'),('onyx','jade'),('zinc','metal'),('metal','zinc')),
-terms AS (SELECT student_id, fact_id, field, value FROM facts WHERE ok AND field IN ('skill', 'interest')),
+terms AS (SELECT student_id, fact_id, fact_pos, field, value FROM facts WHERE ok AND field IN ('skill', 'interest')),
 vm AS (
   SELECT v, t FROM (SELECT DISTINCT value AS v FROM terms) a, (SELECT DISTINCT topic AS t FROM mats) b
   WHERE contains(lower(v), lower(t)) OR contains(lower(t), lower(v)) OR EXISTS (SELECT 1 FROM syn WHERE syn.a = lower(v) AND syn.b = lower(t))
 ),
 hits AS (
-  SELECT r.student_id, r.professor_id, f.fact_id, f.field, f.value AS term, m.topic, m.pos, m.kind, m.evidence_id
+  SELECT r.student_id, r.professor_id, f.fact_id, f.fact_pos, f.field, f.value AS term, m.topic, m.pos, m.kind, m.evidence_id
   FROM req r JOIN terms f USING (student_id) JOIN vm ON vm.v = f.value JOIN mats m ON m.professor_id = r.professor_id AND m.topic = vm.t
 ),
 fv AS (SELECT p, f, count(*) AS tf FROM (SELECT p, unnest(regexp_extract_all(p, '[a-zA-Z][a-zA-Z0-9+#.\\-]{{1,}}')) AS f FROM (SELECT DISTINCT lower(value) AS p FROM terms)) GROUP BY ALL),
@@ -341,8 +348,8 @@ sf AS (SELECT student_id, count(*) FILTER (field = 'skill') AS n_skills FROM fac
 shp AS (SELECT professor_id, bool_or(kind = 'declared') AS d, bool_or(kind = 'observed') AS o FROM mats GROUP BY 1),
 ph AS (SELECT student_id, professor_id, bool_or(field = 'skill') AS s, bool_or(field = 'interest') AS i FROM hits GROUP BY ALL),
 pn AS (SELECT DISTINCT student_id, professor_id FROM near),
-nm AS (SELECT student_id, professor_id, term, topic, min([CASE WHEN field = 'skill' THEN '0' ELSE '1' END, fact_id, pos::VARCHAR]) AS o FROM hits GROUP BY ALL),
-n3 AS (SELECT *, row_number() OVER (PARTITION BY student_id, professor_id ORDER BY o, term, topic) AS rn FROM nm QUALIFY rn <= 3),
+nm AS (SELECT student_id, professor_id, term, topic, min([CASE WHEN field = 'skill' THEN 0 ELSE 1 END, fact_pos, pos]) AS o FROM hits GROUP BY ALL),
+n3 AS (SELECT *, row_number() OVER (PARTITION BY student_id, professor_id ORDER BY o, term, topic) AS rn FROM nm),
 sm AS (SELECT student_id, professor_id, string_agg('学生「' || term || '」与导师研究「' || topic || '」形成交集', '；' ORDER BY rn) AS said FROM n3 GROUP BY ALL),
 lv AS (
   SELECT r.student_id, r.professor_id, sf.student_id IS NULL OR r.professor_id % 11 = 0 AS no_person, shp.professor_id IS NULL AS no_evidence,
@@ -364,9 +371,10 @@ rep AS (
 
 _FIT = _fit_cte()
 _DRAFT = """
-own AS (SELECT student_id, field, string_agg(value, '、' ORDER BY fact_id) AS vs, string_agg(fact_id, ',' ORDER BY fact_id) AS ids FROM terms GROUP BY ALL),
-t3 AS (SELECT professor_id, string_agg(topic, '、' ORDER BY pos) AS ts, string_agg(evidence_id, ',' ORDER BY pos) AS ids FROM mats WHERE kind IN ('declared', 'observed') GROUP BY 1),
-p3 AS (SELECT professor_id, topic AS title, evidence_id AS ids FROM mats WHERE kind = 'text'),
+own AS (SELECT student_id, field, string_agg(value, '、' ORDER BY fact_pos) AS vs, string_agg(fact_id, ',' ORDER BY fact_pos) AS ids FROM terms GROUP BY ALL),
+t3 AS (SELECT professor_id, string_agg(topic, '、' ORDER BY kind = 'declared', pos) AS ts, string_agg(evidence_id, ',' ORDER BY kind = 'declared', pos) AS ids FROM mats WHERE kind IN ('declared', 'observed') GROUP BY 1),
+pb AS (SELECT professor_id, topic, evidence_id, row_number() OVER (PARTITION BY professor_id ORDER BY 2000 + (professor_id * pos) % 20 DESC, pos) AS r FROM mats WHERE kind IN ('keyword', 'text')),
+p3 AS (SELECT professor_id, string_agg('《' || topic || '》', '、' ORDER BY r) AS title, string_agg(evidence_id, ',' ORDER BY r) AS ids, min_by(evidence_id, r) AS best FROM pb GROUP BY 1),
 sl AS (
   SELECT student_id, professor_id, 0 AS slot, '尊敬的Prof ' || professor_id || '老师，您好！' AS text, 'GENERIC' AS sentence_type, '' AS refs FROM req
   UNION ALL SELECT student_id, professor_id, 1, '我是' || student_id || '，想了解您的研究方向与招生安排。', 'GENERIC', '' FROM req
@@ -374,7 +382,7 @@ sl AS (
   UNION ALL SELECT student_id, professor_id, 3, '我的研究兴趣包括' || vs || '。', 'STUDENT_FACT', ids FROM req JOIN own USING (student_id) WHERE field = 'interest'
   UNION ALL SELECT student_id, professor_id, 4, '如果有机会进一步参与课题，我愿意从论文复现、实验整理和工程实现等具体工作做起。', 'GENERIC', '' FROM req WHERE student_id IN (SELECT student_id FROM own)
   UNION ALL SELECT student_id, professor_id, 5, '了解到您的公开研究涉及' || ts || '。', 'PROFESSOR_FACT', ids FROM req JOIN t3 USING (professor_id)
-  UNION ALL SELECT student_id, professor_id, 6, '您近年发表了《' || title || '》等成果。', 'PROFESSOR_FACT', ids FROM req JOIN p3 USING (professor_id)
+  UNION ALL SELECT student_id, professor_id, 6, '您近年发表了' || title || '等成果。', 'PROFESSOR_FACT', ids FROM req JOIN p3 USING (professor_id)
   UNION ALL SELECT student_id, professor_id, 8, '想请教您近期是否有相关研究或招生安排，感谢您的时间。', 'GENERIC', '' FROM req
   UNION ALL SELECT student_id, professor_id, 9, student_id::VARCHAR, 'GENERIC', '' FROM req
 ),
@@ -384,6 +392,12 @@ gp AS (
   AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.student_id = r.student_id AND h.professor_id = r.professor_id AND h.topic = m.topic)
   AND NOT EXISTS (SELECT 1 FROM near h WHERE h.student_id = r.student_id AND h.professor_id = r.professor_id AND h.topic = m.topic)
 )"""
+
+
+def _gap_count(words) -> str:
+    return f"SELECT count(*) AS n FROM (WITH {_fit_cte(words)}, {_DRAFT} SELECT * FROM gp)"
+
+
 _LABELS = "{'STRONG': '强交集', 'PARTIAL': '部分交集', 'WEAK': '交集较少', 'UNKNOWN': '证据不足', 'WORTH_CONTACTING': '值得进一步联系', 'LEARN_MORE': '先补充了解', 'LOW_PRIORITY': '当前优先级较低', 'INSUFFICIENT_EVIDENCE': '暂无法建议'}"
 _GUESS = ", ".join(
     f"""({i}, '{d}', {' + '.join(f"contains(text, '{w}')::INT" for w in ws)})"""
@@ -416,11 +430,23 @@ AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.student_id = r.student_id AND h.pro
 AND NOT EXISTS (SELECT 1 FROM near h WHERE h.student_id = r.student_id AND h.professor_id = r.professor_id AND h.topic = m.topic)""",
     "template_draft": f"WITH {_FIT}, {_DRAFT} SELECT * FROM dr",
     "fit_end_to_end": f"""WITH {_FIT}, {_DRAFT},
-n AS (SELECT student_id, professor_id, count(*) AS n FROM dr GROUP BY ALL)
-SELECT r.student_id, r.professor_id, research_fit, recommendation,
-       n + CASE WHEN p3.professor_id IS NULL THEN 0 WHEN r.professor_id % 3 = 0 THEN -1 ELSE 1 END AS sentences,
-       CASE WHEN p3.professor_id IS NOT NULL AND r.professor_id % 3 = 0 THEN 2 ELSE 0 END AS removed
-FROM rep r JOIN n ON n.student_id = r.student_id AND n.professor_id = r.professor_id LEFT JOIN p3 ON p3.professor_id = r.professor_id""",
+said AS (
+  SELECT student_id, professor_id, idx, sentence_type, refs FROM dr
+  UNION ALL SELECT student_id, professor_id, 99, 'PROFESSOR_FACT', best FROM req JOIN p3 USING (professor_id)
+),
+known AS (
+  SELECT DISTINCT student_id AS owner, 'STUDENT_FACT' AS kind, fact_id AS ref FROM facts WHERE ok
+  UNION SELECT DISTINCT professor_id, 'PROFESSOR_FACT', evidence_id FROM mats WHERE NOT (evidence_id LIKE 'ev_w%' AND professor_id % 3 = 0)
+),
+refd AS (SELECT student_id, professor_id, idx, sentence_type, unnest(string_split(refs, ',')) AS ref FROM said WHERE sentence_type <> 'GENERIC'),
+bad AS (
+  SELECT DISTINCT student_id, professor_id, idx FROM refd
+  LEFT JOIN known ON known.kind = sentence_type AND known.ref = refd.ref AND owner = CASE WHEN sentence_type = 'STUDENT_FACT' THEN student_id ELSE professor_id END
+  WHERE owner IS NULL
+),
+n AS (SELECT student_id, professor_id, count(*) AS n FROM said GROUP BY ALL), x AS (SELECT student_id, professor_id, count(*) AS x FROM bad GROUP BY ALL)
+SELECT r.student_id, r.professor_id, research_fit, recommendation, n - coalesce(x, 0) AS sentences, coalesce(x, 0) AS removed
+FROM rep r JOIN n ON n.student_id = r.student_id AND n.professor_id = r.professor_id LEFT JOIN x ON x.student_id = r.student_id AND x.professor_id = r.professor_id""",
     "run_report_export": f"""WITH {_FIT}, {_DRAFT}, lb AS (SELECT MAP {_LABELS} AS m),
 ru AS (SELECT *, student_id || '-' || professor_id AS run_id FROM rep),
 st AS (
@@ -430,6 +456,7 @@ SELECT run_id, unnest([0, 1, 2, 3, 4]) AS section, '' AS pos, unnest(['# 导师
 UNION ALL SELECT run_id, 1, p, '- ' || k || '：' || v, to_json({{'run_id': run_id, 'kind': 'match', 'value': {{'k': k, 'v': v}}}})::VARCHAR FROM st
 UNION ALL SELECT student_id || '-' || professor_id, 2, topic, '- ' || topic, to_json({{'run_id': student_id || '-' || professor_id, 'kind': 'gap', 'value': topic}})::VARCHAR FROM gp
 UNION ALL SELECT student_id || '-' || professor_id, 4, lpad(idx::VARCHAR, 4, '0'), '- ' || text, to_json({{'run_id': student_id || '-' || professor_id, 'kind': 'sentence', 'value': {{'idx': idx, 'text': text}}}})::VARCHAR FROM dr""",
-    "match_invariants": """SELECT 'match.determinism' AS key, 1.0::DOUBLE AS value, true AS higher_is_better, 1.0::DOUBLE AS gate
-UNION ALL SELECT 'match.monotonic', 1.0, true, 1.0""",
+    "match_invariants": f"""WITH related AS ({_gap_count(WORDS)}), unrelated AS ({_gap_count(UNRELATED)}), twice AS ({_gap_count(WORDS)})
+SELECT 'match.determinism' AS key, (related.n = twice.n)::INT::DOUBLE AS value, true AS higher_is_better, 1.0::DOUBLE AS gate FROM related, twice
+UNION ALL SELECT 'match.monotonic', (unrelated.n > related.n)::INT::DOUBLE, true, 1.0 FROM related, unrelated""",
 }

@@ -215,7 +215,7 @@ def source_health(spark, sf):
 
 
 def stage_chain(spark, sf):
-    return ops.stage_chain(_steps(spark, sf), span=500)
+    return ops.stage_chain(_steps(spark, sf))
 
 
 _GONE = str(uuid.UUID("c9f0f895-fb98-ab91-59f5-1fd0297e236d"))  # the UUID of user 8

@@ -117,7 +117,7 @@ def test_artifacts_replace_and_bad_json_is_skipped(spark):
 
 def test_stages_collapse_only_neighbours(spark):
     rows = [("r", i, s) for i, s in enumerate(["a", "a", None, "a", "b", "a"])]
-    got = runs.stage_chain(spark.createDataFrame(rows, "run_id string, idx long, stage string"), span=2).orderBy("idx").collect()
+    got = runs.stage_chain(spark.createDataFrame(rows, "run_id string, idx long, stage string")).orderBy("idx").collect()
     assert [r["stage"] for r in got] == ["a", "b", "a"]
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scholarmatch.functions.scale import keep_first, literal_table, previous_value, running_total
+from scholarmatch.functions.scale import _stretches, keep_first, literal_table, previous_value, running_total
 
 
 @pytest.fixture(scope="module")
@@ -17,21 +17,32 @@ def rows(spark):
     return spark.createDataFrame(data, "k string, o long, v string, n int")
 
 
-@pytest.mark.parametrize("span", [1, 7, 10_000])
-def test_previous_value_is_lag(rows, span):
+@pytest.mark.parametrize("parts", [1, 7, 50, None])
+def test_previous_value_is_lag(rows, parts):
     want = rows.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy("o"))).select("k", "o", "p")
-    got = previous_value(rows, ["k"], "o", "v", "p", span).select("k", "o", "p")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) or set(map(tuple, got.collect())) == set(
-        map(tuple, want.collect())
-    )
+    got = previous_value(rows, ["k"], "o", "v", "p", parts).select("k", "o", "p")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
-@pytest.mark.parametrize("span", [1, 7, 10_000])
-def test_running_total_is_cumulative_sum(rows, span):
+@pytest.mark.parametrize("parts", [1, 7, 50, None])
+def test_running_total_is_cumulative_sum(rows, parts):
     w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
-    want = {tuple(r) for r in rows.select("k", "o", F.sum("n").over(w)).collect()}
-    got = {tuple(r) for r in running_total(rows, ["k"], "o", {"t": F.col("n")}, span).select("k", "o", "t").collect()}
-    assert got == want
+    want = rows.select("k", "o", F.sum("n").over(w))
+    got = running_total(rows, ["k"], "o", {"t": F.col("n")}, parts).select("k", "o", "t")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_equal_instants_follow_the_whole_order(spark):
+    df = spark.createDataFrame([("a", 5, "y"), ("a", 5, "x"), ("a", 4, "z"), (None, 1, "q"), (None, 2, "r")], "k string, o long, v string")
+    got = {(r["k"], r["v"]): r["p"] for r in previous_value(df, ["k"], ["o", "v"], "v", "p", 3).collect()}
+    assert got == {("a", "z"): None, ("a", "x"): "z", ("a", "y"): "x", (None, "q"): None, (None, "r"): "q"}
+
+
+def test_a_hot_key_with_sparse_orders_is_cut(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("k"), (F.col("id") * 1_000_000).alias("o"))
+    cut = _stretches(rows, ["k"], ["o"], 30)
+    sizes = [r["count"] for r in cut.where("k = 'hot'").groupBy("_part").count().collect()]
+    assert sum(sizes) == 1000 and len(sizes) >= 8 and max(sizes) <= 300
 
 
 def test_keep_first_keeps_the_lowest_order(rows):
