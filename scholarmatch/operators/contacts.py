@@ -112,7 +112,7 @@ def _first_few(rows: DataFrame, value: str, order: str, n: int, out: str) -> Dat
 
 
 def collision_level(pairs: DataFrame, contacts: DataFrame, papers: DataFrame) -> DataFrame:
-    """(left_id, right_id, level, evidence) for every distinct selected pair."""
+    """(left_id, right_id, level, reason, evidence) for every distinct selected pair."""
     counts = settle(coauthor_counts(papers, contacts), "coauthors")
     p = settle(_distinct_pairs(pairs), "selected-pairs")
     shared = _first_few(shared_papers(p, papers), "title", "seq", 3, "shared")
@@ -159,13 +159,24 @@ def collision_level(pairs: DataFrame, contacts: DataFrame, papers: DataFrame) ->
         F.concat(F.lit(vocab.STEADY_EVIDENCE), "steady"),
     )
     quiet = ~high & (same | ~has_steady)
-    return rows.select(
-        "left_id", "right_id", level.alias("level"), F.when(quiet, F.lit("")).otherwise(said).alias("evidence")
+    why = vocab.PAIR_REASONS
+    reason = (
+        F.when(high, why["high"])
+        .when(same, why["college"])
+        .when(has_steady, why["steady"])
+        .when(F.col("level") == "LOW", why["low"])
+        .otherwise(why["unknown"])
+    )
+    return rows.withColumn("level", level).select(
+        "left_id", "right_id", "level", reason.alias("reason"), F.when(quiet, F.lit("")).otherwise(said).alias("evidence")
     )
 
 
-def group_assessment(selections: DataFrame, contacts: DataFrame, papers: DataFrame) -> DataFrame:
-    """(group_id, n_members, level, n_high, repeated_colleges) of each selection."""
+def group_assessment(selections: DataFrame, contacts: DataFrame, papers: DataFrame, named_colleges: int | None = None) -> DataFrame:
+    """(group_id, n_members, level, n_high, repeated_colleges, reason) of each selection.
+
+    The reason names all repeated colleges, or the first ``named_colleges``.
+    """
     pairs = settle(selected_pairs(selections, contacts), "group-pairs")
     judged = collision_level(pairs, contacts, papers)
     per_pair = pairs.join(judged, ["left_id", "right_id"], "left")
@@ -183,7 +194,7 @@ def group_assessment(selections: DataFrame, contacts: DataFrame, papers: DataFra
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= 2)
         .groupBy("group_id")
-        .agg(F.array_join(F.array_sort(F.collect_list("college")), "、").alias("repeated"))
+        .agg(F.array_sort(F.collect_list("college")).alias("repeated"))
     )
     rows = sums.join(colleges, "group_id", "left")
     level = (
@@ -193,10 +204,27 @@ def group_assessment(selections: DataFrame, contacts: DataFrame, papers: DataFra
         .when(F.coalesce("low", F.lit(False)), "LOW")
         .otherwise("UNKNOWN")
     )
+    why, members = vocab.GROUP_REASONS, F.col("n_members").cast("string")
+    shown = F.col("repeated") if named_colleges is None else F.slice("repeated", 1, named_colleges)
+    colleges_said = F.coalesce(F.array_join(shown, "、"), F.lit(why["college"]))
+
+    def filled(key: str, *values: Column) -> Column:
+        pieces = [F.lit(p) for p in why[key]]
+        return F.concat(pieces[0], *[x for pair in zip(values, pieces[1:]) for x in pair])
+
+    reason = (
+        F.when(F.col("n_members") < 2, why["few"])
+        .when(F.col("level") == "HIGH", filled("high", members, F.col("n_high").cast("string")))
+        .when(F.col("level") == "CAUTION", filled("caution", members, colleges_said))
+        .when(F.col("level") == "LOW", filled("low", members))
+        .otherwise(filled("unknown", members))
+    )
+    rows = rows.withColumn("level", level)
     return rows.select(
         "group_id",
         "n_members",
-        level.alias("level"),
+        "level",
         "n_high",
-        F.coalesce("repeated", F.lit("")).alias("repeated_colleges"),
+        F.coalesce(F.array_join("repeated", "、"), F.lit("")).alias("repeated_colleges"),
+        reason.alias("reason"),
     )

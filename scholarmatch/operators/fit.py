@@ -183,8 +183,11 @@ def match_report(
 
     All overlaps are named, or the first ``named_overlaps``.
 
-    ``professors``: professor_id, identity_confirmed.
+    ``professors``: professor_id, identity_confirmed and, if known, recruiting (a status; UNKNOWN where missing), which
+    is the opportunity signal and is asked about only while it is unknown.
     """
+    if "recruiting" not in professors.columns:
+        professors = professors.withColumn("recruiting", F.lit("UNKNOWN"))
     has_facts = draftable(facts).groupBy("student_id").agg(
         F.lit(True).alias("_facts"), F.count_if(F.col("field") == "skill").alias("n_skills")
     )
@@ -211,7 +214,7 @@ def match_report(
         requests.select(*PAIR)
         .distinct()
         .join(has_facts, "student_id", "left")
-        .join(professors.select("professor_id", "identity_confirmed"), "professor_id", "left")
+        .join(professors.select("professor_id", "identity_confirmed", F.coalesce("recruiting", F.lit("UNKNOWN")).alias("recruiting")), "professor_id", "left")
         .join(shape, "professor_id", "left")
         .join(hits, PAIR, "left")
         .join(first, PAIR, "left")
@@ -257,11 +260,62 @@ def match_report(
         F.when(gated, F.lit("")).otherwise(F.coalesce(said, F.lit(vocab.NO_OVERLAP))).alias("topic_summary"),
         F.when(no_person, vocab.ASK_IDENTITY)
         .when(no_evidence, vocab.ASK_EVIDENCE)
-        .otherwise(vocab.ASK_RECRUITING)
+        .when(F.col("recruiting") == "UNKNOWN", vocab.ASK_RECRUITING)
+        .otherwise("")
         .alias("question"),
+        F.when(gated, "UNKNOWN").otherwise(F.col("recruiting")).alias("opportunity_signal"),
     )
 
 
+def match_dimensions(
+    reports: DataFrame, facts: DataFrame, matches: DataFrame, near: DataFrame | None = None, kind: str = "surface", named: int | None = None
+) -> DataFrame:
+    """(student, professor, pos, key, label, level, summary, student_fact_ids, professor_evidence_ids, standing).
+
+    The dimensions of every report that was not gated, with the ids they rest on; ``standing`` is strength, weakness
+    or empty. A fourth one says what only the vectors found; it names all pairs or the first ``named``.
+    """
+    judged = reports.where("recommendation <> 'INSUFFICIENT_EVIDENCE'")
+    none = F.array().cast("array<string>")
+
+    def ids(rows: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct(*[c if isinstance(c, str) else c.alias(f"_{i}") for i, c in enumerate(order)], "fact_id", "evidence_id", "term", "topic")))
+        return rows.groupBy(*PAIR).agg(listed.alias("x"))
+
+    def of(field: str) -> Column:
+        return F.coalesce(F.transform("x", lambda v: v[field]), none)
+
+    def dimension(rows: DataFrame, pos: int, key: str, level: Column, summary: Column, student: Column, professor: Column) -> DataFrame:
+        return rows.select(
+            *PAIR, F.lit(pos).alias("pos"), F.lit(key).alias("key"), F.lit(vocab.DIMENSIONS[key]).alias("label"), level.alias("level"),
+            summary.alias("summary"), student.alias("student_fact_ids"), professor.alias("professor_evidence_ids"),
+        )
+
+    by_skill = F.when(F.col("field") == "skill", 0).otherwise(1)
+    topic = judged.join(ids(matches, [by_skill, "fact_pos", "pos"]), PAIR, "left")
+    skills = draftable(facts).where("field = 'skill'").withColumn("_at", _place(facts)).groupBy("student_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_at", "fact_id"))), lambda v: v["fact_id"]).alias("s")
+    )
+    skilled = judged.join(skills, "student_id", "left")
+    before, after = vocab.SKILL_SUMMARY
+    counted = F.concat(F.lit(before), F.greatest(F.size(F.coalesce("s", none)), F.lit(0)).cast("string"), F.lit(after))
+    enough = F.when(F.col("evidence_sufficiency") == "HIGH", "STRONG").when(F.col("evidence_sufficiency") == "MEDIUM", "PARTIAL").otherwise("WEAK")
+    out = (
+        dimension(topic, 0, "research_topic", F.col("research_fit"), F.col("topic_summary"), of("fact_id"), of("evidence_id"))
+        .unionByName(dimension(skilled, 1, "skill", F.col("skill_level"), counted, F.coalesce("s", none), none))
+        .unionByName(dimension(judged, 2, "evidence", enough, F.col("evidence_sufficiency"), none, none))
+    )
+    if near is not None:
+        close = judged.join(ids(near, [by_skill, "fact_pos", -F.round("cosine", 6), "pos"]), PAIR)
+        shown = F.col("x") if named is None else F.slice("x", 1, named)
+        said = F.array_join(F.transform(shown, lambda v: F.concat(v["term"], F.lit(vocab.NEAR_SIGN), v["topic"])), "、")
+        out = out.unionByName(
+            dimension(close, 3, kind, F.lit("PARTIAL"), F.concat(F.lit(f"{vocab.DIMENSIONS[kind]}："), said), of("fact_id"), of("evidence_id"))
+        )
+    standing = F.when(F.col("level") == "STRONG", "strength").when(F.col("level") == "WEAK", "weakness").otherwise("")
+    return out.withColumn("standing", standing)
+
+
 def topic_gaps(reports: DataFrame, materials: DataFrame, matches: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """(student, professor, topic): the supervisor's topics nothing of the student touches."""
     judged = reports.where("recommendation <> 'INSUFFICIENT_EVIDENCE'").select(*PAIR)

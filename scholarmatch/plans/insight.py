@@ -129,6 +129,7 @@ def _professors(spark, sf):
         F.col("p_partkey").alias("professor_id"),
         (F.col("p_partkey") % 11 != 0).alias("identity_confirmed"),
         F.concat(F.lit("Prof "), F.col("p_partkey").cast("string")).alias("name"),
+        F.when(F.col("p_partkey") % 5 == 0, "OPEN").otherwise("UNKNOWN").alias("recruiting"),
     )
 
 
@@ -191,6 +192,13 @@ def match_report(spark, sf):
     return _report(spark, sf)[0]
 
 
+def match_dimensions(spark, sf):
+    """The dimensions of every report; the lists of ids as text."""
+    report, _, hits, near = _report(spark, sf)
+    found = fit.match_dimensions(report, _facts(spark, sf), hits, near)
+    return found.withColumns({c: F.array_join(c, ",") for c in ("student_fact_ids", "professor_evidence_ids")})
+
+
 def topic_gaps(spark, sf):
     return fit.topic_gaps(*_report(spark, sf))
 
@@ -268,7 +276,7 @@ def run_report_export(spark, sf):
 
 _NAMES = (
     "works_by_topic topic_trend topic_evidence dominant_topic dominant_discipline guess_discipline assemble_profile profile_topics "
-    "asserted_fields term_matches semantic_fallback match_report topic_gaps match_invariants template_draft fit_end_to_end run_report_export"
+    "asserted_fields term_matches semantic_fallback match_report match_dimensions topic_gaps match_invariants template_draft fit_end_to_end run_report_export"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -340,7 +348,7 @@ ft AS (SELECT p, f, count(*) AS tf FROM (SELECT p, unnest(regexp_extract_all(p,
 nv AS (SELECT p, sqrt(sum(tf * tf)) AS n FROM fv GROUP BY 1), nt AS (SELECT p, sqrt(sum(tf * tf)) AS n FROM ft GROUP BY 1),
 sp AS (SELECT fv.p AS v, ft.p AS t, sum(fv.tf / nv.n * ft.tf / nt.n) AS cosine FROM fv JOIN ft USING (f) JOIN nv ON nv.p = fv.p JOIN nt ON nt.p = ft.p GROUP BY ALL HAVING sum(fv.tf / nv.n * ft.tf / nt.n) >= 0.36),
 near AS (
-  SELECT r.student_id, r.professor_id, f.fact_id, f.field, f.value AS term, m.topic, m.pos, m.kind, m.evidence_id, sp.cosine
+  SELECT r.student_id, r.professor_id, f.fact_id, f.fact_pos, f.field, f.value AS term, m.topic, m.pos, m.kind, m.evidence_id, sp.cosine
   FROM (SELECT * FROM req EXCEPT SELECT student_id, professor_id FROM hits) r JOIN terms f USING (student_id) JOIN sp ON sp.v = lower(f.value)
   JOIN mats m ON m.professor_id = r.professor_id AND lower(m.topic) = sp.t
 ),
@@ -364,7 +372,8 @@ rep AS (
          CASE WHEN no_person OR no_evidence THEN 'INSUFFICIENT_EVIDENCE' WHEN s THEN 'WORTH_CONTACTING' WHEN i THEN 'LEARN_MORE' ELSE 'LOW_PRIORITY' END AS recommendation,
          CASE WHEN no_person OR no_evidence THEN '' WHEN n_skills > 0 THEN 'STRONG' ELSE 'WEAK' END AS skill_level,
          CASE WHEN no_person OR no_evidence THEN '' ELSE coalesce(said, '现有事实中尚未找到直接研究交集') END AS topic_summary,
-         CASE WHEN no_person THEN '学生事实未确认或导师身份未确认' WHEN no_evidence THEN '导师证据不足' ELSE '导师招生状态未找到公开声明，建议在邮件中礼貌询问。' END AS question
+         CASE WHEN no_person THEN '学生事实未确认或导师身份未确认' WHEN no_evidence THEN '导师证据不足' WHEN professor_id % 5 = 0 THEN '' ELSE '导师招生状态未找到公开声明，建议在邮件中礼貌询问。' END AS question,
+         CASE WHEN NOT no_person AND NOT no_evidence AND professor_id % 5 = 0 THEN 'OPEN' ELSE 'UNKNOWN' END AS opportunity_signal
   FROM lv
 )"""
 
@@ -424,6 +433,22 @@ unnest([name, institution, department, title, email]) AS value, 'ev_' || person
     "term_matches": f"WITH {_FIT} SELECT student_id, professor_id, fact_id, topic, kind, evidence_id FROM hits",
     "semantic_fallback": f"WITH {_FIT} SELECT student_id, professor_id, fact_id, topic, kind, round(cosine, 4) AS cosine FROM near",
     "match_report": f"WITH {_FIT} SELECT * FROM rep",
+    "match_dimensions": f"""WITH {_FIT},
+ok AS (SELECT * FROM rep WHERE recommendation <> 'INSUFFICIENT_EVIDENCE'),
+hi AS (SELECT student_id, professor_id, string_agg(fact_id, ',' ORDER BY field <> 'skill', fact_pos, pos, evidence_id) AS f, string_agg(evidence_id, ',' ORDER BY field <> 'skill', fact_pos, pos, evidence_id) AS e FROM hits GROUP BY ALL),
+sk AS (SELECT student_id, count(*) AS n, string_agg(fact_id, ',' ORDER BY fact_pos) AS f FROM facts WHERE ok AND field = 'skill' GROUP BY 1),
+ne AS (
+  SELECT student_id, professor_id, string_agg(term || '≈' || topic, '、' ORDER BY field <> 'skill', fact_pos, -round(cosine, 6), pos, evidence_id) AS s,
+         string_agg(fact_id, ',' ORDER BY field <> 'skill', fact_pos, -round(cosine, 6), pos, evidence_id) AS f, string_agg(evidence_id, ',' ORDER BY field <> 'skill', fact_pos, -round(cosine, 6), pos, evidence_id) AS e
+  FROM near GROUP BY ALL
+),
+d AS (
+  SELECT student_id, professor_id, 0 AS pos, 'research_topic' AS key, '研究方向匹配' AS label, research_fit AS level, topic_summary AS summary, coalesce(f, '') AS student_fact_ids, coalesce(e, '') AS professor_evidence_ids FROM ok LEFT JOIN hi USING (student_id, professor_id)
+  UNION ALL SELECT student_id, professor_id, 1, 'skill', '技能覆盖', skill_level, '已确认技能 ' || coalesce(n, 0) || ' 项', coalesce(f, ''), '' FROM ok LEFT JOIN sk USING (student_id)
+  UNION ALL SELECT student_id, professor_id, 2, 'evidence', '证据充分度', CASE evidence_sufficiency WHEN 'HIGH' THEN 'STRONG' WHEN 'MEDIUM' THEN 'PARTIAL' ELSE 'WEAK' END, evidence_sufficiency, '', '' FROM ok
+  UNION ALL SELECT student_id, professor_id, 3, 'surface', '字面相近', 'PARTIAL', '字面相近：' || s, f, e FROM ok JOIN ne USING (student_id, professor_id)
+)
+SELECT *, CASE level WHEN 'STRONG' THEN 'strength' WHEN 'WEAK' THEN 'weakness' ELSE '' END AS standing FROM d""",
     "topic_gaps": f"""WITH {_FIT} SELECT DISTINCT r.student_id, r.professor_id, m.topic FROM rep r JOIN mats m USING (professor_id)
 WHERE recommendation <> 'INSUFFICIENT_EVIDENCE' AND kind IN ('declared', 'observed')
 AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.student_id = r.student_id AND h.professor_id = r.professor_id AND h.topic = m.topic)
