@@ -239,8 +239,39 @@ def catalog_io(spark, sf):
     )
 
 
+def _filled(df, table):
+    """``df`` with the declared columns it lacks as nulls."""
+    from pyspark.sql.types import StructType
+
+    fields = StructType.fromDDL(store.SCHEMAS[table]).fields
+    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in fields if f.name not in df.columns})
+
+
+def tables_io(spark, sf):
+    """Every declared table but the catalog, written in its layout and read back: rows and different keys."""
+    school = load(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("university"))
+    supplier = load(spark, sf, "supplier").join(F.broadcast(school), F.col("s_nationkey") == F.col("k"))  # 25 nations
+    customer = load(spark, sf, "customer").join(F.broadcast(school), F.col("c_nationkey") == F.col("k"))
+    tables = {
+        "roster": (supplier.select("university", F.col("s_name").alias("supervisor"), F.lit(True).alias("in_official")), "supervisor"),
+        "reviews": (customer.select("university", F.col("c_name").alias("supervisor"), F.col("c_acctbal").cast("double").alias("rate")), "supervisor"),
+        "faculty": (supplier.select("university", F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name")), "id"),
+        "pages": (load(spark, sf, "pages").select("url", F.col("html").alias("text"), F.sha2("html", 256).alias("content_hash")), "content_hash"),
+        "works": (load(spark, sf, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("title"), F.array("p_type").alias("topics")), "title"),
+        "runs": (load(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderstatus").alias("status")), "run_id"),
+        "artifacts": (load(spark, sf, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("kind"), F.col("props").alias("payload")), "payload"),
+    }
+    out = None
+    for table, (df, key) in tables.items():
+        path = store.scratch_path(spark, table)
+        store.write_table(_filled(df, table), path, table)
+        row = store.read_table(spark, path, table).agg(F.count("*").alias("n"), F.countDistinct(key).alias("n_keys")).select(F.lit(table).alias("table_name"), "n", "n_keys")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 _NAMES = (
-    "conform_openalex conform_crossref conform_dblp conform_europepmc conform_arxiv conform_scopus conform_springer conform_wanfang catalog_io"
+    "conform_openalex conform_crossref conform_dblp conform_europepmc conform_arxiv conform_scopus conform_springer conform_wanfang catalog_io tables_io"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -302,5 +333,12 @@ ORACLES = {
         "CASE WHEN k % 3 = 0 THEN lang || '|' || source ELSE '' END", "NULL::BIGINT", "text", _doi_case(4, "CASE WHEN k % 5 <> 0 THEN 'https://d.wanfangdata.com.cn/periodical/wf' || k END"), "万方",
         "'Fan' || k || ' A. Y.|Zhang Q.'", "'Org'", "''", "k % 20 <> 0 AND t0 <> '' QUALIFY row_number() OVER (PARTITION BY k // 100, t0 ORDER BY k) = 1",
     ),
+    "tables_io": """SELECT 'roster' AS table_name, count(*) AS n, count(DISTINCT s_name) AS n_keys FROM supplier
+UNION ALL SELECT 'reviews', count(*), count(DISTINCT c_name) FROM customer
+UNION ALL SELECT 'faculty', count(*), count(DISTINCT s_suppkey) FROM supplier
+UNION ALL SELECT 'pages', count(*), count(DISTINCT sha256(html)) FROM pages
+UNION ALL SELECT 'works', count(*), count(DISTINCT p_name) FROM part
+UNION ALL SELECT 'runs', count(*), count(DISTINCT o_orderkey) FROM orders
+UNION ALL SELECT 'artifacts', count(*), count(DISTINCT props) FROM events""",
     "catalog_io": f"WITH {model.BATCHES}, {model.MERGED} SELECT university, department, name, sources, length(field_sources) - length(replace(field_sources, ';', '')) AS n_origins, title, source_url FROM cat",
 }

@@ -168,10 +168,14 @@ def gates_passed(spark, sf):
 
 
 def baseline_compare(spark, sf):
-    """The claim and paper metrics against those of one source only, as the earlier snapshot."""
-    now = evaluate.disambiguation_metrics(_scores(spark, sf)).unionByName(_claim_metrics(spark, sf))
-    before = evaluate.disambiguation_metrics(_scores(spark, sf, ["case_id"]).where("case_id = 'src1'"))
-    out = evaluate.compare_to_baseline(now, before)
+    """The claim and paper metrics against the paper metrics saved as a snapshot before and read back."""
+    from scholarmatch.sources.tables import scratch_path
+
+    before = evaluate.disambiguation_metrics(_scores(spark, sf))
+    path = scratch_path(spark, "metrics")
+    evaluate.save_baseline(before, path)
+    now = before.unionByName(_claim_metrics(spark, sf))
+    out = evaluate.compare_to_baseline(now, evaluate.load_baseline(spark, path))
     return out.withColumns({c: F.round(c, 6) for c in ("before", "after", "delta")})
 
 
@@ -262,7 +266,7 @@ round(coalesce(avg((len(f) > 0 AND NOT badf)::INT) FILTER (kind = 'STUDENT_FACT'
     "metric_gates": f"""WITH {_CL}, {_SC}, {_MET} SELECT key, round(value, 6) AS value, higher_is_better, gate, gate IS NULL OR value >= gate AS passed FROM met""",
     "gates_passed": f"WITH {_CL}, {_SC}, {_MET} SELECT bool_and(gate IS NULL OR value >= gate) AS gates_passed FROM met",
     "baseline_compare": f"""WITH {_CL}, {_SC}, {_MET},
-b AS (SELECT 'disambig.precision' AS key, precision AS before FROM prf1 UNION ALL SELECT 'disambig.recall', recall FROM prf1 UNION ALL SELECT 'disambig.f1', f1 FROM prf1)
+b AS (SELECT key, value AS before FROM met WHERE key LIKE 'disambig.%')
 SELECT key, round(before, 6) AS before, round(value, 6) AS after, round(value - before, 6) AS delta, coalesce(value - before < 0 AND abs(value - before) >= 1e-9, false) AS regressed, before IS NULL AS "new"
 FROM met LEFT JOIN b USING (key)""",
 }

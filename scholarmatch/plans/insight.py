@@ -170,6 +170,17 @@ def _inputs(spark, sf, words=WORDS):
     return _requests(spark, sf), _facts(spark, sf, words), _professors(spark, sf), _materials(spark, sf)
 
 
+def profile_publications(spark, sf):
+    return fit.assemble_profile(_anchors(spark, sf), _topic_works(spark, sf), REF_YEAR)[2]
+
+
+def unbacked_fields(spark, sf):
+    """Stated fields of people whose profile is not among the evidence: that of every ninth is missing."""
+    profiles = fit.assemble_profile(_anchors(spark, sf), _topic_works(spark, sf), REF_YEAR)[0]
+    evidence = profiles.where("person % 9 <> 0").select(F.col("official_evidence_id").alias("id"))
+    return fit.unbacked_fields(fit.asserted_fields(profiles), evidence).select("person", "field", "value", "evidence_id")
+
+
 def term_matches(spark, sf):
     r, f, _, m = _inputs(spark, sf)
     return fit.term_matches(r, f, m, SYNONYMS).select("student_id", "professor_id", "fact_id", "topic", "kind", "evidence_id")
@@ -276,7 +287,7 @@ def run_report_export(spark, sf):
 
 _NAMES = (
     "works_by_topic topic_trend topic_evidence dominant_topic dominant_discipline guess_discipline assemble_profile profile_topics "
-    "asserted_fields term_matches semantic_fallback match_report match_dimensions topic_gaps match_invariants template_draft fit_end_to_end run_report_export"
+    "asserted_fields profile_publications unbacked_fields term_matches semantic_fallback match_report match_dimensions topic_gaps match_invariants template_draft fit_end_to_end run_report_export"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -430,6 +441,12 @@ SELECT person, 'prof_' || left(sha256(CASE WHEN homepage IS NOT NULL THEN 'homep
     "profile_topics": f"WITH {_TW}, {_PROF} SELECT * FROM pt",
     "asserted_fields": f"""WITH {_TW}, {_PROF} SELECT * FROM (SELECT person, unnest(['name', 'institution', 'department', 'title', 'email']) AS field,
 unnest([name, institution, department, title, email]) AS value, 'ev_' || person || '_profile' AS evidence_id FROM an) WHERE value IS NOT NULL""",
+    "profile_publications": """SELECT l_suppkey AS person, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS work_id,
+(l_orderkey * 8 + l_linenumber) * 1000000 + (l_partkey * 31 + l_suppkey) % 1000000 AS seq, p_name || ' ' || p_type AS title,
+CASE WHEN l_linenumber <> 7 THEN year(l_shipdate)::INTEGER END AS year, 'ev_' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS evidence_id
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey""",
+    "unbacked_fields": f"""WITH {_TW}, {_PROF} SELECT * FROM (SELECT person, unnest(['name', 'institution', 'department', 'title', 'email']) AS field,
+unnest([name, institution, department, title, email]) AS value, 'ev_' || person || '_profile' AS evidence_id FROM an WHERE person % 9 = 0) WHERE value IS NOT NULL""",
     "term_matches": f"WITH {_FIT} SELECT student_id, professor_id, fact_id, topic, kind, evidence_id FROM hits",
     "semantic_fallback": f"WITH {_FIT} SELECT student_id, professor_id, fact_id, topic, kind, round(cosine, 4) AS cosine FROM near",
     "match_report": f"WITH {_FIT} SELECT * FROM rep",

@@ -53,7 +53,7 @@ def run_pair(spark, sf_dir, query, sql, con=None):
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     spark_s = time.time() - started
     if sql is None:
-        return True, f"rows={len(got[1])} (no oracle)", spark_s
+        return False, f"rows={len(got[1])}, no oracle", spark_s
     cur = (con or duck(sf_dir)).execute(sql)
     want = rows_of([d[0] for d in cur.description], cur.fetchall())
     if got == want:
