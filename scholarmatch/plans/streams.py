@@ -28,7 +28,7 @@ def _stream_fetches(spark, sf):
 def stream_page_changes(spark, sf):
     folder = scratch_path(spark, "page-changes")
     jobs.page_changes(_stream_fetches(spark, sf), folder)
-    return spark.read.parquet(f"{folder}/data").select("url", "content_hash").distinct()
+    return spark.read.parquet(f"{folder}/data").groupBy("url", "content_hash").agg(F.count("*").alias("n"))
 
 
 def stream_catalog_upsert(spark, sf):
@@ -84,7 +84,7 @@ QUERIES = {n: globals()[n] for n in _NAMES}
 
 _W = f"WITH {operations._EV}, {operations._ST}"
 ORACLES = {
-    "stream_page_changes": f"WITH {documents._FETCH} SELECT DISTINCT url, content_hash FROM f",
+    "stream_page_changes": f"WITH {documents._FETCH} SELECT DISTINCT url, content_hash, 1::BIGINT AS n FROM f",
     "stream_catalog_upsert": f"WITH {tables.BATCHES}, {tables.MERGED} SELECT university, department, name, title, email, sources, source_url FROM cat",
     "stream_budget_gate": operations.ORACLES["budget_breach"].replace("SELECT run_id, arg_min(reason, idx)", "SELECT run_id::VARCHAR AS run_id, arg_min(reason, idx)"),
     "stream_trace_windows": f"""{_W}, w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS s, kind, count(*) AS n, sum(duration_ms) AS duration_ms FROM st GROUP BY ALL)
