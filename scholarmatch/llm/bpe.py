@@ -41,6 +41,7 @@ SHORT = 40
 STEP = 1 << 14
 #: White space of the normalizer and the splitter.
 _WHITE = "\t-\r \x85\xa0  -     　"
+_NEVER = (1 << 40, -1)
 _GAPS = regex.compile(f"[{_WHITE}]+")
 
 
@@ -97,12 +98,18 @@ class Model:
         rank, n = self.rank, len(symbols)
         if n < 24:
             symbols = list(symbols)
-            while len(symbols) > 1:
-                best = min((rank[p][0], i) for i, p in enumerate(zip(symbols, symbols[1:])) if p in rank) if any(p in rank for p in zip(symbols, symbols[1:])) else None
-                if best is None:
+            found = [rank.get(p, _NEVER) for p in zip(symbols, symbols[1:])]  # what each pair would become
+            while found:
+                best = min(found)
+                if best is _NEVER:
                     break
-                i = best[1]
-                symbols[i : i + 2] = [rank[symbols[i], symbols[i + 1]][1]]
+                i = found.index(best)
+                symbols[i : i + 2] = [best[1]]
+                del found[i]
+                if i:
+                    found[i - 1] = rank.get((symbols[i - 1], symbols[i]), _NEVER)
+                if i < len(found):
+                    found[i] = rank.get((symbols[i], symbols[i + 1]), _NEVER)
             return symbols
         token, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(*rank[p][:1], i, p) for i, p in enumerate(zip(symbols, symbols[1:])) if p in rank]
@@ -148,7 +155,9 @@ class Model:
             return found
         raw = word.encode()
         inner, size = self.inner, len(raw)
-        found = tuple(self.stream(self.last[b] if i == size - 1 else inner[b] for i, b in enumerate(raw)))
+        symbols = (self.last[b] if i == size - 1 else inner[b] for i, b in enumerate(raw))
+        # A word that fits the window is its own window.
+        found = tuple(self.merged(list(symbols)) if size <= self.lookahead else self.stream(symbols))
         if len(word) <= SHORT:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
