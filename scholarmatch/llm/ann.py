@@ -6,8 +6,9 @@ fitted on a bounded sample and halved until the lists are balanced. Every entry
 boundary, to further ones: those within ``REPLICA_RATIO`` of the nearest distance, unless a list already chosen lies
 nearer to that centroid than the entry does. A query walks an in-memory neighbour graph of the centroids, best first,
 and takes every list whose distance is within a ratio of the nearest; that ratio is calibrated on the sample for
-``TARGET`` recall, and nothing else limits the number of lists. The posting lists and queries meet in one shuffle; a
-list or a query group that is too large for one task is dealt out in parts.
+``TARGET`` recall, and nothing else limits the number of lists. Neighbouring lists share a bin, so that a query's
+best of all its lists in a bin is merged where the lists are; bins and queries meet in one shuffle, and a bin or a
+group of queries that is too large for one task is dealt out in parts.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or have another length than
 most, take no part (a query of that kind has no rows); a null id takes no part; rows repeated with id and vector are
@@ -17,6 +18,7 @@ one candidate and one query; ties go to the smaller id; with fewer than ``k`` ca
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholarmatch.sources.tables import settle
+
 #: Entries that a list should hold, and lists at most; the sample has so many entries per list.
 LIST_ROWS = 256
 MAX_LISTS = 4096
@@ -38,8 +42,13 @@ DEGREE = 24
 #: Recall that the ratio is calibrated for on the sample, and queries used for that.
 TARGET = 0.97
 CALIBRATE = 256
-#: Entries and queries of one list that meet in one task.
-PART = 8192
+#: Entries of a bin of lists; entries and queries of one bin that meet in one task.
+BIN_ROWS = 8192
+PART = 2 * BIN_ROWS
+
+
+#: Scores held at once when queries meet a bin.
+BLOCK = 1 << 20
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -134,8 +143,9 @@ class Router:
         return placed
 
 
-def calibrated(centers: np.ndarray, sample: np.ndarray, longest: float, k: int) -> Router:
-    """The router with the smallest ratio that finds ``TARGET`` of the sample's own neighbours in the sample."""
+def calibrated(centers: np.ndarray, sample: np.ndarray, longest: float, k: int) -> tuple[Router, np.ndarray]:
+    """The router with the smallest ratio that finds ``TARGET`` of the sample's own neighbours in the sample, and how
+    many of the sample each list holds."""
     router = Router(centers, longest)
     flat = lifted(sample, longest)
     step = max(1, len(sample) // CALIBRATE)
@@ -150,7 +160,17 @@ def calibrated(centers: np.ndarray, sample: np.ndarray, longest: float, k: int)
     needed = np.sort([min(far[q, c] for c in placed[n]) for q, row in enumerate(best) for n in row])
     at = min(len(needed) - 1, int(np.ceil(TARGET * len(needed)))) if len(needed) else 0
     router.ratio = float(needed[at]) * (1 + 1e-9) if len(needed) else 1.0
-    return router
+    return router, np.bincount([c for row in placed for c in row], minlength=len(centers))
+
+
+def bins(centers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A bin for each list: lists in the order of the centroids along their widest spread, filled up to ``BIN_ROWS``."""
+    middle = centers - centers.mean(0)
+    axis = np.linalg.svd(middle, full_matrices=False)[2][0] if len(centers) > 1 else np.ones(centers.shape[1])
+    order = np.argsort(middle @ axis, kind="stable")
+    out = np.empty(len(centers), np.int32)
+    out[order] = np.cumsum(sizes[order]) // BIN_ROWS
+    return out
 
 
 def clean(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -174,22 +194,36 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 
 def _meet(k: int):
-    def meet(lists: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        """Each query's best k + 1 ids in this part of a list, all ties of entries considered."""
-        out: list[tuple[int, int, float]] = []
-        if len(lists) and len(queries):
-            vectors, asked = _stack(lists["vec"]), _stack(queries["vec"])
-            ids = [np.asarray(i) for i in lists["ids"]]
-            for start in range(0, len(asked), 256):
-                block = asked[start : start + 256]
+    def meet(held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        """Each query's best k + 1 ids in its lists of this part of a bin, all ties of entries considered."""
+        asked_ids, found_ids, found_scores = [], [], []
+        if len(held) and len(queries):
+            vectors, asked = _stack(held["vec"]), _stack(queries["vec"])
+            ids = [np.asarray(i) for i in held["ids"]]
+            names, lists = np.unique(np.concatenate([np.asarray(x) for x in held["lists"]]), return_inverse=True)
+            owner = np.repeat(np.arange(len(held)), held["lists"].map(len))
+            inside = np.zeros((len(held), len(names)), bool)
+            inside[owner, lists] = True
+            wants = np.zeros((len(asked), len(names)), np.float32)
+            for q, row in enumerate(queries["lists"]):
+                row = np.asarray(row)
+                wants[q, np.searchsorted(names, row[np.isin(row, names)])] = 1
+            step = max(1, BLOCK // len(vectors))
+            for start in range(0, len(asked), step):
+                block = asked[start : start + step]
                 scores = block @ vectors.T
-                for q, row, rep in zip(block, scores, queries["q"].iloc[start : start + 256]):
+                scores[wants[start : start + step] @ inside.T.astype(np.float32) == 0] = -np.inf
+                for q, row, rep in zip(block, scores, queries["q"].iloc[start : start + step]):
                     cut = np.partition(row, -k - 1)[-k - 1] if len(row) > k + 1 else -np.inf
-                    kept = np.flatnonzero(row >= cut - 1e-9 * max(1.0, abs(cut)) if np.isfinite(cut) else np.ones(len(row), bool))
-                    exact = (vectors[kept] * q).sum(axis=1)
-                    flat = sorted((-s, i) for s, n in zip(exact.tolist(), kept) for i in ids[n].tolist())[: k + 1]
-                    out += [(rep, i, -s) for s, i in flat]
-        return pd.DataFrame(out, columns=["q", "vec_id", "score"]).astype({"q": "int64", "vec_id": "int64", "score": "float64"})
+                    kept = np.flatnonzero(row >= cut - 1e-9 * max(1.0, abs(cut)) if np.isfinite(cut) else np.isfinite(row))
+                    exact = np.repeat((vectors[kept] * q).sum(axis=1), [len(ids[n]) for n in kept])
+                    flat = np.concatenate([ids[n] for n in kept]) if len(kept) else np.zeros(0, np.int64)
+                    best = np.lexsort((flat, -exact))[: k + 1]
+                    asked_ids.append(np.full(len(best), rep))
+                    found_ids.append(flat[best])
+                    found_scores.append(exact[best])
+        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        return pd.DataFrame({"q": join(asked_ids, "int64"), "vec_id": join(found_ids, "int64"), "score": join(found_scores, "float64")})
 
     return meet
 
@@ -198,42 +232,58 @@ def search(table: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_id",
     """query_id, rank, vec_id, score: the ``k`` nearest other rows found for each row with ``asked``."""
     spark = table.sparkSession
     rows = clean(table.withColumn("_asked", asked), id_col, vec_col)
-    found = entries(rows, k)
+    found = settle(entries(rows, k), "ann-entries")
     facts = found.agg(F.count("*").alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)).alias("square")).first()
     if not facts["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = max(1, min(MAX_LISTS, facts["n"] // LIST_ROWS))
-    # A bounded sample by the hash of the vector: SAMPLE_PER_LIST * MAX_LISTS vectors at most.
-    sample = found.orderBy(F.xxhash64("vec"), "rep").limit(max(1024, SAMPLE_PER_LIST * lists)).select("vec")
-    sample = np.array([r["vec"] for r in sample.collect()], np.float64)
+    # A share of the entries by the hash of the vector: about SAMPLE_PER_LIST * lists of them, 65,536 at most expected.
+    share = min(1.0, max(1024, SAMPLE_PER_LIST * lists) / facts["n"])
+    sample = found.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("vec", "rep")
+    sample = sorted(sample.collect(), key=lambda r: r["rep"])
+    if not sample:  # a handful of entries, none of them drawn
+        sample = found.limit(1024).collect()
+    sample = np.array([r["vec"] for r in sample], np.float64)
     longest = float(np.sqrt(facts["square"])) * (1 + 1e-12)
-    router = calibrated(fit_centroids(lifted(sample, longest), lists), sample, longest, k)
-    shared = spark.sparkContext.broadcast(router)
+    router, held = calibrated(fit_centroids(lifted(sample, longest), lists), sample, longest, k)
+    shared = spark.sparkContext.broadcast((router, bins(router.centers, held * (facts["n"] / len(sample)))))
+
+    def by_bin(pdf: pd.DataFrame, chosen: list[list[int]], of: np.ndarray) -> pd.DataFrame:
+        """One row for each bin of a row's lists, with its lists there."""
+        grouped = [defaultdict(list) for _ in chosen]
+        for row, mine in zip(grouped, chosen):
+            for c in mine:
+                row[int(of[c])].append(c)
+        out = pdf.loc[pdf.index.repeat([len(g) for g in grouped])].copy()
+        out["bin"] = np.array([b for g in grouped for b in g], np.int32)
+        out["lists"] = [x for g in grouped for x in g.values()]
+        return out
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine, of = shared.value
         for pdf in batches:
             if len(pdf):
-                pdf["list"] = shared.value.place(lifted(_stack(pdf["vec"]), longest))
-                yield pdf.explode("list").astype({"list": "int32"})
+                yield by_bin(pdf, mine.place(lifted(_stack(pdf["vec"]), longest)), of)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine, of = shared.value
         for pdf in batches:
             if len(pdf):
-                flat = np.hstack([_stack(pdf["vec"]), np.zeros((len(pdf), 1))])
-                pdf["list"] = [shared.value.walk(v) for v in flat]
-                yield pdf.explode("list").astype({"list": "int32"})
+                yield by_bin(pdf, [mine.walk(v) for v in np.hstack([_stack(pdf["vec"]), np.zeros((len(pdf), 1))])], of)
 
-    question = clean(table.where(asked), id_col, vec_col).select("id", "vec").distinct()
+    question = settle(clean(table.where(asked), id_col, vec_col).select("id", "vec").distinct(), "ann-queries")
     asked_entries = question.groupBy("vec").agg(F.min("id").alias("q"))
-    postings = found.select("rep", "vec", "ids").mapInPandas(place, "rep long, vec array<double>, ids array<long>, list int")
-    routed = asked_entries.select("q", "vec").mapInPandas(route, "q long, vec array<double>, list int")
-    # Parts of large lists and of large groups of queries: every pair of parts of a list meets in a task of its own.
-    parts = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias(name))  # noqa: E731  one row per list
-    sizes = F.broadcast(parts(postings, "np").join(parts(routed, "nq"), "list"))
-    left = postings.join(sizes, "list").withColumn("p", F.pmod(F.xxhash64("rep"), F.col("np"))).withColumn("g", F.explode(F.expr("sequence(0, nq - 1)")))
-    right = routed.join(sizes, "list").withColumn("g", F.pmod(F.xxhash64("q"), F.col("nq")).cast("int")).withColumn("p", F.explode(F.expr("sequence(0L, np - 1L)")))
-    keys = ["list", "p", "g"]
-    met = left.select(*keys, "vec", "ids").groupBy(*keys).cogroup(right.select(*keys, "q", "vec").groupBy(*keys)).applyInPandas(_meet(k), "q long, vec_id long, score double")
+    postings = settle(found.select("rep", "vec", "ids").mapInPandas(place, "rep long, vec array<double>, ids array<long>, bin int, lists array<int>"), "ann-postings")
+    routed = settle(asked_entries.select("q", "vec").mapInPandas(route, "q long, vec array<double>, bin int, lists array<int>"), "ann-routed")
+    # Parts of large bins and of large groups of queries: every pair of parts of a bin meets in a task of its own.
+    parts = lambda df, name: df.groupBy("bin").agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
+    sizes = F.broadcast(parts(postings, "np").join(parts(routed, "nq"), "bin"))  # no more bins than lists
+    left = postings.join(sizes, "bin").withColumn("p", F.pmod(F.xxhash64("rep"), F.col("np")).cast("int")).withColumn("g", F.explode(F.expr("sequence(0, nq - 1)")))
+    right = routed.join(sizes, "bin").withColumn("g", F.pmod(F.xxhash64("q"), F.col("nq")).cast("int")).withColumn("p", F.explode(F.expr("sequence(0, np - 1)")))
+    keys = ["bin", "p", "g"]
+    met = left.select(*keys, "vec", "ids", "lists").groupBy(*keys).cogroup(right.select(*keys, "q", "vec", "lists").groupBy(*keys)).applyInPandas(
+        _meet(k), "q long, vec_id long, score double"
+    )
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
     best = met.groupBy("q", "vec_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     names = question.join(asked_entries.withColumnRenamed("vec", "_vec"), F.col("vec") == F.col("_vec")).select(F.col("id").alias("query_id"), "q")
