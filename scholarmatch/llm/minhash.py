@@ -379,22 +379,24 @@ def signed(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> Dat
 
 def classes(rows: DataFrame, threshold: float) -> DataFrame:
     """t, class: texts that are in a class with other texts."""
-    texts = settle(rows.where("bands IS NOT NULL").dropDuplicates(["t"]).drop("doc"), "near-texts")
-    banded = texts.select("t", F.posexplode("bands").alias("band", "key"))
+    # The vectors stay in the written table until it is known which are compared with which.
+    texts = rows.where("bands IS NOT NULL")
+    banded = texts.select("t", "bands").dropDuplicates(["t"]).select("t", F.posexplode("bands").alias("band", "key"))
     least = banded.groupBy("band", "key").agg(F.min("t").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     candidates = banded.join(least, ["band", "key"]).where("a != t").select("a", F.col("t").alias("b"))
-    groups = components(candidates)
     size = F.octet_length("keys") + F.octet_length("weights") + 100
-    placed = settle(groups.join(texts.drop("bands"), F.col("node") == F.col("t")).select("root", "t", "keys", "weights", "total"), "near-groups")
-    sizes = placed.groupBy("root").agg(F.sum(size).alias("size"))
+    measured = texts.groupBy("t").agg(F.max(size).alias("size"))
+    groups = settle(components(candidates).withColumnRenamed("node", "t").join(measured, "t"), "near-groups")
+    sizes = groups.groupBy("root").agg(F.sum("size").alias("size"))
     parts = F.ceil(F.col("size") / TASK_BYTES).cast("int")
-    sized = placed.join(sizes.select("root", parts.alias("parts")), "root")
-    bins = max(1, math.ceil((sizes.agg(F.sum("size")).first()[0] or 0) / (TASK_BYTES / 4)))
+    sized = groups.select("t", "root").join(sizes.select("root", parts.alias("parts")), "root")
+    bins = max(1, math.ceil((groups.agg(F.sum("size")).first()[0] or 0) / (TASK_BYTES / 4)))
     # A component of one part shares a task with others; of a larger one every two parts meet.
     alone = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))
     own = F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, own).alias("p"), F.greatest(x, own).alias("q")))
-    spread = sized.withColumn("pq", F.explode(F.when(F.col("parts") == 1, alone).otherwise(pairs)))
+    placed = texts.select("t", "keys", "weights", "total").join(sized, "t").dropDuplicates(["t"])
+    spread = placed.withColumn("pq", F.explode(F.when(F.col("parts") == 1, alone).otherwise(pairs)))
     tasked = spread.select(
         "root", "t", "keys", "weights", "total", F.when(F.col("parts") == 1, F.lit("")).otherwise(F.concat_ws(":", "root", "pq.p", "pq.q")).alias("pair"),
         F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.lit(-1)).alias("bin"),
