@@ -43,11 +43,11 @@ IDF = 0.5
 BANDS = 20
 ROWS = 4
 #: Bytes of text in a chunk, shingles of a hash range, bytes of vectors that one task compares.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 RANGE_SHINGLES = 1 << 21
 TASK_BYTES = 24 << 20
 #: Bytes hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _LOW = 40  # bits of a hash kept beside its range
 
 _U = np.uint64
