@@ -39,7 +39,7 @@ from scholarmatch.sources.tables import settle
 SHINGLE = 5
 THRESHOLD = 0.8
 #: How much the rarest shingle outweighs one that every document has.
-IDF = 0.5
+IDF = 0.25
 BANDS = 20
 ROWS = 4
 #: Bytes of text in a chunk, shingles of a hash range, bytes of vectors that one task compares.
