@@ -163,13 +163,14 @@ def semantic_fallback(
     requests: DataFrame, facts: DataFrame, materials: DataFrame, matches: DataFrame, threshold: float = vocab.LEXICAL_RECALL
 ) -> DataFrame:
     """Near pairs of terms and topics, only for requests without any term match."""
-    open_requests = requests.select(*PAIR).distinct().join(matches.select(*PAIR).distinct(), PAIR, "left_anti")
+    # written once: it gates the terms and the topics, and gets the pairs back in the end
+    open_requests = settle(requests.select(*PAIR).distinct().join(matches.select(*PAIR).distinct(), PAIR, "left_anti"), "open-requests")
     # Only the terms and topics of open requests are compared.
     terms = _terms(facts).join(open_requests.select("student_id").distinct(), "student_id", "left_semi")
     mats = _keyed(materials).join(open_requests.select("professor_id").distinct(), "professor_id", "left_semi")
-    near = discover.similar_pairs(
-        terms.select(F.col("value_key").alias("phrase")), mats.select(F.col("topic_key").alias("phrase")), threshold
-    ).select(F.col("left_phrase").alias("value_key"), F.col("right_phrase").alias("topic_key"), "cosine")
+    left = settle(terms.select(F.col("value_key").alias("phrase")).distinct(), "open-terms")
+    right = settle(mats.select(F.col("topic_key").alias("phrase")).distinct(), "open-topics")
+    near = discover.similar_pairs(left, right, threshold).select(F.col("left_phrase").alias("value_key"), F.col("right_phrase").alias("topic_key"), "cosine")
     return _attach(open_requests, terms, mats, near).select(
         *PAIR, "fact_id", "fact_pos", "field", "term", "topic", "pos", "kind", "evidence_id", "cosine"
     )

@@ -117,11 +117,22 @@ def test_draft_names_newest_papers_and_sources(world):
         [("full", i, f"t{i}", y, f"v{i}") for i, y in enumerate([2019, None, 2024, 2021, 2022])], "professor_id string, seq int, title string, year int, evidence_id string"
     )
     tops = mats.where("kind IN ('declared', 'observed')")
-    d = fit.template_draft(req.where("student_id = 'skill' AND professor_id = 'full'"), facts, profs, tops, pubs, paper_read=True).orderBy("idx").collect()
+    d = fit.template_draft(req.where("student_id = 'skill' AND professor_id = 'full'"), facts, profs, tops, pubs, paper_read=True, named_topics=3, named_papers=3).orderBy("idx").collect()
     assert [r["sentence_type"] for r in d] == ["GENERIC", "GENERIC", "STUDENT_FACT", "GENERIC", "PROFESSOR_FACT", "PROFESSOR_FACT", "PROFESSOR_FACT", "GENERIC", "GENERIC"]
     assert d[5]["text"] == "您近年发表了《t2》、《t4》、《t3》等成果。" and d[5]["refs"] == ["v2", "v4", "v3"] and d[6]["refs"] == ["v2"]
 
 
+def test_draft_keeps_the_order_of_many_facts_and_names_everything(spark):
+    req = spark.createDataFrame([("s", "p")], "student_id string, professor_id string")
+    facts = spark.createDataFrame([("s", f"fact_{i}", "skill", f"w{i}", "FACT", True) for i in range(12)], "student_id string, fact_id string, field string, value string, status string, user_confirmed boolean")
+    profs = spark.createDataFrame([("p", "Prof", True)], "professor_id string, name string, identity_confirmed boolean")
+    tops = spark.createDataFrame([("p", i, f"t{i}", f"e{i}", "declared" if i < 2 else "observed") for i in range(5)], "professor_id string, pos int, topic string, evidence_id string, kind string")
+    pubs = spark.createDataFrame([("p", 0, "x", 2020, "v0")], "professor_id string, seq int, title string, year int, evidence_id string")
+    d = {r["idx"]: r for r in fit.template_draft(req, facts, profs, tops, pubs).collect()}
+    assert d[2]["refs"] == [f"fact_{i}" for i in range(12)] and "、".join(f"w{i}" for i in range(12)) in d[2]["text"]
+    assert d[4]["refs"] == ["e2", "e3", "e4", "e0", "e1"]
+
+
 def test_claim_errors(spark):
     claims = spark.createDataFrame(
         [
