@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Words whose tokens a worker remembers; the memory is emptied when full.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 #: Longest word that is remembered.
 SHORT = 40
 #: Ids that the decoder takes at once.
