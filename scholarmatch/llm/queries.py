@@ -18,7 +18,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_schedule(_read(spark, sf_dir, "documents"))
+    return mixing.mix_schedule(_read(spark, sf_dir, "documents"), quantum=mixing.QUANTUM)  # its SQL deals whole shares of 1024
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
