@@ -39,8 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids, encoded and decoded."""
-    return bpe.token_rows(docs, public_tokenizers.path(TOKENIZER))
+    """The documents with their place in the mix (``mix_slot``, ``mix_offset``) and token ids, encoded and decoded."""
+    return bpe.token_rows(mixing.place_rows(docs), public_tokenizers.path(TOKENIZER))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

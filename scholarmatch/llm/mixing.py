@@ -198,6 +198,17 @@ def mix_schedule(
     )
 
 
+def place_rows(
+    docs: DataFrame, targets: dict | None = None, block_rows: int = BLOCK_ROWS, quantum: int | None = None, temperature: float = TEMPERATURE,
+    id_col: str = "doc_id", source_col: str = "source",
+) -> DataFrame:
+    """All rows of ``docs`` with ``mix_slot`` and ``mix_offset``, in that order: sorted shards, each a stretch of slots, one after the other."""
+    mixed = placed(docs, targets, block_rows, quantum, temperature, id_col, source_col)
+    return mixed.repartitionByRange("_slot", "_offset").sortWithinPartitions("_slot", "_offset").select(
+        "row.*", F.col("_slot").alias("mix_slot"), F.col("_offset").alias("mix_offset")
+    )
+
+
 def mix_rows(
     docs: DataFrame, targets: dict | None = None, block_rows: int = BLOCK_ROWS, quantum: int | None = None, temperature: float = TEMPERATURE,
     id_col: str = "doc_id", source_col: str = "source",

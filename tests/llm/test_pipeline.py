@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -11,6 +14,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from scholarmatch.llm import mixing
+from tests.llm.test_mixing import plain_places
 from tests.llm.test_operators import _plain_classes
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -66,3 +71,13 @@ def test_mixing_keeps_every_document(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     mixed = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, folder)
     assert sorted(map(repr, mixed.collect())) == sorted(map(repr, docs.collect()))
+
+
+def test_rows_of_the_pipeline_carry_the_mix(spark, folder):
+    kept = _model(spark.read.parquet(f"{folder}/documents.parquet").collect())
+    counts = Counter(r.source for r in kept)
+    weights = {s: Fraction(math.pow(n, mixing.TEMPERATURE)) for s, n in counts.items()}
+    whole = sum(weights.values())
+    want = plain_places([(r.doc_id, r.source) for r in kept], {s: w / whole for s, w in weights.items()})
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert {(r.doc_id, r.source): (r.mix_slot, r.mix_offset) for r in got} == want
