@@ -75,7 +75,7 @@ def _cleaned_lines() -> Column:
     )
 
 
-def _section(headings: Sequence[str], boundaries: Sequence[str], at_most: int) -> Column:
+def _section(headings: Sequence[str], boundaries: Sequence[str], at_most: int | None) -> Column:
     """First distinct lines of ``_clean`` under the headings, up to the next known heading."""
     def holds(line: Column, words: Sequence[str]) -> Column:
         return F.greatest(*[line.contains(w) for w in words], F.lit(False))
@@ -87,7 +87,7 @@ def _section(headings: Sequence[str], boundaries: Sequence[str], at_most: int) -
         closes = ~opens & acc["on"] & holds(line, boundaries)
         takes = (
             acc["on"] & ~opens & ~closes & (F.length(line) >= 4)
-            & (F.size(acc["got"]) < at_most) & ~F.array_contains(acc["got"], line)
+            & (F.lit(True) if at_most is None else F.size(acc["got"]) < at_most) & ~F.array_contains(acc["got"], line)
         )
         return F.struct(
             F.when(opens, F.lit(True)).when(closes, F.lit(False)).otherwise(acc["on"]).alias("on"),
@@ -101,7 +101,7 @@ def section_facts(
     docs: DataFrame,
     headings: Mapping[str, Sequence[str]] = vocab.SECTION_HEADINGS,
     boundaries: Sequence[str] = vocab.SECTION_BOUNDARIES,
-    at_most: int = 5,
+    at_most: int | None = None,
 ) -> DataFrame:
     """(doc_id, section, pos, line): lines listed under project and publication headings."""
     stops = [*boundaries, *[w for ws in headings.values() for w in ws]]
@@ -118,6 +118,8 @@ def cv_facts(
     interest_keys: Sequence[str] = vocab.INTEREST_KEYS,
     headings: Mapping[str, Sequence[str]] = vocab.SECTION_HEADINGS,
     boundaries: Sequence[str] = vocab.SECTION_BOUNDARIES,
+    max_schools: int | None = None,
+    max_lines: int | None = None,
 ) -> DataFrame:
     """(doc_id, fact_id, field, value, status, user_confirmed): candidate facts, none of them confirmed."""
     low = F.lower("text")
@@ -129,7 +131,8 @@ def cv_facts(
     def present(words: Sequence[str], hay: Column, fold: bool) -> Column:
         return F.array_compact(F.array(*[F.when(hay.contains(w.lower() if fold else w), F.lit(w)) for w in words]))
 
-    schools = F.slice(F.regexp_extract_all("text", F.lit(f"({institution})"), 1), 1, 3)
+    schools = F.regexp_extract_all("text", F.lit(f"({institution})"), 1)
+    schools = schools if max_schools is None else F.slice(schools, 1, max_schools)
     keyed = F.filter(_lines(), lambda x: F.greatest(*[x.contains(k) for k in interest_keys], F.lit(False)))
     interests = F.filter(
         F.transform(keyed, lambda x: text.strip(F.regexp_replace(text.strip(x), r"^[：: ]+|[：: ]+$", ""))), lambda v: v != ""
@@ -139,7 +142,7 @@ def cv_facts(
         as_facts("degree", present(degrees, F.col("text"), False)),
         as_facts("institution", schools),
         as_facts("interest", interests),
-        *[as_facts(k, _section(ws, stops, 5)) for k, ws in headings.items()],
+        *[as_facts(k, _section(ws, stops, max_lines)) for k, ws in headings.items()],
     ]
     read = docs.select("doc_id", "text", _cleaned_lines().alias("_clean"))
     rows = read.select("doc_id", F.posexplode(F.concat(*parts)).alias("pos", "x"))

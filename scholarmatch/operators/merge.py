@@ -247,7 +247,7 @@ def dedupe_titles(candidates: DataFrame, by: Sequence[str] = (), order: str = "s
 
 
 def title_fallback(
-    candidates: DataFrame, seeds: DataFrame, primary: DataFrame, secondary: DataFrame, enough: int = 3, max_seeds: int = 5
+    candidates: DataFrame, seeds: DataFrame, primary: DataFrame, secondary: DataFrame, enough: int = 3, max_seeds: int | None = None
 ) -> DataFrame:
     """Targets with too few papers also get works found by the titles of their known papers.
 
@@ -259,7 +259,7 @@ def title_fallback(
     first = Window.partitionBy("target_id").orderBy("pos")
     asked = (
         asked.withColumn("rank", F.row_number().over(first))
-        .where(F.col("rank") <= max_seeds)
+        .where(F.lit(True) if max_seeds is None else F.col("rank") <= max_seeds)
         .select("target_id", "rank", text.title_key("title").alias("title_key"))
         .where("title_key <> ''")
     )

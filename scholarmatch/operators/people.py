@@ -358,8 +358,8 @@ def apply_verdicts(candidates: DataFrame, verdicts: DataFrame, targets: DataFram
     return fingerprint_prefilter(merged, targets) if fingerprint else merged
 
 
-def affiliation_expansion(candidates: DataFrame, targets: DataFrame, index: DataFrame, top: int = 2) -> DataFrame:
-    """Adds the target's papers at the two most frequent other institutions under review.
+def affiliation_expansion(candidates: DataFrame, targets: DataFrame, index: DataFrame, top: int | None = None) -> DataFrame:
+    """Adds the target's papers at the other institutions under review, the ``top`` most frequent if given.
 
     ``index``: target_id (whose author search it answers), seq, title, institution.
     """
@@ -370,7 +370,7 @@ def affiliation_expansion(candidates: DataFrame, targets: DataFrame, index: Data
     )
     counted = other.groupBy("target_id", "_inst").agg(F.count("*").alias("n"), F.min("seq").alias("s"))
     order = Window.partitionBy("target_id").orderBy(F.desc("n"), "s", "_inst")
-    asked = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    asked = counted.withColumn("rank", F.row_number().over(order)).where(F.lit(True) if top is None else F.col("rank") <= top)
     extra = index.join(
         asked.select("target_id", F.col("_inst").alias("institution"), "rank"), ["target_id", "institution"]
     ).select(
@@ -389,8 +389,8 @@ def affiliation_expansion(candidates: DataFrame, targets: DataFrame, index: Data
     return keep_first(rows, ["target_id", "title"], "_o").drop("_o")
 
 
-def affiliation_check(candidates: DataFrame, targets: DataFrame, shown: int = 5) -> DataFrame:
-    """Per target: papers that agree, clash or cannot be judged, a few clashing titles, and a verdict."""
+def affiliation_check(candidates: DataFrame, targets: DataFrame, shown: int | None = None) -> DataFrame:
+    """Per target: papers that agree, clash or cannot be judged, clashing titles (the first ``shown`` if given), and a verdict."""
     pairs = _with_target(candidates, targets, "institution").withColumn(
         "agree", institutions_agree(F.col("institution"), F.col("target_institution"))
     )
@@ -405,7 +405,7 @@ def affiliation_check(candidates: DataFrame, targets: DataFrame, shown: int = 5)
         pairs.where(~F.col("agree") & (F.coalesce("title", F.lit("")) != ""))
         .select("target_id", "seq", "title")
         .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= shown)
+        .where(F.lit(True) if shown is None else F.col("n") <= shown)
         .groupBy("target_id")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "title"))), lambda x: x["title"]), "|").alias("conflicting_titles"))
     )

@@ -81,7 +81,7 @@ _MATCH = (
 _ANALYSIS = f"research_intersection {_POINTS}, method_match {_POINTS}, background_gaps {_POINTS}"
 
 
-def run_comparison(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
+def run_comparison(runs: DataFrame, artifacts: DataFrame, max_texts: int | None = None) -> DataFrame:
     """Completed runs with a profile and a match, as display rows with labels and fallbacks."""
     latest = run_views(artifacts, ("professor_profile", "match"), ("deep_analysis",)).toDF("run_id", "p", "m", "d")
     rows = (
@@ -98,17 +98,20 @@ def run_comparison(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
         known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
         return F.coalesce(F.try_element_at(known, F.coalesce(F.col(c), F.lit(""))), F.lit(fallback))
 
+    def joined(c: Column) -> Column:
+        return F.array_join(c if max_texts is None else F.slice(c, 1, max_texts), "；")
+
     def texts(*cs: str) -> Column:
         none = F.array().cast("array<string>")
         listed = F.concat(*[F.coalesce(F.transform(c, lambda p: p["text"]), none) for c in cs])
-        return F.array_join(F.slice(listed, 1, 2), "；")
+        return joined(listed)
 
     specific = F.filter(
         F.coalesce("m.dimensions", F.array().cast("array<struct<key:string,summary:string>>")),
         lambda x: (x["key"] == "research_topic") & x["summary"].contains(vocab.OVERLAP_PHRASE[0]) & x["summary"].contains(vocab.OVERLAP_PHRASE[1][2:]),
     )
-    fallback = F.array_join(F.slice(F.transform(specific, lambda x: x["summary"]), 1, 2), "；")
-    gaps = F.array_join(F.slice(F.coalesce("m.gaps", F.array().cast("array<string>")), 1, 2), "；")
+    fallback = joined(F.transform(specific, lambda x: x["summary"]))
+    gaps = joined(F.coalesce("m.gaps", F.array().cast("array<string>")))
     professor = or_else(F.col("p.name.value"), F.col("p.professor_id"))
     school = or_else(F.col("p.institution.value"), vocab.UNVERIFIED_SCHOOL)
     college = or_else(F.col("p.department.value"), vocab.UNVERIFIED_COLLEGE)
@@ -225,17 +228,18 @@ def trace_rollup(steps: DataFrame) -> DataFrame:
     )
 
 
-def trace_user_steps(steps: DataFrame) -> DataFrame:
+def trace_user_steps(steps: DataFrame, max_chars: int | None = None) -> DataFrame:
     """(run_id, idx, label, status, detail): tool calls in the words a user understands."""
     def table(entries: Mapping[str, str]) -> Column:
         return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
 
+    detail = F.coalesce(F.when(F.col("summary") != "", F.col("summary")), F.col("error"), F.lit(""))
     return steps.where("kind = 'tool_call'").select(
         "run_id",
         "idx",
         F.coalesce(F.try_element_at(table(vocab.TOOL_LABELS), F.col("name")), F.lit(vocab.OTHER_TOOL_LABEL)).alias("label"),
         F.coalesce(F.try_element_at(table(vocab.STATUS_LABELS), F.col("status")), F.col("status")).alias("status"),
-        F.substring(F.coalesce(F.when(F.col("summary") != "", F.col("summary")), F.col("error"), F.lit("")), 1, 72).alias("detail"),
+        (detail if max_chars is None else F.substring(detail, 1, max_chars)).alias("detail"),
     )
 
 
@@ -328,7 +332,7 @@ def call_caps(steps: DataFrame, caps: Mapping[str, int], intervals: Mapping[str,
     )
 
 
-def source_health(outcomes: DataFrame, shown: int = 3) -> DataFrame:
+def source_health(outcomes: DataFrame, shown: int | None = None) -> DataFrame:
     """Per run: sources asked, answered and failed, the first failed ones, cost and one line about it.
 
     ``outcomes``: run_id, pos, label, status, n, reason, cost — one row per source of a run.
@@ -363,7 +367,7 @@ def source_health(outcomes: DataFrame, shown: int = 3) -> DataFrame:
         "total",
         "searched",
         "failed",
-        F.array_join(F.slice("_f", 1, shown), "、").alias("failed_labels"),
+        F.array_join("_f" if shown is None else F.slice("_f", 1, shown), "、").alias("failed_labels"),
         ((F.col("searched") == 0) & (F.col("failed") > 0)).alias("unavailable"),
         "cost",
         line.alias("description"),

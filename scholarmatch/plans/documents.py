@@ -100,11 +100,11 @@ def pii_leak_audit(spark, sf):
 
 
 def cv_facts(spark, sf):
-    return cv.cv_facts(_docs(spark, sf), SKILLS, DEGREES, SCHOOL, KEYS, HEADINGS, STOPS)
+    return cv.cv_facts(_docs(spark, sf), SKILLS, DEGREES, SCHOOL, KEYS, HEADINGS, STOPS, max_schools=3, max_lines=5)
 
 
 def section_facts(spark, sf):
-    return cv.section_facts(_docs(spark, sf), HEADINGS, STOPS)
+    return cv.section_facts(_docs(spark, sf), HEADINGS, STOPS, at_most=5)
 
 
 def _edits(spark, sf):
@@ -117,12 +117,12 @@ def _edits(spark, sf):
 
 
 def fact_edits(spark, sf):
-    facts = cv.cv_facts(_docs(spark, sf), SKILLS, DEGREES, SCHOOL, KEYS, HEADINGS, STOPS).withColumnRenamed("doc_id", "student_id")
+    facts = cv.cv_facts(_docs(spark, sf), SKILLS, DEGREES, SCHOOL, KEYS, HEADINGS, STOPS, max_schools=3, max_lines=5).withColumnRenamed("doc_id", "student_id")
     return cv.replace_facts(facts, _edits(spark, sf))
 
 
 def confirm_facts(spark, sf):
-    facts = cv.cv_facts(_docs(spark, sf), SKILLS, DEGREES, SCHOOL, KEYS, HEADINGS, STOPS).withColumnRenamed("doc_id", "student_id")
+    facts = cv.cv_facts(_docs(spark, sf), SKILLS, DEGREES, SCHOOL, KEYS, HEADINGS, STOPS, max_schools=3, max_lines=5).withColumnRenamed("doc_id", "student_id")
     good = load(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("student_id"), F.lit("fact_1").alias("fact_id"))
     return cv.confirm_facts(facts, good).select("student_id", "fact_id", "field", "user_confirmed")
 

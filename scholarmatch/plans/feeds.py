@@ -60,7 +60,7 @@ def conform_openalex(spark, sf):
         primary_location=_st(source=_named(F.col("source"))),
         primary_topic=_st(display_name=F.col("lang"), subfield=_named(F.when(k % 2 == 0, F.lit("sub"))), field=_named(field)),
     )
-    return _flat(feeds.conform_openalex(d.select("seq", F.to_json(body).alias("payload"))))
+    return _flat(feeds.conform_openalex(d.select("seq", F.to_json(body).alias("payload")), max_schools=3))
 
 
 def conform_crossref(spark, sf):

@@ -115,7 +115,7 @@ def _rich_artifacts(spark, sf):
 
 
 def run_comparison(spark, sf):
-    return ops.run_comparison(_runs(spark, sf), _rich_artifacts(spark, sf))
+    return ops.run_comparison(_runs(spark, sf), _rich_artifacts(spark, sf), max_texts=2)
 
 
 def archive_page(spark, sf):
@@ -188,7 +188,7 @@ def trace_rollup(spark, sf):
 
 
 def trace_user_steps(spark, sf):
-    return ops.trace_user_steps(_steps(spark, sf))
+    return ops.trace_user_steps(_steps(spark, sf), max_chars=72)
 
 
 def budget_breach(spark, sf):
@@ -211,7 +211,7 @@ def source_health(spark, sf):
         F.when(F.col("t") == "view", F.col("c")).otherwise(0).alias("n"),
         F.when(F.col("pos") % 2 == 0, F.lit("r")).otherwise("").alias("reason"), (F.col("c") * 0.01).alias("cost"),
     )
-    return ops.source_health(outcomes)
+    return ops.source_health(outcomes, shown=3)
 
 
 def stage_chain(spark, sf):

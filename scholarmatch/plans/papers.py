@@ -44,7 +44,7 @@ def title_fallback(spark, sf):
     seeds = slim.select("target_id", F.col("seq").alias("pos"), "title")
     primary = slim.where("lang IN ('en', 'de')").drop("lang", "target_id")
     secondary = slim.where("lang IN ('fr', 'es')").drop("lang", "target_id")
-    return merge.title_fallback(found, seeds, primary, secondary).select("target_id", "seq", "title", "via")
+    return merge.title_fallback(found, seeds, primary, secondary, max_seeds=5).select("target_id", "seq", "title", "via")
 
 
 def _coverage_inputs(spark, sf):

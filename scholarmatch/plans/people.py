@@ -96,11 +96,11 @@ def affiliation_expansion(spark, sf):
         F.concat(F.lit("Extra "), F.col("l_partkey").cast("string")).alias("title"),
         "institution",
     )
-    return ops.affiliation_expansion(ops.rule_disambiguate(c, t), t, index)
+    return ops.affiliation_expansion(ops.rule_disambiguate(c, t), t, index, top=2)
 
 
 def affiliation_check(spark, sf):
-    return ops.affiliation_check(tables.candidates(spark, sf), tables.suppliers(spark, sf))
+    return ops.affiliation_check(tables.candidates(spark, sf), tables.suppliers(spark, sf), shown=5)
 
 
 def assess_identity(spark, sf):

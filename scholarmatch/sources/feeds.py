@@ -74,7 +74,7 @@ _OPENALEX = (
 )
 
 
-def conform_openalex(raw: DataFrame) -> DataFrame:
+def conform_openalex(raw: DataFrame, max_schools: int | None = None) -> DataFrame:
     """Bulk works; the abstract is put back together from its word positions."""
     w = raw.select("seq", F.from_json("payload", _OPENALEX).alias("w")).select("seq", "w.*")
     short = F.regexp_extract(F.regexp_replace(F.coalesce("id", F.lit("")), "/+$", ""), r"([^/]*)$", 1)
@@ -104,7 +104,7 @@ def conform_openalex(raw: DataFrame) -> DataFrame:
         abstract=F.coalesce(abstract, F.lit("")),
         source_url=F.coalesce(_doi_url(doi), F.when(short != "", F.concat(F.lit("https://openalex.org/"), short))),
         authors=_named(F.transform("authorships", lambda a: a["author"]["display_name"])),
-        institution=F.array_join(F.slice(schools, 1, 3), " / "),
+        institution=F.array_join(schools if max_schools is None else F.slice(schools, 1, max_schools), " / "),
         disciplines=F.array_compact(F.array(field)),
     )
 
