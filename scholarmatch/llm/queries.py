@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarmatch.llm import ann, bpe, exact_dedup, langid, lm_score, minhash, mixing, pii, secret_scan, warc
+from scholarmatch.llm import ann, bpe, collocations, exact_dedup, langid, line_labels, lm_score, minhash, mixing, pii, secret_scan, warc, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,19 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_pii(_read(spark, sf_dir, "documents"))
 
 
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_labels.quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_read(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))  # null beyond 64 bits, where only the operator's decimal has it
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -65,6 +78,9 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_mix_sources": op10_mix_sources,
+    "op11_line_quality": op11_line_quality,
+    "op12_whitening": op12_whitening,
+    "op13_collocations": op13_collocations,
 }
 
 _OP8 = """
@@ -121,7 +137,40 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+_OP13 = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+), w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p
+), o AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w
+), g AS (
+  SELECT lang, words[i : i + k - 1] AS words, k FROM o, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(words)
+), n AS (
+  SELECT lang, sum(len(words))::HUGEINT AS n FROM w GROUP BY lang
+), f AS (
+  SELECT lang, words, k, count(*) AS f FROM g GROUP BY lang, words, k HAVING count(*) >= 100
+), c AS (
+  SELECT f.lang, f.words, f.k, f.f AS a, l.f AS l, r.f AS r, n.n, j, 1000::HUGEINT * f.f * n.n // (l.f::HUGEINT * r.f) AS score
+  FROM f, (SELECT unnest(range(1, 5)) AS j), f AS l, f AS r, n
+  WHERE f.k > 1 AND j < f.k AND l.lang = f.lang AND r.lang = f.lang AND n.lang = f.lang AND l.words = f.words[1 : j] AND r.words = f.words[j + 1 : f.k]
+), s AS (
+  SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, j) = 1
+), sub AS (
+  SELECT s.lang, s.words[b : b + z - 1] AS words, max(s.a) AS most
+  FROM s, (SELECT unnest(range(1, 5)) AS b), (SELECT unnest(range(2, 5)) AS z) WHERE z < s.k AND b + z - 1 <= s.k GROUP BY ALL
+), ranked AS (
+  SELECT s.lang, array_to_string(s.words, ' ') AS phrase, a, l, r, n, score FROM s LEFT JOIN sub ON s.lang = sub.lang AND s.words = sub.words
+  WHERE sub.most IS NULL OR 100 * sub.most < 100 * s.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked QUALIFY rank <= 2000
+"""
+
 ORACLES = {
+    "op13_collocations": _OP13,
     "op9_warc": _OP9,
     "op8_exact_dedup": _OP8,
     "op10_mix_sources": _OP10,
