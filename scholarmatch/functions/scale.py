@@ -103,3 +103,50 @@ def running_total(
     for name in amounts:
         joined = joined.withColumn(name, F.col(f"_i_{name}") + F.col(f"_c_{name}"))
     return joined.drop("_part", *[f"_{p}_{n}" for n in amounts for p in ("a", "i", "c")])
+
+
+def spaced_starts(
+    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], asked: str, gap: Column, out: str, parts: int | None = None
+) -> DataFrame:
+    """``out``: when each row of a key can start, ``gap`` after the start before it or when it is ``asked``, if later.
+
+    start(i) = max(asked(i), start(i-1) + gap) is a prefix scan in (max, +): with i the row's place in its key,
+    start(i) = i * gap + max over j <= i of (asked(j) - j * gap). Both the place and the maximum are two-level, over
+    stretches of row ranks, so a key with a third of all rows is spread over a third of the stretches; all values are
+    whole numbers. ``gap`` is one number per key (null or none: rows start when asked); a null ``asked`` starts never
+    and holds up nobody.
+    """
+    order = [order] if isinstance(order, str) else list(order)
+    given = df.withColumn("_gap", F.coalesce(gap.cast("long"), F.lit(0)))
+    cut = _stretches(given, keys, order, parts)
+    inner = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = cut.withColumn("_at", F.count(asked).over(inner))
+    free = F.col(asked) - F.col("_at") * F.col("_gap")
+    local = placed.withColumn("_free", free).withColumn("_most", F.max("_free").over(inner))
+    ends = local.groupBy(*keys, "_part").agg(F.max("_at").alias("_n"), F.max("_free").alias("_top"), F.max("_gap").alias("_g"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    summed = ends.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    carried = summed.withColumn("_held", F.max(F.col("_top") - F.col("_off") * F.col("_g")).over(before))
+    joined = _null_safe(local, carried.select(*keys, "_part", "_off", "_held"), [*keys, "_part"], "inner")
+    start = (F.col("_off") + F.col("_at")) * F.col("_gap") + F.greatest(F.col("_most") - F.col("_off") * F.col("_gap"), F.col("_held"))
+    return joined.withColumn(out, F.when(F.col(asked).isNotNull(), start)).drop("_part", "_gap", "_at", "_free", "_most", "_off", "_held")
+
+
+def page_of(df: DataFrame, order: Sequence[Column], first: int, last: int, parts: int | None = None) -> DataFrame:
+    """The rows at places ``first`` to ``last - 1`` of a total order, without bringing the rows before them together.
+
+    The rows are cut into ranges of the order, written once; the ranges' counts (a row each) tell which of them hold
+    the page, and only their files are read again and numbered.
+    """
+    ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    cut = settle(ranged.withColumn("_part", F.spark_partition_id()), "pages")
+    counts = cut.groupBy("_part").count()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_off", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    held = placed.where((F.col("_off") < last) & (F.col("_off") + F.col("count") > first)).collect()
+    if not held:
+        return df.limit(0)
+    offset = F.create_map(*[F.lit(x) for r in held for x in (r["_part"], r["_off"])])
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + offset[F.col("_part")]
+    page = cut.where(F.col("_part").isin([r["_part"] for r in held])).withColumn("_place", place)
+    return page.where((F.col("_place") >= first) & (F.col("_place") < last)).drop("_part", "_place")

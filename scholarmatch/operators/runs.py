@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarmatch.functions import vocab
-from scholarmatch.functions.scale import previous_value, running_total
+from scholarmatch.functions.scale import page_of, previous_value, running_total, spaced_starts
 
 LIMITS = {
     "MAX_STEPS": 5,
@@ -141,8 +141,8 @@ def archive_filter(rows: DataFrame, query: str = "", school: str = "", college:
 
 
 def archive_page(rows: DataFrame, page: int = 1, size: int = 9) -> DataFrame:
-    """One page of the archive, newest runs first."""
-    return rows.orderBy(F.desc("created_at"), "run_id").offset((page - 1) * size).limit(size)
+    """One page of the archive, newest runs first; a late page reads the ranges that hold it, not all before it."""
+    return page_of(rows, [F.desc("created_at"), F.col("run_id")], (page - 1) * size, page * size)
 
 
 def archive_facets(rows: DataFrame, school: str = "") -> DataFrame:
@@ -314,21 +314,26 @@ def budget_breach(
 
 
 def call_caps(steps: DataFrame, caps: Mapping[str, int], intervals: Mapping[str, float]) -> DataFrame:
-    """(run_id, idx, name, source, skipped, wait_s): calls past a tool's cap, and the pause each source still needed."""
+    """(run_id, idx, name, source, skipped, wait_s, start_at): calls past a tool's cap, and when each other one starts.
+
+    A source takes one call per interval, in the order in which they are asked for. A call that has to wait starts
+    later and so holds up the ones after it, in its own and in other runs; a skipped call reaches no source.
+    """
     calls = steps.where("kind = 'tool_call'").select("run_id", "idx", "name", "source", "ts")
     numbered = running_total(calls, ["run_id", "name"], "idx", {"nth": F.lit(1)})
     cap = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])
-    gap = F.create_map(*[F.lit(x) for pair in intervals.items() for x in (pair[0], float(pair[1]))])
-    timed = numbered.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    before = previous_value(timed, ["source"], ["_us", "run_id", "idx"], "_us", "_before")
-    waited = F.try_element_at(gap, F.col("source")) - (F.col("_us") - F.col("_before")) / 1_000_000.0
-    return before.select(
+    gap = F.create_map(*[F.lit(x) for pair in intervals.items() for x in (pair[0], round(float(pair[1]) * 1_000_000))])
+    judged = numbered.withColumn("skipped", F.coalesce(F.col("nth") > F.try_element_at(cap, F.col("name")), F.lit(False)))
+    asked = judged.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_asked", F.when(~F.col("skipped"), F.col("_us")))
+    started = spaced_starts(asked, ["source"], ["_us", "run_id", "idx"], "_asked", F.try_element_at(gap, F.col("source")), "_start")
+    return started.select(
         "run_id",
         "idx",
         "name",
         "source",
-        F.coalesce(F.col("nth") > F.try_element_at(cap, F.col("name")), F.lit(False)).alias("skipped"),
-        F.greatest(F.coalesce(waited, F.lit(0.0)), F.lit(0.0)).alias("wait_s"),
+        "skipped",
+        F.coalesce((F.col("_start") - F.col("_asked")) / 1_000_000.0, F.lit(0.0)).alias("wait_s"),
+        F.timestamp_micros("_start").alias("start_at"),
     )
 
 

@@ -115,7 +115,7 @@ def _rich_artifacts(spark, sf):
 
 
 def run_comparison(spark, sf):
-    return ops.run_comparison(_runs(spark, sf), _rich_artifacts(spark, sf), max_texts=2)
+    return ops.run_comparison(_runs(spark, sf), _rich_artifacts(spark, sf))
 
 
 def archive_page(spark, sf):
@@ -188,7 +188,7 @@ def trace_rollup(spark, sf):
 
 
 def trace_user_steps(spark, sf):
-    return ops.trace_user_steps(_steps(spark, sf), max_chars=72)
+    return ops.trace_user_steps(_steps(spark, sf))
 
 
 def budget_breach(spark, sf):
@@ -196,7 +196,8 @@ def budget_breach(spark, sf):
 
 
 def call_caps(spark, sf):
-    return ops.call_caps(_steps(spark, sf), CAPS, INTERVALS).withColumn("wait_s", F.round("wait_s", 3))
+    found = ops.call_caps(_steps(spark, sf), CAPS, INTERVALS)
+    return found.withColumn("wait_s", F.round("wait_s", 3)).withColumn("start_at", F.col("start_at").cast("timestamp_ntz"))
 
 
 def source_health(spark, sf):
@@ -211,7 +212,7 @@ def source_health(spark, sf):
         F.when(F.col("t") == "view", F.col("c")).otherwise(0).alias("n"),
         F.when(F.col("pos") % 2 == 0, F.lit("r")).otherwise("").alias("reason"), (F.col("c") * 0.01).alias("cost"),
     )
-    return ops.source_health(outcomes, shown=3)
+    return ops.source_health(outcomes)
 
 
 def stage_chain(spark, sf):
@@ -256,9 +257,9 @@ cmp AS (
   SELECT run_id, coalesce(name, professor || ' · ' || school || ' · ' || college) AS record, professor, school, college,
          ['强交集', '部分交集', '交集较少', '证据不足', '证据不足'][mk % 5 + 1] AS fit, ['值得进一步联系', '先补充了解', '当前优先级较低', '暂无法建议'][mk % 4 + 1] AS advice,
          ['较充分', '一般', '不足'][mk % 3 + 1] AS sufficiency,
-         CASE WHEN dk % 2 = 0 AND dk % 3 = 0 THEN 'i' || dk || '；m1' WHEN dk % 2 = 0 THEN 'i' || dk WHEN dk % 3 = 0 THEN 'm1；m2'
+         CASE WHEN dk % 2 = 0 AND dk % 3 = 0 THEN 'i' || dk || '；m1；m2' WHEN dk % 2 = 0 THEN 'i' || dk WHEN dk % 3 = 0 THEN 'm1；m2'
               WHEN mk % 2 = 0 THEN '学生「a' || mk || '」与导师研究「b」形成交集' ELSE '旧记录暂无个性化分析；重新研究后可补齐' END AS overlap,
-         CASE WHEN dk % 5 = 0 THEN 'b1' WHEN mk % 3 = 0 THEN 'g1；g2' ELSE '暂无已核实的缺口结论' END AS to_add, created_at FROM c0
+         CASE WHEN dk % 5 = 0 THEN 'b1' WHEN mk % 3 = 0 THEN 'g1；g2；g3' ELSE '暂无已核实的缺口结论' END AS to_add, created_at FROM c0
 )"""
 _UU = "(left(md5({0}::VARCHAR), 8) || '-' || substr(md5({0}::VARCHAR), 9, 4) || '-' || substr(md5({0}::VARCHAR), 13, 4) || '-' || substr(md5({0}::VARCHAR), 17, 4) || '-' || substr(md5({0}::VARCHAR), 21, 12))"
 _RET = f"""
@@ -301,12 +302,15 @@ cu AS (SELECT run_id, idx, sum((kind = 'llm_decision')::INT) OVER w AS d, sum(CA
 rs AS (SELECT run_id, idx, CASE WHEN d >= 9 THEN 'MAX_STEPS' WHEN d >= 12 THEN 'MAX_LLM_CALLS' WHEN t >= 1500 THEN 'MAX_TOKENS' WHEN x >= 22 THEN 'MAX_EXTERNAL_CALLS'
          WHEN s >= 7 THEN 'SOURCE_RATE_LIMIT:' || source WHEN el >= 500000 THEN 'MAX_WALL_TIME' END AS reason FROM cu)
 SELECT run_id, arg_min(reason, idx) AS reason, min(idx) AS at_idx FROM rs WHERE reason IS NOT NULL GROUP BY run_id""",
-    "call_caps": f"""WITH {_EV}, {_ST}, c AS (SELECT *, row_number() OVER (PARTITION BY run_id, name ORDER BY idx) AS nth, lag(ts) OVER (PARTITION BY source ORDER BY ts) AS p FROM st WHERE kind = 'tool_call')
-SELECT run_id, idx, name, source, nth > CASE name WHEN 'search_by_author' THEN 4 WHEN 'other_tool' THEN 2 ELSE 1000000 END AS skipped,
-       round(greatest(coalesce(CASE source WHEN 'src0' THEN 3000 WHEN 'src1' THEN 600 WHEN 'src2' THEN 120 END - epoch(ts - p), 0), 0), 3) AS wait_s FROM c""",
+    "call_caps": f"""WITH {_EV}, {_ST},
+c AS (SELECT *, row_number() OVER (PARTITION BY run_id, name ORDER BY idx) > CASE name WHEN 'search_by_author' THEN 4 WHEN 'other_tool' THEN 2 ELSE 1000000 END AS skipped,
+        CASE source WHEN 'src0' THEN 3000000000 WHEN 'src1' THEN 600000000 WHEN 'src2' THEN 120000000 ELSE 0 END AS gap FROM st WHERE kind = 'tool_call'),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ts, run_id, idx) AS i FROM c WHERE NOT skipped),
+s AS (SELECT run_id, idx, i * gap + max(epoch_us(ts) - i * gap) OVER (PARTITION BY source ORDER BY i) AS us FROM p)
+SELECT c.run_id, c.idx, name, source, skipped, round(coalesce((us - epoch_us(ts)) / 1000000.0, 0), 3) AS wait_s, make_timestamp(us) AS start_at FROM c LEFT JOIN s ON s.run_id = c.run_id AND s.idx = c.idx""",
     "source_health": f"""WITH {_EV}, p AS (SELECT user_id AS run_id, k % 8 AS pos, arg_max(event_type, event_id) AS t, count(*) AS c FROM ev GROUP BY ALL),
 o AS (SELECT run_id, pos, 'S' || pos AS label, t, c, t IN ('purchase', 'error') AS bad, CASE WHEN pos % 2 = 0 THEN 'r' ELSE '' END AS reason FROM p),
-f AS (SELECT run_id, string_agg(label, '、' ORDER BY pos) AS l FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS n FROM o WHERE bad QUALIFY n <= 3) GROUP BY 1),
+f AS (SELECT run_id, string_agg(label, '、' ORDER BY pos) AS l FROM o WHERE bad GROUP BY 1),
 s AS (SELECT run_id, count(*) AS total, count(*) FILTER (t IN ('view', 'click')) AS searched, count(*) FILTER (bad) AS failed, round(sum(c * 0.01::DOUBLE), 6) AS cost,
   string_agg(label || ' ' || c || ' 篇' || CASE WHEN reason <> '' THEN '（' || reason || '）' ELSE '' END, '、' ORDER BY pos) FILTER (t = 'view') AS u,
   string_agg(label || '（' || reason || '）', '、' ORDER BY pos) FILTER (bad) AS q FROM o GROUP BY 1)
