@@ -12,7 +12,7 @@ from scholarmatch.functions import text, vocab
 KEY = ("university", "department", "name")
 
 
-def _values(field: str) -> Column:
+def searched_values(field: str) -> Column:
     """The texts of one catalog field as an array."""
     c = F.col(field)
     if field in ("department", "profile_text"):
@@ -24,7 +24,7 @@ def _values(field: str) -> Column:
 
 def _folded(catalog: DataFrame) -> DataFrame:
     """The catalog with its searched texts folded once per row, not once per query and term."""
-    return catalog.withColumns({f"_v_{f}": _values(f) for f in vocab.FIELD_WEIGHTS})
+    return catalog.withColumns({f"_v_{f}": searched_values(f) for f in vocab.FIELD_WEIGHTS})
 
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
@@ -91,7 +91,8 @@ def _hit(field: str, needle: Column) -> Column:
     return F.exists(f"_v_{field}", lambda v: v.contains(needle))
 
 
-def _score() -> Column:
+def score_terms() -> Column:
+    """The weights of all fields of a folded row that each term of its query is found in."""
     return F.aggregate(
         "terms",
         F.lit(0),
@@ -175,7 +176,7 @@ def rank_candidates(
         catalog = catalog.where(F.col("university").isin(list(universities)))
     scored = (
         _matched(catalog, queries)
-        .select("query_id", *KEY, _score().alias("match_score"), completeness(catalog).alias("completeness"))
+        .select("query_id", *KEY, score_terms().alias("match_score"), completeness(catalog).alias("completeness"))
         .where(F.col("match_score") >= min_score)
         .withColumn("similarity", F.lit(0.0))
     )
@@ -237,7 +238,7 @@ def hybrid_rank(
     kind: str = "surface",
 ) -> DataFrame:
     """Keyword rank first; a near vector adds a reason and may bring in advisors without a keyword."""
-    keyword = _matched(catalog, queries).select("query_id", *KEY, _score().alias("match_score"))
+    keyword = _matched(catalog, queries).select("query_id", *KEY, score_terms().alias("match_score"))
     filled = catalog.select(*KEY, completeness(catalog).alias("completeness"))
     both = keyword.join(similarity, ["query_id", *KEY], "full_outer").select(
         "query_id",
@@ -367,69 +368,6 @@ def dense_cosine(a, b) -> Column:
     return F.when(usable, dot(ca, cb) / whole).otherwise(0.0)
 
 
-#: Query vectors that visit a part of the vectors together, and vectors in such a part.
-QUERY_BLOCK = 1024
-VECTOR_PART = 65_536
-
-
-def vector_recall(
-    queries: DataFrame, vectors: DataFrame, threshold: float = vocab.MODEL_RECALL, k: int = 20
-) -> DataFrame:
-    """(query_id, vec_id, cosine, rank): per query vector the ``k`` nearest at or above the threshold.
-
-    Blocks of queries visit parts of the vectors, a matrix product each, of which every query keeps its ``k`` best.
-    A vector that is null, zero or of another length than the query has cosine 0 with it.
-    """
-    import numpy as np
-    import pandas as pd
-
-    asked = queries.select("query_id", "query_vec")
-    told = vectors.select("vec_id", "embedding")
-    n_blocks = -(-max(1, asked.count()) // QUERY_BLOCK)
-    n_parts = -(-max(1, told.count()) // VECTOR_PART)
-    dealt = asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")).withColumn(
-        "_p", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))
-    )
-    visited = told.withColumn("_p", F.pmod(F.xxhash64("vec_id"), F.lit(n_parts)).cast("int")).withColumn(
-        "_b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    )
-    kinds = {c: f.dataType.simpleString() for df in (asked, told) for c, f in zip(df.columns, df.schema.fields)}
-    cap = k
-
-    def unit(column, length: int):
-        """Rows scaled to length one; zeros for what cannot be compared."""
-        out = np.zeros((len(column), length))
-        for i, v in enumerate(column):
-            if v is not None and len(v) == length:
-                out[i] = np.array(v, dtype="float64")
-        out = np.nan_to_num(out)
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norm > 0, norm, 1.0)
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        left, right = left.sort_values("query_id"), right.sort_values("vec_id")
-        for length, group in left.groupby(left["query_vec"].map(lambda v: 0 if v is None else len(v))):
-            cos = np.round(unit(group["query_vec"], length) @ unit(right["embedding"], length).T, 12)
-            for qid, row in zip(group["query_id"], cos):
-                near = np.flatnonzero(row >= threshold)
-                best = near[np.argsort(-np.round(row[near], 4), kind="stable")[:cap]]
-                found.append(pd.DataFrame({"query_id": qid, "vec_id": right["vec_id"].to_numpy()[best], "cosine": row[best]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "cosine": []})
-
-    scored = (
-        dealt.groupBy("_b", "_p")
-        .cogroup(visited.groupBy("_b", "_p"))
-        .applyInPandas(score, f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, cosine double")
-    )
-    best = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return (
-        scored.withColumn("cosine", F.round("cosine", 4))
-        .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-    )
-
-
 def embedder_separability(cases: DataFrame, margin: float = 0.05) -> DataFrame:
     """(case_id, near, far, margin, ok) for rows holding a query, a related and an unrelated vector."""
     near, far = dense_cosine("query_vec", "related_vec"), dense_cosine("query_vec", "unrelated_vec")

@@ -45,7 +45,7 @@ _WIDTHS = {
     "hybrid_rank": {"rank": "INTEGER", "match_score": "INTEGER"},
     "page_links": {"pos": "INTEGER"},
     "page_text": {"n_chars": "INTEGER"},
-    "rank_candidates": {"rank": "INTEGER", "match_score": "INTEGER"},
+    **{q: {"rank": "INTEGER", "match_score": "INTEGER"} for q in ("rank_candidates", "index_rank", "index_update")},
     "section_facts": {"pos": "INTEGER"},
     "source_coverage": {"rank": "INTEGER"},
     "vector_recall": {"rank": "INTEGER"},

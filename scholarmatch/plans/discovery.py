@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from scholarmatch.functions.scale import literal_table
-from scholarmatch.operators import discover
+from scholarmatch.operators import discover, gram_index, nearest
 from scholarmatch.plans.tables import CATALOG, catalog, load
+from scholarmatch.sources.tables import scratch_path
 
 DIRECTIONS = (
     (1, "red, ring"),
@@ -34,6 +35,30 @@ def rank_candidates(spark, sf):
     return discover.rank_candidates(catalog(spark, sf), _queries(spark))
 
 
+def _indexed(spark, sf, *states):
+    path = scratch_path(spark, "gram-index")
+    gram_index.build_index(states[0], path)
+    for state in states[1:]:
+        gram_index.update_index(state, path)
+    return path
+
+
+def index_filter(spark, sf):
+    return gram_index.filter_indexed(spark, _indexed(spark, sf, catalog(spark, sf)), _queries(spark))
+
+
+def index_rank(spark, sf):
+    return gram_index.rank_indexed(spark, _indexed(spark, sf, catalog(spark, sf)), _queries(spark))
+
+
+def index_update(spark, sf):
+    """The ranking from an index that was built while one school was missing and the texts of another were empty."""
+    now = catalog(spark, sf)
+    blank = F.when(F.col("university") == "FRANCE", F.lit("")).otherwise(F.col("profile_text"))
+    before = now.where("university <> 'CHINA'").withColumn("profile_text", blank)
+    return gram_index.rank_indexed(spark, _indexed(spark, sf, before, now), _queries(spark))
+
+
 def lexical_similarity(spark, sf):
     out = discover.lexical_similarity(catalog(spark, sf), _queries(spark))
     return out.withColumn("similarity", F.round("similarity", 4))
@@ -58,7 +83,7 @@ def similar_pairs(spark, sf):
 def vector_recall(spark, sf):
     vectors = load(spark, sf, "embeddings")
     asked = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    return discover.vector_recall(asked, vectors, threshold=0.30)
+    return nearest.vector_recall(asked, vectors, threshold=0.30)
 
 
 def embedder_separability(spark, sf):
@@ -81,6 +106,9 @@ QUERIES = {
     "term_filter": term_filter,
     "match_reasons": match_reasons,
     "rank_candidates": rank_candidates,
+    "index_filter": index_filter,
+    "index_rank": index_rank,
+    "index_update": index_update,
     "lexical_similarity": lexical_similarity,
     "vector_recall": vector_recall,
     "hybrid_rank": hybrid_rank,
@@ -137,6 +165,9 @@ sims AS (
 )"""
 
 ORACLES = {
+    "index_filter": f"WITH {CATALOG}, {_TERMS}, {_VALUES} SELECT DISTINCT query_id, university, department, name FROM reasons",
+    "index_rank": f"WITH {CATALOG}, {_TERMS}, {_VALUES}, {_SCORED}, {_RANKED} SELECT * FROM ranked",
+    "index_update": f"WITH {CATALOG}, {_TERMS}, {_VALUES}, {_SCORED}, {_RANKED} SELECT * FROM ranked",
     "term_filter": f"WITH {CATALOG}, {_TERMS}, {_VALUES} SELECT DISTINCT query_id, university, department, name FROM reasons",
     "match_reasons": f"WITH {CATALOG}, {_TERMS}, {_VALUES} SELECT query_id, university, department, name, term, field, weight FROM reasons",
     "rank_candidates": f"WITH {CATALOG}, {_TERMS}, {_VALUES}, {_SCORED}, {_RANKED} SELECT * FROM ranked",

@@ -83,6 +83,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the store that ``path`` names, with all that is in it."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def forget_scratch() -> None:
     """Delete every scratch folder, as long as its session still runs."""
     while _SCRATCH:
@@ -90,8 +97,7 @@ def forget_scratch() -> None:
         context = spark.sparkContext
         if context._jsc is None or context._jsc.sc().isStopped():
             continue
-        folder = context._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        drop_folder(spark, path)
 
 
 atexit.register(forget_scratch)

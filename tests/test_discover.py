@@ -5,13 +5,14 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scholarmatch.functions import text
 from scholarmatch.functions.scale import literal_table
-from scholarmatch.operators import discover
+from scholarmatch.operators import discover, nearest
 
 CAT = (
     "university string, department string, name string, title string, email string, research_directions array<string>, "
@@ -131,19 +132,51 @@ def test_term_filter_keeps_rows_with_null_keys_and_ignores_empty_terms(spark, ca
     assert discover.term_filter(catalog, blank).count() == 0
 
 
-def test_vector_recall_equals_all_pairs(spark, monkeypatch):
+def _all_pairs(q, vec, threshold, k):
+    pairs = q.crossJoin(vec).select("query_id", "vec_id", discover.dense_cosine("query_vec", "embedding").alias("c")).where(F.col("c") >= threshold)
+    best = Window.partitionBy("query_id").orderBy(F.round("c", 4).desc(), "vec_id")
+    rows = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return sorted(map(tuple, rows.select("query_id", "vec_id", F.round("c", 4).alias("cosine"), "rank").collect()))
+
+
+def test_vector_recall_equals_all_pairs(spark):
     rng = random.Random(2)
-    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)] + [(60, None), (61, [1.0, 2.0]), (62, [0.0] * 8)]
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)]
+    rows += [(60, None), (61, [1.0, 2.0]), (62, [0.0] * 8), (63, []), (64, [2.0, 4.0]), (65, [float("nan")] * 8), (66, [None] * 8)]
+    rows += [(70 + i, rows[3][1]) for i in range(20)]  # copies of one vector
     vec = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     q = vec.where("vec_id < 20 OR vec_id >= 60").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    pairs = q.crossJoin(vec).select("query_id", "vec_id", discover.dense_cosine("query_vec", "embedding").alias("c")).where("c >= 0.3")
-    best = Window.partitionBy("query_id").orderBy(F.round("c", 4).desc(), "vec_id")
-    want = pairs.withColumn("rank", F.row_number().over(best)).where("rank <= 5").select("query_id", "vec_id", F.round("c", 4).alias("cosine"), "rank")
-    for block, part in ((1024, 65_536), (4, 16)):
-        monkeypatch.setattr(discover, "QUERY_BLOCK", block)
-        monkeypatch.setattr(discover, "VECTOR_PART", part)
-        got = discover.vector_recall(q, vec, 0.3, 5).select("query_id", "vec_id", "cosine", "rank")
-        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    clean = vec.where("vec_id NOT IN (65, 66)")
+    want = _all_pairs(q.where("query_id NOT IN (65, 66)"), clean, 0.3, 5)
+    for cell_rows, block_rows in ((4096, 4096), (5, 3)):
+        got = nearest.vector_recall(q, vec, 0.3, 5, cell_rows, block_rows).select("query_id", "vec_id", "cosine", "rank")
+        assert sorted(map(tuple, got.collect())) == want
+    assert nearest.vector_recall(q, vec.limit(0), 0.3).count() == nearest.vector_recall(q.limit(0), vec, 0.3).count() == 0
+    with pytest.raises(ValueError, match="above 0"):
+        nearest.vector_recall(q, vec, 0.0)
+
+
+def test_cells_that_are_too_far_apart_do_not_meet(spark):
+    rng = random.Random(4)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(12)]
+    rows = [(i, [c + rng.gauss(0, 0.1) for c in centres[i % 12]]) for i in range(600)]
+    vec = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = vec.where("vec_id < 60").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    counts = {}
+    got = nearest.vector_recall(q, vec, 0.9, 4, cell_rows=4, counts=counts).select("query_id", "vec_id", "cosine", "rank")
+    assert sorted(map(tuple, got.collect())) == _all_pairs(q, vec, 0.9, 4)
+    assert counts["met"] < counts["all"] / 3
+
+
+def test_no_two_vectors_within_the_angle_are_kept_apart():
+    rng = np.random.default_rng(1)
+    units = nearest.unit_rows(list(rng.normal(size=(400, 6))), 6)
+    cells = nearest.Cells(units[:100], 6, 4)
+    cell, angles = cells.place(units)
+    boxes = {c: np.array([angles[cell == c].min(axis=0), angles[cell == c].max(axis=0)]) for c in set(cell.tolist())}
+    met = set(nearest.meetings(boxes, boxes, math.acos(0.6)))
+    close = np.argwhere(units @ units.T >= 0.6)
+    assert all((cell[i], cell[j]) in met for i, j in close) and len(met) < len(boxes) ** 2
 
 
 def test_hybrid_adds_reasons_and_rescues_near_advisors(spark, catalog):
