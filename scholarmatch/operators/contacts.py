@@ -7,31 +7,32 @@ productive person costs no more than their partners do.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarmatch.functions import text, vocab
 from scholarmatch.sources.tables import settle
 
 
-def selected_pairs(selections: DataFrame, contacts: DataFrame) -> DataFrame:
-    """(group_id, left_id, right_id) from each selection's short member list, known people only."""
+#: Members of a selection that meet each other, or those of another tile, together.
+TILE = 256
+
+
+def selected_pairs(selections: DataFrame, contacts: DataFrame, tile: int = TILE) -> DataFrame:
+    """(group_id, n_members, left_id, right_id) from each selection's member list, known people only.
+
+    A selection is cut into tiles of ``tile`` members, and every two tiles meet by themselves: no row and no task
+    holds the pairs of a large group. Groups of fewer than two known members keep one row without a pair.
+    """
     place = F.posexplode("members")
-    members = selections.select("group_id", place.alias("pos", "person")).join(contacts.select("person"), "person", "left_semi")
-    lists = members.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("pos", "person"))).alias("m"))
-    ordered = F.transform("m", lambda x: x["person"])
-    later = F.flatten(
-        F.transform(
-            ordered,
-            lambda a, i: F.transform(
-                F.slice(ordered, i + 2, F.greatest(F.size(ordered), F.lit(1))),
-                lambda b: F.struct(a.alias("left_id"), b.alias("right_id")),
-            ),
-        )
-    )
-    return lists.select("group_id", F.size("m").alias("n_members"), F.explode_outer(later).alias("p")).select(
-        "group_id", "n_members", "p.left_id", "p.right_id"
-    )
+    listed = selections.select("group_id", place.alias("pos", "person")).join(contacts.select("person"), "person", "left_semi")
+    members = settle(listed.withColumn("_t", F.floor(F.col("pos") / tile).cast("int")), "members")
+    groups = members.groupBy("group_id").agg(F.count("*").cast("int").alias("n_members"), F.max("_t").alias("_last"))
+    dealt = members.join(groups.select("group_id", "_last"), "group_id")
+    left = dealt.select("group_id", F.col("pos").alias("_i"), F.col("person").alias("left_id"), F.col("_t").alias("_a"), F.explode(F.sequence("_t", "_last")).alias("_b"))
+    right = dealt.select("group_id", F.col("pos").alias("_j"), F.col("person").alias("right_id"), F.explode(F.sequence(F.lit(0), "_t")).alias("_a"), F.col("_t").alias("_b"))
+    pairs = left.join(right, ["group_id", "_a", "_b"]).where("_i < _j").select("group_id", "left_id", "right_id")
+    return groups.drop("_last").join(pairs, "group_id", "left")
 
 
 def paper_keys(papers: DataFrame) -> DataFrame:
@@ -99,25 +100,27 @@ def stable_overlap(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     return _meet(_distinct_pairs(pairs), steady, "coauthor")
 
 
-def _first_few(rows: DataFrame, value: str, order: str, n: int, out: str) -> DataFrame:
-    from pyspark.sql import Window
+def _listed(rows: DataFrame, value: str, order: str, shown: int | None, out: str) -> DataFrame:
+    """All values of a pair in order, or the first ``shown``."""
+    if shown is not None:
+        rank = F.row_number().over(Window.partitionBy("left_id", "right_id").orderBy(order))
+        rows = rows.withColumn("_r", rank).where(F.col("_r") <= shown).drop("_r")
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+    return rows.groupBy("left_id", "right_id").agg(F.array_join(F.transform(ordered, lambda x: x["v"]), "、").alias(out))
 
-    rank = F.row_number().over(Window.partitionBy("left_id", "right_id").orderBy(order))
-    return (
-        rows.withColumn("_r", rank)
-        .where(F.col("_r") <= n)
-        .groupBy("left_id", "right_id")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", value))), lambda x: x[value]), "、").alias(out))
-    )
 
+def collision_level(
+    pairs: DataFrame, contacts: DataFrame, papers: DataFrame, shown_papers: int | None = None, shown_names: int | None = None
+) -> DataFrame:
+    """(left_id, right_id, level, reason, evidence) for every distinct selected pair.
 
-def collision_level(pairs: DataFrame, contacts: DataFrame, papers: DataFrame) -> DataFrame:
-    """(left_id, right_id, level, reason, evidence) for every distinct selected pair."""
+    The evidence names all shared papers and steady coauthors, or the first ``shown_papers`` and ``shown_names``.
+    """
     counts = settle(coauthor_counts(papers, contacts), "coauthors")
     p = settle(_distinct_pairs(pairs), "selected-pairs")
-    shared = _first_few(shared_papers(p, papers), "title", "seq", 3, "shared")
+    shared = _listed(shared_papers(p, papers), "title", "seq", shown_papers, "shared")
     direct = direct_coauthors(p, counts, contacts).withColumn("direct", F.lit(True))
-    steady = _first_few(stable_overlap(p, counts), "coauthor", "coauthor", 5, "steady")
+    steady = _listed(stable_overlap(p, counts), "coauthor", "coauthor", shown_names, "steady")
     has_authors = papers.groupBy("person").agg(F.bool_or(F.size("authors") > 0).alias("known"))
     facts = contacts.join(has_authors, "person", "left").select(
         "person",

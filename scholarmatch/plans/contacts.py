@@ -46,8 +46,8 @@ _NAMES = "coauthor_counts shared_papers direct_coauthors stable_overlap collisio
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _LEVELS = """
-sh3 AS (SELECT left_id, right_id, string_agg(title, '、' ORDER BY seq) AS shared FROM (SELECT *, row_number() OVER (PARTITION BY left_id, right_id ORDER BY seq) AS r FROM shared QUALIFY r <= 3) GROUP BY ALL),
-st5 AS (SELECT left_id, right_id, string_agg(coauthor, '、' ORDER BY coauthor) AS steady FROM (SELECT *, row_number() OVER (PARTITION BY left_id, right_id ORDER BY coauthor) AS r FROM steady QUALIFY r <= 5) GROUP BY ALL),
+sh3 AS (SELECT left_id, right_id, string_agg(title, '、' ORDER BY seq) AS shared FROM shared GROUP BY ALL),
+st5 AS (SELECT left_id, right_id, string_agg(coauthor, '、' ORDER BY coauthor) AS steady FROM steady GROUP BY ALL),
 known AS (SELECT person, bool_or(len(mates) > 0) AS k FROM pap GROUP BY 1),
 f AS (
   SELECT p.left_id, p.right_id, l.inst = r.inst AND l.college <> '' AND l.college = r.college AS same, l.college <> '' AND r.college <> '' AS depts,

@@ -100,11 +100,11 @@ def pii_leak_audit(spark, sf):
 
 
 def cv_facts(spark, sf):
-    return cv.cv_facts(_docs(spark, sf), SKILLS, DEGREES, SCHOOL, KEYS, HEADINGS, STOPS, max_schools=3, max_lines=5)
+    return cv.cv_facts(_docs(spark, sf), SKILLS, DEGREES, SCHOOL, KEYS, HEADINGS, STOPS)
 
 
 def section_facts(spark, sf):
-    return cv.section_facts(_docs(spark, sf), HEADINGS, STOPS, at_most=5)
+    return cv.section_facts(_docs(spark, sf), HEADINGS, STOPS)
 
 
 def _edits(spark, sf):
@@ -117,12 +117,12 @@ def _edits(spark, sf):
 
 
 def fact_edits(spark, sf):
-    facts = cv.cv_facts(_docs(spark, sf), SKILLS, DEGREES, SCHOOL, KEYS, HEADINGS, STOPS, max_schools=3, max_lines=5).withColumnRenamed("doc_id", "student_id")
+    facts = cv.cv_facts(_docs(spark, sf), SKILLS, DEGREES, SCHOOL, KEYS, HEADINGS, STOPS).withColumnRenamed("doc_id", "student_id")
     return cv.replace_facts(facts, _edits(spark, sf))
 
 
 def confirm_facts(spark, sf):
-    facts = cv.cv_facts(_docs(spark, sf), SKILLS, DEGREES, SCHOOL, KEYS, HEADINGS, STOPS, max_schools=3, max_lines=5).withColumnRenamed("doc_id", "student_id")
+    facts = cv.cv_facts(_docs(spark, sf), SKILLS, DEGREES, SCHOOL, KEYS, HEADINGS, STOPS).withColumnRenamed("doc_id", "student_id")
     good = load(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("student_id"), F.lit("fact_1").alias("fact_id"))
     return cv.confirm_facts(facts, good).select("student_id", "fact_id", "field", "user_confirmed")
 
@@ -196,7 +196,7 @@ def _sec(name: str, head: str) -> str:
 {name}_e AS (SELECT *, CASE WHEN {head} THEN 'H' WHEN {_STOP} THEN 'B' END AS ev FROM ln WHERE line <> ''),
 {name}_s AS (SELECT *, last_value(ev IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state FROM {name}_e),
 {name}_d AS (SELECT doc_id, line, min(i) AS i FROM {name}_s WHERE ev IS NULL AND state = 'H' AND length(line) >= 4 GROUP BY ALL),
-{name} AS (SELECT doc_id, '{name}' AS section, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, line FROM {name}_d QUALIFY pos < 5)"""
+{name} AS (SELECT doc_id, '{name}' AS section, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, line FROM {name}_d)"""
 
 
 _SECTIONS = f"{_LINES}, {_sec('project', chr(39).join(['contains(line, ', 'Ing', ') OR contains(line, ', 'Der', ')']))}, {_sec('publication', chr(39).join(['contains(line, ', 'Re', ') OR contains(line, ', 'Le ', ')']))}"
@@ -204,7 +204,7 @@ _FACTS = _SECTIONS + r""",
 cand AS (
   SELECT doc_id, 0 AS g, i, 'skill' AS field, w AS value FROM documents, (VALUES (0,'Python'),(1,'THOUT'),(2,'heit'),(3,'éreau'),(4,'Spark'),(5,'schein')) AS s(i, w) WHERE contains(lower(text), lower(w))
   UNION ALL SELECT doc_id, 1, i, 'degree', w FROM documents, (VALUES (0,'tion'),(1,'lich'),(2,'qqq')) AS s(i, w) WHERE contains(text, w)
-  UNION ALL SELECT doc_id, 2, i, 'institution', w FROM (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{3,}(?:tion|heit)')[1:3] AS x FROM documents))
+  UNION ALL SELECT doc_id, 2, i, 'institution', w FROM (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{3,}(?:tion|heit)') AS x FROM documents))
   UNION ALL SELECT doc_id, 3, i, 'interest', v FROM (SELECT doc_id, i, trim(regexp_replace(whole, '^[：: ]+|[：: ]+$', '', 'g')) AS v FROM ln WHERE contains(whole, 'inor') OR contains(whole, 'gege') OR contains(whole, 'euxqu')) WHERE v <> ''
   UNION ALL SELECT doc_id, 4, pos, 'project', line FROM project UNION ALL SELECT doc_id, 5, pos, 'publication', line FROM publication
 ),

@@ -60,7 +60,7 @@ def conform_openalex(spark, sf):
         primary_location=_st(source=_named(F.col("source"))),
         primary_topic=_st(display_name=F.col("lang"), subfield=_named(F.when(k % 2 == 0, F.lit("sub"))), field=_named(field)),
     )
-    return _flat(feeds.conform_openalex(d.select("seq", F.to_json(body).alias("payload")), max_schools=3))
+    return _flat(feeds.conform_openalex(d.select("seq", F.to_json(body).alias("payload"))))
 
 
 def conform_crossref(spark, sf):
@@ -294,7 +294,7 @@ ORACLES = {
         "'W' || k", "t0", "CASE WHEN k % 4 <> 0 THEN 2000 + k % 20 END", "CASE WHEN k % 3 = 0 THEN doi0 END", "source",
         "lang || CASE WHEN k % 2 = 0 THEN '|sub' ELSE '' END || '|' || ['Computer Science', ' Medicine ', 'Unknown', 'Energy'][k % 4 + 1]", "n_chars",
         "CASE WHEN k % 6 <> 0 THEN text ELSE '' END", _doi_case(3, "'https://openalex.org/W' || k"), "OpenAlex", "'Ann ' || k",
-        "CASE WHEN k % 5 = 0 THEN '' WHEN k % 3 = 1 THEN 'U1 / U4 / U5' ELSE 'U1 / U' || (k % 3) || ' / U4' END", "['cs', 'medicine', '', 'engineering'][k % 4 + 1]", "k % 50 <> 0 AND t0 <> ''",
+        "CASE WHEN k % 5 = 0 THEN '' WHEN k % 3 = 1 THEN 'U1 / U4 / U5' ELSE 'U1 / U' || (k % 3) || ' / U4 / U5' END", "['cs', 'medicine', '', 'engineering'][k % 4 + 1]", "k % 50 <> 0 AND t0 <> ''",
     ),
     "conform_crossref": _sel(
         "CASE WHEN k % 4 <> 0 THEN doi0 ELSE t END", "t",

@@ -44,7 +44,7 @@ def title_fallback(spark, sf):
     seeds = slim.select("target_id", F.col("seq").alias("pos"), "title")
     primary = slim.where("lang IN ('en', 'de')").drop("lang", "target_id")
     secondary = slim.where("lang IN ('fr', 'es')").drop("lang", "target_id")
-    return merge.title_fallback(found, seeds, primary, secondary, max_seeds=5).select("target_id", "seq", "title", "via")
+    return merge.title_fallback(found, seeds, primary, secondary).select("target_id", "seq", "title", "via")
 
 
 def _coverage_inputs(spark, sf):
@@ -216,7 +216,7 @@ SELECT seq, CASE WHEN doi_key <> '' AND seq <> decider THEN 'doi' ELSE 'title' E
     "title_fallback": f"""WITH {WORKS},
 w4 AS (SELECT k.seq, k.title, k.title_key, k.lang, 'T' || (k.seq // 4) AS target_id FROM keyed k),
 few AS (SELECT target_id FROM w4 GROUP BY 1 HAVING count(*) FILTER (lang = 'en') < 3),
-sd AS (SELECT target_id, title_key, row_number() OVER (PARTITION BY target_id ORDER BY seq) AS rk FROM w4 WHERE target_id IN (SELECT target_id FROM few) QUALIFY rk <= 5),
+sd AS (SELECT target_id, title_key, row_number() OVER (PARTITION BY target_id ORDER BY seq) AS rk FROM w4 WHERE target_id IN (SELECT target_id FROM few)),
 allc AS (
   SELECT target_id, seq, title, 'author' AS via, [0, 0, seq] AS o FROM w4 WHERE lang = 'en'
   UNION ALL SELECT sd.target_id, p.seq, p.title, 'title', [1, rk, p.seq] FROM sd JOIN w4 p USING (title_key) WHERE p.lang IN ('en', 'de') AND title_key <> ''

@@ -96,11 +96,11 @@ def affiliation_expansion(spark, sf):
         F.concat(F.lit("Extra "), F.col("l_partkey").cast("string")).alias("title"),
         "institution",
     )
-    return ops.affiliation_expansion(ops.rule_disambiguate(c, t), t, index, top=2)
+    return ops.affiliation_expansion(ops.rule_disambiguate(c, t), t, index)
 
 
 def affiliation_check(spark, sf):
-    return ops.affiliation_check(tables.candidates(spark, sf), tables.suppliers(spark, sf), shown=5)
+    return ops.affiliation_check(tables.candidates(spark, sf), tables.suppliers(spark, sf))
 
 
 def assess_identity(spark, sf):
@@ -189,13 +189,13 @@ SELECT target_id, 'A' || min(o_custkey) AS author_id FROM hits JOIN sup USING (t
     "fingerprint_prefilter": f"WITH {PEOPLE}, {_RULED}, {_prefilter('ruled', 'belongs0', 'review0', 'reason0')}",
     "apply_verdicts": f"WITH {PEOPLE}, {_RULED}, {_VERD}, {_prefilter('verd', 'belongs1', 'review1', 'reason1')}",
     "affiliation_expansion": f"""WITH {PEOPLE}, {_RULED},
-alt AS (SELECT target_id, inst, row_number() OVER (PARTITION BY target_id ORDER BY count(*) DESC, min(seq), inst) AS rk FROM ruled WHERE review0 AND inst <> '' AND inst <> school GROUP BY target_id, inst QUALIFY rk <= 2),
+alt AS (SELECT target_id, inst, row_number() OVER (PARTITION BY target_id ORDER BY count(*) DESC, min(seq), inst) AS rk FROM ruled WHERE review0 AND inst <> '' AND inst <> school GROUP BY target_id, inst),
 allp AS (SELECT target_id, title, '' AS note, [0, seq] AS o FROM cand
   UNION ALL SELECT c.target_id, 'Extra ' || c.l_partkey, '曾任职单位：' || c.inst, [rk, c.seq] FROM cand c JOIN alt USING (target_id, inst))
 SELECT target_id, title, arg_min(note, o) AS affiliation_note FROM allp GROUP BY target_id, title""",
     "affiliation_check": f"""WITH {PEOPLE},
 s AS (SELECT target_id, count(*) AS total, count(*) FILTER (agree) AS match, count(*) FILTER (NOT agree) AS conflict, count(*) FILTER (agree IS NULL) AS unknown FROM judged GROUP BY 1),
-c5 AS (SELECT target_id, title, seq, row_number() OVER (PARTITION BY target_id ORDER BY seq) AS rn FROM judged WHERE NOT agree QUALIFY rn <= 5),
+c5 AS (SELECT target_id, title, seq, row_number() OVER (PARTITION BY target_id ORDER BY seq) AS rn FROM judged WHERE NOT agree),
 tt AS (SELECT target_id, string_agg(title, '|' ORDER BY rn) AS t FROM c5 GROUP BY 1)
 SELECT s.*, coalesce(t, '') AS conflicting_titles, CASE WHEN conflict > 0 AND conflict >= greatest(1, total // 3) THEN '冲突较多，很可能混进了同名作者，建议请求人工确认'
   WHEN conflict > 0 THEN '有少量机构冲突，建议人工核对这几篇' WHEN match > 0 THEN '机构基本一致' ELSE '机构信息缺失，无法判断，建议人工核对' END AS verdict
