@@ -358,9 +358,12 @@ def template_draft(
     paper_read: bool = False,
     named_topics: int | None = None,
     named_papers: int | None = None,
+    students: DataFrame | None = None,
 ) -> DataFrame:
     """(student, professor, idx, text, sentence_type, refs): a letter whose every factual sentence names its sources.
 
+    ``students``: student_id, name; a student whose name is not known stays unnamed.
+
     ``profile_topics``: professor_id, pos, topic, evidence_id; ``publications``: professor_id, seq,
     title, year, evidence_id. Observed topics are named before declared ones where ``kind`` says which they are. All
     topics and papers are named, or the first ``named_topics`` and the newest ``named_papers``.
@@ -416,8 +419,13 @@ def template_draft(
     )
     with_topics, with_papers = base.join(top_topics, "professor_id"), base.join(top_papers, "professor_id")
     quoted = F.array_join(F.transform("x", lambda v: F.concat(F.lit("《"), v["title"], F.lit("》"))), "、")
-    student = F.col("student_id").cast("string")
     wording = vocab.DRAFT
+    if students is None:
+        signed = base.withColumn("_signed", F.col("student_id").cast("string"))
+    else:
+        named = students.select("student_id", F.when(~text.blank("name"), F.col("name")).alias("_name"))
+        signed = base.join(named, "student_id", "left").withColumn("_signed", F.coalesce("_name", F.lit(wording["someone"])))
+    student = F.col("_signed")
 
     def around(key: str, inner: Column) -> Column:
         before, after = wording[key]
@@ -425,7 +433,7 @@ def template_draft(
 
     parts = [
         sentence(people, 0, around("greeting", F.col("name")), "GENERIC"),
-        sentence(base, 1, around("intro", student), "GENERIC"),
+        sentence(signed, 1, around("intro", student), "GENERIC"),
         sentence(skills, 2, F.concat(F.lit(wording["skills"]), joined("value"), F.lit("。")), "STUDENT_FACT", ids("fact_id")),
         sentence(interests, 3, F.concat(F.lit(wording["interests"]), joined("value"), F.lit("。")), "STUDENT_FACT", ids("fact_id")),
         sentence(either, 4, F.lit(wording["offer"]), "GENERIC"),
@@ -434,7 +442,7 @@ def template_draft(
         ),
         sentence(with_papers, 6, around("papers", quoted), "PROFESSOR_FACT", ids("evidence_id")),
         sentence(base, 8, F.lit(wording["closing"]), "GENERIC"),
-        sentence(base, 9, student, "GENERIC"),
+        sentence(signed, 9, student, "GENERIC"),
     ]
     if paper_read:
         best = F.element_at("x", 1)
@@ -452,3 +460,8 @@ def template_draft(
         out = out.unionByName(part)
     place = Window.partitionBy(*PAIR).orderBy("slot")  # ten sentences at most
     return out.withColumn("idx", F.row_number().over(place) - 1).select(*PAIR, "idx", "text", "sentence_type", "refs")
+
+
+def draft_headers(requests: DataFrame) -> DataFrame:
+    """(student, professor, subject, warning) of the template letters."""
+    return requests.select(*PAIR).distinct().select(*PAIR, F.lit(vocab.DRAFT["subject"]).alias("subject"), F.lit(vocab.DRAFT["template"]).alias("warning"))

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from scholarmatch.functions.scale import struct_array
-from scholarmatch.operators import fit, grounding, topics
+from scholarmatch.operators import fit, grounding, manual_run, topics
 from scholarmatch.plans.tables import load
-from scholarmatch.sources.tables import settle
+from scholarmatch.sources import export, publish
+from scholarmatch.sources.tables import scratch_path, settle
 
 REF_YEAR = 2001
 KEYWORDS = {
@@ -272,22 +273,103 @@ def fit_end_to_end(spark, sf):
     )
 
 
-def run_report_export(spark, sf):
-    """Every request as the lines of its report."""
-    from scholarmatch.sources import export
-
-    report, m, hits, near = _report(spark, sf)
-    report, draft = settle(report, "reports"), _draft(spark, sf)
-    return export.report_lines(
-        report.withColumn("run_id", F.concat_ws("-", "student_id", "professor_id")),
-        fit.topic_gaps(report, m, hits, near).withColumn("run_id", F.concat_ws("-", "student_id", "professor_id")),
-        draft.withColumn("run_id", F.concat_ws("-", "student_id", "professor_id")),
+def _runs(spark, sf):
+    """A run for every student who ordered: about the first supervisor of the newest order."""
+    o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("student_id"), "o_orderdate")
+    asked = load(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("professor_id")).join(o, "l_orderkey")
+    return asked.groupBy("student_id").agg(F.max_by("professor_id", F.struct("o_orderdate", "l_orderkey", -F.col("professor_id"))).alias("professor_id"))
+
+
+def _run_evidence(spark, sf):
+    """The page and the papers of supervisors; the papers of every third one are not known."""
+    m = _materials(spark, sf).select("professor_id", F.col("evidence_id").alias("id")).distinct()
+    paper = F.col("id").startswith("ev_w")
+    key = F.col("professor_id").cast("string")
+    return m.where(~(paper & (F.col("professor_id") % 3 == 0))).select(
+        "professor_id", "id", F.when(paper, "PAPER").otherwise("OFFICIAL_PAGE").alias("source_type"),
+        F.when(paper, F.concat(F.lit("Paper "), key)).otherwise("").alias("title"), F.when(paper, F.concat(F.lit("https://doi.example/"), key)).alias("source_url"),
+        F.when(F.col("professor_id") % 11 != 0, "CONFIRMED").otherwise("UNCERTAIN").alias("author_resolution_status"),
     )
 
 
+def _run_statements(runs):
+    """Claims and points of analysis of every run, some of which rest on nothing."""
+    student, key = F.col("student_id").cast("string"), F.col("professor_id").cast("string")
+    run = F.concat_ws("-", "student_id", "professor_id")
+    page, paper, lost = F.concat(F.lit("ev_p"), key), F.concat(F.lit("ev_w"), key), F.lit("ev_lost")
+    claims = struct_array(
+        ("n", "claim_type", "status", "evidence_ids"),
+        (
+            ("1", "observed_research_trend", "SUPPORTED", F.array(page, paper)),
+            ("2", "recruiting", F.when(F.col("professor_id") % 2 == 0, "SUPPORTED").otherwise("UNKNOWN"), F.array(page)),
+            ("3", "generic", "SUPPORTED", F.when(F.col("professor_id") % 4 == 0, F.array(page, lost)).otherwise(F.array(page))),
+        ),
+    )
+    none = F.array().cast("array<string>")
+    points = struct_array(
+        ("n", "section", "text", "fact_ids", "evidence_ids"),
+        (
+            ("1", "research_intersection", F.concat(F.lit(" both "), key), F.array(F.concat(student, F.lit(":f1")), F.concat(student, F.lit(":f3"))), F.array(page)),
+            ("2", "background_gaps", F.lit("gap"), none, F.array(lost, paper)),
+            ("3", "method_match", F.lit("method"), F.array(F.lit("nobody:f1")), F.array(page)),
+        ),
+    )
+    name = lambda kind: F.concat_ws(":", "run_id", F.lit(kind), F.col("x.n"))
+    c = runs.select(run.alias("run_id"), F.explode(claims).alias("x")).select("run_id", name("c").alias("claim_id"), "x.claim_type", "x.status", "x.evidence_ids")
+    p = runs.select(run.alias("run_id"), F.explode(points).alias("x")).select("run_id", name("p").alias("point_id"), "x.section", "x.text", "x.fact_ids", "x.evidence_ids")
+    return c, p
+
+
+def _run_files(spark, sf):
+    """All files of all runs."""
+    runs = settle(_runs(spark, sf), "runs")
+    facts, profs, mats, known = _facts(spark, sf), _professors(spark, sf), _materials(spark, sf), _run_evidence(spark, sf)
+    students = load(spark, sf, "customer").select(F.col("c_custkey").alias("student_id"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")).otherwise(" ").alias("name"))
+    hits = settle(fit.term_matches(runs, facts, mats, SYNONYMS), "run-matches")
+    near = settle(fit.semantic_fallback(runs, facts, mats, hits), "run-near")
+    claims, points = _run_statements(runs)
+    found = manual_run.manual_runs(runs, facts, students, profs, mats, known, claims, points, hits, near, paper_read=True)
+    named = runs.withColumn("run_id", F.concat_ws("-", "student_id", "professor_id"))
+    who = named.join(profs, "professor_id")
+    sure = F.col("professor_id") % 11 != 0
+    resolutions = who.select(
+        "run_id", F.when(sure, "CONFIRMED").otherwise("NEEDS_REVIEW").alias("status"),
+        F.when(sure, F.concat(F.lit("A"), F.col("professor_id").cast("string"))).alias("selected_author_id"),
+        F.when(F.col("professor_id") % 2 == 0, F.array(F.lit("name"), F.lit("institution"))).alias("reasons"),
+        F.when(~sure, F.array(F.lit("department"))).alias("conflicts"),
+    )
+    stated = struct_array(("pos", "key", "value"), ((0, "name", F.col("name")), (1, "title", F.when(F.col("professor_id") % 4 != 0, F.lit("Professor")))))
+    fields = who.select("run_id", F.explode(stated).alias("x")).select("run_id", "x.*").where("value IS NOT NULL")
+    topics_of = named.join(mats.where("kind IN ('declared', 'observed')"), "professor_id").withColumn("trend", F.when(F.col("kind") == "observed", "SUSTAINED").otherwise("DECLARED"))
+    nested = export.run_reports(
+        who.select("run_id", "recruiting"), resolutions, fields, topics_of, found["reports"], found["dimensions"], found["gaps"],
+        found["evidence"], found["headers"], found["sentences"], found["warnings"],
+    )
+    return manual_run.artifact_files(found, nested)
+
+
+def _published(spark, sf):
+    """Published twice: the second time changes nothing."""
+    path = scratch_path(spark, "published")
+    files = settle(_run_files(spark, sf), "run-files")
+    publish.publish(files, path, "all")
+    publish.publish(files.where("name = 'status.json'"), path, "all")
+    return publish.read_published(spark, path)
+
+
+def run_report_export(spark, sf):
+    """The two documents of every run, read back from where they were published."""
+    return _published(spark, sf).where("name LIKE 'report.%'").select("run_id", "name", "content")
+
+
+def run_artifacts(spark, sf):
+    """The other artifacts of every run, read back from where they were published."""
+    return _published(spark, sf).where("name NOT LIKE 'report.%'").select("batch", "run_id", "name", "content")
+
+
 _NAMES = (
     "works_by_topic topic_trend topic_evidence dominant_topic dominant_discipline guess_discipline assemble_profile profile_topics "
-    "asserted_fields profile_publications unbacked_fields term_matches semantic_fallback match_report match_dimensions topic_gaps match_invariants template_draft fit_end_to_end run_report_export"
+    "asserted_fields profile_publications unbacked_fields term_matches semantic_fallback match_report match_dimensions topic_gaps match_invariants template_draft fit_end_to_end run_report_export run_artifacts"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -418,6 +500,26 @@ def _gap_count(words) -> str:
     return f"SELECT count(*) AS n FROM (WITH {_fit_cte(words)}, {_DRAFT} SELECT * FROM gp)"
 
 
+_NEWEST = """
+newest AS (SELECT o_custkey AS student_id, arg_max(l_partkey, (o_orderdate, o_orderkey, -l_partkey)) AS professor_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)"""
+_RUN = f"""{_FIT}, {_DRAFT}, {_NEWEST},
+ru AS (SELECT rep.*, student_id || '-' || professor_id AS run_id FROM rep JOIN newest USING (student_id, professor_id)),
+ev AS (SELECT DISTINCT professor_id, evidence_id AS id FROM mats WHERE NOT (evidence_id LIKE 'ev_w%' AND professor_id % 3 = 0)),
+px AS (SELECT professor_id, string_agg('《' || topic || '》', '、' ORDER BY pos) AS title, string_agg(evidence_id, ',' ORDER BY pos) AS ids, min_by(topic, pos) AS best, min_by(evidence_id, pos) AS best_id FROM mats WHERE kind IN ('keyword', 'text') GROUP BY 1),
+me AS (SELECT c_custkey AS student_id, CASE WHEN c_custkey % 5 <> 0 THEN c_name ELSE '一名学生' END AS me FROM customer),
+letter AS (
+  SELECT run_id, student_id, professor_id, slot, CASE slot WHEN 1 THEN '我是' || me || '，想了解您的研究方向与招生安排。' WHEN 9 THEN me WHEN 6 THEN '您近年发表了' || title || '等成果。' ELSE text END AS text,
+         sentence_type, CASE slot WHEN 6 THEN px.ids ELSE refs END AS refs FROM sl JOIN ru USING (student_id, professor_id) JOIN me USING (student_id) LEFT JOIN px USING (professor_id)
+  UNION ALL SELECT run_id, student_id, professor_id, 7, '我已阅读您发表的《' || best || '》。', 'PROFESSOR_FACT', best_id FROM ru JOIN px USING (professor_id)
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY slot) - 1 AS idx FROM letter),
+held AS (
+  SELECT *, CASE WHEN sentence_type = 'STUDENT_FACT' THEN list_transform(string_split(refs, ','), lambda x: student_id || ':' || x) ELSE []::VARCHAR[] END AS f,
+         CASE WHEN sentence_type = 'PROFESSOR_FACT' THEN string_split(refs, ',') ELSE []::VARCHAR[] END AS e FROM placed
+),
+ids AS (SELECT list(id) AS ids FROM ev),
+kept AS (SELECT held.* FROM held, ids WHERE list_has_all(ids, e)),
+cut AS (SELECT ru.run_id, (SELECT count(*) FROM held h WHERE h.run_id = ru.run_id) - (SELECT count(*) FROM kept k WHERE k.run_id = ru.run_id) AS removed FROM ru)"""
 _LABELS = "{'STRONG': '强交集', 'PARTIAL': '部分交集', 'WEAK': '交集较少', 'UNKNOWN': '证据不足', 'WORTH_CONTACTING': '值得进一步联系', 'LEARN_MORE': '先补充了解', 'LOW_PRIORITY': '当前优先级较低', 'INSUFFICIENT_EVIDENCE': '暂无法建议'}"
 _GUESS = ", ".join(
     f"""({i}, '{d}', {' + '.join(f"contains(text, '{w}')::INT" for w in ws)})"""
@@ -489,15 +591,60 @@ bad AS (
 n AS (SELECT student_id, professor_id, count(*) AS n FROM said GROUP BY ALL), x AS (SELECT student_id, professor_id, count(*) AS x FROM bad GROUP BY ALL)
 SELECT r.student_id, r.professor_id, research_fit, recommendation, n - coalesce(x, 0) AS sentences, coalesce(x, 0) AS removed
 FROM rep r JOIN n ON n.student_id = r.student_id AND n.professor_id = r.professor_id LEFT JOIN x ON x.student_id = r.student_id AND x.professor_id = r.professor_id""",
-    "run_report_export": f"""WITH {_FIT}, {_DRAFT}, lb AS (SELECT MAP {_LABELS} AS m),
-ru AS (SELECT *, student_id || '-' || professor_id AS run_id FROM rep),
-st AS (
-  SELECT run_id, unnest(['1', '2', '3', '4']) AS p, unnest(['研究匹配', '建议', '交集', '待询问']) AS k, unnest([m[research_fit], m[recommendation], topic_summary, question]) AS v FROM ru, lb
+    "run_report_export": f"""WITH {_RUN},
+fields AS (SELECT run_id, [{{'key': 'name', 'value': 'Prof ' || professor_id}}] || CASE WHEN professor_id % 4 <> 0 THEN [{{'key': 'title', 'value': 'Professor'}}] ELSE [] END AS fields FROM ru),
+tops AS (SELECT run_id, list(topic ORDER BY pos, topic) FILTER (kind = 'declared') AS declared, list({{'topic': topic, 'trend': 'SUSTAINED'}} ORDER BY pos, topic) FILTER (kind = 'observed') AS observed
+  FROM ru JOIN mats USING (professor_id) GROUP BY 1),
+dims AS (
+  SELECT run_id, list_filter([CASE WHEN research_fit = 'STRONG' THEN '研究方向匹配' END, CASE WHEN skill_level = 'STRONG' THEN '技能覆盖' END, CASE WHEN evidence_sufficiency = 'HIGH' THEN '证据充分度' END], lambda x: x IS NOT NULL) AS strengths
+  FROM ru WHERE recommendation <> 'INSUFFICIENT_EVIDENCE'),
+gaps AS (SELECT run_id, list(topic ORDER BY topic) AS gaps FROM ru JOIN gp USING (student_id, professor_id) GROUP BY 1),
+evs AS (
+  SELECT run_id, list({{'id': id, 'source_type': CASE WHEN id LIKE 'ev_w%' THEN 'PAPER' ELSE 'OFFICIAL_PAGE' END, 'title': CASE WHEN id LIKE 'ev_w%' THEN 'Paper ' || professor_id ELSE id END,
+         'source_url': CASE WHEN id LIKE 'ev_w%' THEN 'https://doi.example/' || professor_id ELSE '' END}} ORDER BY id) AS evidences FROM ru JOIN ev USING (professor_id) GROUP BY 1),
+sents AS (SELECT run_id, list(text ORDER BY idx) AS sentences FROM kept GROUP BY 1),
+doc AS (
+  SELECT ru.run_id, CASE WHEN professor_id % 11 <> 0 THEN 'CONFIRMED' ELSE 'NEEDS_REVIEW' END AS status, CASE WHEN professor_id % 11 <> 0 THEN 'A' || professor_id ELSE '' END AS author,
+         CASE WHEN professor_id % 2 = 0 THEN ['name', 'institution'] ELSE []::VARCHAR[] END AS reasons, CASE WHEN professor_id % 11 = 0 THEN ['department'] ELSE []::VARCHAR[] END AS conflicts,
+         fields, coalesce(declared, []) AS declared, coalesce(observed, []) AS observed, CASE WHEN professor_id % 5 = 0 THEN 'OPEN' ELSE 'UNKNOWN' END AS recruiting,
+         research_fit, recommendation, opportunity_signal, coalesce(strengths, []) AS strengths, coalesce(gaps, []) AS gaps, question, coalesce(evidences, []) AS evidences, coalesce(sentences, []) AS sentences,
+         ['未配置 LLM，已使用事实锁定模板'] || CASE WHEN removed > 0 THEN ['移除 ' || removed || ' 句无来源句子'] ELSE [] END AS warnings
+  FROM ru JOIN fields USING (run_id) JOIN cut USING (run_id) LEFT JOIN tops USING (run_id) LEFT JOIN dims USING (run_id) LEFT JOIN gaps USING (run_id) LEFT JOIN evs USING (run_id) LEFT JOIN sents USING (run_id)
 )
-SELECT run_id, unnest([0, 1, 2, 3, 4]) AS section, '' AS pos, unnest(['# 导师研究报告', '## 匹配分析', '## 缺口', '## 证据来源', '## 邮件草稿']) AS markdown, NULL AS json FROM ru
-UNION ALL SELECT run_id, 1, p, '- ' || k || '：' || v, to_json({{'run_id': run_id, 'kind': 'match', 'value': {{'k': k, 'v': v}}}})::VARCHAR FROM st
-UNION ALL SELECT student_id || '-' || professor_id, 2, topic, '- ' || topic, to_json({{'run_id': student_id || '-' || professor_id, 'kind': 'gap', 'value': topic}})::VARCHAR FROM gp
-UNION ALL SELECT student_id || '-' || professor_id, 4, lpad(idx::VARCHAR, 4, '0'), '- ' || text, to_json({{'run_id': student_id || '-' || professor_id, 'kind': 'sentence', 'value': {{'idx': idx, 'text': text}}}})::VARCHAR FROM dr""",
+SELECT run_id, 'report.json' AS name, to_json({{'run_id': run_id, 'resolution': {{'status': status, 'selected_author_id': author, 'reasons': reasons, 'conflicts': conflicts}},
+  'professor': {{'fields': fields, 'declared_interests': declared, 'observed_recent_topics': observed, 'recruiting': recruiting}},
+  'match_report': {{'research_fit': research_fit, 'recommendation': recommendation, 'opportunity_signal': opportunity_signal, 'strengths': strengths, 'gaps': gaps, 'question': question}},
+  'evidences': evidences, 'draft': {{'subject': '咨询研究与招生机会', 'sentences': sentences}}, 'warnings': warnings}})::VARCHAR AS content FROM doc
+UNION ALL SELECT run_id, 'report.md', array_to_string(list_filter(
+  ['# 导师研究报告', '', '- 运行 ID：' || run_id, '', '## 身份确认', '- 状态：' || status, CASE WHEN author <> '' THEN '- 选定作者：' || author END,
+   CASE WHEN len(reasons) > 0 THEN '- 依据：' || array_to_string(reasons, ', ') END, CASE WHEN len(conflicts) > 0 THEN '- 冲突：' || array_to_string(conflicts, ', ') END, '', '## 导师画像']
+  || list_transform(fields, lambda f: '- ' || f['key'] || '：' || f['value'])
+  || [CASE WHEN len(declared) > 0 THEN '- 官网声明方向：' || array_to_string(declared, '、') END,
+      CASE WHEN len(observed) > 0 THEN '- 近年论文观察主题：' || array_to_string(list_transform(observed, lambda t: t['topic'] || '(' || t['trend'] || ')'), '、') END, '- 招生状态：' || recruiting,
+      '', '## 匹配分析', '- 研究匹配：' || research_fit, '- 建议：' || recommendation, '- 机会信号：' || opportunity_signal,
+      CASE WHEN len(strengths) > 0 THEN '- 强项：' || array_to_string(strengths, '、') END, CASE WHEN len(gaps) > 0 THEN '- 缺口：' || array_to_string(gaps, '、') END,
+      CASE WHEN question <> '' THEN '- 待询问：' || question END, '', '## 证据来源', CASE WHEN len(evidences) = 0 THEN '- 无' END]
+  || list_transform(evidences, lambda e: '- [' || e['source_type'] || '] ' || e['title'] || '（' || e['source_url'] || '）')
+  || ['', '## 邮件草稿', '主题：咨询研究与招生机会'] || list_transform(sentences, lambda t: '- ' || t) || ['', '## 警告'] || list_transform(warnings, lambda t: '- ' || t), lambda x: x IS NOT NULL), chr(10)) FROM doc""",
+    "run_artifacts": f"""WITH {_RUN},
+cl AS (
+  SELECT run_id, professor_id, unnest([1, 2, 3]) AS n, unnest(['observed_research_trend', 'recruiting', 'generic']) AS t, unnest(['SUPPORTED', CASE WHEN professor_id % 2 = 0 THEN 'SUPPORTED' ELSE 'UNKNOWN' END, 'SUPPORTED']) AS st,
+         unnest([['ev_p' || professor_id, 'ev_w' || professor_id], ['ev_p' || professor_id], CASE WHEN professor_id % 4 = 0 THEN ['ev_p' || professor_id, 'ev_lost'] ELSE ['ev_p' || professor_id] END]) AS refs FROM ru),
+good AS (
+  SELECT cl.* FROM cl, ids WHERE NOT (t = 'recruiting' AND st <> 'UNKNOWN') AND list_has_all(ids, refs)
+  AND NOT (t = 'observed_research_trend' AND professor_id % 11 = 0)),
+pt AS (
+  SELECT run_id, 'research_intersection' AS section, 'both ' || professor_id AS text, list_filter([CASE WHEN a.ok THEN student_id || ':f1' END, CASE WHEN b.ok THEN student_id || ':f3' END], lambda x: x IS NOT NULL) AS f, ['ev_p' || professor_id] AS e
+  FROM ru JOIN facts a USING (student_id) JOIN facts b USING (student_id) WHERE a.fact_id = 'f1' AND b.fact_id = 'f3' AND (a.ok OR b.ok) AND 'ev_p' || professor_id IN (SELECT id FROM ev)
+  UNION ALL SELECT run_id, 'background_gaps', 'gap', [], ['ev_w' || professor_id] FROM ru WHERE 'ev_w' || professor_id IN (SELECT id FROM ev))
+SELECT 'all' AS batch, run_id, 'status.json' AS name, to_json({{'status': 'COMPLETED', 'draft_ok': true, 'removed': removed}})::VARCHAR AS content FROM cut
+UNION ALL SELECT 'all', run_id, 'match.json', to_json({{'research_fit': research_fit, 'evidence_sufficiency': evidence_sufficiency, 'recommendation': recommendation, 'opportunity_signal': opportunity_signal}})::VARCHAR FROM ru
+UNION ALL SELECT 'all', run_id, 'claims.json', coalesce(to_json(list({{'claim_id': run_id || ':c:' || n, 'claim_type': t, 'status': st, 'evidence_ids': refs}} ORDER BY n) FILTER (n IS NOT NULL))::VARCHAR, '[]')
+  FROM ru LEFT JOIN good USING (run_id) GROUP BY run_id
+UNION ALL SELECT 'all', run_id, 'analysis.json', coalesce(to_json(list({{'section': section, 'text': text, 'fact_ids': f, 'evidence_ids': e}} ORDER BY section) FILTER (section IS NOT NULL))::VARCHAR, '[]')
+  FROM ru LEFT JOIN pt USING (run_id) GROUP BY run_id
+UNION ALL SELECT 'all', run_id, 'draft.json', coalesce(to_json(list({{'text': text, 'sentence_type': sentence_type, 'fact_ids': f, 'evidence_ids': e}} ORDER BY idx))::VARCHAR, '[]') FROM kept GROUP BY run_id
+UNION ALL SELECT 'all', run_id, 'evidence.json', coalesce(to_json(list({{'id': id}} ORDER BY id) FILTER (id IS NOT NULL))::VARCHAR, '[]') FROM ru LEFT JOIN ev USING (professor_id) GROUP BY run_id""",
     "match_invariants": f"""WITH related AS ({_gap_count(WORDS)}), unrelated AS ({_gap_count(UNRELATED)}), twice AS ({_gap_count(WORDS)})
 SELECT 'match.determinism' AS key, (related.n = twice.n)::INT::DOUBLE AS value, true AS higher_is_better, 1.0::DOUBLE AS gate FROM related, twice
 UNION ALL SELECT 'match.monotonic', (unrelated.n > related.n)::INT::DOUBLE, true, 1.0 FROM related, unrelated""",
