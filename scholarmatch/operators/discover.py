@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarmatch.functions import text, vocab
+from scholarmatch.operators.dictionary import contains_pairs
 
 KEY = ("university", "department", "name")
 
@@ -37,45 +38,13 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
     return once.groupBy("query_id").agg(packed.alias("terms"))
 
 
-#: Longest stretch of a term that texts are looked up by.
-BLOCK = 3
-
-
-def _blocks(values: DataFrame, value: str, id_col: str) -> DataFrame:
-    """(id, block): every stretch of one to ``BLOCK`` characters of a text once; the text itself is not carried."""
-    stretches = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.length(value)),
-                lambda i: F.transform(F.sequence(F.lit(1), F.lit(BLOCK)), lambda n: F.substring(F.col(value), i, n)),
-            )
-        )
-    )
-    return values.where(F.length(value) > 0).select(id_col, F.explode(stretches).alias("_block"))
-
-
-def contains_join(values: DataFrame, terms: DataFrame, value: str, term: str) -> DataFrame:
-    """Rows of ``values`` and ``terms`` where the value contains the term (both already folded).
-
-    Values are found by the first characters of the term: (hash of the value, block) meets (block, term), then the
-    value is fetched by its hash and looked at. An empty or null term is contained nowhere.
-    """
-    asked = terms.select(term).where(F.col(term) != "").distinct()
-    keyed = values.withColumn("_vid", F.xxhash64(value))
-    found = _blocks(keyed.select("_vid", value), value, "_vid").join(
-        asked.withColumn("_block", F.substring(term, 1, BLOCK)), "_block"
-    )
-    held = keyed.join(found.select("_vid", term).distinct(), "_vid").where(F.col(value).contains(F.col(term))).drop("_vid")
-    return held.join(terms, term)
-
-
 def _matched(catalog: DataFrame, queries: DataFrame) -> DataFrame:
     """Catalog rows next to each query with at least one term somewhere in their texts, each pair once."""
     texts = F.flatten(F.array(*[F.col(f"_v_{f}") for f in vocab.FIELD_WEIGHTS]))
     shaped = _folded(catalog).withColumn("_hay", F.array_join(texts, "\n")).withColumn("_vid", F.xxhash64("_hay"))
-    flat = queries.select("query_id", F.explode("terms.needle").alias("_needle")).where("_needle <> ''")
-    asked = flat.select("query_id", F.substring("_needle", 1, BLOCK).alias("_block")).distinct()
-    pairs = _blocks(shaped.select("_vid", "_hay"), "_hay", "_vid").join(asked, "_block").select("_vid", "query_id").distinct()
+    asked = queries.select("query_id", F.explode("terms.needle").alias("_term"))
+    found = contains_pairs(shaped.select("_vid", F.col("_hay").alias("_text")), asked.select("_term"))
+    pairs = found.join(asked, "_term").select("_vid", "query_id").distinct()
     held = F.exists("terms", lambda t: (t["needle"] != "") & F.col("_hay").contains(t["needle"]))
     return shaped.join(pairs, "_vid").join(queries, "query_id").where(held).drop("_vid")
 

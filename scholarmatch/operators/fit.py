@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scholarmatch.functions import text, vocab
 from scholarmatch.functions.scale import literal_table
-from scholarmatch.operators import discover, topics
+from scholarmatch.operators import dictionary, discover, topics
 from scholarmatch.sources.tables import settle
 
 PAIR = ["student_id", "professor_id"]
@@ -94,8 +94,8 @@ def _vocabulary_matches(values: DataFrame, materials: DataFrame, synonyms: Mappi
     # the distinct texts are looked at several times, once for their number
     v = settle(values.select("value_key").where(F.col("value_key") != "").distinct(), "student-terms")
     t = settle(materials.select("topic_key").where(F.col("topic_key") != "").distinct(), "supervisor-topics")
-    inside = discover.contains_join(t, v, "topic_key", "value_key").select("value_key", "topic_key")
-    around = discover.contains_join(v, t, "value_key", "topic_key").select("value_key", "topic_key")
+    inside = dictionary.contains_join(t, v, "topic_key", "value_key").select("value_key", "topic_key")
+    around = dictionary.contains_join(v, t, "value_key", "topic_key").select("value_key", "topic_key")
     out = inside.unionByName(around)
     if synonyms:
         pairs = set()

@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholarmatch.functions import vocab
-from scholarmatch.operators.discover import BLOCK, KEY, completeness, score_terms, searched_values
+from scholarmatch.operators.discover import KEY, completeness, score_terms, searched_values
 from scholarmatch.sources.tables import drop_folder, settle
 
 #: Folders that advisors and grams are dealt to; a part is what an update rewrites at least. A large catalog takes more.
 PARTS, SHARDS = 4, 16
+#: Characters of the longest gram.
+BLOCK = 3
 _FIELDS = tuple(vocab.FIELD_WEIGHTS)
 
 

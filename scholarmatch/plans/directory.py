@@ -7,6 +7,8 @@ from scholarmatch.operators import discover
 from scholarmatch.plans import tables
 from scholarmatch.plans.tables import BATCHES, CATALOG, MERGED, ROSTER, load
 from scholarmatch.sources import roster as roster_source
+from scholarmatch.sources import tables as stored_tables
+from scholarmatch.sources.tables import scratch_path
 
 STAMP, SITE = "2024-03-01", "https://faculty.example.edu"
 ROOTS, SUFFIXES, ALLOWED = ("11", "77", "404"), ("Professor",), r"^Name[0-9]{1,9}$"
@@ -130,6 +132,28 @@ def delete_by_rule_samples(spark, sf):
     return ops.delete_by_rule(_catalog(spark, sf), _reject)[2]
 
 
+def _edited(spark, sf, change):
+    """The catalog after an edit of its stored table."""
+    path = scratch_path(spark, "catalog")
+    stored_tables.write_table(_catalog(spark, sf), path, "catalog")
+    stored_tables.edit_table(spark, path, "catalog", change)
+    return stored_tables.read_table(spark, path, "catalog")
+
+
+def stored_clear_source(spark, sf):
+    kept = _edited(spark, sf, lambda rows: ops.clear_source(rows, "official", "NATION_6")[0])
+    return _flat(kept).select("university", "department", "name", "sources")
+
+
+def stored_normalize_names(spark, sf):
+    kept = _edited(spark, sf, lambda rows: ops.normalize_names(rows, _clean)[0])
+    return _flat(kept).select("university", "department", "name", "title", "email", "homepage_url", "orcid", "sources")
+
+
+def stored_delete_by_rule(spark, sf):
+    return _edited(spark, sf, lambda rows: ops.delete_by_rule(rows, _reject)[0]).select(*ops.KEY)
+
+
 def delete_keys(spark, sf):
     """Rows of customers with a finished urgent order are taken out by key."""
     o = load(spark, sf, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
@@ -263,7 +287,7 @@ def field_report_summary(spark, sf):
 
 _NAMES = (
     "load_roster load_reviews catalog_upsert roster_upsert roster_reload clear_source clear_source_count "
-    "clear_roster_official normalize_names normalize_names_counts delete_by_rule delete_by_rule_count "
+    "stored_clear_source stored_normalize_names stored_delete_by_rule clear_roster_official normalize_names normalize_names_counts delete_by_rule delete_by_rule_count "
     "delete_by_rule_samples delete_keys lookup_advisor lookup_identity_key browse browse_reviews browse_roster_names "
     "facet_counts facet_departments field_fill_rates source_breakdown completeness roster_stats roster_summary "
     "top_universities library_quality name_quality field_report field_report_summary"
@@ -337,6 +361,15 @@ ORACLES = {
     "roster_reload": f"""WITH {ROSTER}, {_OFFICIAL} SELECT * FROM ros WHERE in_official
 UNION ALL SELECT university, department, supervisor, note, school_cate, true, false, '', '' FROM entries e
 WHERE NOT EXISTS (SELECT 1 FROM ros r WHERE r.in_official AND r.university = e.university AND r.department = e.department AND r.supervisor = e.supervisor)""",
+    "stored_normalize_names": f"""WITH {_CAT}, {_NORM},
+toks AS (SELECT university, department, clean, s, min((CASE WHEN n = 1 THEN '' ELSE name END) || '/' || i) AS pos
+         FROM (SELECT university, department, clean, n, name, unnest(source_list) AS s, generate_subscripts(source_list, 1) AS i FROM ordered) GROUP BY ALL),
+united AS (SELECT university, department, clean, string_agg(s, ',' ORDER BY pos) AS sources FROM toks GROUP BY ALL)
+SELECT o.university, o.department, o.clean AS name, title, email, homepage_url, orcid, u.sources
+FROM ordered o JOIN united u ON u.university = o.university AND u.department = o.department AND u.clean = o.clean WHERE n = 1""",
+    "stored_delete_by_rule": f"WITH {_CAT}, {_VERDICT} SELECT university, department, name FROM named WHERE verdict = 'keep'",
+    "stored_clear_source": f"""WITH {_CAT} SELECT university, department, name, CASE WHEN university = 'NATION_6' THEN array_to_string(list_filter(source_list, lambda s: s <> 'official'), ',') ELSE sources END AS sources
+FROM cat WHERE NOT (university = 'NATION_6' AND sources = 'official')""",
     "clear_source": f"""WITH {_CAT} SELECT university, department, name, array_to_string(list_filter(source_list, lambda s: s <> 'official'), ',') AS sources
 FROM cat WHERE sources <> 'official'""",
     "clear_source_count": f"WITH {_CAT} SELECT count(*) FILTER (sources = 'official') AS removed FROM cat",

@@ -54,8 +54,8 @@ def index_rank(spark, sf):
 def index_update(spark, sf):
     """The ranking from an index that was built while one school was missing and the texts of another were empty."""
     now = catalog(spark, sf)
-    blank = F.when(F.col("university") == "FRANCE", F.lit("")).otherwise(F.col("profile_text"))
-    before = now.where("university <> 'CHINA'").withColumn("profile_text", blank)
+    blank = F.when(F.col("university") == "NATION_3", F.lit("")).otherwise(F.col("profile_text"))
+    before = now.where("university <> 'NATION_7'").withColumn("profile_text", blank)
     return gram_index.rank_indexed(spark, _indexed(spark, sf, before, now), _queries(spark))
 
 

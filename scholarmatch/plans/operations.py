@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from scholarmatch.operators import runs as ops
 from scholarmatch.plans.tables import load
+from scholarmatch.sources import tables as stored_tables
+from scholarmatch.sources.tables import scratch_path
 
 TOOLS = ("search_by_author", "search_by_title", "fetch_professor_homepage", "other_tool")
 LIMITS = {
@@ -230,9 +232,18 @@ def delete_run(spark, sf):
     return kept.join(kept_runs, "run_id", "left_semi")
 
 
+def stored_delete_run(spark, sf):
+    """The stored artifacts after one run was deleted from them."""
+    path = scratch_path(spark, "artifacts")
+    owned = _artifacts(spark, sf).withColumn("run_id", _uuid(F.col("run_id").cast("long")))
+    stored_tables.write_table(owned, path, "artifacts")
+    stored_tables.edit_table(spark, path, "artifacts", lambda rows: ops.delete_run(rows.select("run_id"), rows, _GONE)[1])
+    return stored_tables.read_table(spark, path, "artifacts").select("run_id", "seq", "kind", "payload")
+
+
 _NAMES = (
     "latest_artifact run_views runs_by_json_field visible_runs run_comparison archive_page archive_facets duplicate_archive retention_audit "
-    "retention_totals trace_rollup trace_user_steps budget_breach call_caps source_health stage_chain delete_run"
+    "retention_totals trace_rollup trace_user_steps budget_breach call_caps source_health stage_chain delete_run stored_delete_run"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -317,5 +328,6 @@ s AS (SELECT run_id, count(*) AS total, count(*) FILTER (t IN ('view', 'click'))
 SELECT run_id, total, searched, failed, coalesce(l, '') AS failed_labels, searched = 0 AND failed > 0 AS unavailable, cost,
        coalesce(u, '本次没有检索到论文') || CASE WHEN q IS NOT NULL THEN '；未返回：' || q ELSE '' END AS description FROM s LEFT JOIN f USING (run_id)""",
     "stage_chain": f"WITH {_EV}, {_ST}, c AS (SELECT *, lag(stage) OVER (PARTITION BY run_id ORDER BY idx) AS p FROM st WHERE stage IS NOT NULL) SELECT run_id, idx, stage FROM c WHERE p IS NULL OR p <> stage",
+    "stored_delete_run": f"WITH {_EV}, {_ART} SELECT {_UU.format('r.u')} AS run_id, event_id AS seq, kind, payload FROM (SELECT *, run_id::BIGINT AS u FROM art) r WHERE u <> 8",
     "delete_run": f"SELECT {_UU.format('user_id')} AS run_id, event_id FROM events WHERE user_id <> 8",
 }

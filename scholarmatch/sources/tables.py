@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StructType
 
 from scholarmatch.session import checkpoint_dir
 
@@ -40,24 +43,69 @@ SCHEMAS = {
 PARTITIONS = {"catalog": ["university"], "reviews": ["university"], "roster": ["university"], "faculty": ["university"], "artifacts": ["kind"]}
 
 
-def write_table(df: DataFrame, path: str, table: str, mode: str = "overwrite") -> None:
-    """Parquet in the declared column order and types; tables of people are laid out by school.
+def _shaped(df: DataFrame, table: str) -> DataFrame:
+    """The declared columns and types; tables of people in ranges of (school, name), each of about the same size.
 
-    Rows are spread by school and name, so a school with very many people fills several files.
+    A school with very many people fills several ranges and so several files of about one size, small schools share a
+    task, and the names of a file are next to each other, so a lookup by name skips the files of all other names.
     """
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import StructType
+    shaped = _cast(df, table)
+    parts = PARTITIONS.get(table)
+    if not parts:
+        return shaped
+    by = [*parts, next((c for c in ("name", "supervisor", "id") if c in shaped.columns), parts[0])]
+    return shaped.repartitionByRange(*by).sortWithinPartitions(*by)
+
 
-    fields = StructType.fromDDL(SCHEMAS[table]).fields
-    shaped = df.select(*[F.col(f.name).cast(f.dataType) for f in fields])
+def write_table(df: DataFrame, path: str, table: str, mode: str = "overwrite") -> None:
+    """Parquet in the declared column order and types, in folders of schools and files of name ranges."""
     parts = PARTITIONS.get(table)
-    if parts:
-        person = next((c for c in ("name", "supervisor", "id") if c in df.columns), parts[0])
-        shaped = shaped.repartition(*parts, F.pmod(F.xxhash64(person), F.lit(8)))
-    writer = shaped.write.mode(mode)
+    writer = _shaped(df, table).write.mode(mode)
     (writer.partitionBy(*parts) if parts else writer).parquet(path)
 
 
+def _marks(df: DataFrame, part: str, out: str) -> DataFrame:
+    """(part, out): how many rows a partition has, and a sum over their contents; reduced before the shuffle."""
+    fields = [F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, MapType) else F.col(f.name) for f in df.schema.fields]
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in df.columns])  # a null is skipped by the hash
+    halves = [F.sum(F.xxhash64(F.lit(seed), nulls, *fields).cast("decimal(38,0)")) for seed in (1, 2)]
+    return df.groupBy(part).agg(F.struct(F.count("*").alias("n"), *[h.alias(f"h{i}") for i, h in enumerate(halves)]).alias(out))
+
+
+def edit_table(spark: SparkSession, path: str, table: str, change: Callable[[DataFrame], DataFrame]) -> list:
+    """Applies ``change`` to a stored table; returns the partitions it touched. All other partitions keep their files.
+
+    ``change`` goes from rows to rows and looks at one partition (school, kind) at a time, as deletes, cleared sources
+    and cleaned names do. One scan finds the partitions whose rows differ afterwards; only they are read again and
+    replaced (dynamic partition overwrite), and those without rows left are removed.
+    """
+    (part,) = PARTITIONS[table]
+    stored = read_table(spark, path, table)
+    before = _marks(_cast(stored, table), part, "_before")  # in the declared column order, as what is compared with it
+    after = _marks(_cast(change(stored), table), part, "_after").withColumnRenamed(part, "_part")
+    both = before.join(after, F.col(part).eqNullSafe(F.col("_part")), "full_outer")
+    differing = both.where(~F.col("_before").eqNullSafe(F.col("_after")))
+    touched = [r["p"] for r in differing.select(F.coalesce(part, "_part").alias("p")).collect()]
+    if not touched:
+        return []
+    known = [p for p in touched if p is not None]
+    mine = F.col(part).isin(known) | F.col(part).isNull() if None in touched else F.col(part).isin(known)
+    old = stored.where(mine)
+    folders = {r["p"]: r["f"] for r in old.groupBy(F.col(part).alias("p")).agg(F.min(F.regexp_replace("_metadata.file_path", "/[^/]*$", "")).alias("f")).collect()}
+    new = settle(_cast(change(old), table), "edited")
+    left = {r["p"] for r in new.select(F.col(part).alias("p")).distinct().collect()}
+    if left:
+        _shaped(new, table).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    for gone in set(touched) - left:
+        if gone in folders:
+            drop_folder(spark, folders[gone])
+    return sorted(touched, key=lambda p: (p is not None, p or ""))
+
+
+def _cast(df: DataFrame, table: str) -> DataFrame:
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(SCHEMAS[table]).fields])
+
+
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[table]).parquet(path)
 

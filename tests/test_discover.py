@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scholarmatch.functions import text
 from scholarmatch.functions.scale import literal_table
-from scholarmatch.operators import discover, nearest
+from scholarmatch.operators import dictionary, discover, nearest
 
 CAT = (
     "university string, department string, name string, title string, email string, research_directions array<string>, "
@@ -101,22 +101,24 @@ def test_hashed_vectors_are_unit_length_and_agree_without_collisions(spark):
     assert abs(sum(a * b for a, b in zip(v[0], v[1])) - cos("graph nets", "graph theory")) < 1e-9
 
 
-def test_contains_join_equals_all_pairs(spark):
+@pytest.mark.parametrize("sizes", [(50_000, 4096), (2, 7)])
+def test_contains_join_equals_all_pairs(spark, sizes):
     rng = random.Random(5)
-    texts = ["".join(rng.choices("abc", k=rng.randint(0, 9))) for _ in range(60)] + [None, None, "abc", "abc"]
-    needles = ["a", "bc", "abc", "cabb", "zz", "", None, "a"]
+    texts = ["".join(rng.choices("abc知", k=rng.randint(0, 9))) for _ in range(60)] + [None, None, "abc", "abc", "a\x00b\U0001f600c"]
+    needles = ["a", "bc", "abc", "cabb", "zz", "", None, "a", "知", "ab", "\U0001f600"]
     values = spark.createDataFrame(list(enumerate(texts)), "i int, v string")
     terms = spark.createDataFrame(list(enumerate(needles)), "j int, t string")
     want = sorted((i, j) for i, v in enumerate(texts) for j, t in enumerate(needles) if v is not None and t and t in v)
-    got = discover.contains_join(values, terms, "v", "t")
+    got = dictionary.contains_join(values, terms, "v", "t", *sizes)
     assert sorted((r["i"], r["j"]) for r in got.collect()) == want
+    assert dictionary.contains_join(values.limit(0), terms, "v", "t").count() == dictionary.contains_join(values, terms.limit(0), "v", "t").count() == 0
 
 
-def test_blocks_carry_no_text_and_grow_with_the_length(spark):
-    values = spark.createDataFrame([("abcdefgh" * 50,), ("x" * 1000,)], "v string").withColumn("id", F.xxhash64("v"))
-    rows = discover._blocks(values, "v", "id").collect()
-    assert set(rows[0].asDict()) == {"id", "_block"} and max(len(r["_block"]) for r in rows) == 3
-    assert len(rows) <= 3 * (400 + 3)
+def test_a_text_is_copied_once_a_shard_and_never_spread(spark):
+    values = spark.createDataFrame([("abcdefgh" * 500,), ("x" * 1000,)], "v string")
+    terms = spark.createDataFrame([("abc",), ("nope",)], "t string")
+    plan = dictionary.contains_join(values, terms, "v", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "substring" not in plan
 
 
 def test_no_nested_loop_join(spark, catalog):

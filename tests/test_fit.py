@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholarmatch.operators import evaluate, fit, grounding, topics
-from scholarmatch.sources import export
 
 WORKS = "person string, work_id string, seq long, year int, title string, topics array<string>, disciplines array<string>"
 
@@ -73,7 +72,7 @@ def world(spark):
     return req, facts, profs, mats
 
 
-def test_match_report_levels(world, tmp_path):
+def test_match_report_levels(world):
     req, facts, profs, mats = world
     hits = fit.term_matches(req, facts, mats)
     near = fit.semantic_fallback(req, facts, mats, hits)
@@ -89,12 +88,6 @@ def test_match_report_levels(world, tmp_path):
     assert ("skill", "full", "信息检索") in gaps and ("skill", "full", "检索增强生成") not in gaps
     assert {g[2] for g in gaps if g[0] == "none"} == {"信息检索", "检索增强生成"}
     assert not [g for g in gaps if g[0] == "unsure"]
-    lines = export.report_lines(*[d.withColumn("run_id", F.concat_ws("-", "student_id", "professor_id")) for d in (out, fit.topic_gaps(out, mats, hits, near))], fit.template_draft(req, facts, profs, mats, mats.select("professor_id", F.col("pos").alias("seq"), F.col("topic").alias("title"), F.lit(1).alias("year"), "evidence_id")).withColumn("run_id", F.concat_ws("-", "student_id", "professor_id")))
-    said = [r["markdown"] for r in lines.where("run_id = 'none-full'").orderBy("section", "pos").collect()]
-    export.write_reports(lines, str(tmp_path / "r"), 3)
-    assert lines.sparkSession.read.parquet(str(tmp_path / "r")).count() == lines.count()
-    assert json.loads(lines.where("json IS NOT NULL").first()["json"])["run_id"]
-    assert said[0] == "# 导师研究报告" and "- 研究匹配：交集较少" in said and "- 信息检索" in said
 
 
 def test_invariants_metric(world):
@@ -242,3 +235,14 @@ def test_first_fitting_author_record(spark):
     e = spark.createDataFrame([("t", 2, "b", ["Wuhan University"]), ("t", 1, "a", ["MIT"]), ("t", 3, "c", ["wuhan university lab"]), ("u", 1, "z", ["MIT"])], "target_id string, seq int, id string, institutions array<string>")
     t = spark.createDataFrame([("t", "WUHAN University"), ("u", "Fudan")], "target_id string, institution string")
     assert [tuple(r) for r in people.pick_first_author(e, t).collect()] == [("t", "b")]
+
+
+def test_letters_are_signed_with_the_name_or_as_somebody(world):
+    req, facts, profs, mats = world
+    tops, pubs = mats.where("kind = 'declared'"), mats.limit(0).selectExpr("professor_id", "pos AS seq", "topic AS title", "1 AS year", "evidence_id")
+    names = mats.sparkSession.createDataFrame([("skill", "林一"), ("none", "  ")], "student_id string, name string")
+    rows = fit.template_draft(req.where("professor_id = 'full'"), facts, profs, tops, pubs, students=names).where("idx = 1").collect()
+    said = {r["student_id"]: r["text"] for r in rows}
+    assert said["skill"].startswith("我是林一，") and said["none"].startswith("我是一名学生，") and said["near"].startswith("我是一名学生，")
+    heads = fit.draft_headers(req).collect()
+    assert len(heads) == req.count() and {r["subject"] for r in heads} == {"咨询研究与招生机会"}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scholarmatch.functions.scale import _stretches, keep_first, literal_table, previous_value, running_total
+from scholarmatch.functions.scale import _stretches, keep_first, literal_table, page_of, previous_value, running_total, spaced_starts
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +61,48 @@ def test_hot_key_top_rows_are_limited_before_the_shuffle(rows):
     w = Window.partitionBy("k").orderBy("o")
     plan = rows.withColumn("r", F.row_number().over(w)).where("r <= 2")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def _one_after_the_other(rows, gaps):
+    last, out = {}, {}
+    for key, at, i in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2])):
+        if at is None:
+            out[i] = None
+            continue
+        start = at if key not in last else max(at, last[key] + gaps.get(key, 0))
+        last[key] = out[i] = start
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 6, 40, None])
+def test_spaced_starts_equal_a_sequential_model(spark, parts):
+    rng = random.Random(8)
+    keys = ["hot"] * 150 + [rng.choice(["a", "b", "free", None]) for _ in range(150)]
+    rows = [(k, rng.choice([None, rng.randrange(2000), rng.randrange(20) * 100]), i) for i, k in enumerate(keys)]
+    gaps = {"hot": 30, "a": 7, "b": 1000}
+    df = spark.createDataFrame(rows, "k string, at long, i long").withColumn("o", F.coalesce("at", F.lit(-1)))
+    gap = F.when(F.col("k") == "hot", 30).when(F.col("k") == "a", 7).when(F.col("k") == "b", 1000)
+    got = spaced_starts(df, ["k"], ["o", "i"], "at", gap, "start", parts)
+    assert got.columns == ["k", "at", "i", "o", "start"]
+    assert {r["i"]: r["start"] for r in got.collect()} == _one_after_the_other(rows, gaps)
+
+
+def test_a_burst_waits_longer_with_every_call(spark):
+    df = spark.createDataFrame([("s", t, i) for i, t in enumerate([0, 1, 2, 3, 100])], "k string, at long, i long")
+    got = {r["i"]: r["start"] for r in spaced_starts(df, ["k"], ["at", "i"], "at", F.lit(10), "start").collect()}
+    assert got == {0: 0, 1: 10, 2: 20, 3: 30, 4: 100}
+
+
+def test_a_page_reads_the_ranges_that_hold_it(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(50), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "t int, i int")
+    order = [F.desc("t"), F.col("i")]
+    want = sorted(rows, key=lambda r: (-r[0], r[1]))
+    for first, last in ((0, 9), (245, 260), (490, 520), (600, 610)):
+        page = page_of(df, order, first, last, parts=20)
+        assert sorted(map(tuple, page.collect()), key=lambda r: (-r[0], r[1])) == want[first:last]
+    page = page_of(df, order, 480, 490, parts=20)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "_part" in plan.split("PushedFilters")[1][:200]
+    assert page_of(df.limit(0), order, 0, 9).count() == 0
