@@ -8,9 +8,7 @@ used up its slots stay empty, or go to blocks that are released by then. No row
 
 The weights are the targets themselves to the precision of a double (whole shares of about 2^60), for any number of
 sources. One task finds only the state at the start of each stretch of ``STRETCH`` blocks; the stretches are then
-scheduled side by side. With a ``quantum`` weights are rounded to that many whole shares instead, at least one each;
-the schedule then repeats after ``quantum`` slots, only the slots of one period are scheduled (a used-up source leaves
-its slots empty), and the deviation from the targets grows with the table by the rounding.
+scheduled side by side.
 
 Defined cases: a null source is a source of its own; null ids come first in their place of the hash order; repeated
 rows follow one another; an empty table gives an empty result; texts are not read.
@@ -25,9 +23,9 @@ from pyspark.sql import functions as F
 
 #: Rows of a block.
 BLOCK_ROWS = 16
-#: Shares that rounded weights have together; as a weight, one of so many is that of a source without a target.
-QUANTUM = 1024
-#: Shares that weights are counted in otherwise, about as many as a long holds.
+#: Weight of a source without a target, where there are targets.
+UNNAMED = 1 / 1024
+#: Shares that weights are counted in, about as many as a long holds.
 FINE = 1 << 60
 #: Blocks of a stretch that is scheduled on its own.
 STRETCH = 1024
@@ -35,58 +33,20 @@ STRETCH = 1024
 TEMPERATURE = 0.5
 
 
-def _parts(targets: dict | None, quantum: int, temperature: float) -> tuple[Column, Column]:
-    """The weight of a source of n rows, and column ``weight`` as a part of all."""
-    if targets is None:
-        weight = F.pow(F.col("n").cast("double"), F.lit(float(temperature)))
-    else:
-        known = [x for pair in targets.items() for x in (F.lit(pair[0]), F.lit(float(pair[1])))]
-        weight = F.coalesce(F.element_at(F.create_map(*known), F.col("source")) if known else F.lit(None).cast("double"), F.lit(1.0 / quantum))
-    by_name = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_first())
-    return weight, F.col("weight") / F.sum("weight").over(by_name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-
-
 def fine_shares(counts: DataFrame, targets: dict | None, temperature: float) -> DataFrame:
     """source, n, k, idx, q: shares k of all shares q, about ``FINE``; a target of zero counts as none."""
     everything = Window.partitionBy(F.lit(0))  # one row per source
     if targets is not None and any(not 0 <= float(w) < math.inf for w in targets.values()):
         raise ValueError("target weights are finite and not negative")
-    weight, part = _parts(targets and {s: w for s, w in targets.items() if w}, QUANTUM, temperature)
-    dealt = counts.withColumn("weight", weight).withColumn("k", F.greatest(F.lit(1), F.round(part * float(FINE)).cast("long")))
-    return dealt.select(
-        "source", "n", "k", (F.row_number().over(everything.orderBy(F.col("source").asc_nulls_first())) - 1).alias("idx"), F.sum("k").over(everything).alias("q")
-    )
-
-
-def shares(counts: DataFrame, targets: dict | None, quantum: int, temperature: float) -> DataFrame:
-    """source, n, k, idx: whole shares that add up to ``quantum``, by largest remainder, at least one each."""
-    everything = Window.partitionBy(F.lit(0))  # one row per source
+    if targets is None:
+        weight = F.pow(F.col("n").cast("double"), F.lit(float(temperature)))
+    else:
+        known = [x for s, w in targets.items() if w for x in (F.lit(s), F.lit(float(w)))]
+        weight = F.coalesce(F.element_at(F.create_map(*known), F.col("source")) if known else F.lit(None).cast("double"), F.lit(UNNAMED))
     by_name = everything.orderBy(F.col("source").asc_nulls_first())
-    weight, part = _parts(targets, quantum, temperature)
-    # One share each beforehand; the rest is dealt by weight.
-    ideal = counts.withColumn("weight", weight).withColumn("sources", F.count("*").over(everything)).withColumn(
-        "ideal", part * (F.lit(quantum) - F.col("sources"))
-    )
-    base = ideal.withColumn("whole", F.floor("ideal")).withColumn("left", F.lit(quantum) - F.col("sources") - F.sum("whole").over(everything))
-    ranked = base.withColumn("r", F.row_number().over(everything.orderBy((F.col("ideal") - F.col("whole")).desc(), F.col("source").asc_nulls_first())))
-    return ranked.select(
-        "source", "n", (F.lit(1) + F.col("whole") + F.when(F.col("r") <= F.col("left"), 1).otherwise(0)).cast("int").alias("k"),
-        (F.row_number().over(by_name) - 1).alias("idx"),
-    )
-
-
-def period(share: DataFrame, quantum: int) -> DataFrame:
-    """idx, j, slot: the earliest-deadline-first schedule of one period, ``quantum`` rows."""
-    listed = share.agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "k"))), lambda x: x["k"]).alias("k"))
-    ready = f"filter(sequence(0, size(k) - 1), i -> (s.a[i] * {quantum}) div k[i] <= t)"
-    due = f"array_min(transform({ready}, i -> named_struct('d', ((s.a[i] + 1) * {quantum} + k[i] - 1) div k[i], 'i', i, 'j', s.a[i])))"
-    step = (
-        f"transform(array({due}), p -> named_struct('a', transform(s.a, (x, n) -> if(n = p.i, x + 1, x)), "
-        "'out', concat(s.out, array(named_struct('idx', p.i, 'j', p.j, 'slot', t)))))[0]"
-    )
-    start = "named_struct('a', array_repeat(0, size(k)), 'out', cast(array() as array<struct<idx:int,j:int,slot:int>>))"
-    plan = listed.where("size(k) > 0").selectExpr(f"aggregate(sequence(0, {quantum - 1}), {start}, (s, t) -> {step}).out AS out")
-    return plan.select(F.inline("out"))
+    part = F.col("weight") / F.sum("weight").over(by_name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    dealt = counts.withColumn("weight", weight).withColumn("k", F.greatest(F.lit(1), F.round(part * float(FINE)).cast("long")))
+    return dealt.select("source", "n", "k", (F.row_number().over(by_name) - 1).alias("idx"), F.sum("k").over(everything).alias("q"))
 
 
 def blocks_in_slots(share: DataFrame, block_rows: int) -> DataFrame:
@@ -130,14 +90,11 @@ def blocks_in_slots(share: DataFrame, block_rows: int) -> DataFrame:
     return begun.selectExpr(f"aggregate({many}, named_struct('u', u, 'out', cast(array() as {kind})), (v, y) -> {taken}).out AS out").select(F.inline("out"))
 
 
-def placed(docs: DataFrame, targets: dict | None, block_rows: int, quantum: int | None, temperature: float, id_col: str, source_col: str) -> DataFrame:
-    """The rows of ``docs`` as the struct ``row``, with id, source, _slot, _offset, _block, _release, _deadline, _k (of a quantum) or _w."""
+def placed(docs: DataFrame, targets: dict | None, block_rows: int, temperature: float, id_col: str, source_col: str) -> DataFrame:
+    """The rows of ``docs`` as the struct ``row``, with id, source, _slot, _offset, _block, _release, _deadline, _w."""
     docs = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"))
     counts = docs.groupBy("source").agg(F.count("*").alias("n"))
-    seen = counts.agg(F.count("*").alias("sources"), F.max("n").alias("most")).first()
-    while quantum is not None and quantum < seen["sources"]:
-        quantum *= 2  # every source has one share at least
-    most = seen["most"] or 1
+    most = counts.agg(F.max("n").alias("most")).first()["most"] or 1
     # A source is numbered in chunks of its hash order: as many rows in a chunk as chunks, but 1024 at least.
     digits = max(0, round(math.log(most / max(1024, math.sqrt(most)), 16)))
     hashed = docs.withColumn("_h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))).withColumn("_chunk", F.substring("_h", 1, digits))
@@ -149,70 +106,53 @@ def placed(docs: DataFrame, targets: dict | None, block_rows: int, quantum: int
     offsets = sizes.select("_s", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     numbered = hashed.withColumn("_in", F.row_number().over(inner)).join(offsets, ["_s", "_chunk"])
     at = F.col("_before") + F.col("_in") - 1
-    if quantum is None:
-        share = fine_shares(counts, targets, temperature)
-        first, last = F.floor(F.col("_before") / block_rows), F.floor((F.col("_before") + F.col("_n") - 1) / block_rows)
-        spans = sizes.join(offsets, ["_s", "_chunk"]).select("_s", "_chunk", first.alias("_first"), F.explode(F.sequence(first, last)).alias("block"))
-        names = share.select(key.alias("_s"), "idx")
-        found = spans.join(blocks_in_slots(share, block_rows).join(names, "idx").drop("idx"), ["_s", "block"])
-        # The places of a chunk's blocks come to its rows as one list, so that rows are not dealt out again.
-        lists = found.groupBy("_s", "_chunk").agg(
-            F.min("_first").alias("_first"), F.array_sort(F.collect_list(F.struct("block", "slot", "release", "deadline", (F.col("k") / F.col("q")).cast("double").alias("w")))).alias("_places")
-        )
-        done = numbered.withColumn("_block", F.floor(at / block_rows)).withColumn("_offset", F.pmod(at, F.lit(block_rows))).join(lists, ["_s", "_chunk"])
-        place = F.element_at("_places", (F.col("_block") - F.col("_first") + 1).cast("int"))
-        return done.withColumn("_p", place).select(
-            "row", "id", "source", F.col("_p.slot").alias("_slot"), "_offset", "_block", F.col("_p.w").alias("_w"),
-            F.col("_p.release").alias("_release"), F.col("_p.deadline").alias("_deadline"),
-        )
-    share = shares(counts, targets, quantum, temperature)
-    table = period(share, quantum)
-    blocks = (
-        numbered.withColumn("_block", F.floor(at / block_rows)).withColumn("_offset", F.pmod(at, F.lit(block_rows)))
-        .join(share.select(key.alias("_s"), F.col("k").alias("_k"), F.col("idx").alias("_idx")), "_s")
-        .withColumn("_cycle", F.floor(F.col("_block") / F.col("_k"))).withColumn("_j", F.pmod("_block", "_k"))
+    share = fine_shares(counts, targets, temperature)
+    first, last = F.floor(F.col("_before") / block_rows), F.floor((F.col("_before") + F.col("_n") - 1) / block_rows)
+    spans = sizes.join(offsets, ["_s", "_chunk"]).select("_s", "_chunk", first.alias("_first"), F.explode(F.sequence(first, last)).alias("block"))
+    names = share.select(key.alias("_s"), "idx")
+    found = spans.join(blocks_in_slots(share, block_rows).join(names, "idx").drop("idx"), ["_s", "block"])
+    # The places of a chunk's blocks come to its rows as one list, so that rows are not dealt out again.
+    lists = found.groupBy("_s", "_chunk").agg(
+        F.min("_first").alias("_first"), F.array_sort(F.collect_list(F.struct("block", "slot", "release", "deadline", (F.col("k") / F.col("q")).cast("double").alias("w")))).alias("_places")
     )
-    slots = table.select(F.col("idx").alias("_idx"), F.col("j").cast("long").alias("_j"), F.col("slot").alias("_t"))
-    done = blocks.join(slots, ["_idx", "_j"])
-    return done.select(
-        "row", "id", "source",
-        (F.col("_cycle") * quantum + F.col("_t")).alias("_slot"), "_offset", "_block", "_k",
-        F.expr(f"_block * {quantum} div _k").alias("_release"), F.expr(f"((_block + 1) * {quantum} + _k - 1) div _k").alias("_deadline"),
+    done = numbered.withColumn("_block", F.floor(at / block_rows)).withColumn("_offset", F.pmod(at, F.lit(block_rows))).join(lists, ["_s", "_chunk"])
+    place = F.element_at("_places", (F.col("_block") - F.col("_first") + 1).cast("int"))
+    return done.withColumn("_p", place).select(
+        "row", "id", "source", F.col("_p.slot").alias("_slot"), "_offset", "_block", F.col("_p.w").alias("_w"),
+        F.col("_p.release").alias("_release"), F.col("_p.deadline").alias("_deadline"),
     )
 
 
 def mix_schedule(
-    docs: DataFrame, targets: dict | None = None, block_rows: int = BLOCK_ROWS, quantum: int | None = None, temperature: float = TEMPERATURE,
+    docs: DataFrame, targets: dict | None = None, block_rows: int = BLOCK_ROWS, temperature: float = TEMPERATURE,
     id_col: str = "doc_id", source_col: str = "source",
 ) -> DataFrame:
     """doc_id, source, weight, block, release, deadline, slot, offset: the place of every row in the mix.
 
-    The mix is the order by (slot, offset). ``targets`` maps sources to weights (one not named weighs 1 / ``QUANTUM``);
-    without it weights are row counts to the power ``temperature``. With a ``quantum`` the whole shares come in place
-    of ``weight``.
+    The mix is the order by (slot, offset). ``targets`` maps sources to weights (one not named weighs ``UNNAMED``);
+    without it weights are row counts to the power ``temperature``.
     """
-    part = F.col("_w").alias("weight") if quantum is None else F.col("_k").alias("shares")
-    return placed(docs.select(id_col, source_col), targets, block_rows, quantum, temperature, id_col, source_col).select(
-        F.col("id").alias("doc_id"), "source", part, F.col("_block").alias("block"), F.col("_release").alias("release"),
+    return placed(docs.select(id_col, source_col), targets, block_rows, temperature, id_col, source_col).select(
+        F.col("id").alias("doc_id"), "source", F.col("_w").alias("weight"), F.col("_block").alias("block"), F.col("_release").alias("release"),
         F.col("_deadline").alias("deadline"), F.col("_slot").alias("slot"), F.col("_offset").alias("offset"),
     )
 
 
 def place_rows(
-    docs: DataFrame, targets: dict | None = None, block_rows: int = BLOCK_ROWS, quantum: int | None = None, temperature: float = TEMPERATURE,
+    docs: DataFrame, targets: dict | None = None, block_rows: int = BLOCK_ROWS, temperature: float = TEMPERATURE,
     id_col: str = "doc_id", source_col: str = "source",
 ) -> DataFrame:
     """All rows of ``docs`` with ``mix_slot`` and ``mix_offset``, in that order: sorted shards, each a stretch of slots, one after the other."""
-    mixed = placed(docs, targets, block_rows, quantum, temperature, id_col, source_col)
+    mixed = placed(docs, targets, block_rows, temperature, id_col, source_col)
     return mixed.repartitionByRange("_slot", "_offset").sortWithinPartitions("_slot", "_offset").select(
         "row.*", F.col("_slot").alias("mix_slot"), F.col("_offset").alias("mix_offset")
     )
 
 
 def mix_rows(
-    docs: DataFrame, targets: dict | None = None, block_rows: int = BLOCK_ROWS, quantum: int | None = None, temperature: float = TEMPERATURE,
+    docs: DataFrame, targets: dict | None = None, block_rows: int = BLOCK_ROWS, temperature: float = TEMPERATURE,
     id_col: str = "doc_id", source_col: str = "source",
 ) -> DataFrame:
     """All rows of ``docs`` in the order of the mix, without their places."""
-    mixed = placed(docs, targets, block_rows, quantum, temperature, id_col, source_col)
+    mixed = placed(docs, targets, block_rows, temperature, id_col, source_col)
     return mixed.repartitionByRange("_slot", "_offset").sortWithinPartitions("_slot", "_offset").select("row.*")

@@ -18,7 +18,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_schedule(_read(spark, sf_dir, "documents"), quantum=mixing.QUANTUM)  # its SQL deals whole shares of 1024
+    return mixing.mix_schedule(_read(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,32 +99,28 @@ _OP10 = """
 WITH RECURSIVE counts AS (
   SELECT source, count(*) AS n FROM documents GROUP BY source
 ), w AS (
-  SELECT source, n, sqrt(n::DOUBLE) AS weight, count(*) OVER () AS sources,
-         sum(sqrt(n::DOUBLE)) OVER (ORDER BY source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS total FROM counts
-), i AS (SELECT *, weight / total * (1024 - sources) AS ideal FROM w
-), b AS (SELECT *, floor(ideal)::INT AS whole, 1024 - sources - sum(floor(ideal)::INT) OVER () AS left_over FROM i
+  SELECT source, n, pow(n::DOUBLE, 0.5) / sum(pow(n::DOUBLE, 0.5)) OVER (ORDER BY source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS part FROM counts
 ), sh AS (
-  SELECT source, (1 + whole + CASE WHEN row_number() OVER (ORDER BY ideal - whole DESC, source NULLS FIRST) <= left_over THEN 1 ELSE 0 END)::INT AS k,
-         (row_number() OVER (ORDER BY source NULLS FIRST) - 1)::INT AS idx FROM b
-), ks AS (SELECT list(k ORDER BY idx) AS k FROM sh
+  SELECT source, n, greatest(1, round(part * 1152921504606846976)::BIGINT)::HUGEINT AS k, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx FROM w
+), ks AS (
+  SELECT list(k ORDER BY idx) AS k, list(((n + 15) // 16)::BIGINT ORDER BY idx) AS n, sum(k)::HUGEINT AS q FROM sh
 ), edf AS (
-  SELECT -1 AS t, list_transform(k, lambda x: 0) AS a, NULL::STRUCT(d INT, i INT, j INT) AS p, k FROM ks
+  SELECT 0::BIGINT AS t, list_transform(k, lambda x: 0::BIGINT) AS a, NULL::STRUCT(d HUGEINT, i BIGINT, j BIGINT, r HUGEINT, t BIGINT) AS p FROM ks
   UNION ALL
-  SELECT t + 1, list_transform(range(len(k)), lambda n: (CASE WHEN n = p2.i THEN a[n + 1] + 1 ELSE a[n + 1] END)::INT), p2, k
+  SELECT p2.t + 1, list_transform(range(len(k)), lambda i: (CASE WHEN i = p2.i THEN a[i + 1] + 1 ELSE a[i + 1] END)::BIGINT), p2
   FROM (
-    SELECT *, list_min(list_transform(list_filter(range(len(k)), lambda n: (a[n + 1] * 1024) // k[n + 1] <= t + 1),
-             lambda n: {'d': (((a[n + 1] + 1) * 1024 + k[n + 1] - 1) // k[n + 1])::INT, 'i': n::INT, 'j': a[n + 1]::INT})) AS p2
-    FROM edf WHERE t < 1023
+    SELECT *, list_min(list_transform(list_filter(range(len(k)), lambda i: a[i + 1] < n[i + 1] AND a[i + 1] * q // k[i + 1] <= t2),
+             lambda i: {'d': (((a[i + 1] + 1) * q + k[i + 1] - 1) // k[i + 1])::HUGEINT, 'i': i::BIGINT, 'j': a[i + 1]::BIGINT, 'r': (a[i + 1] * q // k[i + 1])::HUGEINT, 't': t2::BIGINT})) AS p2
+    FROM (
+      SELECT edf.t, edf.a, ks.k, ks.n, ks.q, greatest(t, list_min(list_transform(list_filter(range(len(k)), lambda i: a[i + 1] < n[i + 1]), lambda i: a[i + 1] * q // k[i + 1]))) AS t2
+      FROM edf, ks WHERE list_sum(a) < list_sum(n)
+    )
   )
-), per AS (SELECT p.i AS idx, p.j AS j, t AS slot FROM edf WHERE t >= 0
 ), num AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS nth FROM documents
-), blk AS (
-  SELECT num.doc_id, num.source, sh.k, sh.idx, nth // 16 AS block, nth % 16 AS off FROM num JOIN sh ON num.source IS NOT DISTINCT FROM sh.source
 )
-SELECT doc_id, source, k AS shares, block::BIGINT AS block, (block * 1024 // k)::BIGINT AS release, (((block + 1) * 1024 + k - 1) // k)::BIGINT AS deadline,
-       ((block // k) * 1024 + slot)::BIGINT AS slot, off::BIGINT AS "offset"
-FROM blk JOIN per ON blk.idx = per.idx AND per.j = blk.block % blk.k
+SELECT num.doc_id, num.source, round(sh.k / ks.q::DOUBLE, 9) AS weight, nth // 16 AS block, p.r::BIGINT AS release, p.d::BIGINT AS deadline, p.t AS slot, nth % 16 AS "offset"
+FROM num JOIN sh ON num.source IS NOT DISTINCT FROM sh.source, ks, edf WHERE edf.p.i = sh.idx AND edf.p.j = nth // 16
 """
 
 _OP9 = """
