@@ -2,8 +2,9 @@
 
 Base kinds ``email``, ``ip``, ``card`` and ``phone`` follow their patterns and validators exactly. The method adds
 ``iban`` (mod-97), ``ssn`` (three-part number with a context word) and ``cardlike`` (13 to 15 digits passing Luhn
-with a context word) and ``cards`` (card numbers side by side, which the base pattern sees as one number). Every span has a score: a start value by kind, raised by context words in the
-``WINDOW`` characters before it. Added spans are returned from ``ACCEPT`` on; base spans always stay.
+with a context word) and ``cards`` (card numbers side by side, which the base pattern sees as one number). Of an account
+code whose last groups are words that follow it, the longest part that passes is taken. Every span has a score: a start
+value by kind, raised by context words in the ``WINDOW`` characters before or after it. Added spans are returned from ``ACCEPT`` on; base spans always stay.
 
 Each pattern is matched in time linear in the text: only where a character that it needs occurs, and over maximal
 runs, so that one very long token costs no more than its length.
@@ -111,6 +112,24 @@ def split_cards(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return found
 
 
+def accounts(text: str) -> list[tuple[int, int]]:
+    """Account codes that pass mod-97; a match that fails is tried without its last groups."""
+    found, match = [], _IBAN.search(text)
+    while match:
+        start, end = match.span()
+        while end > start:
+            code = text[start:end].replace(" ", "")
+            if len(code) < 15:
+                end = start
+            elif len(code) <= 34 and mod97(code):
+                found.append((start, end))
+                break
+            else:
+                end = max(start, text.rfind(" ", start, end))
+        match = _IBAN.search(text, end if end > start else match.end())
+    return found
+
+
 def phones(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _PHONE.finditer(text) if 8 <= len(_DIGIT.findall(m.group())) <= 15]
 
@@ -127,17 +146,14 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
         spans += [("card", s, e) for s, e, d in runs if len(d) >= 16]
         if "+" in text:
             spans += [("phone", *s) for s in phones(text)]
-        for m in _IBAN.finditer(text):
-            code = m.group().replace(" ", "")
-            if 15 <= len(code) <= 34 and mod97(code):
-                spans.append(("iban", *m.span()))
+        spans += [("iban", *s) for s in accounts(text)]
         spans += [("ssn", *m.span()) for m in _SSN.finditer(text)]
         spans += [("cardlike", s, e) for s, e, d in runs if len(d) < 16]
         spans += [("cards", *part) for s, e, d in all_runs if len(d) > 19 for part in split_cards(text, s, e)]
     scored = []
     for kind, start, end in spans:
-        before = text[max(0, start - WINDOW) : start].lower()
-        score = min(1.0, START[kind] + RAISE * (any(w in before for w in CONTEXT[kind])))
+        around = f"{text[max(0, start - WINDOW) : start]}\n{text[end : end + WINDOW]}".lower()
+        score = min(1.0, START[kind] + RAISE * (any(w in around for w in CONTEXT[kind])))
         if kind in KINDS or score >= ACCEPT:
             scored.append((kind, start, end, score))
     return scored
