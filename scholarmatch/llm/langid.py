@@ -33,6 +33,8 @@ PIECE = 1 << 18
 HELD = 1 << 20
 _BLANK = 32
 UNKNOWN = "und"
+#: Score below which a text is in none of the learned languages: nearly all of its n-grams are missing from the nearest profile.
+REJECT = 0.1
 
 
 @lru_cache(maxsize=1)
@@ -189,15 +191,25 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return rows.mapInArrow(predictor(docs, model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` with a language, all columns kept; those without a letter (``und``) go."""
+def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", reject: float = REJECT) -> DataFrame:
+    """The rows of ``docs`` whose text is near enough to a language, all columns kept.
+
+    A text goes if it has no letter, or if its distance to the nearest profile leaves a score under ``reject``. Where
+    nothing could be learned, every text with a letter stays.
+    """
     model = learn(docs, text_col, lang_col)
     columns = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = columns.index(text_col)
 
+    def stays(text: str | None) -> bool:
+        if not shared.value.langs:
+            return len(gram_counts(text or "")[0]) > 0
+        lang, score = shared.value.predict(text)
+        return lang != UNKNOWN and score >= reject
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([shared.value.predict(t.as_py())[0] != UNKNOWN for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([stays(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

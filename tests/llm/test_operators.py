@@ -91,14 +91,12 @@ def test_directory_doubles_until_no_bucket_is_overfull(spark):
 # --- mixing ------------------------------------------------------------------------------------
 def test_mix_keeps_every_window_and_row(spark):
     docs = spark.createDataFrame([(i, "abc"[min(2, i % 5)]) for i in range(900)], "doc_id long, source string")
-    targets = {"a": 0.5, "b": 0.3, "c": 0.2}
-    rows = mixing.mix_schedule(docs, targets, block_rows=4, quantum=64).collect()
+    share = {"a": 0.5, "b": 0.3, "c": 0.2}
+    rows = mixing.mix_schedule(docs, share, block_rows=4).collect()
     assert sorted(r.doc_id for r in rows) == list(range(900))
     blocks = {(r.source, r.block): r for r in rows}
     assert all(r.release <= r.slot < r.deadline for r in blocks.values())
     assert len({r.slot for r in blocks.values()}) == len(blocks)
-    share = {r.source: r.shares / 64 for r in rows}
-    assert math.isclose(sum(share.values()), 1)
     used = Counter()
     last = min(max(r.slot for r in blocks.values() if r.source == s) for s in "abc")
     at = {r.slot: r.source for r in blocks.values()}
@@ -185,6 +183,10 @@ def test_pii_checksums_context_and_long_runs():
     assert kinds("4111111111111111") == {"card"} and not kinds("4111111111111112")
     assert "cards" in kinds("4111111111111111 4111111111111111")
     assert "ssn" in kinds("social security 123-45-6789") and "ssn" not in kinds("part 123-45-6789")
+    assert "ssn" in kinds("123-45-6789 (SSN)")
+    assert [s[:3] for s in pii.find("ES91 2100 0418 4502 0005 1332 BIC")] == [("iban", 0, 29)]
+    assert [s[:3] for s in pii.find("GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00")] == [("iban", 0, 27), ("iban", 28, 55)]
+    assert not kinds("AB12 CDEF GHIJ KLMN OPQR ST UVWX")
     assert pii.redact("mail a.b@c.org now") == "mail <email> now"
     for text in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "@a." * 50_000):
         pii.find(text)  # linear
@@ -234,6 +236,12 @@ def test_language_of_held_out_documents(spark, odd, empty):
     assert langid.identify(empty).count() == 0
     kept = langid.keep_identified(odd)
     assert kept.columns == odd.columns and not {100, 101, 102, 108} & {r.doc_id for r in kept.collect()}
+    foreign = odd.where("doc_id = 1").withColumn("doc_id", F.lit(777).cast("long")).withColumns({"text": F.lit("漢字仮名交文 漢字"), "lang": F.lit(None).cast("string")})
+    assert 777 not in {r.doc_id for r in langid.keep_identified(odd.unionByName(foreign)).collect()}
+    nothing = odd.withColumn("lang", F.lit(None).cast("string"))  # without anything learned, texts with letters stay
+    letters = {r.doc_id for r in odd.collect() if any(c.isalpha() for c in r.text or "")}
+    assert {r.doc_id for r in langid.keep_identified(nothing).collect()} == letters
+    assert langid.keep_identified(docs).count() == docs.count()
 
 
 # --- tokens ------------------------------------------------------------------------------------
