@@ -5,11 +5,12 @@ empty string. Only these longest windows are counted. A window begins with one p
 ROLLUP over (lang, w1, ..., wLENGTH) sums the counts of all shorter phrases as successively shorter prefixes: no
 phrase length is exploded by itself, and the sum over a language is its number of words.
 
-A window may be cut (padded from there on) where a neighbouring pair of words is too rare for any candidate: no
-phrase across the cut reaches LEAST, all others keep their counts. A first pass counts 64-bit hashes of
-(lang, word, next word); what reaches LEAST goes into a bit table of fixed size that is sent to the tasks. A collision
-only leaves a window longer than it had to be; with a full table nothing is cut and the result is the same. Windows
-are counted in bounded pieces before they are shuffled, so a frequent phrase costs a row a piece.
+A window may be cut (padded from there on) at a word, a neighbouring pair or three words in a row that are too rare for
+any candidate: no phrase across the cut reaches LEAST, all others keep their counts. A first pass counts 32-bit hashes
+of (lang, word) and (lang, word, next word), a second one those of three words whose pairs both reached LEAST; what
+reaches LEAST goes into a bit table of fixed size that is sent to the tasks. A collision
+only leaves a window longer than it had to be; with a full table nothing is cut and the result is the same. All
+passes count in bounded pieces before they shuffle, so a frequent pair or phrase costs a row a piece.
 
 Scores, cuts and containment are joins of the phrases that reached LEAST (a table, never collected), in decimals of
 38 digits: exact up to counts of 10^11.
@@ -22,7 +23,7 @@ gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,12 +36,13 @@ from scholarmatch.sources.tables import settle
 
 #: Words of the longest phrase, fewest occurrences of a candidate, and phrases that a language's report has.
 LENGTH, LEAST, TOP = 5, 100, 2000
-#: Bytes of text that are cut into words at once.
-CHUNK = 4 << 20
+#: Bytes of text that are cut into words at once, and pairs that a task counts before it hands them on.
+CHUNK, HELD = 1 << 19, 1 << 19
 #: Bits of the table of frequent pairs, whatever the size of the corpus (16 MB).
 BITS = 27
 _SEPARATORS = r"[.,;:!?\x0A-\x0D]"
 _BREAK = re.compile(_SEPARATORS)
+_ALONE, _THREE = np.uint64(0xA5A5A5A55A5A5A5A), np.uint64(0x3C3C3C3CC3C3C3C3)
 _ODD = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -65,86 +67,159 @@ def portions(texts: pa.Array, langs: pa.Array) -> Iterator[tuple[pa.Array, pa.Ar
         yield texts.slice(start), langs.slice(start)
 
 
+def _hashes(texts: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(texts.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(texts) else np.zeros(0, np.uint64)
+
+
+def _keys(first: np.ndarray, langs: np.ndarray, second: np.ndarray | np.uint64) -> np.ndarray:
+    mixed = (first * _ODD[0] + langs) * _ODD[1] ^ second
+    return (((mixed ^ (mixed >> np.uint64(29))) * _ODD[2]) >> np.uint64(32)).astype(np.uint32)
+
+
 class Words:
-    """The words of some texts in order: numbers into ``distinct``, their pieces, and their texts."""
+    """The words of some texts in order: numbers into ``distinct``, their pieces, and numbers into ``langs``."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, langs: pa.Array):
         pieces = pc.split_pattern_regex(pc.ascii_lower(texts), _SEPARATORS + "+")
         words = pc.split_pattern_regex(pieces.values, r"[ \t]+")
         flat = words.values
         real = pc.not_equal(flat, "")
         kept = real.to_numpy(zero_copy_only=False)
-        coded = flat.filter(real).dictionary_encode()
-        self.distinct = coded.dictionary
-        self.numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        in_text = np.diff(pieces.offsets.to_numpy())
-        in_piece = np.diff(words.offsets.to_numpy())
-        self.piece = np.repeat(np.arange(len(in_piece)), in_piece)[kept]
-        self.text = np.repeat(np.arange(len(in_text)), in_text)[self.piece] if len(in_piece) else self.piece
-
-    def pairs(self, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each word but the last: whether the next one is of its piece, and the pair's hash."""
-        hashed = pd.util.hash_array(self.distinct.to_numpy(zero_copy_only=False), categorize=False)[self.numbers] if len(self.distinct) else np.zeros(0, np.uint64)
-        mixed = (hashed[:-1] * _ODD[0] + langs[self.text[:-1]]) * _ODD[1] ^ hashed[1:]
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * _ODD[2]
-        return self.piece[1:] == self.piece[:-1], mixed ^ (mixed >> np.uint64(32))
+        coded, named = flat.filter(real).dictionary_encode(), langs.dictionary_encode()
+        self.distinct, self.langs = coded.dictionary, named.dictionary
+        self.numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
+        in_text, in_piece = np.diff(pieces.offsets.to_numpy()), np.diff(words.offsets.to_numpy())
+        self.piece = np.repeat(np.arange(len(in_piece), dtype=np.int32), in_piece)[kept]
+        of_text = named.indices.to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
+        self.lang = np.repeat(of_text, in_text)[self.piece] if len(in_piece) else self.piece
+        self._words, self._langs = _hashes(self.distinct), _hashes(self.langs)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each word but the last: whether the next one is of its piece, and the pair's key."""
+        hashed = self._words[self.numbers]
+        return self.piece[1:] == self.piece[:-1], _keys(hashed[:-1], self._langs[self.lang[:-1]], hashed[1:])
+
+    def triples(self, pairs: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Keys of the three words that begin at each of ``at``."""
+        return _keys(pairs[at].astype(np.uint64), self._langs[self.lang[at]], self._words[self.numbers[at + 2]] ^ _THREE)
+
+    def singles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each language's distinct words the key and the count, and for each word its place among them."""
+        codes = self.lang.astype(np.int64) * max(1, len(self.distinct)) + self.numbers
+        found, place, times = np.unique(codes, return_inverse=True, return_counts=True)
+        lang, word = np.divmod(found, max(1, len(self.distinct)))
+        return _keys(self._words[word], self._langs[lang], _ALONE), times, place
+
+
+def known(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys have their bit in the table."""
+    at = keys & np.uint32(len(table) * 64 - 1)
+    return ((table[at >> np.uint32(6)] >> (at & np.uint32(63)).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def steps(words: Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words are frequent, from which one the next word can be reached, and the keys of all pairs."""
+    together, pairs = words.pairs()
+    alone, _, place = words.singles()
+    frequent = known(table, alone)[place]
+    goes_on = np.zeros(len(words.numbers), bool)
+    goes_on[:-1] = together & known(table, pairs) & frequent[:-1] & frequent[1:]
+    return frequent, goes_on, pairs
+
+
+def _frequent(texts: DataFrame, keys_of: Callable[[Words], list[tuple[np.ndarray, np.ndarray]]], least: int, bits: int) -> np.ndarray:
+    """The bit table of keys that reach ``least``; ``keys_of`` gives distinct keys and their counts."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, times = [], []
 
-def _hashes(langs: pa.Array) -> np.ndarray:
-    return pd.util.hash_array(langs.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(langs) else np.zeros(0, np.uint64)
-
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, n = np.concatenate(found), np.concatenate(times)
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+            return keys[first], np.add.reduceat(n, first) if len(first) else n
 
-def frequent_pairs(texts: DataFrame, least: int = LEAST, bits: int = BITS) -> np.ndarray:
-    """The bit table of hashes that ``least`` neighbouring pairs or more have. ``texts``: text, lang."""
+        def rows(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int32)), pa.array(n, pa.int64())], ["key", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some, langs in portions(batch.column(0), batch.column(1)):
-                together, hashed = Words(some).pairs(_hashes(langs))
-                found, times = np.unique(hashed[together], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times, pa.int64())], ["pair", "n"])
-
-    counted = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    slot = F.col("pair").bitwiseAND((1 << bits) - 1)
-    bit = F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST(pair & 63 AS INT))")
+                words = Words(some, langs)
+                if not len(words.numbers):
+                    continue
+                for keys, n in keys_of(words):
+                    found.append(keys)
+                    times.append(n)
+                if sum(map(len, found)) > HELD:
+                    keys, n = merged()
+                    found, times = [keys], [n]
+                    if len(keys) > HELD // 2:
+                        yield rows(keys, n)
+                        found, times = [], []
+        if found:
+            yield rows(*merged())
+
+    counted = texts.mapInArrow(count, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    slot = F.col("key").bitwiseAND((1 << bits) - 1)
+    bit = F.expr("shiftleft(CAST(1 AS BIGINT), key & 63)")
     rows = counted.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(bit).alias("set")).toArrow()  # at most 2^(bits - 6) rows
     table = np.zeros(1 << (bits - 6), np.uint64)
     table[rows["at"].to_numpy()] = rows["set"].to_numpy().view(np.uint64)
     return table
 
 
+def frequent_keys(texts: DataFrame, least: int = LEAST, bits: int = BITS) -> np.ndarray:
+    """The bit table of words, neighbouring pairs and three words in a row that reach ``least``. ``texts``: text, lang."""
+
+    def short(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
+        together, pairs = words.pairs()
+        alone, times, _ = words.singles()
+        return [np.unique(pairs[together], return_counts=True), (alone, times)]
+
+    first = _frequent(texts, short, least, bits)
+    shared = texts.sparkSession.sparkContext.broadcast(first)
+
+    def long(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
+        _, goes_on, pairs = steps(words, shared.value)
+        return [np.unique(words.triples(pairs, np.flatnonzero(goes_on[:-1] & goes_on[1:])), return_counts=True)]
+
+    return first | _frequent(texts, long, least, bits)
+
+
 def window_counts(texts: DataFrame, table: np.ndarray, length: int = LENGTH) -> DataFrame:
-    """lang, w1 .. wLENGTH, c: padded longest windows, cut at pairs that are not in the table; counted per piece."""
+    """lang, w1 .. wLENGTH, c: padded longest windows, cut at what is not in the table; counted per piece."""
     shared = texts.sparkSession.sparkContext.broadcast(table)
     names = [f"w{k}" for k in range(1, length + 1)]
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, mask = shared.value, np.uint64(len(shared.value) * 64 - 1)
         for batch in batches:
             for some, langs in portions(batch.column(0), batch.column(1)):
-                words = Words(some)
+                words = Words(some, langs)
                 if not len(words.numbers):
                     continue
-                together, hashed = words.pairs(_hashes(langs))
-                at = hashed & mask
-                goes_on = np.zeros(len(words.numbers), bool)
-                goes_on[:-1] = together & ((held[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
-                named = langs.dictionary_encode()
-                columns = [named.indices.to_numpy(zero_copy_only=False).astype(np.int64)[words.text], words.numbers]
-                alive = np.ones(len(words.numbers), bool)
-                for k in range(1, length):
-                    alive[: len(alive) - k + 1] &= goes_on[k - 1 :]
-                    alive[len(alive) - k :] = False
-                    ahead = np.full(len(alive), -1, np.int64)
-                    ahead[: len(alive) - k] = words.numbers[k:]
-                    columns.append(np.where(alive, ahead, -1))
+                frequent, goes_on, pairs = steps(words, shared.value)
+                three = np.zeros(len(goes_on), bool)
+                begins = np.flatnonzero(goes_on[:-1] & goes_on[1:])
+                three[begins] = known(shared.value, words.triples(pairs, begins))
+                columns = [words.lang, np.where(frequent, words.numbers, np.int32(-1))]
+                size = len(words.numbers)
+                alive = np.ones(size, bool)
+                for k in range(1, length):  # lead by k: the word k places on, while all words up to it go together
+                    alive[max(0, size - k) :] = False
+                    alive[: max(0, size - k)] &= goes_on[k - 1 : size - 1]
+                    if k > 1:
+                        alive[: max(0, size - k)] &= three[k - 2 : size - 2]
+                    ahead = np.full(size, -1, np.int32)
+                    ahead[: max(0, size - k)] = words.numbers[k:]
+                    columns.append(np.where(alive, ahead, np.int32(-1)))
                 order = np.lexsort(columns[::-1])
                 sorted_columns = [c[order] for c in columns]
                 first = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in sorted_columns], axis=0)]))
                 times = np.diff(np.append(first, len(order)))
                 padded = pa.concat_arrays([words.distinct, pa.array([""], words.distinct.type)])
                 texts_of = [padded.take(pa.array(np.where(c[first] < 0, len(words.distinct), c[first]))) for c in sorted_columns[1:]]
-                yield pa.RecordBatch.from_arrays([named.dictionary.take(pa.array(sorted_columns[0][first])), *texts_of, pa.array(times, pa.int64())], ["lang", *names, "c"])
+                yield pa.RecordBatch.from_arrays([words.langs.take(pa.array(sorted_columns[0][first])), *texts_of, pa.array(times, pa.int64())], ["lang", *names, "c"])
 
     shape = "lang string, " + ", ".join(f"{n} string" for n in names) + ", c long"
     return texts.mapInArrow(lead, shape)
@@ -202,7 +277,7 @@ def collocations(
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases of 2 to ``length`` words."""
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    counts = settle(phrase_counts(window_counts(texts, frequent_pairs(texts, least, bits), length), length, least), "phrase-counts")
+    counts = settle(phrase_counts(window_counts(texts, frequent_keys(texts, least, bits), length), length, least), "phrase-counts")
     kept = drop_contained(settle(score_phrases(counts), "phrase-scores"), length)
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
