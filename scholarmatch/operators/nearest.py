@@ -167,8 +167,9 @@ def vector_recall(
         for qid, row in zip(mine["query_id"], cos):
             near = np.flatnonzero(row >= threshold)
             best = near[np.argsort(-np.round(row[near], 4), kind="stable")[:cap]]
-            found.append(pd.DataFrame({"query_id": qid, "vec_id": theirs["vec_id"].to_numpy()[best], "cosine": row[best]}))
-        return pd.concat(found)
+            found.append((np.full(len(best), qid, object), theirs["vec_id"].to_numpy(object)[best], row[best]))
+        columns = [np.concatenate(c) for c in zip(*found)]
+        return pd.DataFrame({"query_id": pd.Series(columns[0], dtype=object), "vec_id": pd.Series(columns[1], dtype=object), "cosine": columns[2]})
 
     scored = visiting.groupBy(*key).cogroup(visited.groupBy(*key)).applyInPandas(score, shape)
     best = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
