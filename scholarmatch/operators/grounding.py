@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarmatch.functions import text, vocab
+from scholarmatch.functions.scale import shuffled
 
 
 def validate_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """(claim_id, code, evidence_id): unknown evidence, affirmed blocked fields, trends on unconfirmed authors."""
-    known = evidence.select(F.col("id").alias("evidence_id"), "author_resolution_status").dropDuplicates(["evidence_id"])
+    known = shuffled(evidence).select(F.col("id").alias("evidence_id"), "author_resolution_status").dropDuplicates(["evidence_id"])
     refs = claims.select("claim_id", "claim_type", "status", F.explode("evidence_ids").alias("evidence_id"))
     looked = refs.join(known.withColumn("_known", F.lit(True)), "evidence_id", "left")
     unknown = F.col("_known").isNull()
@@ -32,13 +33,13 @@ def validate_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def surviving_claims(claims: DataFrame, errors: DataFrame) -> DataFrame:
-    return claims.join(errors.select("claim_id").distinct(), "claim_id", "left_anti")
+    return claims.join(shuffled(errors).select("claim_id").distinct(), "claim_id", "left_anti")
 
 
 def _kept_refs(points: DataFrame, column: str, valid: DataFrame, out: str) -> DataFrame:
     """Per point its references that are valid, in order."""
     refs = points.select("point_id", F.posexplode(column).alias("pos", "ref"))
-    good = refs.join(valid.select(F.col(valid.columns[0]).alias("ref")).distinct(), "ref", "left_semi")
+    good = refs.join(shuffled(valid).select(F.col(valid.columns[0]).alias("ref")).distinct(), "ref", "left_semi")
     return good.groupBy("point_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "ref"))), lambda x: x["ref"]).alias(out)
     )
@@ -54,7 +55,7 @@ def sanitize_points(
     none = F.array().cast("array<string>")
     f = _kept_refs(points, "fact_ids", facts, "_f")
     e = _kept_refs(points, "evidence_ids", evidence, "_e")
-    rows = points.join(f, "point_id", "left").join(e, "point_id", "left")
+    rows = points.join(shuffled(f), "point_id", "left").join(shuffled(e), "point_id", "left")
     needs_f = F.col("section").isin([s for s, (a, _) in rules.items() if a])
     needs_e = F.col("section").isin([s for s, (_, b) in rules.items() if b])
     return rows.where(
@@ -69,7 +70,7 @@ def sanitize_summaries(summaries: DataFrame, evidence: DataFrame) -> DataFrame:
     """Summaries keep their valid references; without any, or without text, they are emptied."""
     shaped = summaries.withColumnRenamed("summary_id", "point_id")
     e = _kept_refs(shaped, "evidence_ids", evidence, "_e")
-    rows = shaped.join(e, "point_id", "left")
+    rows = shaped.join(shuffled(e), "point_id", "left")
     good = ~text.blank("summary") & F.col("_e").isNotNull()
     none = F.array().cast("array<string>")
     return rows.select(
@@ -83,11 +84,11 @@ def _judged(sentences: DataFrame, facts: DataFrame, evidence: DataFrame) -> Data
     """Sentences with the number of references they have and the number that are valid."""
     def valid_count(column: str, valid: DataFrame, out: str) -> DataFrame:
         refs = sentences.select("draft_id", "idx", F.explode(column).alias("ref"))
-        good = refs.join(valid.select(F.col(valid.columns[0]).alias("ref")).distinct(), "ref", "left_semi")
+        good = refs.join(shuffled(valid).select(F.col(valid.columns[0]).alias("ref")).distinct(), "ref", "left_semi")
         return good.groupBy("draft_id", "idx").agg(F.count("*").alias(out))
 
     return (
-        sentences.join(valid_count("fact_ids", facts, "_vf"), ["draft_id", "idx"], "left")
+        shuffled(sentences).join(valid_count("fact_ids", facts, "_vf"), ["draft_id", "idx"], "left")
         .join(valid_count("evidence_ids", evidence, "_ve"), ["draft_id", "idx"], "left")
         .withColumns(
             {
@@ -148,4 +149,4 @@ def draft_coverage(sentences: DataFrame, facts: DataFrame, evidence: DataFrame)
 
 def prune_draft(sentences: DataFrame, errors: DataFrame) -> DataFrame:
     """The sentences without any error."""
-    return sentences.join(errors.select("draft_id", "idx").distinct(), ["draft_id", "idx"], "left_anti")
+    return sentences.join(shuffled(errors).select("draft_id", "idx").distinct(), ["draft_id", "idx"], "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarmatch.functions import vocab
+from scholarmatch.functions.scale import shuffled
 from scholarmatch.operators import fit, grounding
 from scholarmatch.sources import export
 from scholarmatch.sources.tables import settle
@@ -43,7 +44,7 @@ def manual_runs(
     reports = settle(_of_run(fit.match_report(asked, facts, professors, materials, matches, near)), "run-reports")
     good_claims = grounding.surviving_claims(claims, grounding.validate_claims(claims, ids))
     clean = grounding.sanitize_points(points, confirmed, ids.select("id"))
-    good_points = clean.join(points.select("point_id", "run_id"), "point_id")
+    good_points = clean.join(shuffled(points).select("point_id", "run_id"), "point_id")
     tops = materials.where("kind IN ('declared', 'observed')").select("professor_id", "pos", "topic", "evidence_id", "kind")
     papers = materials.where("kind IN ('keyword', 'text')").select("professor_id", F.col("pos").alias("seq"), F.col("topic").alias("title"), F.lit(None).cast("int").alias("year"), "evidence_id")
     letter = fit.template_draft(asked, facts, professors, tops, papers, paper_read, students=students)
@@ -62,7 +63,7 @@ def manual_runs(
     left = grounding.validate_draft(kept, confirmed, ids.select("id"), paper_read).select(F.col("draft_id").alias("run_id")).distinct()
     removed = errors.select("draft_id", "idx").distinct().groupBy(F.col("draft_id").alias("run_id")).agg(F.count("*").alias("removed"))
     checks = (
-        asked.select(run_id().alias("run_id")).join(removed, "run_id", "left").join(left.withColumn("_left", F.lit(True)), "run_id", "left")
+        asked.select(run_id().alias("run_id")).join(shuffled(removed), "run_id", "left").join(shuffled(left).withColumn("_left", F.lit(True)), "run_id", "left")
         .select("run_id", F.coalesce("removed", F.lit(0)).alias("removed"), F.col("_left").isNull().alias("draft_ok"))
     )
     headers = _of_run(fit.draft_headers(asked))
@@ -79,7 +80,7 @@ def manual_runs(
         "sentences": kept.withColumnRenamed("draft_id", "run_id"),
         "headers": headers,
         "warnings": warned,
-        "evidence": _of_run(asked.join(evidence, "professor_id")),
+        "evidence": _of_run(asked.join(shuffled(evidence), "professor_id")),
         "checks": checks,
     }
 
@@ -91,7 +92,7 @@ def artifact_files(found: dict[str, DataFrame], nested: DataFrame) -> DataFrame:
     """
     def listed(rows: DataFrame, order: list[str], fields: list[str], name: str) -> DataFrame:
         packed = export.per_run(rows, order, fields, "items")
-        everyone = found["checks"].select("run_id").join(packed, "run_id", "left")
+        everyone = found["checks"].select("run_id").join(shuffled(packed), "run_id", "left")
         return everyone.select("run_id", F.lit(name).alias("name"), F.coalesce(F.to_json("items"), F.lit("[]")).alias("content"))
 
     status = found["checks"].select(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholarmatch.functions import vocab
+from scholarmatch.functions.scale import shuffled
 
 
 def per_run(rows: DataFrame, order: Sequence[str], fields: Sequence[str], out: str) -> DataFrame:
@@ -41,11 +42,11 @@ def run_reports(
         (per_run(warnings, ["pos"], ["text"], "warnings"), "warnings", "array<struct<text:string>>"),
     )
     for rows, name, kind in parts:
-        out = out.join(rows.select("run_id", F.col(name).cast(kind).alias(name)), "run_id", "left")
+        out = out.join(shuffled(rows).select("run_id", F.col(name).cast(kind).alias(name)), "run_id", "left")
         out = out.withColumn(name, F.coalesce(name, F.array().cast(kind)))
-    out = out.join(resolutions.select("run_id", "status", "selected_author_id", "reasons", "conflicts"), "run_id", "left")
-    out = out.join(reports.select("run_id", "research_fit", "recommendation", "opportunity_signal", "question"), "run_id", "left")
-    out = out.join(headers.select("run_id", "subject"), "run_id", "left")
+    out = out.join(shuffled(resolutions).select("run_id", "status", "selected_author_id", "reasons", "conflicts"), "run_id", "left")
+    out = out.join(shuffled(reports).select("run_id", "research_fit", "recommendation", "opportunity_signal", "question"), "run_id", "left")
+    out = out.join(shuffled(headers).select("run_id", "subject"), "run_id", "left")
     said = lambda c: F.coalesce(F.col(c), F.lit(""))
     texts = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
     each = lambda c, field: F.transform(c, lambda x: x[field])
