@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import json
+import re
 from collections.abc import Sequence
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,12 +24,29 @@ def _resolved(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
 
-def unescape(c: Column) -> Column:
-    """All character references of the HTML standard, resolved in one pass from the left; texts without any stay in the JVM."""
-    return F.when(c.contains("&"), _resolved(F.when(c.contains("&"), c))).otherwise(c)
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 
 
-def html_text(source) -> Column:
+def _reference(found: re.Match) -> str:
+    whole = found[0]
+    return html.unescape(whole) if whole[1] == "#" or whole[1:] in html5 else whole
+
+
+@F.pandas_udf(T.StringType())
+def _resolved_closed(values: pd.Series) -> pd.Series:
+    return values.map(lambda t: _CLOSED.sub(_reference, t), na_action="ignore")
+
+
+def unescape(c: Column, unclosed: bool = True) -> Column:
+    """All character references of the HTML standard, resolved in one pass from the left; texts without any stay in the JVM.
+
+    Old names count without their semicolon too, as in browsers, unless ``unclosed`` is False.
+    """
+    resolve = _resolved if unclosed else _resolved_closed
+    return F.when(c.contains("&"), resolve(F.when(c.contains("&"), c))).otherwise(c)
+
+
+def html_text(source, unclosed: bool = True) -> Column:
     """Readable text: scripts, styles and comments dropped, a line per block element, blanks squeezed."""
     c = F.col(source) if isinstance(source, str) else source
     blocks = "|".join(vocab.BLOCK_TAGS)
@@ -35,14 +54,14 @@ def html_text(source) -> Column:
     bare = F.regexp_replace(bare, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>", "")
     bare = F.regexp_replace(bare, rf"(?i)<(?:{blocks})(?:\s[^>]*)?/?>", "\n")
     bare = F.regexp_replace(bare, r"</?[a-zA-Z][^>]*>", "")
-    squeezed = F.regexp_replace(unescape(bare), r"[ \t]+", " ")
+    squeezed = F.regexp_replace(unescape(bare, unclosed), r"[ \t]+", " ")
     return text.strip(F.regexp_replace(squeezed, r"\n\s*\n+", "\n"))
 
 
-def page_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, title, text, n_chars, content_hash)."""
+def page_text(pages: DataFrame, unclosed: bool = True) -> DataFrame:
+    """(page_id, url, title, text, n_chars, content_hash); ``unclosed`` as for ``unescape``."""
     title = F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
-    return pages.select("page_id", "url", title.alias("title"), html_text("html").alias("text")).select(
+    return pages.select("page_id", "url", title.alias("title"), html_text("html", unclosed).alias("text")).select(
         "page_id",
         "url",
         "title",

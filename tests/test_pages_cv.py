@@ -141,3 +141,9 @@ def test_edits_replace_and_blank_rows_delete(spark):
 def test_digest_and_compact(spark):
     r = spark.sql("SELECT map('b', 'x y', 'a', repeat('z', 30)) m, 'one  two   three' t").select(text.digest_args("m"), text.compact("t", 9)).first()
     assert r[0] == "a=" + "z" * 24 + "…&b=x y" and r[1] == "one two…"
+
+
+def test_references_without_semicolon_stay_where_asked(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a&amp&amp;b &am &lt;&#65;&copy &ampx;</p>")], "page_id long, url string, html string")
+    assert pages.page_text(df).first()["text"] == "a&&b &am <A© &x;"
+    assert pages.page_text(df, unclosed=False).first()["text"] == "a&amp&b &am <A&copy &ampx;"
