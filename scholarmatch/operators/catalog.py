@@ -35,6 +35,8 @@ def catalog_upsert(catalog: DataFrame | None, incoming: DataFrame) -> DataFrame:
         old = catalog.withColumn("seq", F.lit(-1).cast("long")).withColumn("source", F.lit(None).cast("string"))
         rows = old.select(*rows.columns).unionByName(rows)
 
+    # Dealt out while still narrow: a small file is scanned by few tasks, whose sort would hold every field of all its rows.
+    rows = rows.repartition("seq", *KEY)
     kinds = {f.name: f.dataType for f in rows.schema.fields}
 
     def carried(field: str) -> Column:
@@ -432,7 +434,8 @@ def field_report(candidates: DataFrame, fields: Sequence[str] = vocab.REPORT_FIE
     """(entity, field, value, status, source, note): first non-empty value by source priority, gaps as UNKNOWN."""
     order = F.create_map(*[x for i, s in enumerate(priority) for x in (F.lit(s), F.lit(i))])
     ranked = candidates.where(F.col("field").isin(list(fields))).withColumn("_p", F.try_element_at(order, F.col("source")))
-    best = ranked.groupBy("entity").agg(
+    # dealt out while still narrow, as in ``catalog_upsert``
+    best = ranked.repartition("entity", "field").groupBy("entity").agg(
         *[
             F.min_by(
                 F.struct(text.strip("value").alias("value"), "source"),
