@@ -45,6 +45,15 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def dealt(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """``df`` in as many partitions as shuffles have, by ``keys`` or in turn, for short rows that are about to grow.
+
+    A small file is scanned by one task, and a shuffle of short rows is put together again to a few partitions; what an
+    explode or a wide sort makes of them would all be in those tasks. The number is given, so that AQE keeps it.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def keep_first(df: DataFrame, keys: Sequence[str | Column], order: str | Column) -> DataFrame:
     """One row per key: the one with the lowest ``order``.
 

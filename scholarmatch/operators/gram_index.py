@@ -4,7 +4,7 @@ Two tables under one folder, both in folders ``part`` (of the advisor):
 
 * ``texts``: an advisor a row, with the searched texts folded, what ties are broken by, and a hash of the content;
 * ``grams``: (gram, doc, mask): which advisors hold a stretch of one to three characters, and in which of the
-  weighted fields, in further folders ``shard`` (of the gram), sorted by gram.
+  weighted fields, in further folders ``shard`` (of the gram), each file sorted by gram.
 
 Search reads the shards of its grams only. The fields in which an advisor holds all grams of a term bound what the
 term can score there; the ``k`` advisors with the best bounds of a query are scored first, and from then on only those
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholarmatch.functions import vocab
+from scholarmatch.functions.scale import dealt
 from scholarmatch.operators.discover import KEY, completeness, score_terms, searched_values
 from scholarmatch.sources.tables import drop_folder, settle
 
@@ -56,7 +57,8 @@ def _grams(texts: DataFrame, shards: int) -> DataFrame:
         return F.transform(grams, lambda g: F.struct(g.alias("gram"), F.lit(bit).alias("bit")))
 
     per_field = [of_field(f, 1 << i) for i, f in enumerate(_FIELDS)]
-    opened = texts.select("part", "doc", F.explode(F.flatten(F.array(*per_field))).alias("g"))
+    # Dealt out by advisor while narrow: a file of texts is scanned by few tasks. An advisor's grams then meet in its task.
+    opened = dealt(texts, "part", "doc").select("part", "doc", F.explode(F.flatten(F.array(*per_field))).alias("g"))
     merged = opened.groupBy("part", "doc", F.col("g.gram").alias("gram")).agg(F.bit_or("g.bit").alias("mask"))
     return merged.withColumn("shard", shard_of(F.col("gram"), shards))
 
@@ -68,8 +70,9 @@ def shard_of(gram: Column, shards: int = SHARDS) -> Column:
 def _write(texts: DataFrame, path: str, shards: int) -> None:
     """Replaces the parts that ``texts`` has, and no others."""
     def put(df: DataFrame, name: str, folders: Sequence[str], order: Sequence[str]) -> None:
-        dealt = df.repartition(*folders).sortWithinPartitions(*folders, *order)
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(f"{path}/{name}")
+        # A large folder is sorted and written by several tasks of about the size AQE aims at, a file each.
+        sized = df.hint("rebalance", *folders).sortWithinPartitions(*folders, *order)
+        sized.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(f"{path}/{name}")
 
     put(_grams(texts, shards), "grams", ["part", "shard"], ["gram", "doc"])
     put(texts, "texts", ["part"], ["doc"])
