@@ -58,7 +58,8 @@ def _grams(texts: DataFrame, shards: int) -> DataFrame:
 
     per_field = [of_field(f, 1 << i) for i, f in enumerate(_FIELDS)]
     # Dealt out by advisor while narrow: a file of texts is scanned by few tasks. An advisor's grams then meet in its task.
-    opened = dealt(texts, "part", "doc").select("part", "doc", F.explode(F.flatten(F.array(*per_field))).alias("g"))
+    # An inner explode is filtered by its array first, which Spark does at the scan, so that the grams were made twice.
+    opened = dealt(texts, "part", "doc").select("part", "doc", F.explode_outer(F.flatten(F.array(*per_field))).alias("g")).where("g IS NOT NULL")
     merged = opened.groupBy("part", "doc", F.col("g.gram").alias("gram")).agg(F.bit_or("g.bit").alias("mask"))
     return merged.withColumn("shard", shard_of(F.col("gram"), shards))
 
