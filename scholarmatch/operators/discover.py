@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarmatch.functions import text, vocab
+from scholarmatch.functions.scale import dealt
 from scholarmatch.operators.dictionary import contains_pairs
 
 KEY = ("university", "department", "name")
@@ -24,8 +25,11 @@ def searched_values(field: str) -> Column:
 
 
 def _folded(catalog: DataFrame) -> DataFrame:
-    """The catalog with its searched texts folded once per row, not once per query and term."""
-    return catalog.withColumns({f"_v_{f}": searched_values(f) for f in vocab.FIELD_WEIGHTS})
+    """The catalog with its searched texts folded once per row, not once per query and term.
+
+    Dealt out first: a small file is scanned by one task, which would fold, match and score all rows.
+    """
+    return dealt(catalog, *KEY).withColumns({f"_v_{f}": searched_values(f) for f in vocab.FIELD_WEIGHTS})
 
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
@@ -179,7 +183,8 @@ def lexical_features(df: DataFrame, keys: Sequence[str], value) -> DataFrame:
     norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x["tf"] * x["tf"]))
     return (
         counted.withColumn("_n", norm)
-        .select(*keys, "_n", F.explode("_v").alias("x"))
+        .select(*keys, "_n", F.explode_outer("_v").alias("x"))  # an inner one is filtered by its array first, which is made twice then
+        .where("x IS NOT NULL")
         .select(*keys, F.col("x.feature").alias("feature"), (F.col("x.tf") / F.col("_n")).alias("weight"))
     )
 
@@ -189,7 +194,7 @@ def lexical_similarity(catalog: DataFrame, queries: DataFrame) -> DataFrame:
     asked = lexical_features(
         queries.select("query_id", F.array_join("terms.term", " ").alias("_q")), ["query_id"], "_q"
     ).withColumnRenamed("weight", "_wq")
-    told = lexical_features(catalog.select(*KEY, advisor_text().alias("_d")), list(KEY), "_d")
+    told = lexical_features(dealt(catalog, *KEY).select(*KEY, advisor_text().alias("_d")), list(KEY), "_d")
     shared = told.join(asked, "feature")
     return shared.groupBy("query_id", *KEY).agg(
         F.sum(F.col("weight") * F.col("_wq")).alias("similarity")
