@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarmatch.functions import text, vocab
-from scholarmatch.functions.scale import keep_first
+from scholarmatch.functions.scale import dealt, keep_first
 
 # --- author names ------------------------------------------------------------------------------
 
@@ -247,7 +247,8 @@ def pick_author(entities: DataFrame, targets: DataFrame) -> DataFrame:
     ``entities`` are search hits (target_id, seq, id, name, works_count, institutions). With a school
     given: name and school fit (1), school alone (2), else nobody; without one: name (3), else any (4).
     """
-    once = keep_first(entities, ["target_id", "id"], "seq")
+    # A shuffle of short keys is put together to few partitions; their rows, wide by now, would be sorted in one task each.
+    once = keep_first(dealt(entities, "target_id", "id", "seq"), ["target_id", "id"], "seq")
     named = targets.select("target_id", F.explode(F.array_compact(F.array("name", "english_name"))).alias("target_name"))
     matches = name_matches(once.select(F.col("name").alias("entry")), named)
     fits = (
