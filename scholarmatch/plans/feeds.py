@@ -1,6 +1,8 @@
 """The eight feeds, with payloads made from all documents in each feed's shape."""
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholarmatch.sources import feeds, tables as store
 from scholarmatch.plans import tables as model
@@ -31,17 +33,22 @@ def _named(v):
     return F.struct(v.alias("display_name"))
 
 
+@F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
+def _spots(texts: pd.Series) -> pd.Series:
+    """Word -> positions, as the feed ships abstracts; made inside the row, so no word is shuffled."""
+    def of(text):
+        if text is None:
+            return None
+        at = {}
+        for i, word in enumerate(text.split(" ")):
+            at.setdefault(word, []).append(i)
+        return at
+
+    return texts.map(of)
+
+
 def conform_openalex(spark, sf):
-    d, k = _docs(spark, sf), F.col("seq")
-    # word -> positions, as the feed ships abstracts
-    spots = (
-        d.select("seq", F.posexplode(F.split("text", " ")).alias("i", "w"))
-        .groupBy("seq", "w")
-        .agg(F.array_sort(F.collect_list("i")).alias("at"))
-        .groupBy("seq")
-        .agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("spots"))
-    )
-    d = d.join(spots, "seq")
+    d, k = _docs(spark, sf).withColumn("spots", _spots("text")), F.col("seq")
     field = F.element_at(F.array(F.lit("Computer Science"), F.lit(" Medicine "), F.lit("Unknown"), F.lit("Energy")), (k % 4 + 1).cast("int"))
     inst = F.when(k % 5 == 0, F.array().cast("array<struct<display_name:string>>")).otherwise(
         F.array(_named(F.lit("U1")), _named(F.concat(F.lit("U"), (k % 3).cast("string"))), _named(F.lit("U4")), _named(F.lit("U5")))

@@ -76,7 +76,8 @@ _OPENALEX = (
 
 def conform_openalex(raw: DataFrame, max_schools: int | None = None) -> DataFrame:
     """Bulk works; the abstract is put back together from its word positions."""
-    w = raw.select("seq", F.from_json("payload", _OPENALEX).alias("w")).select("seq", "w.*")
+    # one-element array: the filter on titles is not moved before the parsing, which would parse each payload twice
+    w = raw.select("seq", F.explode_outer(F.array(F.from_json("payload", _OPENALEX))).alias("w")).select("seq", "w.*")
     short = F.regexp_extract(F.regexp_replace(F.coalesce("id", F.lit("")), "/+$", ""), r"([^/]*)$", 1)
     doi = _some(F.trim(F.regexp_replace(F.coalesce("doi", F.lit("")), "https?://doi\\.org/", "")))
     placed = F.flatten(
@@ -85,7 +86,7 @@ def conform_openalex(raw: DataFrame, max_schools: int | None = None) -> DataFram
             lambda e: F.transform(e["value"], lambda i: F.struct(i.alias("i"), e["key"].alias("w"))),
         )
     )
-    abstract = F.array_join(F.transform(F.array_sort(placed), lambda x: x["w"]), " ")
+    abstract = F.array_join(F.transform(F.sort_array(placed), lambda x: x["w"]), " ")  # natively; array_sort calls a function per comparison
     schools = F.array_distinct(
         _named(F.flatten(F.transform("authorships", lambda a: F.coalesce(F.transform(a["institutions"], lambda i: i["display_name"]), _none()))))
     )
