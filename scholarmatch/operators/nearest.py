@@ -8,6 +8,9 @@ their boxes further apart than the threshold's angle. What meets is compared exa
 The number of cells follows the number of vectors up to ``PIVOTS`` times ``RINGS``; boxes and cell pairs are therefore
 of bounded size and are compared on the driver. A cell with many members (copies of one vector included) is split by a
 hash into blocks of about ``BLOCK_ROWS``, so no task holds a whole cell.
+
+Vectors are sent once for every block they meet, so what is shuffled follows the number of blocks. Cells and blocks are
+as large as a task can hold, and vectors travel in the width they are given in; products and angles are of doubles.
 """
 
 from __future__ import annotations
@@ -21,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholarmatch.functions import scale
 from scholarmatch.sources.tables import settle
 
 #: Pivots and rings at most, members that a cell has on average until then, rows of a block, and vectors that pivots come from.
-PIVOTS, RINGS, CELL_ROWS, BLOCK_ROWS, SAMPLE = 64, 16, 4096, 4096, 4096
+PIVOTS, RINGS, CELL_ROWS, BLOCK_ROWS, SAMPLE = 64, 16, 16384, 16384, 4096
+#: Entries of a block's matrix of vectors and of a slab of its matrix of cosines, at most.
+BLOCK_ENTRIES, SLAB_ENTRIES = 2**21, 2**22
 #: Angle that rounding may take away.
 SLACK = 1e-5
 
@@ -79,7 +85,8 @@ def meetings(asked: dict[int, np.ndarray], told: dict[int, np.ndarray], most: fl
 
 def _placed(df: DataFrame, id_col: str, vec_col: str, cells: Cells) -> DataFrame:
     """(id, vec, cell, angles): usable vectors; those of another length than the pivots' have a cell of that length, below zero."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.size("vec") > 0)
+    entry = "float" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast(f"array<{entry}>").alias("vec")).where(F.size("vec") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +104,7 @@ def _placed(df: DataFrame, id_col: str, vec_col: str, cells: Cells) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), flat], ["id", "vec", "cell", "angles"]).filter(pa.array(usable))
 
     kind = rows.schema["id"].dataType.simpleString()
-    return settle(rows.mapInArrow(run, f"id {kind}, vec array<double>, cell int, angles array<float>"), "cells")
+    return settle(rows.mapInArrow(run, f"id {kind}, vec array<{entry}>, cell int, angles array<float>"), "cells")
 
 
 def _boxes(placed: DataFrame, pivots: int) -> tuple[dict[int, np.ndarray], dict[int, int]]:
@@ -129,6 +136,8 @@ def vector_recall(
     sample = sample[sample.any(axis=1)]
     if not len(sample):
         sample = np.eye(1, length["d"])
+    most = max(1, BLOCK_ENTRIES // length["d"])  # of long vectors a task holds fewer
+    cell_rows, block_rows = min(cell_rows, most), min(block_rows, most)
     wide = math.ceil(math.sqrt(length["count"] / cell_rows))
     cells = Cells(sample, min(PIVOTS, wide), min(RINGS, wide))
     right, left = _placed(vectors, "vec_id", "embedding", cells), _placed(queries, "query_id", "query_vec", cells)
@@ -154,7 +163,7 @@ def vector_recall(
     key = ["_a", "_as", "_b", "_bs"]
     visiting = dealt(left, "_a", "_na", "_b", "_nb", ["query_id", "query_vec"])
     visited = dealt(right, "_b", "_nb", "_a", "_na", ["vec_id", "embedding"])
-    cap = k
+    cap, slab_entries = k, SLAB_ENTRIES
 
     def score(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": [], "vec_id": [], "cosine": []})
@@ -162,15 +171,21 @@ def vector_recall(
             return none
         mine, theirs = mine.sort_values("query_id"), theirs.sort_values("vec_id")
         size = len(mine["query_vec"].iloc[0])
-        cos = np.round(unit_rows(mine["query_vec"], size) @ unit_rows(theirs["embedding"], size).T, 12)
-        found = []
-        for qid, row in zip(mine["query_id"], cos):
-            near = np.flatnonzero(row >= threshold)
-            best = near[np.argsort(-np.round(row[near], 4), kind="stable")[:cap]]
-            found.append((np.full(len(best), qid, object), theirs["vec_id"].to_numpy(object)[best], row[best]))
+        left, right = unit_rows(mine["query_vec"], size), unit_rows(theirs["embedding"], size).T
+        ids, qids, found = theirs["vec_id"].to_numpy(object), mine["query_id"].to_numpy(object), []
+        slab = max(1, slab_entries // len(theirs))
+        for start in range(0, len(left), slab):
+            for qid, row in zip(qids[start : start + slab], left[start : start + slab] @ right):
+                near = np.flatnonzero(row >= threshold - 1e-11)
+                cos = np.round(row[near], 12)
+                near, cos = near[cos >= threshold], cos[cos >= threshold]
+                best = np.argsort(-np.round(cos, 4), kind="stable")[:cap]
+                found.append((np.full(len(best), qid, object), ids[near[best]], cos[best]))
         columns = [np.concatenate(c) for c in zip(*found)]
         return pd.DataFrame({"query_id": pd.Series(columns[0], dtype=object), "vec_id": pd.Series(columns[1], dtype=object), "cosine": columns[2]})
 
+    # few bytes are much work here: the number of partitions is given, so that AQE does not put blocks together by size
+    visiting, visited = scale.dealt(visiting, *key), scale.dealt(visited, *key)
     scored = visiting.groupBy(*key).cogroup(visited.groupBy(*key)).applyInPandas(score, shape)
     best = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     return scored.withColumn("cosine", F.round("cosine", 4)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
