@@ -337,9 +337,15 @@ def card_link_fields(
 
 
 def faculty_records(people: DataFrame, pages_text: DataFrame, profile_chars: int | None = None) -> DataFrame:
-    """Faculty rows for known people pages. ``people``: university, college, name, href."""
-    joined = people.join(pages_text.select(F.col("url").alias("href"), "text"), "href")
-    ident = F.substring(F.sha2(F.concat_ws("\n", "university", "college", "name", "href"), 256), 1, 16)
+    """Faculty rows for known people pages. ``people``: university, college, name, href and, if known, page_id.
+
+    People meet their page by ``page_id`` where they have it, as pages can share an address; else by the address, a row
+    for every page there. Who lacks one of the four has a null id.
+    """
+    key = "page_id" if "page_id" in people.columns else "href"
+    joined = people.join(pages_text.select(F.col("page_id" if key == "page_id" else "url").alias(key), "text"), key)
+    end = F.lit("\n")
+    ident = F.substring(F.sha2(F.concat("university", end, "college", end, "name", end, "href"), 256), 1, 16)
     body = F.col("text") if profile_chars is None else F.substring("text", 1, profile_chars)
     return joined.select(
         ident.alias("id"),

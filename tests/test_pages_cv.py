@@ -3,11 +3,14 @@
 import html
 from urllib.parse import urljoin
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from scholarmatch.functions import text
 from scholarmatch.operators import cv, pages
+from scholarmatch.plans import documents
+from tests.oracle import run_pair
 
 
 def one(spark, expr, value, name="v"):
@@ -147,3 +150,14 @@ def test_references_without_semicolon_stay_where_asked(spark):
     df = spark.createDataFrame([(1, "u", "<p>a&amp&amp;b &am &lt;&#65;&copy &ampx;</p>")], "page_id long, url string, html string")
     assert pages.page_text(df).first()["text"] == "a&&b &am <A© &x;"
     assert pages.page_text(df, unclosed=False).first()["text"] == "a&amp&b &am <A&copy &ampx;"
+
+
+def test_pages_that_share_an_address_have_a_record_each(spark, tmp_path):
+    """Against the query's SQL, also where the address has no path, is no web address, or is missing."""
+    rows = [(1, "http://u.edu/cs/a"), (2, "http://u.edu/cs/a"), (3, "http://u.edu"), (4, "ftp"), (5, None), (6, "https://v.edu?x=/y")]
+    made = spark.createDataFrame([(i, u, f"<title>T</title><p>p{i} p{i}@u.edu</p>") for i, u in rows], "page_id long, url string, html string")
+    made.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    same, note, _ = run_pair(spark, str(tmp_path), documents.faculty_records, documents.ORACLES["faculty_records"], con)
+    assert same and note == "rows=6", note
