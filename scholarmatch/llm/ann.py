@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ BIN_ROWS = 8192
 PART = 2 * BIN_ROWS
 
 
-#: Scores held at once when queries meet a bin.
+#: Scores or distances held at once: when queries meet a bin, and whenever rows meet all centroids or the sample.
 BLOCK = 1 << 20
 
 
@@ -55,6 +56,18 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
 
 
+def _blocks(rows: int, width: int) -> Iterator[slice]:
+    """The rows in stretches whose table against ``width`` others has about ``BLOCK`` cells."""
+    step = max(1, BLOCK // max(1, width))
+    return (slice(start, start + step) for start in range(0, rows, step))
+
+
+def _nearest(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Each row's nearest center."""
+    near = [np.argmin(_distances(rows[part], centers), axis=1) for part in _blocks(len(rows), len(centers))]
+    return np.concatenate(near) if near else np.zeros(0, np.int64)
+
+
 def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
     """One more coordinate, so that every vector is as long as the longest."""
     rest = np.sqrt(np.maximum(longest**2 - (vectors * vectors).sum(1), 0))
@@ -67,12 +80,12 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray
         return np.unique(sample, axis=0)
     centers = sample[np.linspace(0, len(sample) - 1, lists).astype(int)]
     for _ in range(rounds):
-        near = np.argmin(_distances(sample, centers), axis=1)
+        near = _nearest(sample, centers)
         sums = np.zeros_like(centers)
         np.add.at(sums, near, sample)
         held = np.bincount(near, minlength=len(centers))
         centers = sums[held > 0] / held[held > 0, None]
-    near = np.argmin(_distances(sample, centers), axis=1)
+    near = _nearest(sample, centers)
     groups = [sample[near == i] for i in range(len(centers))]
     most, done = BALANCE * len(sample) / lists, []
     while groups:
@@ -93,9 +106,7 @@ class Router:
 
     def __init__(self, centers: np.ndarray, longest: float, ratio: float = 1.0):
         self.centers, self.longest, self.ratio = centers, longest, ratio
-        between = _distances(centers, centers)
-        self.between = between
-        near = np.argsort(between, axis=1, kind="stable")[:, : DEGREE + 1]
+        near = np.vstack([np.argsort(_distances(centers[part], centers), axis=1, kind="stable")[:, : DEGREE + 1] for part in _blocks(len(centers), len(centers))])
         links: list[set[int]] = [set(map(int, row)) - {i} for i, row in enumerate(near)]
         for i, row in enumerate(links):  # both ways, and a ring so that every list can be reached
             for j in list(row):
@@ -129,35 +140,43 @@ class Router:
 
     def place(self, entries: np.ndarray) -> list[list[int]]:
         """Each entry's lists: the nearest, and those beyond a boundary that no chosen list already covers."""
-        far = _distances(entries, self.centers)
-        near = np.argsort(far, axis=1, kind="stable")[:, : REPLICAS * 4]
         placed = []
-        for row, order in zip(far, near):
-            chosen = [int(order[0])]
-            for j in map(int, order[1:]):
-                if len(chosen) >= REPLICAS or row[j] > REPLICA_RATIO * row[order[0]]:
-                    break
-                if all(self.between[j, c] > row[j] for c in chosen):
-                    chosen.append(j)
-            placed.append(chosen)
+        for part in _blocks(len(entries), len(self.centers)):
+            far = _distances(entries[part], self.centers)
+            near = np.argsort(far, axis=1, kind="stable")[:, : REPLICAS * 4]
+            for row, order in zip(far, near):
+                chosen = [int(order[0])]
+                for j in map(int, order[1:]):
+                    if len(chosen) >= REPLICAS or row[j] > REPLICA_RATIO * row[order[0]]:
+                        break
+                    if all(self.apart(j, c) > row[j] for c in chosen):
+                        chosen.append(j)
+                placed.append(chosen)
         return placed
 
+    def apart(self, i: int, j: int) -> float:
+        """The distance of two centroids."""
+        gap = self.centers[i] - self.centers[j]
+        return float(np.sqrt(gap @ gap))
+
 
 def calibrated(centers: np.ndarray, sample: np.ndarray, longest: float, k: int) -> tuple[Router, np.ndarray]:
     """The router with the smallest ratio that finds ``TARGET`` of the sample's own neighbours in the sample, and how
     many of the sample each list holds."""
     router = Router(centers, longest)
-    flat = lifted(sample, longest)
     step = max(1, len(sample) // CALIBRATE)
     asked = np.arange(0, len(sample), step)
-    scores = sample[asked] @ sample.T
-    scores[np.arange(len(asked)), asked] = -np.inf
-    best = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
-    placed = router.place(flat)
-    queries = np.hstack([sample[asked], np.zeros((len(asked), 1))])
-    far = _distances(queries, centers)
-    far /= np.maximum(far.min(axis=1, keepdims=True), 1e-12)
-    needed = np.sort([min(far[q, c] for c in placed[n]) for q, row in enumerate(best) for n in row])
+    placed = router.place(lifted(sample, longest))
+    needed = []
+    for part in _blocks(len(asked), len(sample)):
+        mine = asked[part]
+        scores = sample[mine] @ sample.T
+        scores[np.arange(len(mine)), mine] = -np.inf
+        best = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+        far = _distances(np.hstack([sample[mine], np.zeros((len(mine), 1))]), centers)
+        far /= np.maximum(far.min(axis=1, keepdims=True), 1e-12)
+        needed += [min(far[q, c] for c in placed[n]) for q, row in enumerate(best) for n in row]
+    needed = np.sort(needed)
     at = min(len(needed) - 1, int(np.ceil(TARGET * len(needed)))) if len(needed) else 0
     router.ratio = float(needed[at]) * (1 + 1e-9) if len(needed) else 1.0
     return router, np.bincount([c for row in placed for c in row], minlength=len(centers))
@@ -193,6 +212,13 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column])
 
 
+def _sample(rows: pa.Table) -> np.ndarray:
+    """The vectors of (vec, rep), a row each, by rep."""
+    order = np.argsort(rows["rep"].to_numpy(), kind="stable")
+    flat = rows["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(order), -1)[order] if len(order) else np.zeros((0, 0))
+
+
 def _meet(k: int):
     def meet(held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         """Each query's best k + 1 ids in its lists of this part of a bin, all ties of entries considered."""
@@ -239,11 +265,11 @@ def search(table: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_id",
     lists = max(1, min(MAX_LISTS, facts["n"] // LIST_ROWS))
     # A share of the entries by the hash of the vector: about SAMPLE_PER_LIST * lists of them, 65,536 at most expected.
     share = min(1.0, max(1024, SAMPLE_PER_LIST * lists) / facts["n"])
-    sample = found.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("vec", "rep")
-    sample = sorted(sample.collect(), key=lambda r: r["rep"])
-    if not sample:  # a handful of entries, none of them drawn
-        sample = found.limit(1024).collect()
-    sample = np.array([r["vec"] for r in sample], np.float64)
+    drawn = found.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("vec", "rep")
+    # as Arrow, 8 bytes a number; a list of Python's numbers has four times as much
+    sample = _sample(drawn.toArrow())
+    if not len(sample):  # a handful of entries, none of them drawn
+        sample = _sample(found.select("vec", "rep").limit(1024).toArrow())
     longest = float(np.sqrt(facts["square"])) * (1 + 1e-12)
     router, held = calibrated(fit_centroids(lifted(sample, longest), lists), sample, longest, k)
     shared = spark.sparkContext.broadcast((router, bins(router.centers, held * (facts["n"] / len(sample)))))

@@ -395,6 +395,24 @@ def test_search_equals_brute_force_with_odd_vectors(spark):
     assert ann.search(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_centroids_are_fitted_in_blocks(monkeypatch):
+    """No table of the whole sample against all lists, or all queries, is held; the blocks change nothing."""
+    rng = np.random.default_rng(5)
+    sample = rng.normal(size=(3000, 8))
+    longest = float(np.sqrt((sample * sample).sum(1).max()))
+
+    def fitted():
+        return ann.calibrated(ann.fit_centroids(ann.lifted(sample, longest), 64), sample, longest, 20)
+
+    whole, held = fitted()
+    monkeypatch.setattr(ann, "BLOCK", 1 << 13)
+    sizes, plain = [], ann._distances
+    monkeypatch.setattr(ann, "_distances", lambda a, b: sizes.append(len(a) * len(b)) or plain(a, b))
+    again, held_again = fitted()
+    assert max(sizes) <= ann.BLOCK
+    assert np.allclose(whole.centers, again.centers) and math.isclose(whole.ratio, again.ratio) and (held == held_again).all()
+
+
 def test_recall_on_the_table(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = table.collect()
