@@ -114,7 +114,6 @@ def validate_draft(
 
     ``facts`` and ``evidence`` hold the valid ids in their first column.
     """
-    rows = _judged(sentences, facts, evidence)
     said = F.col("text")
     found = [F.when(said.contains(p), F.struct(F.lit("UNCONFIRMED_FLATTERY").alias("code"), F.lit(p).alias("detail"))) for p in banned]
     claims_read = said.contains(paper_word) & F.greatest(*[said.contains(w) for w in read_words], F.lit(False))
@@ -126,13 +125,21 @@ def validate_draft(
     checks = [
         *found,
         error(F.lit(not paper_read) & claims_read, "PAPER_READ_UNCONFIRMED"),
-        error(professor & (F.col("_ne") <= 0), "PROFESSOR_FACT_WITHOUT_EVIDENCE"),
-        error(professor & (F.col("_ne") > 0) & (F.col("_ve") < F.col("_ne")), "UNKNOWN_EVIDENCE_ID"),
-        error(student & (F.col("_nf") <= 0), "STUDENT_FACT_WITHOUT_FACT"),
-        error(student & (F.col("_nf") > 0) & (F.col("_vf") < F.col("_nf")), "UNCONFIRMED_STUDENT_FACT"),
+        error(professor & (F.size("evidence_ids") <= 0), "PROFESSOR_FACT_WITHOUT_EVIDENCE"),
+        error(student & (F.size("fact_ids") <= 0), "STUDENT_FACT_WITHOUT_FACT"),
     ]
-    return rows.select("draft_id", "idx", F.explode(F.array_compact(F.array(*checks))).alias("e")).select(
-        "draft_id", "idx", "e.code", "e.detail"
+    # Told by the sentence alone; texts are not shuffled.
+    alone = sentences.select("draft_id", "idx", F.explode(F.array_compact(F.array(*checks))).alias("e")).select("draft_id", "idx", "e.code", "e.detail")
+
+    def broken(rows: DataFrame, column: str, valid: DataFrame, code: str) -> DataFrame:
+        """The sentences with a reference that is not valid; only references are shuffled."""
+        refs = rows.select("draft_id", "idx", F.explode(column).alias("ref"))
+        bad = refs.join(shuffled(valid).select(F.col(valid.columns[0]).alias("ref")).distinct(), "ref", "left_anti")
+        return bad.select("draft_id", "idx").distinct().select("draft_id", "idx", F.lit(code).alias("code"), F.lit("").alias("detail"))
+
+    return (
+        alone.unionByName(broken(sentences.where(professor), "evidence_ids", evidence, "UNKNOWN_EVIDENCE_ID"))
+        .unionByName(broken(sentences.where(student), "fact_ids", facts, "UNCONFIRMED_STUDENT_FACT"))
     )
 
 

@@ -302,3 +302,11 @@ def test_letters_are_made_without_shuffling_their_sentences(spark):
         want = ([] if p == "gone" else [g]) + [g] + both[s] + theirs[p] + [g, g]
         assert [letter[i] for i in range(len(letter))] == want, (s, p)
     assert len(letters) == 12
+
+
+def test_checks_of_letters_do_not_shuffle_texts(spark):
+    s = spark.createDataFrame([("d", 0, "x", "PROFESSOR_FACT", [], ["e1", None])], "draft_id string, idx int, text string, sentence_type string, fact_ids array<string>, evidence_ids array<string>")
+    ids = spark.createDataFrame([("e1",)], "id string")
+    errors = grounding.validate_draft(s, ids, ids)
+    assert not [c for c in shuffled_columns(errors) if "text#" in c]
+    assert [tuple(r) for r in errors.collect()] == [("d", 0, "UNKNOWN_EVIDENCE_ID", "")]

@@ -1,6 +1,7 @@
 """Edits of stored tables replace the partitions they touch; files are laid out by school and name."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +79,20 @@ def test_large_schools_fill_files_of_name_ranges(spark, tmp_path):
     per_file = tables.read_table(spark, path, "catalog").where("university = 'Big'").groupBy("_metadata.file_path").agg(F.count("*").alias("n"), F.min("name").alias("lo"), F.max("name").alias("hi")).orderBy("lo").collect()
     assert len(per_file) >= 4 and max(r["n"] for r in per_file) < 300
     assert all(a["hi"] < b["lo"] for a, b in zip(per_file, per_file[1:]))
+
+
+def test_settled_rows_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, set_before = files(), spark.conf.get(key, "false")
+    rows = tables.settle(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "count"), "few")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(key, "false") == set_before
+    assert rows.count() == 7
