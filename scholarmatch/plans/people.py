@@ -75,6 +75,10 @@ def fingerprint_prefilter(spark, sf):
     return out.select("target_id", "work_id", "belongs", "needs_review", "disambig_reason")
 
 
+#: What the coauthor check looks at or the query returns: all columns it is given are written.
+_CHECKED = ("target_id", "work_id", "authors", "institution", "belongs", "needs_review", "disambig_reason")
+
+
 def apply_verdicts(spark, sf):
     t, c = tables.suppliers(spark, sf), tables.candidates(spark, sf)
     verdicts = c.where("l_returnflag = 'R'").select(
@@ -84,7 +88,7 @@ def apply_verdicts(spark, sf):
         (F.col("l_linenumber") > 4).alias("needs_review"),
         F.lit("model").alias("reason"),
     ).distinct()
-    out = ops.apply_verdicts(ops.rule_disambiguate(c, t), verdicts, t)
+    out = ops.apply_verdicts(ops.rule_disambiguate(c, t).select(*_CHECKED), verdicts, t)
     return out.select("target_id", "work_id", "belongs", "needs_review", "disambig_reason")
 
 

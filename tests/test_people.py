@@ -153,3 +153,22 @@ def test_identity_rules(spark):
     papers = spark.createDataFrame([("ok", "", ["信息检索"])], "target_id string, institution string, topics array<string>")
     out = {r["target_id"]: (r["status"], r["score"]) for r in ops.assess_identity(t, page, papers).collect()}
     assert out == {"ok": ("CONFIRMED", 3), "no": ("REJECTED", -1), "mixed": ("REVIEW_REQUIRED", 0), "bare": ("REVIEW_REQUIRED", 0)}
+
+
+def test_verdicts_come_before_the_coauthor_check_and_rows_are_joined_once(spark):
+    t = spark.createDataFrame([("a", "Wei Z", "U1"), ("b", "Bo L", "U1")], "target_id string, name string, institution string")
+    rows = [
+        ("a", 1, 1, "", ["Wei Z", "Ann"], "U1", True, False, ""), ("a", 2, 2, "", ["Ann", "Wei Z"], "U1", True, False, ""),
+        ("a", 3, 3, "", ["Cy"], "U2", True, True, "x"), ("a", 3, 4, "", ["Ann"], "U1", True, False, ""), ("a", 4, 5, "", ["Dee"], "U2", False, True, "x"),
+        ("a", 5, 6, "", ["Eve"], "U2", True, True, "x"), ("a", 6, 7, "", None, "U2", None, True, "x"), ("b", 7, 8, "", ["Ann"], "U2", True, True, "x"), ("z", 8, 9, "", ["Ann"], "U2", True, True, "x"),
+    ]
+    said = [("a", 3, None, None, None), ("a", 4, True, False, "said"), ("a", 5, False, None, "no"), ("a", 6, None, False, None), ("b", 7, True, False, "said"), ("a", 99, True, True, "lost")]
+    verdicts = spark.createDataFrame(said, "target_id string, work_id int, belongs boolean, needs_review boolean, reason string")
+    c = spark.createDataFrame(rows, CAND)
+    found = ops.apply_verdicts(c, verdicts, t)
+    merged = ops.apply_verdicts(c, verdicts, t, fingerprint=False)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, ops.fingerprint_prefilter(merged, t).collect()))
+    got = {r["seq"]: (r["belongs"], r["needs_review"]) for r in found.collect()}
+    assert got == {1: (True, False), 2: (True, False), 3: (True, True), 4: (True, False), 5: (False, False), 6: (False, True), 7: (None, False), 8: (True, False)}
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and "Join " not in plan.children().apply(0).toString()
