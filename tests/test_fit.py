@@ -310,3 +310,22 @@ def test_checks_of_letters_do_not_shuffle_texts(spark):
     errors = grounding.validate_draft(s, ids, ids)
     assert not [c for c in shuffled_columns(errors) if "text#" in c]
     assert [tuple(r) for r in errors.collect()] == [("d", 0, "UNKNOWN_EVIDENCE_ID", "")]
+
+
+def test_invariants_are_counted_one_after_another(spark):
+    """Repeated and null rows count as often as they stand; the plan left has no shuffle of reports."""
+    def reports(*rows):
+        return spark.createDataFrame(list(rows), "student_id string, professor_id string, topic_summary string")
+
+    a, b, none = ("s", "p", "x"), ("s", "q", None), reports(("s", "p", "x")).limit(0)
+    one, two = spark.range(1).selectExpr("id AS topic"), spark.range(2).selectExpr("id AS topic")
+
+    def values(first, second, related, unrelated):
+        found = fit.match_invariants(first, second, related, unrelated)
+        assert not [c for c in shuffled_columns(found) if "topic" in c]
+        return {r["key"].split(".")[1]: r["value"] for r in found.collect()}
+
+    assert values(reports(a, b, b), reports(b, a, b), one, two) == {"determinism": 1.0, "monotonic": 1.0}
+    assert values(reports(a, b, b), reports(a, a, b), two, two) == {"determinism": 0.0, "monotonic": 0.0}
+    assert values(none, none, one.limit(0), one) == {"determinism": 1.0, "monotonic": 1.0}
+    assert values(none, reports(b), one, one.limit(0)) == {"determinism": 0.0, "monotonic": 0.0}
